@@ -23,7 +23,7 @@ def position(hashed: Column, bits: int) -> Column:
     return F.pmod(hashed, F.lit(bits))
 
 
-def _packed(positions: DataFrame) -> DataFrame:
+def packed(positions: DataFrame) -> DataFrame:
     """Rows (word, mask) from distinct ``position``s."""
     return positions.groupBy(F.shiftright("position", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(position & 63 as int))")).alias("mask")
@@ -32,14 +32,14 @@ def _packed(positions: DataFrame) -> DataFrame:
 
 def repeated_filter(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     """The filter of positions that two rows or more hit. Counts are summed before the shuffle."""
-    return _packed(
+    return packed(
         hashes.select(position(F.col(column), bits).alias("position")).groupBy("position").count().filter("count > 1").select("position")
     )
 
 
 def member_filter(keys: DataFrame, column: str, bits: int) -> DataFrame:
     """The filter of the positions of all non-null ``keys``."""
-    return _packed(keys.filter(F.col(column).isNotNull()).select(position(F.xxhash64(column), bits).alias("position")).distinct())
+    return packed(keys.filter(F.col(column).isNotNull()).select(position(F.xxhash64(column), bits).alias("position")).distinct())
 
 
 def flagged(rows: DataFrame, hashed: Column, table: DataFrame, bits: int, flag: str) -> DataFrame:

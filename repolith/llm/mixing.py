@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 MARGINS = ("source", "lang", "topic")
-#: Default targets; shares of what is present are scaled to 1. A source is ``main`` or ``other``.
-SOURCES = {f"src{i}": 1.0 for i in range(1, 20)} | {"src0": 6.0, "other": 1.0}
-LANGS = {"en": 6.0, "de": 1.5, "fr": 1.5, "es": 1.5, "other": 0.5}
-TOPICS = {"long": 5.0, "lines": 3.0, "short": 2.0}
+#: Default targets, in any unit: those of what is present are scaled to 1. A category without a target counts as ``other``.
+SOURCES = {f"src{i}": 1.0 for i in range(1, 20)} | {"src0": 8.0, "other": 1.0}
+LANGS = {"en": 57.0, "de": 15.0, "fr": 15.0, "es": 12.0, "other": 1.0}
+TOPICS = {"long": 90.0, "lines": 8.0, "short": 2.0}
 
 
 def topic(text: Column, n_tokens: Column) -> Column:
@@ -53,16 +53,11 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int) ->
     return rows.withColumn("weight", F.col("weight") / F.sum("weight").over(whole)).select(*MARGINS, "tokens", "weight")
 
 
-def probabilities(cells: DataFrame, least: float) -> DataFrame:
-    """The probability of a cell's documents: the most that no cell must exceed 1 for a share of its tokens, ``least`` below.
-
-    The scale is the one at which the cells' tokens times probability follow the weights; cells short of tokens are
-    taken whole.
-    """
+def probabilities(cells: DataFrame) -> DataFrame:
+    """``cells`` with the probability of their documents, weight over tokens on the largest scale that leaves none above 1:
+    the expected tokens of the sample follow the weights."""
     ratio = F.col("weight") / F.col("tokens")
-    # The scale is set so that a cell at the token-weighted mean ratio is taken whole.
-    scale = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    return cells.withColumn("probability", F.greatest(F.lit(least), F.least(F.lit(1.0), F.round(ratio * scale, 9))))
+    return cells.withColumn("probability", F.round(ratio / F.max(ratio).over(Window.partitionBy(F.lit(1))), 9))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -72,7 +67,7 @@ def uniform(doc_id: Column) -> Column:
 
 def mixed(
     docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS,
-    rounds: int = 12, least: float = 0.0,
+    rounds: int = 12,
 ) -> DataFrame:
     """``docs`` with __tokens, __source, __lang, __topic, __probability and __selected; keeps every row and column.
 
@@ -81,7 +76,7 @@ def mixed(
     rows = with_cells(docs, sources, langs)
     sums = rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens"))
     cells = sums.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), "tokens")
-    raked = probabilities(rake(cells, {"source": sources, "lang": langs, "topic": topics}, rounds), least)
+    raked = probabilities(rake(cells, {"source": sources, "lang": langs, "topic": topics}, rounds))
     table = raked.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
     # At most (sources + 1) x (langs + 1) x topics rows.
     rows = rows.join(F.broadcast(table), [f"__{m}" for m in MARGINS])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import exact, mixing, packing, pii, quality, token_counts
+from repolith.llm import exact, mixing, packing, pii, quality, substrings, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -45,6 +45,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), window=20)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_report(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_best_fit_packing, op3_quality_rules, op4_pii, op5_mixing, op9_exact_dedup, op10_token_counts)
+        for f in (op2_best_fit_packing, op3_quality_rules, op4_pii, op5_mixing, op7_substring_dedup, op9_exact_dedup, op10_token_counts)
     }
 
 

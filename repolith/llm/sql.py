@@ -66,7 +66,7 @@ celled AS (SELECT *, CASE WHEN source IN ({_names(mixing.SOURCES)}) THEN source
   FROM counted),
 rake0 AS (SELECT source_, lang_, topic_, sum(tokens_)::DOUBLE AS tokens, sum(tokens_)::DOUBLE AS weight FROM celled GROUP BY ALL),
 {", ".join(steps)},
-ratio AS (SELECT source_, lang_, topic_, least(1.0::DOUBLE, round(weight / sum(weight) OVER () / tokens * sum(tokens) OVER (), 9)) AS probability_ FROM {last}),
+ratio AS (SELECT source_, lang_, topic_, round(weight / sum(weight) OVER () / tokens / max(weight / tokens) OVER () * sum(weight) OVER (), 9) AS probability_ FROM {last}),
 mixed AS (SELECT celled.*, probability_, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < probability_ AS selected_
   FROM celled JOIN ratio USING (source_, lang_, topic_))"""
 

@@ -40,7 +40,8 @@ def _stored(spark, cache: str, version: str) -> DataFrame | None:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, bits_per_row: int = 64) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_bytes (UTF-8), n_tokens.
 
-    ``tokenizer``: a file that every executor has. ``cache``: a table in shared storage; without one, a new one is used.
+    ``tokenizer``: a file that every executor has. ``cache``: a table in shared storage, with one writer at a time; without one,
+    a new one is used.
     Null texts count as empty; repeated rows each get a row; an empty table gives an empty table.
     """
     spark, version = docs.sparkSession, tokens.version(tokenizer)
@@ -57,7 +58,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, bits
     misses = split.filter("not maybe").drop("maybe").unionByName(split.filter("maybe").groupBy("digest").agg(F.first("text").alias("text")))
     found = misses.mapInArrow(_counter(tokenizer), "digest binary, n_tokens long")
     found.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    # A miss that two runs appended at the same time is in the cache twice, with one count.
-    counts = _stored(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = _stored(spark, cache, version)
     slim = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return slim.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")

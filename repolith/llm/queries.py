@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import exact, mixing, packing, pii, quality, substrings, token_counts
+from repolith.llm import exact, hmm, jaccard, mixing, packing, pii, quality, substrings, token_counts, toxicity
 
+TOXIC = 0.7
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -17,6 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=2, capacity=1024)
 
@@ -45,10 +50,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    machine = toxicity.fit(docs, toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return toxicity.score(docs, machine).select(
+        "doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= TOXIC).cast("int").alias("predicted")
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), window=20)
 
 
+def op8_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_scores(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_report(documents(spark, sf_dir))
 
@@ -59,10 +77,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op2_best_fit_packing, op3_quality_rules, op4_pii, op5_mixing, op7_substring_dedup, op9_exact_dedup, op10_token_counts)
-    }
+    every = (
+        op1_ngram_jaccard_join, op2_best_fit_packing, op3_quality_rules, op4_pii, op5_mixing, op6_toxicity,
+        op7_substring_dedup, op8_hidden_markov_scores, op9_exact_dedup, op10_token_counts,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

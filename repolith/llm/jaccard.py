@@ -254,3 +254,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, frequent
     components = shared.written(connected_components(found.unionByName(more).unionByName(members)), "components")
     out = sized.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = bloom.MAX_BITS) -> DataFrame:
+    """``docs`` with the least doc_id of each component alone; rows whose id that is, texts without words and null ids
+    all stay. Keeps all columns. What is dropped is found by id, so rows that repeat an id go or stay together."""
+    gone = near_duplicates(docs, width, percent, bits=bits).filter("component_id <> doc_id").select("doc_id").distinct()
+    gone = shared.written(gone, "near-copies")
+    return bloom.anti_join(docs, gone, "doc_id", bits).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, frequent
     low = leads.agg(F.sum(F.floor((F.col("n") * (100 - percent) / 100 + 2) * 1.5) + 2)).first()[0] or 0
     least = max(frequent, -(-int(low) // most_frequent))
     counts = reps.select("text").mapInArrow(_low_shingles(width, percent), "token long").groupBy("token").count()
-    common = np.sort(np.array([r[0] for r in counts.filter(F.col("count") > least).select("token").collect()], np.int64).view(np.uint64))
+    common = np.sort(counts.filter(F.col("count") > least).select("token").toArrow()["token"].to_numpy().view(np.uint64))
     known = spark.sparkContext.broadcast(common)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -64,9 +64,9 @@ def _anchors(window: int):
 
 def _bits_of(filter_rows: DataFrame, bits: int) -> np.ndarray:
     """A filter's bits as an array of bytes; its size is that of the filter, ``bits / 8``."""
+    table = filter_rows.toArrow()
     array = np.zeros(bits // 64, np.int64)
-    for word, mask in filter_rows.collect():
-        array[word] = mask
+    array[table["word"].to_numpy()] = table["mask"].to_numpy()
     return array.view(np.uint8)
 
 

@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm import bloom
+from repolith.llm import bloom, shared
 
 
 def normalised(text: Column) -> Column:
@@ -42,7 +42,8 @@ def duplicate_report(docs: DataFrame, bits_per_row: int = 64) -> DataFrame:
     )
     # A row for each distinct (digest, doc_id) and its count; a hot digest is summed before the shuffle.
     counted = rows.filter("__maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = counted.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # Written, so that the join below deals its sides itself and can split a large group.
+    groups = shared.written(counted.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     shared = (
         counted.join(groups, "text_sha256")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))

@@ -272,7 +272,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, hot: int = 1000, bits: int
     split = bloom.flagged(rows, F.xxhash64("text"), equal, text_bits, "maybe")
     counted = split.filter("maybe").groupBy(F.unhex(F.sha2("text", 256)).alias("digest"), "doc", "doc_id").agg(F.count("*").alias("rows"))
     counted = shared.written(counted, "copies")
-    leads = counted.groupBy("digest").agg(F.min("doc").alias("lead"))
+    # Written, so that the joins with it deal their sides themselves and can split a large group.
+    leads = shared.written(counted.groupBy("digest").agg(F.min("doc").alias("lead")), "leads")
     by_digest = split.filter("maybe").withColumn("digest", F.unhex(F.sha2("text", 256))).groupBy("digest").agg(F.first("text").alias("text"))
     first_rows = counted.join(leads, "digest").filter("doc = lead").select("digest", "doc", "doc_id", "rows")
     firsts = shared.written(first_rows.join(by_digest, "digest").select("doc_id", "doc", "text", F.xxhash64("doc", "text").alias("rid"), "rows"), "first-texts")

@@ -44,12 +44,12 @@ def duplicate_report(docs: DataFrame, bits_per_row: int = 64) -> DataFrame:
     counted = rows.filter("__maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
     # Written, so that the join below deals its sides itself and can split a large group.
     groups = shared.written(counted.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
-    shared = (
+    copies = (
         counted.join(groups, "text_sha256")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )
-    return alone.unionByName(shared)
+    return alone.unionByName(copies)
 
 
 def without_duplicates(docs: DataFrame, bits_per_row: int = 64) -> DataFrame:

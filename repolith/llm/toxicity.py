@@ -100,11 +100,12 @@ def train(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, k: in
     return Machine(buckets, float(bias[0]), w, v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_terms: int = 4096, least_chi: float = 30.0) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_terms: int = 4096, common_terms: int = 256, least_chi: float = 30.0) -> Machine:
     """A machine from ``labels`` (doc_id, toxic) and the texts of ``docs``.
 
     ``most_rows`` labelled documents, by least hash of their id, are the sample; equal texts count once. The driver
-    gets ``most_terms`` terms and the sample's rows in those terms: bounded by the two parameters.
+    gets ``most_terms`` terms by chi-squared, ``common_terms`` by frequency, and the sample's rows in those terms:
+    bounded by the three parameters.
     """
     chosen = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
@@ -115,8 +116,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_terms:
     # Chi-squared of the term's two-by-two table.
     a, b = F.col("x"), F.col("n") - F.col("x")
     chi = n * F.pow(a * F.lit(float(n - x)) - b * F.lit(float(x)), F.lit(2)) / (F.col("n") * (n - F.col("n")) * F.lit(float(max(x * (n - x), 1))))
-    best = counts.filter(F.col("n") < n).filter("n >= 3").withColumn("chi", chi).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "bucket").limit(most_terms)
-    buckets = np.sort(np.array([r["bucket"] for r in best.collect()], np.int64))
+    telling = counts.filter(F.col("n") < n).filter("n >= 3").withColumn("chi", chi).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "bucket").limit(most_terms)
+    # Terms that tell nothing alone may tell something in pairs: the most frequent ones are learned too.
+    common = counts.filter((F.col("n") >= 0.02 * n) & (F.col("n") < 0.5 * n)).orderBy(F.desc("n"), "bucket").limit(common_terms)
+    buckets = np.sort(np.array([r["bucket"] for r in telling.select("bucket").union(common.select("bucket")).distinct().collect()], np.int64))
     chooser = Machine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), 1)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

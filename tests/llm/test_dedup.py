@@ -66,7 +66,8 @@ def components_brute(links):
 @pytest.mark.parametrize("links", [[(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 200)], [(i, (i * 7) % 50 + 50 * (i // 50)) for i in range(200)], []])
 def test_components(spark, links):
     df = spark.createDataFrame(links, "a long, b long").repartition(7)
-    same(connected_components(df), [(x, r) for x, r in components_brute([l for l in links if l[0] != l[1]]).items()])
+    for rows in (200_000, 3):
+        same(connected_components(df, rows_per_task=rows), list(components_brute([link for link in links if link[0] != link[1]]).items()))
 
 
 def near_brute(rows, width, percent):

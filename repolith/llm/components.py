@@ -14,21 +14,28 @@ SALTS = 16
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's links as stars around the least node of each local component."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """A partition's links as stars around the least node of each local component."""
+    parent: dict[int, int] = {}
 
-        def root(x: int) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[p]
-            return x
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
 
+    for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        stars = [(x, root(x)) for x in list(parent) if root(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in stars], pa.int64()), pa.array([s[1] for s in stars], pa.int64())], ["a", "b"])
+    stars = [(x, root(x)) for x in list(parent) if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in stars], pa.int64()), pa.array([s[1] for s in stars], pa.int64())], ["a", "b"])
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """No node has two links up, or links both up and from below."""
+    up = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    return up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -38,22 +45,23 @@ def _with_least(links: DataFrame) -> DataFrame:
     return links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).drop("salt")
 
 
-def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, most_rounds: int = 40, rows_per_task: int = 200_000) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is the least node that links reach.
 
-    Rounds of large and small stars until nothing changes (logarithmic in the longest path); each round's links are
-    written to the shared folder. Nodes without links are not listed.
+    Tasks first contract up to ``rows_per_task`` links each. Rounds of large and small stars follow until only stars are
+    left (logarithmic in the longest path); each round's links are written to the shared folder. Nodes without links
+    are not listed.
     """
-    links = shared.written(links.filter("a <> b").select("a", "b").mapInArrow(_local_stars, "a long, b long").distinct(), "links")
-    state = None
+    links = shared.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = links.coalesce(max(1, -(-links.count() // rows_per_task)))
+    links = shared.written(links.mapInArrow(_local_stars, "a long, b long"), "links")
     for _ in range(most_rounds):
+        if _are_stars(links):
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         near = _with_least(down)
         small = near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
         links = shared.written(small.filter("a <> b").distinct(), "links")
-        was, state = state, tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == was:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of shingle sets, with the relations between sets used to skip work.
 
-Sets are ordered by a global order (frequent shingles last, else by hash); two sets that are similar enough share a
+Sets are ordered by a global order (rarer shingles first, then by hash); two sets that are similar enough share a
 shingle of their prefixes. Equal sets are joined once. Each shingle's list first links only neighbours by size, whose
 verified answers join sets to components; a set then takes over its component's answers, and only members of different
 components are compared. For those, lists are cut into blocks by set size and position, and block pairs whose sizes or
@@ -24,6 +24,8 @@ from repolith.llm.text import Words, mix, ngrams, signed, texts
 
 SKETCH_WORDS = 16
 SALTS = 64
+#: Lists of shingles in 2**LONG sets or more are salted.
+LONG = 8
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,19 +65,49 @@ def _describe(width: int):
     return emit
 
 
-def _low_shingles(width: int, percent: int):
-    """The first shingles by hash, half as many again as the prefix has."""
+def _low(n: int, percent: int) -> int:
+    """So many first shingles by hash are counted for every set: a quarter more than the prefix."""
+    return _prefix(n, percent) * 5 // 4 + 2
+
+
+class Frequent:
+    """Shingles that many sets hold, sorted, each with the bit length of its count."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens = tokens[order]
+        self.classes = np.frompyfunc(int.bit_length, 1, 1)(counts[order].astype(object)).astype(np.int8) if len(counts) else np.zeros(0, np.int8)
+
+    def classes_of(self, s: np.ndarray) -> np.ndarray:
+        """0 for shingles that aren't frequent."""
+        if not len(self.tokens):
+            return np.zeros(len(s), np.int8)
+        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == s, self.classes[at], 0)
+
+
+def _counted_shingles(width: int, percent: int, known=None):
+    """The first shingles by hash; with ``known`` frequent ones, all others of those sets whose first ones don't hold a
+    prefix of rarer shingles (members of large groups of near copies)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [s[: _prefix(len(s), percent) * 3 // 2 + 2] for _, s in _sets(batch.column("text"), width) if len(s)]
+            parts = []
+            for _, s in _sets(batch.column("text"), width):
+                if not len(s):
+                    continue
+                low = s[: _low(len(s), percent)]
+                if known is None:
+                    parts.append(low)
+                elif np.count_nonzero(known.value.classes_of(low) == 0) < min(len(s), _prefix(len(s), percent)):
+                    parts.append(s[len(low) :])
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(parts)) if parts else [], pa.int64())], ["token"])
 
     return emit
 
 
 def _postings(width: int, percent: int, frequent):
-    """Rows (token, salt, doc, n, pos) of each set's prefix. Frequent shingles come last in the order; their lists are salted."""
+    """Rows (token, salt, doc, n, pos) of each set's prefix, rarer classes first. Long lists are salted."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
@@ -85,13 +117,10 @@ def _postings(width: int, percent: int, frequent):
             for row, s in _sets(batch.column("text"), width):
                 if not len(s):
                     continue
-                common = np.zeros(len(s), bool)
-                if len(known):
-                    common = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
-                p = _prefix(len(s), percent)
-                tokens = np.concatenate([s[~common], s[common]])[:p]
-                common = np.arange(p) >= len(s) - int(common.sum())
-                salt = np.where(common, mix(tokens ^ np.uint64(docs[row] & 0xFFFFFFFFFFFFFFFF)) % np.uint64(SALTS) + np.uint64(1), 0).astype(np.int32)
+                classes = known.classes_of(s)
+                order = np.argsort(classes, kind="stable")[: _prefix(len(s), percent)]
+                tokens, p = s[order], len(order)
+                salt = np.where(classes[order] > LONG, mix(tokens ^ np.uint64(docs[row] & 0xFFFFFFFFFFFFFFFF)) % np.uint64(SALTS) + np.uint64(1), 0).astype(np.int32)
                 out.append((signed(tokens), salt, np.full(p, docs[row]), np.full(p, len(s)), np.arange(p)))
             columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
@@ -213,13 +242,14 @@ def _across(postings: DataFrame, components: DataFrame, percent: int) -> DataFra
     return pairs.select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, frequent: int = 16, most_frequent: int = 1 << 20, bits: int = bloom.MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, frequent: int = 4, most_frequent: int = 1 << 20, bits: int = bloom.MAX_BITS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Sets of distinct ``width``-word shingles (ASCII lower-cased) link when 100 * intersection >= ``percent`` * union;
     component_id is the least doc_id that links reach. Texts without words and null ids link with nothing: their
-    component is their own id. Rows that repeat an id are one node. At most ``most_frequent`` shingles (8 MB) count as
-    frequent, which only sets the order: shingles of more than ``frequent`` sets, or more where that is needed.
+    component is their own id. Rows that repeat an id are one node. Shingles of more than ``frequent`` sets, or of more
+    where they would be over ``most_frequent``, come late in the order, by classes of their count; at most twice
+    ``most_frequent`` of them (20 MB) go to the driver and to tasks. The order never changes results.
     """
     spark = docs.sparkSession
     sized = shared.written(docs.select("doc_id", "text").mapInArrow(_describe(width), "doc long, n long, key_a long, key_b long, sketch binary"), "sizes")
@@ -233,11 +263,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, frequent
     reps = bloom.anti_join(docs.filter("doc_id is not null").select("doc_id", "text"), copies.select("doc_id").unionByName(unlinked), "doc_id", bits)
     sizes = leads.select(F.col("lead").alias("doc"), "n", "sketch")
 
-    low = leads.agg(F.sum(F.floor((F.col("n") * (100 - percent) / 100 + 2) * 1.5) + 2)).first()[0] or 0
+    low = leads.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 80 + 4))).first()[0] or 0
     least = max(frequent, -(-int(low) // most_frequent))
-    counts = reps.select("text").mapInArrow(_low_shingles(width, percent), "token long").groupBy("token").count()
-    common = np.sort(counts.filter(F.col("count") > least).select("token").toArrow()["token"].to_numpy().view(np.uint64))
-    known = spark.sparkContext.broadcast(common)
+    context = spark.sparkContext
+
+    def often(known=None) -> pa.Table:
+        counts = reps.select("text").mapInArrow(_counted_shingles(width, percent, known), "token long").groupBy("token").count()
+        return counts.filter(F.col("count") > least).toArrow()
+
+    def as_frequent(table: pa.Table) -> Frequent:
+        return Frequent(table["token"].to_numpy().view(np.uint64), table["count"].to_numpy())
+
+    first_counts = often()
+    first_known = context.broadcast(as_frequent(first_counts))
+    known = context.broadcast(as_frequent(pa.concat_tables([first_counts, often(first_known)]).group_by("token").aggregate([("count", "max")]).rename_columns({"count_max": "count"})))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = reps.mapInArrow(_postings(width, percent, known), "token long, salt int, doc long, n int, pos int")

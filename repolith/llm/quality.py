@@ -53,7 +53,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def judged(rows: DataFrame, most_symbols: float = 0.2, most_dup_lines: float = 0.5, host_limit: float = 0.5, least_prior: float = 10.0) -> DataFrame:
+def judged(rows: DataFrame, most_symbols: float = 0.2, most_dup_lines: float = 0.5, host_limit: float = 0.5, least_prior: float = 10.0, most_broadcast: int = 100_000) -> DataFrame:
     """``rows`` of :func:`features` with base_failed, n_failed (of four rules), host_rate and kept.
 
     A host's rate is that of its documents that fail a rule: (failures + a) / (documents + a + b), with a and b from
@@ -62,7 +62,7 @@ def judged(rows: DataFrame, most_symbols: float = 0.2, most_dup_lines: float = 0
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     more = (F.col("n_symbols") > most_symbols * F.col("word_chars")) | (F.col("n_dup_lines") > most_dup_lines * F.col("n_words"))
-    # One row, read by every document's rule: salted partial sums make hosts of any size cheap.
+    # Counts are summed before the shuffle, so hosts of any size are cheap.
     rows = rows.withColumn("base_failed", base).withColumn("failed", base | more)
     hosts = rows.filter("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("x"))
     total = hosts.agg(
@@ -81,8 +81,9 @@ def judged(rows: DataFrame, most_symbols: float = 0.2, most_dup_lines: float = 0
         hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior.withColumn("one", F.lit(1))), "one")
         .select("host", ((F.col("x") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("host_rate"))
     )
-    # No broadcast is forced: hosts are as many as the web has, and a host with a third of all rows is split by AQE.
-    out = rows.join(rates, "host", "left")
+    # Hosts are as many as the web has: they are broadcast up to a checked number, else AQE splits the join's large hosts.
+    rates = shared.written(rates, "host-rates")
+    out = rows.join(F.broadcast(rates) if rates.count() <= most_broadcast else rates, "host", "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rate") > host_limit, F.lit(False)))
 
 

@@ -7,6 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from repolith.functions.patterns import (
+    CONNECTED_WORDS, CRITICAL_NAMES, DEFINITIONS, ENTRY_EXTENSIONS, ENTRY_FILES, ENTRY_PATHS, ENTRY_WORDS, EXCLUDES, EXPORTS, INCLUDES, SOURCE_DIRS,
+)
+
 #: Language of each file extension.
 EXTENSION_LANGUAGE = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".cs": "csharp",
@@ -18,19 +22,6 @@ SUPPORTED = ("python", "javascript", "typescript", "java", "csharp", "c", "cpp",
 #: Component types that can be leaves, and id parts that rule a leaf out.
 LEAF_TYPES = ("class", "interface", "struct")
 LEAF_STOPS = ("error", "exception", "failed", "invalid")
-#: Default patterns for paths to leave out and to take.
-EXCLUDES = (
-    ".github", ".vscode", ".git", ".svn", ".hg", ".idea", ".vs", "examples", "Examples", "test", "tests", "Test", "Tests",
-    "*.pyc", "__pycache__", ".pytest_cache", ".coverage", ".tox", ".nox", ".mypy_cache", ".ruff_cache", "poetry.lock", "Pipfile.lock",
-    "package-lock.json", "yarn.lock", "*.class", "*.jar", ".gradle/", ".settings/", "*.o", "*.obj", "*.dll", "*.exe", "*.so", "bin/",
-    "*.svg", "*.png", "*.jpg", "*.gif", "*.mp4", "venv", ".venv", "env", ".env", "virtualenv", "*.log", "*.bak", "*.tmp", "*.min.js",
-    "*.min.css", "*.map", ".terraform", "*.tfstate*", "*.ini",
-)
-INCLUDES = tuple(
-    f"*.{x}"
-    for x in "py js ts jsx tsx java cpp c h cs go rs php rb swift kt scala clj hs ml html css scss sass json yaml yml xml md txt toml cfg ini".split()
-)
-
 
 def glob_regex(pattern: str) -> str:
     """A shell pattern as an anchored regular expression; ``*`` crosses ``/``, classes stay, case counts."""
@@ -103,29 +94,32 @@ def typescript_node_included(name: Column, kind: Column) -> Column:
     return (kind != "variable") & ~name.isin("constructor", "__proto__", "prototype")
 
 
-#: What marks entry points and well-connected files.
-ENTRY_FILES = ("main.py", "app.py", "server.py", "index.js", "index.ts", "main.js", "main.ts", "app.js", "app.ts", "main.go", "main.rs", "__main__.py", "Main.java", "Program.cs", "main.c", "main.cpp")
-ENTRY_WORDS = ("main", "index", "app", "server", "cli", "start", "run")
-CONNECTED_WORDS = ("service", "controller", "manager", "handler", "router", "core", "engine", "api", "util", "helper")
-CRITICAL_NAMES = ("main", "run", "start", "init", "setup", "configure", "execute", "process", "handle")
+def has_any(column: Column, parts: tuple[str, ...]) -> Column:
+    """Whether any of the parts occurs."""
+    return column.rlike("|".join(re.escape(p) for p in parts))
 
 
 def entry_point_file(name: Column) -> Column:
     low = F.lower(name)
-    keyed = low.rlike("|".join(ENTRY_WORDS)) & low.rlike(r"\.(py|js|ts|go|rs|java|cs|c|cpp)")
-    return name.isin(*ENTRY_FILES) | keyed
+    return low.isin(*ENTRY_FILES) | (has_any(low, ENTRY_WORDS) & has_any(low, ENTRY_EXTENSIONS))
 
 
 def entry_point_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(src|bin|cmd|app|cli)/")
+    return has_any(F.lower(path), ENTRY_PATHS)
 
 
 def well_connected(name: Column, path: Column) -> Column:
-    return F.lower(name).rlike("|".join(CONNECTED_WORDS)) | F.lower(path).rlike(r"(^|/)(src|lib|core|app)/")
+    return has_any(F.lower(name), CONNECTED_WORDS) | has_any(F.lower(path), CONNECTED_WORDS) | has_any(F.lower(path), SOURCE_DIRS)
 
 
 def critical_function(name: Column, snippet: Column) -> Column:
-    return F.lower(name).isin(*CRITICAL_NAMES) | F.lower(snippet).rlike(r"export |module\.exports|__all__|public static void main")
+    return F.lower(name).isin(*CRITICAL_NAMES) | F.coalesce(has_any(F.lower(snippet), EXPORTS), F.lit(False))
+
+
+def definition_patterns(lang: Column) -> Column:
+    """Definition templates of a language, else the general ones."""
+    table = F.create_map(*[x for k, v in DEFINITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(F.element_at(table, F.lower(lang)), F.element_at(table, F.lit("general")))
 
 
 def component_type(is_method: Column, node_type: Column, default: str = "function") -> Column:

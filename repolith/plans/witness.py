@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.functions import predicates, text, urls
-from repolith.operators import graph, jobs, resolve, tree
+from repolith.functions import patterns, predicates, text, urls
+from repolith.operators import graph, jobs, ranking, resolve, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +51,7 @@ files AS (SELECT doc_id, size_bytes, name, {_pick(DIRS, 'doc_id % 5')} || '/' ||
 LANG = "CASE extension " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in predicates.EXTENSION_LANGUAGE.items()) + " END"
 #: What the default patterns leave out of these paths.
 EXCLUDED = "(path LIKE 'tests/%' OR path LIKE 'examples/%' OR path LIKE 'bin%' OR path LIKE '%.min.js' OR path LIKE '%.ini')"
-INCLUDED = "regexp_matches(name, '\\.(" + "|".join(x[2:] for x in predicates.INCLUDES) + ")$')"
+INCLUDED = "regexp_matches(name, '\\.(" + "|".join(x[2:] for x in patterns.INCLUDES) + ")$')"
 
 
 @query(f"WITH {FILES} SELECT doc_id, path, {EXCLUDED} AS is_excluded, {INCLUDED} AS is_included FROM files")
@@ -525,9 +525,128 @@ def s9_json_properties(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(f"WITH {FILES} SELECT path, regexp_matches(lower(name), 'main|index|app|server|cli|start|run') AND regexp_matches(lower(name), '\\.(py|js|ts|go|rs|java|cs|c|cpp)') AS entry, regexp_matches(lower(path), '(^|/)(src|bin|cmd|app|cli)/') AS entry_path FROM files")
-def f15_f16_entry_points(spark, sf_dir):
-    return files(spark, sf_dir).select("path", predicates.entry_point_file(F.col("name")).alias("entry"), predicates.entry_point_path(F.col("path")).alias("entry_path"))
+def _matches(column: str, parts: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")"
+
+
+@query(f"WITH {FILES} SELECT path, name IN {patterns.ENTRY_FILES} OR ({_matches('lower(name)', patterns.ENTRY_WORDS)} AND {_matches('lower(name)', patterns.ENTRY_EXTENSIONS)}) AS entry, {_matches('lower(path)', patterns.ENTRY_PATHS)} AS entry_path, {_matches('lower(path)', patterns.CONNECTED_WORDS)} OR {_matches('lower(path)', patterns.SOURCE_DIRS)} AS connected FROM files")
+def f15_f16_f17_file_marks(spark, sf_dir):
+    name, path = F.col("name"), F.col("path")
+    return files(spark, sf_dir).select("path", predicates.entry_point_file(name).alias("entry"), predicates.entry_point_path(path).alias("entry_path"), predicates.well_connected(name, path).alias("connected"))
+
+
+@query(f"SELECT p_partkey, lower(split_part(p_name, ' ', 1)) IN {patterns.CRITICAL_NAMES} OR contains(lower(p_type), 'exports.') AS critical FROM part")
+def f18_critical_functions(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", predicates.critical_function(F.split("p_name", " ")[0], F.col("p_type")).alias("critical"))
+
+
+@query(f"""WITH {FILES}, c AS (SELECT doc_id AS ord, path, name, {_matches('lower(name)', patterns.FALLBACK_WORDS)} OR {_matches('lower(path)', patterns.ENTRY_PATHS)} AS hit FROM files),
+t AS (SELECT *, CASE WHEN hit THEN 0 ELSE 1 END AS tier FROM c)
+SELECT ord, path, name, (-(length(path) - length(replace(path, '/', ''))) - CASE WHEN {_matches('lower(name)', ('main', 'app', 'index'))} THEN 10 ELSE 0 END - CASE WHEN {_matches('lower(name)', ('.py', '.js', '.go', '.rs'))} THEN 5 ELSE 0 END)::BIGINT AS score
+FROM t WHERE tier = (SELECT min(tier) FROM t) ORDER BY score, ord LIMIT 5""")
+def f19_fallback_entry_points(spark, sf_dir):
+    return ranking.fallback_entry_points(files(spark, sf_dir).withColumnRenamed("doc_id", "ord"))
+
+
+@query(f"""WITH {FILES}, t AS (SELECT doc_id AS ord, path, name, CASE WHEN {_matches('lower(path)', patterns.FALLBACK_DIRS)} THEN 0 WHEN {_matches('lower(name)', patterns.ENTRY_EXTENSIONS)} AND NOT {_matches('lower(name)', ('test', 'spec', '_test'))} THEN 1 END AS tier FROM files)
+SELECT ord, path, name, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, ord LIMIT 10""")
+def f20_fallback_connected_files(spark, sf_dir):
+    return ranking.fallback_connected_files(files(spark, sf_dir).withColumnRenamed("doc_id", "ord"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE {LANG} WHEN 'python' THEN 'def {{name}}' WHEN 'c' THEN 'void {{name}}|int {{name}}|{{name}}(' WHEN 'cpp' THEN 'void {{name}}|int {{name}}|{{name}}(' WHEN 'javascript' THEN 'function {{name}}|const {{name}}|export {{name}}' WHEN 'typescript' THEN 'function {{name}}|const {{name}}|export {{name}}' ELSE '{{name}}(' END AS templates FROM files")
+def f21_definition_templates(spark, sf_dir):
+    lang = predicates.language(F.col("extension"))
+    return files(spark, sf_dir).select("path", F.array_join(predicates.definition_patterns(lang), "|").alias("templates"))
+
+
+@query("SELECT n_nationkey, contains(lower(n_name), 'an') OR contains(lower(n_name), 'in') AS top FROM nation")
+def f29_model_tiers(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", predicates.top_tier_model(F.col("n_name"), ("an", "in")).alias("top"))
+
+
+@query(f"WITH {COMPONENTS}, {FILES}, c AS (SELECT count(*)::BIGINT AS components FROM comp), f AS (SELECT count(*)::BIGINT AS files, count(DISTINCT extension)::BIGINT AS extensions FROM files) SELECT * FROM c, f")
+def a7_merged_summary(spark, sf_dir):
+    c = components(spark, sf_dir).agg(F.count("*").alias("components")).withColumn("one", F.lit(1))
+    f = files(spark, sf_dir).agg(F.count("*").alias("files"), F.count_distinct("extension").alias("extensions")).withColumn("one", F.lit(1))
+    return c.join(f, "one").drop("one")
+
+
+@query(f"WITH {COMPONENTS} SELECT file_path, string_agg(id, ',' ORDER BY start_line, id) AS ids, count(*)::BIGINT AS n FROM comp GROUP BY file_path")
+def a12_a18_components_by_line(spark, sf_dir):
+    by_line = F.array_sort(F.collect_list(F.struct("start_line", "id")))
+    return components(spark, sf_dir).groupBy("file_path").agg(F.array_join(F.transform(by_line, lambda x: x["id"]), ",").alias("ids"), F.count("*").alias("n"))
+
+
+@query(f"WITH {COMPONENTS}, m AS (SELECT p_size AS module, 'mod' || (p_partkey % 60) || '.' || replace(p_name, ' ', '_') AS id FROM part) SELECT module, count(*)::BIGINT AS known FROM m WHERE id IN (SELECT id FROM comp) GROUP BY module")
+def j5_known_module_components(spark, sf_dir):
+    name = F.concat(F.lit("mod"), F.col("p_partkey") % 60, F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_")))
+    modules = table(spark, sf_dir, "part").select(F.col("p_size").alias("module"), name.alias("id"))
+    return modules.join(components(spark, sf_dir).select("id"), "id", "left_semi").groupBy("module").agg(F.count("*").alias("known"))
+
+
+@query("SELECT s_suppkey, 'o' || (s_suppkey % 9) AS owner, 'r' || s_suppkey || 'hub.io' AS name, 'https://o' || (s_suppkey % 9) || '.github.io/r' || s_suppkey || '.github.io/' AS pages FROM supplier")
+def e2_e3_e7_url_parts(spark, sf_dir):
+    url = F.concat(F.lit("https://github.com/o"), F.col("s_suppkey") % 9, F.lit("/r"), "s_suppkey", F.lit(".github.io/"))
+    parts = urls.owner_and_name(url)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", parts["owner"].alias("owner"), parts["name"].alias("name"), urls.pages_url(url).alias("pages"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'authentication' WHEN 2 THEN 'timeout' ELSE 'other' END AS kind FROM events")
+def e28_error_classes(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, ("HTTP 429: rate limit", "401 Unauthorized", "request timed out", "odd"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.error_class(said).alias("kind"))
+
+
+@query(f"WITH {FILES} SELECT path, name LIKE '%.md' AS served FROM files")
+def e30_served_documents(spark, sf_dir):
+    return files(spark, sf_dir).select("path", text.docs_file_allowed(F.col("path")).alias("served"))
+
+
+@query("WITH x AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey) SELECT o_custkey, array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ' ... and ' || (len(l) - 3) || ' more' ELSE '' END AS shown FROM x")
+def e31_first_items(spark, sf_dir):
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>").alias("l"))
+    return lists.select("o_custkey", text.first_items(F.col("l")).alias("shown"))
+
+
+@query("SELECT o_orderkey, 'docs/repolith-' || strftime(o_orderdate, '%Y%m%d-%H%M%S') AS branch FROM orders")
+def e32_branch_names(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.branch_name(F.col("o_orderdate").cast("timestamp")).alias("branch"))
+
+
+@query("SELECT o_orderkey, o_orderpriority || ' | ' || strftime(o_orderdate, '%Y-%m-%d %H:%M') || ' | ' || left(md5(o_orderkey::VARCHAR), 8) || ' | ' || format('{:,}', o_custkey) || ' components | depth 2' AS panel FROM orders")
+def k9_e27_info_panels(spark, sf_dir):
+    panel = text.info_panel(F.col("o_orderpriority"), F.col("o_orderdate").cast("timestamp"), F.md5(F.col("o_orderkey").cast("string")), F.col("o_custkey"), F.lit(2))
+    return table(spark, sf_dir, "orders").select("o_orderkey", panel.alias("panel"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(text, '# ') THEN trim(string_split(text, chr(10))[1][3:]) ELSE 'Doc ' || doc_id END AS title FROM documents")
+def e22_titles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.title(F.col("text"), F.concat(F.lit("doc_"), "doc_id", F.lit(".md"))).alias("title"))
+
+
+@query("SELECT c_custkey, c_acctbal >= 2000 AND c_nationkey % 2 = 0 AND c_custkey % 4 < 2 AS delegated FROM customer")
+def t10_delegation(spark, sf_dir):
+    modules = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 2 == 0).alias("complex"), (F.col("c_custkey") % 4).alias("depth"), F.col("c_acctbal").alias("tokens"))
+    return tree.delegated(modules, least_tokens=2000).select("c_custkey", "delegated")
+
+
+@query(f"WITH {STATES} SELECT job_id, status, docs_path FROM s LEFT JOIN (SELECT o_custkey, '/docs/' || o_custkey AS docs_path FROM orders GROUP BY o_custkey) ON o_custkey = job_id")
+def w6_status_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id")).distinct().withColumn("docs_path", F.concat(F.lit("/docs/"), "job_id"))
+    return states_at(spark, sf_dir).join(docs, "job_id", "left").select("job_id", "status", "docs_path")
+
+
+@query(f"WITH {STATES} SELECT job_id, status FROM s")
+def w5_json_round_trip(spark, sf_dir):
+    rows = states_at(spark, sf_dir).select("job_id", "status")
+    return rows.select(F.from_json(F.to_json(F.struct("*")), rows.schema).alias("r")).select("r.*")
+
+
+@query("SELECT region.r_name AS path FROM region LEFT JOIN (SELECT r_name FROM region WHERE r_regionkey < 2) d ON d.r_name = region.r_name WHERE d.r_name IS NULL")
+def w8_e15_only_missing(spark, sf_dir):
+    region = table(spark, sf_dir, "region")
+    return region.select(F.col("r_name").alias("path")).join(region.filter("r_regionkey < 2").select(F.col("r_name").alias("path")), "path", "left_anti")
 
 
 @query("WITH o AS (SELECT o_orderkey % 40 AS line, o_custkey % 80 AS col, o_orderstatus AS problem FROM orders), m AS (SELECT CASE WHEN line > 20 THEN line + 2 ELSE line END AS line, col, problem FROM o WHERE line < 10 OR line > 20) SELECT DISTINCT line, col, problem FROM o WHERE (line, col, problem) NOT IN (SELECT line, col, problem FROM m)")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from repolith.functions import predicates
+from repolith.functions import patterns, predicates
 from repolith.operators import extract, resolve
 from repolith.operators.extract import braces, python_source
 from repolith.sources import repo, state
@@ -95,12 +95,12 @@ def test_tree_is_read_whole(spark, tree):
     files = {r.path: r for r in repo.read_tree(spark, tree).collect()}
     assert set(files) == {"README.md", "_p/q.py", "bad.py", "bin/x.py", "pkg/__init__.py", "pkg/a.py", "pkg/b.py", "pkg/raw.py", "tests/x.py"}
     assert files["pkg/raw.py"].content == "# �\n" and [files[p].file_ord for p in sorted(files)] == list(range(9))
-    assert {r.path for r in repo.read_tree(spark, tree, predicates.EXCLUDES).collect()} == set(files) - {"tests/x.py", "bin/x.py"}
+    assert {r.path for r in repo.read_tree(spark, tree, patterns.EXCLUDES).collect()} == set(files) - {"tests/x.py", "bin/x.py"}
     assert repo.readme(repo.read_tree(spark, tree)).first()[0] == "# Hi"
 
 
 def test_tree_to_dependencies(spark, tree):
-    files = repo.read_tree(spark, tree, predicates.EXCLUDES).withColumn("language", predicates.language(F.col("extension"))).filter("language is not null")
+    files = repo.read_tree(spark, tree, patterns.EXCLUDES).withColumn("language", predicates.language(F.col("extension"))).filter("language is not null")
     rows = extract.extract(files.repartition(3))
     assert [r.file_path for r in rows.filter("kind = 'error'").collect()] == ["bad.py"]
     components = resolve.latest_components(extract.components_of(rows))

@@ -82,7 +82,19 @@ def _sequences(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[Words
         hashes = words.hashes(lower=True)
         places = vocabulary.places(hashes)
         symbols = symbol[places]
-        yield words, hashes, places, [np.append(symbols[a:b], vocabulary.end) for a, b in zip(words.first[:-1], words.first[1:])]
+        yield words, hashes, places, [np.append(symbols[a:b], vocabulary.end).astype(np.int32) for a, b in zip(words.first[:-1], words.first[1:])]
+
+
+def _chunks(sequences: list[np.ndarray], most: int = 300_000) -> Iterator[np.ndarray]:
+    """Numbers of sequences of like length, up to ``most`` tokens or one sequence at a time: few steps for many tokens."""
+    lengths = np.array([len(s) for s in sequences], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    sums = np.concatenate([[0], np.cumsum(lengths[order])])
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+        yield order[at:end]
+        at = end
 
 
 def _columns(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,8 +163,9 @@ def _counted(vocabulary: Vocabulary, model: Model):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for *_, sequences in _sequences(batch.column("text"), vocabulary):
-                cells = np.concatenate([c.ravel() for c in expected(model, sequences)])
+            sequences = [s for *_, some in _sequences(batch.column("text"), vocabulary) for s in some]
+            for chunk in _chunks(sequences):
+                cells = np.concatenate([c.ravel() for c in expected(model, [sequences[i] for i in chunk])])
                 total = cells if total is None else total + cells
         if total is not None:
             some = np.flatnonzero(total)
@@ -168,7 +181,7 @@ def _guess(sample: list[np.ndarray], vocabulary: Vocabulary, prior: np.ndarray,
     emits = np.stack([np.bincount(np.concatenate([s for s, g in zip(sample, rng.integers(0, k, len(sample))) if g == i] or [np.zeros(0, np.int64)]), minlength=m) for i in range(k)]).astype(float)
     model = _maximised(np.ones(k), np.full((k, k), 1.0) + np.eye(k) * 50 * k, emits, prior)
     for _ in range(rounds):
-        parts = [expected(model, sample[i : i + 400]) for i in range(0, len(sample), 400)]
+        parts = [expected(model, [sample[i] for i in chunk]) for chunk in _chunks(sample)]
         model = _maximised(*[sum(p) for p in zip(*parts)], prior)
     return model
 
@@ -189,9 +202,10 @@ def _scored(vocabulary: Vocabulary, model: Model):
         end = np.log10(vocabulary.ends + 0.5)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
+            every: list[np.ndarray] = []
             for words, hashes, places, sequences in _sequences(batch.column("text"), vocabulary):
                 own = logs[places]
-                found = forward(model, sequences)
+                every += sequences
                 for i, s in enumerate(sequences):
                     part = slice(words.first[i], words.first[i + 1])
                     missing = places[part] < 0
@@ -200,9 +214,13 @@ def _scored(vocabulary: Vocabulary, model: Model):
                     out[0].append(len(s))
                     out[1].append(int(len(s) - 1 - missing.sum() + (vocabulary.ends > 0)))
                     out[2].append(float(own[part].sum() + end - len(s) * unit))
-                    out[3].append(float(found[i] + own[part][rest].sum() - rest.sum() * outside))
+                    out[3].append(float(own[part][rest].sum() - rest.sum() * outside))
                     out[4].append(signed(word))
                     out[5].append(n.astype(np.int32))
+            score = np.array(out[3])
+            for chunk in _chunks(every):
+                score[chunk] += forward(model, [every[i] for i in chunk])
+            out[3] = score.tolist()
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), batch.column("held_out"), *[pa.array(c, t) for c, t in zip(out, kinds)]],

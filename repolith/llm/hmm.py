@@ -266,8 +266,12 @@ def language_scores(docs: DataFrame, states: int = 8, emissions: int = 20_000, h
     prior = vocabulary.weights() / vocabulary.weights().sum()
     model = Model(np.full(states, 1 / states), np.full((states, states), 1 / states), np.tile(prior, (states, 1)))
     if ends:
-        picked = train.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).select("text").toArrow()["text"].combine_chunks()
-        model = _guess([s for *_, sequences in _sequences(picked, vocabulary) for s in sequences], vocabulary, prior, states, 12)
+        # The least hashes of the ids; a threshold leaves some four times as many rows as are needed to be compared.
+        hashed = train.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).filter(F.col("h") <= int(4 * sample_rows / ends * (1 << 40)))
+        chosen = hashed.orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
+        picked = train.join(F.broadcast(chosen), "doc_id").limit(sample_rows).select("text").toArrow()["text"].combine_chunks()
+        sample = [s for *_, sequences in _sequences(picked, vocabulary) for s in sequences]
+        model = _guess(sorted(sample, key=lambda s: (len(s), s.tobytes())), vocabulary, prior, states, 12) if sample else model
     for _ in range(passes if ends else 0):
         cells = train.select("text").mapInArrow(_counted(vocabulary, model), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
         flat = np.zeros(states + states * states + states * len(prior))

@@ -107,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_terms:
     gets ``most_terms`` terms by chi-squared, ``common_terms`` by frequency, and the sample's rows in those terms:
     bounded by the three parameters.
     """
-    chosen = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
+    # A threshold leaves some twice as many rows as are needed to be compared.
+    chosen = known.filter(F.col("h") <= int(2 * most_rows / max(known.count(), 1) * (1 << 40))).orderBy("h", "doc_id").limit(most_rows).select("doc_id", "toxic")
     sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
     sample = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
     counts = sample.mapInArrow(_class_counts, "bucket long, n long, x long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))

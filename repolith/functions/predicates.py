@@ -28,12 +28,14 @@ def glob_regex(pattern: str) -> str:
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
-        close = pattern.find("]", i + 2) if c == "[" else -1
+        # A class ends at the first bracket that is not its first sign.
+        first = i + 1 + (pattern[i + 1 : i + 2] == "!")
+        close = pattern.find("]", first + 1) if c == "[" else -1
         if c in "*?":
             out += ".*" if c == "*" else "."
         elif close > 0:
-            inner = pattern[i + 1 : close].replace("\\", r"\\")
-            out += f"[^{inner[1:]}]" if inner[0] == "!" else f"[{inner}]"
+            inner = re.sub(r"([\\\[\]&^])", r"\\\1", pattern[first:close])
+            out += f"[^{inner}]" if first > i + 1 else f"[{inner}]"
             i = close
         else:
             out += re.escape(c)

@@ -172,3 +172,28 @@ def test_json_tables(spark, tmp_path):
     assert [r.job_id for r in state.completed_jobs(spark, path).collect()] == ["a"]
     filled = state.filled(spark.createDataFrame([("<{{A}}|{{B}}>",)], "content string"), {"A": "{{B}}", "B": "x"})
     assert filled.first()[0] == "<x|x>"
+
+
+def test_whole_run(spark, tree, tmp_path):
+    from repolith.plans import engine
+
+    out = f"file://{tmp_path}/out"
+    analysis = engine.run(spark, tree, out, threshold=1)
+    assert {r.id for r in analysis.leaves.collect()} == {"pkg.a.Base", "pkg.a.Child", "pkg.b.Outer", "pkg.b.Inner"}
+    s = analysis.summary().first()
+    assert (s.files_analyzed, s.components, s.languages) == (6, 8, ["python"])
+    docs = {".".join(r.path): r.body for r in spark.read.json(f"{out}/documents").collect()}
+    assert docs["pkg/a.py"] == "# pkg/a.py\n- pkg.a.Base (class)\n- pkg.a.Child (class)"
+    meta = state.read_metadata(spark, f"{out}/metadata").first()
+    assert meta.statistics.total_components == 8 and meta.statistics.leaf_nodes == 4 and "pkg/a.py.md" in meta.files_generated
+
+
+def test_clients_fall_back(spark):
+    from repolith.operators import external
+
+    def broken(prompt):
+        raise TimeoutError("late")
+
+    df = spark.createDataFrame([(["a"], "x")], "path array<string>, prompt string")
+    assert external.completions(df, [broken, str.upper]).first().reply == "X"
+    assert external.completions(df, [broken]).first().error == "TimeoutError: late"

@@ -13,19 +13,26 @@ from repolith.operators.extract.python_source import module_of
 _BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _NAME = r"[A-Za-z_$][\w$]*"
 _CALL = re.compile(rf"(?<![\w$.])(?P<new>new\s+)?(?P<name>{_NAME}(?:(?:\.|->|::){_NAME})*)\s*(?:<[\w\s,<>\[\]?]*>)?\s*\(")
+_DECLARED = re.compile(rf"\b({_NAME})(?:<[^;(){{}}]*>)?(?:\[\])?\s+({_NAME})\s*[=;,)]")
 _KEYWORDS = frozenset("if for while switch catch return function sizeof typeof await do else new throw super this constructor using lock foreach void defined".split())
 
 
 @dataclass
 class Language:
-    """``types``: patterns (component type, regular expression with name and maybe bases). ``calls``: whether callees are
-    qualified by the module (else bare). ``stops``: names that are never dependencies. ``emit``: types that are components."""
+    """``types``: patterns (component type, regular expression with name and maybe bases and args).
+
+    ``calls`` says what a call points to: ``module`` (the name in this module), ``bare`` (the name as it is), ``receiver``
+    (the type of the variable that it is called on), ``owner`` (a class or function of this file) or nothing.
+    ``bases`` likewise: ``module``, ``bare`` or ``known`` (only bases of this file). ``uses``: patterns of type names that
+    are dependencies wherever they stand; ``qualified_uses`` puts them into this module. ``stops`` are never dependencies.
+    """
 
     types: list[tuple[str, str]]
-    qualified_calls: bool = True
-    qualified_bases: bool = True
+    calls: str = ""
+    bases: str = "module"
+    uses: list[str] = field(default_factory=list)
+    qualified_uses: bool = False
     stops: frozenset[str] = field(default_factory=frozenset)
-    fields: str | None = None
 
 
 _BASES = rf"(?:\s+extends\s+(?P<base>{_NAME}(?:\.{_NAME})*))?(?:\s*<[^{{]*?>)?(?:\s+implements\s+(?P<more>[\w\s,.<>$]+?))?"
@@ -50,13 +57,16 @@ _PRIMITIVES = frozenset("int long short byte char float double boolean bool void
 _SYSTEM = frozenset("printf scanf malloc calloc realloc free strlen strcpy strcmp strcat memcpy memset memcmp exit assert fopen fclose fprintf sprintf snprintf".split())
 _FIELD = rf"(?:^|[;{{}}\n])\s*(?:(?:public|private|protected|internal|static|final|readonly|virtual|override)\s+)+(?P<type>{_NAME})(?:<[^;=(){{}}]*>)?(?:\[\])?\s+{_NAME}\s*[;={{]"
 
+_PARAMETER = rf"[(,]\s*(?:(?:ref|out|in|params|this|final)\s+)?(?P<type>{_NAME})(?:<[^,(){{}}]*>)?(?:\[\])?\s+{_NAME}\s*(?=[,)=])"
+_ANNOTATION = rf"[\w)?]\s*:\s*(?P<type>[A-Z][\w$]*)"
+
 LANGUAGES: dict[str, Language] = {
-    "javascript": Language(_JS),
-    "typescript": Language(_TS, stops=frozenset("string number boolean any void never unknown null undefined object".split())),
-    "java": Language(_JAVA, qualified_calls=False, stops=_PRIMITIVES, fields=_FIELD),
-    "csharp": Language(_CS, qualified_calls=False, stops=_PRIMITIVES, fields=_FIELD),
-    "c": Language(_C, qualified_calls=False, stops=_SYSTEM),
-    "cpp": Language(_CPP, qualified_calls=False, qualified_bases=False, stops=_SYSTEM),
+    "javascript": Language(_JS, calls="module"),
+    "typescript": Language(_TS, calls="module", uses=[_ANNOTATION], qualified_uses=True, stops=frozenset("string number boolean any void never unknown null undefined object".split())),
+    "java": Language(_JAVA, calls="receiver", uses=[_FIELD], stops=_PRIMITIVES),
+    "csharp": Language(_CS, bases="known", uses=[_FIELD, _PARAMETER], stops=_PRIMITIVES),
+    "c": Language(_C, calls="bare", stops=_SYSTEM),
+    "cpp": Language(_CPP, calls="owner", bases="bare", stops=_SYSTEM),
 }
 
 
@@ -108,25 +118,50 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
             first, last = line_of(start), line_of(end)
             rows.append({"kind": "component", "id": f"{module}.{label}", "name": label, "component_type": kind, "start_line": first, "end_line": last, "docstring": "", "parameters": args if kind in ("function", "method") else None, "base_classes": bases or None, "source_code": "\n".join(lines[first - 1 : last])})
             for base in bases:
-                if name != "csharp" or base in names:
-                    rows.append({"kind": "edge", "caller": f"{module}.{label}", "callee": f"{module}.{base}" if language.qualified_bases else base, "call_line": first, "is_resolved": name == "csharp"})
+                if language.bases != "known" or base in names:
+                    rows.append({"kind": "edge", "caller": f"{module}.{label}", "callee": base if language.bases == "bare" else f"{module}.{base}", "call_line": first, "is_resolved": language.bases == "known"})
         heads = {start for start, *_ in found}
         at = lambda place: next((s for s in reversed(scopes) if s[0] < place < s[1]), None)
+        declared = [(m.start(), m[1], m[2]) for m in _DECLARED.finditer(code) if m[1] not in _KEYWORDS] if language.calls == "receiver" else []
+
+        def type_of(name: str, place: int) -> str | None:
+            """By the nearest declaration before the place, within the scopes around it; fields may also follow."""
+            scope = at(place)
+            own = [t for start, t, n in declared if n == name and scope and scope[0] - 400 < start < place]
+            return own[-1] if own else next((t for _, t, n in declared if n == name), None)
+
+        def target(spelled: str, new: bool, place: int) -> tuple[str | None, bool]:
+            parts = re.split(r"\.|->|::", spelled)
+            short = parts[-1]
+            if short in _KEYWORDS or short in language.stops:
+                return None, False
+            if language.calls == "module":
+                own = spelled.startswith(("this.", "super."))
+                return (None if own else f"{module}.{spelled if new else short}"), not new and short in names
+            if language.calls == "receiver":
+                kind = spelled if new else type_of(parts[0], place) if len(parts) > 1 else None
+                return (None if kind in language.stops else kind), False
+            if language.calls == "owner":
+                return (f"{module}.{short}" if short in names else None), False
+            return short, False
+
+        uses = []
+        if language.calls:
+            for m in _CALL.finditer(code):
+                if m.start("name") not in heads:
+                    uses.append((m.start("name"), *target(m["name"], bool(m["new"]), m.start())))
+        for pattern in language.uses:
+            for m in re.finditer(pattern, code):
+                kind = m["type"]
+                if kind not in language.stops and kind not in _KEYWORDS:
+                    uses.append((m.start("type"), f"{module}.{kind}" if language.qualified_uses else kind, False))
         seen = set()
-        uses = [(m.start("name"), m["name"], bool(m["new"])) for m in _CALL.finditer(code) if m.start("name") not in heads]
-        if language.fields:
-            uses += [(m.start("type"), m["type"], True) for m in re.finditer(language.fields, code)]
-        for place, spelled, is_type in sorted(uses):
-            scope, short = at(place), re.split(r"\.|->|::", spelled)[-1]
-            target = spelled if is_type else short
-            if scope is None or short in _KEYWORDS or short in language.stops:
-                continue
-            own = spelled.startswith(("this.", "super.")) and name in ("javascript", "typescript")
-            key = (scope[2], target, line_of(place))
-            if own or key in seen:
-                continue
-            seen.add(key)
-            rows.append({"kind": "edge", "caller": f"{module}.{scope[2]}", "callee": f"{module}.{target}" if language.qualified_calls else target, "call_line": key[2], "is_resolved": language.qualified_calls and target in names and not is_type})
+        for place, callee, known in sorted(uses, key=lambda u: u[0]):
+            scope = at(place)
+            key = (scope and scope[2], callee, line_of(place))
+            if callee and scope and key not in seen and callee != f"{module}.{scope[2]}":
+                seen.add(key)
+                rows.append({"kind": "edge", "caller": f"{module}.{scope[2]}", "callee": callee, "call_line": key[2], "is_resolved": known})
         yield from rows
 
     return analyze

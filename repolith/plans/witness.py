@@ -500,11 +500,10 @@ def x3d_extracted_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query("WITH d AS (SELECT doc_id, 'intro' || chr(10) || '```mermaid' || chr(10) || left(replace(text, chr(10), ' '), 40) || chr(10) || '```' AS md, left(replace(text, chr(10), ' '), 40) AS body FROM documents) SELECT doc_id, 2 AS line, body FROM d WHERE trim(body) <> ''")
+@query("WITH d AS (SELECT doc_id, replace(text, chr(10), ' ') AS body FROM documents) SELECT doc_id, 2 AS line, md5(body) AS body FROM d WHERE trim(body) <> ''")
 def x11_mermaid_blocks(spark, sf_dir):
-    body = F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40))
-    md = F.concat(F.lit("intro\n```mermaid\n"), body, F.lit("\n```"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(text.mermaid_blocks(md)))
+    md = F.concat(F.lit("intro\n```mermaid\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n```"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(text.mermaid_blocks(md))).select("doc_id", "line", F.md5("body").alias("body"))
 
 
 @query("SELECT s_suppkey, 'https://github.com/o' || s_suppkey || '/' || replace(s_name, '#', '-') AS url, 'o' || s_suppkey || '--' || replace(s_name, '#', '-') AS job_id FROM supplier")

@@ -76,4 +76,29 @@ WITH {mixing_sql()}
 SELECT doc_id, source_ AS source, lang_ AS lang, topic_ AS topic, tokens_ AS n_words, round(probability_, 6) AS probability, selected_ AS selected FROM mixed
 """
 
-ORACLES = {"op3_quality_rules": QUALITY, "op5_mixing": MIXING, "op9_exact_dedup": EXACT}
+NEAR = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 4 THEN array_to_string(w[i:i + 3], ' ') ELSE array_to_string(w, ' ') END AS g
+      FROM d, unnest(range(1, greatest(len(w) - 2, 2))) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+REPEATS = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM d, unnest(range(1, len(w) - 18)) x(i) WHERE len(w) >= 20),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS gone FROM k),
+g AS (SELECT t.doc_id, t.i, word, coalesce(max(gone::INT) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS removed
+      FROM t LEFT JOIN f ON f.doc_id = t.doc_id AND f.i = t.i),
+h AS (SELECT doc_id, sum(removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (removed = 0) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN h ON h.doc_id = d.doc_id
+"""
+
+ORACLES = {
+    "op1_ngram_jaccard_join": NEAR, "op3_quality_rules": QUALITY, "op5_mixing": MIXING, "op7_substring_dedup": REPEATS, "op9_exact_dedup": EXACT,
+}

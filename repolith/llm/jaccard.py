@@ -175,6 +175,20 @@ def _shingles(width: int):
     return emit
 
 
+def _likely(percent: int):
+    """Keeps the pairs that sizes and sketches don't rule out: differing bits are no more than differing shingles."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for c in ("sketch_a", "sketch_b"))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            keep = (differ * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return emit
+
+
 def _verify(percent: int):
     """Keeps the pairs whose sets are similar enough."""
 
@@ -196,12 +210,7 @@ def _links(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, perc
     """Of distinct ``pairs`` (a, b): those that are linked; also the pairs whose sets were compared."""
     side = lambda doc, suffix: sizes.select(F.col("doc").alias(doc), F.col("n").alias(f"n_{suffix}"), F.col("sketch").alias(f"sketch_{suffix}"))
     pairs = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b")
-    # Differing bits of the sketches are no more than differing shingles: 100 * common >= percent * union bounds these.
-    words = [F.conv(F.hex(F.substring("sketch_a", 1 + 4 * i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("sketch_b", 1 + 4 * i, 4)), 16, 10).cast("long")) for i in range(SKETCH_WORDS * 2)]
-    differ = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
-    both = F.col("n_a") + F.col("n_b")
-    likely = pairs.filter((differ * (100 + percent) <= (100 - percent) * both) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    likely = shared.written(likely.select("a", "b"), "pairs")
+    likely = shared.written(pairs.mapInArrow(_likely(percent), "a long, b long"), "pairs")
     ends = shared.written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     sets = bloom.semi_join(docs.select("doc_id", "text"), ends, "doc_id", bits).mapInArrow(_shingles(width), "doc long, shingles binary")
     sets = shared.written(sets, "sets")

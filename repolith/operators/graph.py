@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Folders of applications without ``spark.checkpoint.dir`` (tests).
 _own: dict[str, str] = {}
 
 
@@ -17,7 +18,9 @@ def saved(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         app = spark.sparkContext.applicationId
-        folder = _own.setdefault(app, "") or _own.update({app: "file://" + tempfile.mkdtemp(prefix="repolith-")}) or _own[app]
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="repolith-")
+        folder = _own[app]
     path = f"{folder}/repolith/{uuid.uuid4().hex}-graph"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -130,8 +130,9 @@ def _postings(width: int, percent: int, frequent):
 
 
 def _neighbours(percent: int):
-    """From postings sorted by (token, salt, n, doc): ``linked`` rows are pairs of neighbours in a list that may be
-    similar, the others the postings of lists that neighbours don't exhaust (three or more, or salted)."""
+    """From postings sorted by (token, salt, pos, n, doc): ``linked`` rows are pairs of neighbours in a list that may be
+    similar, the others the postings of lists that neighbours don't exhaust (three or more, or salted). Sets with few
+    rare shingles of their own come first in a frequent shingle's list, next to those that they resemble."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -139,14 +140,17 @@ def _neighbours(percent: int):
 
         def out(token, salt, doc, n, pos):
             same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-            pair = np.flatnonzero(same & (100 * n[:-1] >= percent * n[1:]) & (doc[1:] != doc[:-1]))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            sizes_meet = 100 * np.minimum(n[:-1], n[1:]) >= percent * np.maximum(n[:-1], n[1:])
+            in_reach = np.minimum((n - pos)[:-1], (n - pos)[1:]) * (100 + percent) >= percent * (n[:-1] + n[1:])
+            pair = np.flatnonzero(same & sizes_meet & in_reach & (doc[1:] != doc[:-1]))
             a, b = np.minimum(doc[pair], doc[pair + 1]), np.maximum(doc[pair], doc[pair + 1])
             ab = np.unique(np.stack([a, b]), axis=1) if len(pair) else np.zeros((2, 0), np.int64)
             _, at, size = np.unique(np.cumsum(np.concatenate([[True], ~same])), return_inverse=True, return_counts=True)
             open_ = np.flatnonzero((size[at] > 2) | (salt > 0))
             k = ab.shape[1]
             columns = [np.concatenate([x, y]) for x, y in (
-                (np.ones(k, bool), np.zeros(len(open_), bool)), (ab[0], token[open_]), (ab[1], doc[open_]), (np.zeros(k, np.int32), n[open_]), (np.zeros(k, np.int32), pos[open_]),
+                (np.ones(k, bool), np.zeros(len(open_), bool)), (ab[0], token[open_]), (ab[1], doc[open_]), (np.zeros(k, np.int32), n[open_].astype(np.int32)), (np.zeros(k, np.int32), pos[open_].astype(np.int32)),
             )]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["linked", "x", "y", "n", "pos"])
 
@@ -176,15 +180,16 @@ def _shingles(width: int):
 
 
 def _likely(percent: int):
-    """Keeps the pairs that sizes and sketches don't rule out: differing bits are no more than differing shingles."""
+    """Keeps the pairs that sizes and sketches don't rule out: differing bits are no more than differing shingles. ``h``
+    is how many bits differ."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for c in ("sketch_a", "sketch_b"))
             differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            keep = (differ * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = pa.array((differ * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(differ).filter(keep)], ["a", "b", "h"])
 
     return emit
 
@@ -206,18 +211,34 @@ def _verify(percent: int):
     return emit
 
 
-def _links(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Of distinct ``pairs`` (a, b): those that are linked; also the pairs whose sets were compared."""
-    side = lambda doc, suffix: sizes.select(F.col("doc").alias(doc), F.col("n").alias(f"n_{suffix}"), F.col("sketch").alias(f"sketch_{suffix}"))
-    pairs = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b")
-    likely = shared.written(pairs.mapInArrow(_likely(percent), "a long, b long"), "pairs")
-    ends = shared.written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+def _sketched(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of distinct ``pairs`` (a, b) those that may be similar enough, with h."""
+    side = lambda c: sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    return shared.written(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a long, b long, h long"), "pairs")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+    """Of distinct ``pairs`` (a, b) those whose sets are similar enough."""
+    ends = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     sets = bloom.semi_join(docs.select("doc_id", "text"), ends, "doc_id", bits).mapInArrow(_shingles(width), "doc long, shingles binary")
     sets = shared.written(sets, "sets")
     s = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s"))
     t = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t"))
-    found = likely.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long")
-    return shared.written(found.distinct(), "found"), likely
+    found = pairs.select("a", "b").join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long")
+    return shared.written(found.distinct(), "found")
+
+
+def _closest(pairs: DataFrame, keys: list[Column]) -> DataFrame:
+    """The pair of least h for each value of ``keys``, each pair once."""
+    best = F.min_by(F.struct("a", "b"), F.struct("h", "a", "b")).alias("best")
+    return shared.written(pairs.groupBy(*keys).agg(best).select("best.*").distinct(), "closest")
+
+
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """``pairs`` whose ends lie in different components, those as c and d."""
+    side = lambda c, name: components.select(F.col("node").alias(c), F.col("component").alias(name))
+    out = pairs.join(side("a", "c"), "a", "left").join(side("b", "d"), "b", "left")
+    return out.withColumns({"c": F.coalesce("c", "a"), "d": F.coalesce("d", "b")}).filter("c <> d")
 
 
 def _across(postings: DataFrame, components: DataFrame, percent: int) -> DataFrame:
@@ -289,15 +310,25 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, frequent
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = reps.mapInArrow(_postings(width, percent, known), "token long, salt int, doc long, n int, pos int")
-    lists = postings.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "n", "doc")
+    lists = postings.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "pos", "n", "doc")
     lists = shared.written(lists.mapInArrow(_neighbours(percent), "linked boolean, x long, y long, n int, pos int"), "lists")
     first = lists.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    found, _ = _links(first, sizes, reps, width, percent, bits)
-    components = connected_components(found)
-
+    check = lambda pairs: _verified(pairs, reps, width, percent, bits)
+    # Each set and its closest neighbour.
+    near = _sketched(first, sizes, percent)
+    either = near.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "h")
+    closest = _closest(either, [F.col("node")])
+    found = check(closest)
+    components = shared.written(connected_components(found), "components")
+    # All other pairs of different components; of each two components the closest pair comes first.
     open_ = lists.filter("not linked").select(F.col("x").alias("token"), F.col("y").alias("doc"), "n", "pos")
-    rest = _across(open_, components, percent).join(first, ["a", "b"], "left_anti")
-    more, _ = _links(rest, sizes, reps, width, percent, bits)
+    others = _sketched(_across(open_, components, percent).join(first, ["a", "b"], "left_anti"), sizes, percent)
+    others = shared.written(_apart(others.unionByName(near).join(closest, ["a", "b"], "left_anti"), components), "others")
+    second = _closest(others, [F.least("c", "d"), F.greatest("c", "d")])
+    found = found.unionByName(check(second))
+    components = shared.written(connected_components(found), "components")
+    rest = shared.written(_apart(others.select("a", "b").join(second, ["a", "b"], "left_anti"), components), "rest")
+    more = check(rest)
     members = copies.select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     components = shared.written(connected_components(found.unionByName(more).unionByName(members)), "components")
     out = sized.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -28,19 +28,22 @@ SALTS = 64
 LONG = 8
 
 
-def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of each text; a text of fewer words has its whole sequence as one."""
-    for row, _, data, offsets in texts(column):
+def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Slices: first row, and of each text the sorted distinct shingle hashes; a text of fewer words has its whole
+    sequence as one. Slices are small, so are the arrays and batches made from them."""
+    for row, _, data, offsets in texts(column, 1 << 19):
         words = Words(data, offsets)
         hashes = words.hashes(lower=True)
         grams = ngrams(hashes, width)
-        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+        sets = []
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
             if b - a >= width:
-                yield row + i, np.unique(grams[a : b - width + 1])
+                sets.append(np.unique(grams[a : b - width + 1]))
             elif b > a:
-                yield row + i, mix(ngrams(hashes[a:b], b - a) + np.uint64(b - a))
+                sets.append(mix(ngrams(hashes[a:b], b - a) + np.uint64(b - a)))
             else:
-                yield row + i, np.zeros(0, np.uint64)
+                sets.append(np.zeros(0, np.uint64))
+        yield row, sets
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -54,12 +57,13 @@ def _describe(width: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, first, second, sketches = [], [], [], []
-            for _, s in _sets(batch.column("text"), width):
-                n.append(len(s))
-                first.append(int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0)
-                second.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
-                odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (SKETCH_WORDS * 64 - 1), minlength=SKETCH_WORDS * 64) & 1
-                sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            for _, sets in _sets(batch.column("text"), width):
+                for s in sets:
+                    n.append(len(s))
+                    first.append(int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0)
+                    second.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
+                    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (SKETCH_WORDS * 64 - 1), minlength=SKETCH_WORDS * 64) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sketches, pa.binary())], ["doc", "n", "key_a", "key_b", "sketch"])
 
     return emit
@@ -92,16 +96,17 @@ def _counted_shingles(width: int, percent: int, known=None):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for _, s in _sets(batch.column("text"), width):
-                if not len(s):
-                    continue
-                low = s[: _low(len(s), percent)]
-                if known is None:
-                    parts.append(low)
-                elif np.count_nonzero(known.value.classes_of(low) == 0) < min(len(s), _prefix(len(s), percent)):
-                    parts.append(s[len(low) :])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(parts)) if parts else [], pa.int64())], ["token"])
+            for _, sets in _sets(batch.column("text"), width):
+                parts = []
+                for s in sets:
+                    low = s[: _low(len(s), percent)]
+                    if not len(s):
+                        continue
+                    if known is None:
+                        parts.append(low)
+                    elif np.count_nonzero(known.value.classes_of(low) == 0) < min(len(s), _prefix(len(s), percent)):
+                        parts.append(s[len(low) :])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(parts)) if parts else [], pa.int64())], ["token"])
 
     return emit
 
@@ -113,18 +118,19 @@ def _postings(width: int, percent: int, frequent):
         known = frequent.value
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            out: list[tuple[np.ndarray, ...]] = []
-            for row, s in _sets(batch.column("text"), width):
-                if not len(s):
-                    continue
-                classes = known.classes_of(s)
-                order = np.argsort(classes, kind="stable")[: _prefix(len(s), percent)]
-                tokens, p = s[order], len(order)
-                salt = np.where(classes[order] > LONG, mix(tokens ^ np.uint64(docs[row] & 0xFFFFFFFFFFFFFFFF)) % np.uint64(SALTS) + np.uint64(1), 0).astype(np.int32)
-                out.append((signed(tokens), salt, np.full(p, docs[row]), np.full(p, len(s)), np.arange(p)))
-            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], ["token", "salt", "doc", "n", "pos"])
+            for row, sets in _sets(batch.column("text"), width):
+                out: list[tuple[np.ndarray, ...]] = []
+                for doc, s in zip(docs[row : row + len(sets)], sets):
+                    if not len(s):
+                        continue
+                    classes = known.classes_of(s)
+                    order = np.argsort(classes, kind="stable")[: _prefix(len(s), percent)]
+                    tokens, p = s[order], len(order)
+                    salt = np.where(classes[order] > LONG, mix(tokens ^ np.uint64(doc & 0xFFFFFFFFFFFFFFFF)) % np.uint64(SALTS) + np.uint64(1), 0).astype(np.int32)
+                    out.append((signed(tokens), salt, np.full(p, doc), np.full(p, len(s)), np.arange(p)))
+                columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], ["token", "salt", "doc", "n", "pos"])
 
     return emit
 
@@ -173,8 +179,10 @@ def _neighbours(percent: int):
 def _shingles(width: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [s.tobytes() for _, s in _sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc", "shingles"])
+            for row, sets in _sets(batch.column("text"), width):
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sets))))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(sets)), lists], ["doc", "shingles"])
 
     return emit
 
@@ -194,23 +202,6 @@ def _likely(percent: int):
     return emit
 
 
-def _verify(percent: int):
-    """Keeps the pairs whose sets are similar enough."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for x, y, s, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("s"), batch.column("t")):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return emit
-
-
 def _sketched(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Of distinct ``pairs`` (a, b) those that may be similar enough, with h."""
     side = lambda c: sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
@@ -220,11 +211,13 @@ def _sketched(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
     """Of distinct ``pairs`` (a, b) those whose sets are similar enough."""
     ends = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    sets = bloom.semi_join(docs.select("doc_id", "text"), ends, "doc_id", bits).mapInArrow(_shingles(width), "doc long, shingles binary")
+    sets = bloom.semi_join(docs.select("doc_id", "text"), ends, "doc_id", bits).mapInArrow(_shingles(width), "doc long, shingles array<long>")
     sets = shared.written(sets, "sets")
     s = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s"))
     t = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t"))
-    found = pairs.select("a", "b").join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long")
+    common = F.size(F.array_intersect("s", "t"))
+    similar = 100 * common >= percent * (F.size("s") + F.size("t") - common)
+    found = pairs.select("a", "b").join(s, "a").join(t, "b").filter(similar).select("a", "b")
     return shared.written(found.distinct(), "found")
 
 

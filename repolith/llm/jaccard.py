@@ -22,7 +22,8 @@ from repolith.llm import bloom, shared
 from repolith.llm.components import connected_components
 from repolith.llm.text import Words, mix, ngrams, signed, texts
 
-SKETCH_WORDS = 16
+#: Bits of a set's sketch.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 SALTS = 64
 #: Lists of shingles in 2**LONG sets or more are salted.
 LONG = 8
@@ -51,6 +52,29 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """The parity of how many hashes fall on each bit; about a bit for each hash, so that long sets are told apart too."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(len(s), 1) - 1).bit_length()))
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Differing bits of each pair of sketches; the longer one is folded to the shorter one's length."""
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for la, lb in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (la, lb)).all(1))
+        sides = []
+        for part, length in ((x, la), (y, lb)):
+            side = np.frombuffer(b"".join(part[i] for i in at), np.uint8).reshape(-1, length)
+            while side.shape[1] > min(la, lb):
+                side = side[:, : side.shape[1] // 2] ^ side[:, side.shape[1] // 2 :]
+            sides.append(side)
+        out[at] = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64)
+    return out
+
+
 def _describe(width: int):
     """doc, n, digests a and b of the set, and its parity sketch."""
 
@@ -62,8 +86,7 @@ def _describe(width: int):
                     n.append(len(s))
                     first.append(int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                     second.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
-                    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (SKETCH_WORDS * 64 - 1), minlength=SKETCH_WORDS * 64) & 1
-                    sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                    sketches.append(_sketch(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sketches, pa.binary())], ["doc", "n", "key_a", "key_b", "sketch"])
 
     return emit
@@ -194,8 +217,7 @@ def _likely(percent: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for c in ("sketch_a", "sketch_b"))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            differ = _differing(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b")))
             keep = pa.array((differ * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(differ).filter(keep)], ["a", "b", "h"])
 

@@ -90,6 +90,17 @@ def test_near(odd, options):
     same(jaccard.near_duplicates(docs, **options), near_brute(rows, options["width"], options["percent"]))
 
 
+def test_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 500, 3000, 40_000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for other in (base, np.concatenate([base[: n * 9 // 10], rng.integers(0, 1 << 63, n, dtype=np.uint64)])):
+            differ = jaccard._differing([jaccard._sketch(base)] * 2, [jaccard._sketch(other)] * 2)
+            assert (differ <= len(np.setxor1d(base, other))).all()
+
+
 def test_near_stage(odd, none):
     rows, docs = odd
     gone = {i for i, _, c in near_brute(rows, 5, 80) if c is not None and c != i}

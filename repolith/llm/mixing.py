@@ -60,6 +60,40 @@ def probabilities(cells: DataFrame) -> DataFrame:
     return cells.withColumn("probability", F.round(ratio / F.max(ratio).over(Window.partitionBy(F.lit(1))), 9))
 
 
+def capped(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, share: float) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``probability`` under a budget of ``share`` of all tokens or more.
+
+    A category is thin when it holds under ``share`` of what its target takes of all tokens. The budget is what the
+    other categories of each margin can carry at their targets. A category that can't supply its part of the budget
+    is taken whole and the others of its margin share what is missing by their targets. Raking to these parts never
+    takes more of a cell than it holds; other cells of the category make up for it. One partition, as in :func:`rake`.
+    """
+    whole = Window.partitionBy(F.lit(1))
+    rows = cells.coalesce(1).withColumn("tokens", F.col("tokens").cast("double")).withColumn("total", F.sum("tokens").over(whole))
+    for name in MARGINS:
+        group = Window.partitionBy(name)
+        target = F.element_at(F.create_map(*[F.lit(x) for kv in targets[name].items() for x in kv]), F.col(name))
+        rows = rows.withColumn(f"target_{name}", target / F.count("*").over(group))
+        rows = rows.withColumn(f"target_{name}", F.col(f"target_{name}") / F.sum(f"target_{name}").over(whole))
+        rows = rows.withColumns({f"held_{name}": F.sum("tokens").over(group), f"goal_{name}": F.sum(f"target_{name}").over(group)})
+        # Tokens and targets of this category and all that are no scarcer.
+        up = whole.orderBy(f"ratio_{name}").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        rows = rows.withColumn(f"ratio_{name}", F.col(f"held_{name}") / F.col(f"goal_{name}"))
+        rows = rows.withColumns({f"up_tokens_{name}": F.sum("tokens").over(up), f"up_targets_{name}": F.sum(f"target_{name}").over(up)})
+        carried = F.col("total") - F.col(f"up_tokens_{name}") + F.col(f"ratio_{name}") * F.col(f"up_targets_{name}")
+        rows = rows.withColumn(f"carried_{name}", F.min(F.when(F.col(f"ratio_{name}") >= share * F.col("total"), carried)).over(whole))
+    budget = F.greatest(F.least(*[f"carried_{name}" for name in MARGINS]), F.lit(share) * F.col("total"))
+    rows = rows.withColumn("budget", F.least(budget, "total")).withColumn("weight", F.col("tokens") * F.col("budget") / F.col("total"))
+    for name in MARGINS:
+        scale = (F.col("budget") - F.col("total") + F.col(f"up_tokens_{name}")) / F.col(f"up_targets_{name}")
+        rows = rows.withColumn(f"part_{name}", F.least(f"held_{name}", F.max(scale).over(whole) * F.col(f"goal_{name}")))
+    rows = rows.select(*MARGINS, "tokens", "weight", *[f"part_{name}" for name in MARGINS])
+    for _ in range(rounds):
+        for name in MARGINS:
+            rows = rows.withColumn("weight", F.least("tokens", F.col("weight") * F.col(f"part_{name}") / F.sum("weight").over(Window.partitionBy(name))))
+    return rows.withColumn("probability", F.round(F.col("weight") / F.col("tokens"), 9))
+
+
 def uniform(doc_id: Column) -> Column:
     """A number in [0, 1) from the MD5 of the id, the same on every run."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -67,16 +101,19 @@ def uniform(doc_id: Column) -> Column:
 
 def mixed(
     docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS,
-    rounds: int = 12,
+    rounds: int = 12, share: float | None = 0.25,
 ) -> DataFrame:
     """``docs`` with __tokens, __source, __lang, __topic, __probability and __selected; keeps every row and column.
 
+    ``share`` of the tokens at least are expected in the sample, with thin cells whole (:func:`capped`); without it, no
+    target is relaxed and the scarcest cell sets the size of the sample (:func:`probabilities`).
     Equal rows and equal ids share one draw; a null id draws as the empty string. An empty table gives an empty table.
     """
     rows = with_cells(docs, sources, langs)
     sums = rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens"))
     cells = sums.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), "tokens")
-    raked = probabilities(rake(cells, {"source": sources, "lang": langs, "topic": topics}, rounds))
+    targets = {"source": sources, "lang": langs, "topic": topics}
+    raked = probabilities(rake(cells, targets, rounds)) if share is None else capped(cells, targets, rounds, share)
     table = raked.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
     # At most (sources + 1) x (langs + 1) x topics rows.
     rows = rows.join(F.broadcast(table), [f"__{m}" for m in MARGINS])

@@ -43,7 +43,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(documents(spark, sf_dir))
+    rows = mixing.mixed(documents(spark, sf_dir), share=None)  # as its SQL has it
     return rows.select(
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_words"),
         F.round("__probability", 6).alias("probability"), F.col("__selected").alias("selected"),

@@ -167,6 +167,19 @@ def test_mixing_meets_targets(spark):
     assert chosen.count() == pytest.approx(out.agg(F.sum("__probability")).first()[0], rel=0.1)
 
 
+def test_one_thin_category_does_not_shrink_the_sample(spark):
+    kinds = [f"src{i}" for i in range(20)]
+    rows = [(i, "w " * 200, ["en", "en", "en", "de", "fr", "es"][i % 6], kinds[i % 20], 400) for i in range(3000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = lambda rows: mixing.mixed(spark.createDataFrame(rows, schema)).agg(F.sum(F.col("__tokens") * F.col("__probability")) / F.sum("__tokens")).first()[0]
+    before = kept(rows)
+    assert before >= 0.25
+    for thin in ((3000, "w " * 300, "en", None, 600), (3000, "w " * 300, None, "src1", 600), (3000, "w", "en", "src1", 1)):
+        assert kept([*rows, thin]) == pytest.approx(before, abs=0.01)
+    out = mixing.mixed(spark.createDataFrame([*rows, (3000, "w " * 300, "en", None, 600)], schema))
+    assert out.filter("doc_id = 3000").first()["__probability"] > 0.9 and out.agg(F.max("__probability")).first()[0] <= 1
+
+
 def test_mixing_of_odd_rows(odd, none):
     rows, docs = odd
     assert mixing.mixed(docs).count() == len(rows)

@@ -1,9 +1,10 @@
 """A hidden Markov model of token sequences.
 
-Tokens are ASCII lower-cased words, by hash, and an end. The most frequent words have emissions of their own in each
-state; all others share one symbol, and within it a word counts by its add-half share. Baum-Welch: each task runs the
-scaled forward-backward recursion on its documents and sends expected counts, which are summed over tasks. Scoring is
-the exact scaled forward recursion over the whole text.
+Tokens are ASCII lower-cased words, by hash, and an end. Words that occur twice or more have emissions of their own in
+each state, the most frequent first as far as memory goes; all others share one symbol, whose emissions words that occur
+once teach, and within it a word counts by its add-half share. Baum-Welch: each task runs the scaled forward-backward
+recursion on its documents and sends expected counts of its words, which a shuffle sums. Scoring is the exact scaled
+forward recursion over the whole text.
 """
 
 from __future__ import annotations
@@ -154,36 +155,70 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
 def _maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray, weight: float = 50.0) -> Model:
     """The model of these counts. Each state's emissions are drawn towards ``prior`` as if by ``weight`` more tokens."""
     emit = emits + weight * prior
-    return Model((starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    emit /= emit.sum(1, keepdims=True)
+    return Model((starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), emit)
+
+
+def _compact(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, Model, list[np.ndarray]]:
+    """The symbols of the sequences, the model with their emissions alone, and the sequences by places among them."""
+    symbols, flat = np.unique(np.concatenate(sequences), return_inverse=True)
+    return symbols, Model(model.start, model.move, model.emit[:, symbols].astype(float)), np.split(flat, np.cumsum([len(s) for s in sequences])[:-1])
 
 
 def _counted(vocabulary: Vocabulary, model: Model):
-    """The sum of a task's expected counts, as rows (cell, value)."""
+    """The sum of a task's expected counts, as rows (symbol, a value for each state): those of its symbols, of starts as
+    symbol -1 and of moves from the first, second... state as -2, -3..."""
+    k = len(model.start)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, other = np.zeros((vocabulary.end + 1, k)), np.zeros((k + 1, k))
         for batch in batches:
             sequences = [s for *_, some in _sequences(batch.column("text"), vocabulary) for s in some]
             for chunk in _chunks(sequences):
-                cells = np.concatenate([c.ravel() for c in expected(model, [sequences[i] for i in chunk])])
-                total = cells if total is None else total + cells
-        if total is not None:
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "value"])
+                symbols, part, some = _compact(model, [sequences[i] for i in chunk])
+                starts, moves, emits = expected(part, some)
+                total[symbols] += emits.T
+                other += np.vstack([starts, moves])
+        met = np.flatnonzero(total[:, 0] > 0)
+        for at in [-1, *range(0, len(met), 1 << 16)]:
+            symbols = met[at : at + (1 << 16)] if at >= 0 else -1 - np.arange(k + 1)
+            values = total[symbols] if at >= 0 else other
+            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int32()), *[pa.array(values[:, i].astype(np.float32)) for i in range(k)]], ["symbol", *[f"v{i}" for i in range(k)]])
 
     return emit
 
 
-def _guess(sample: list[np.ndarray], vocabulary: Vocabulary, prior: np.ndarray, states: int, rounds: int) -> Model:
-    """A first model: Baum-Welch on a sample from a random split of its documents among the states."""
+def _summed(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of all ``texts``. A task has few rows of one symbol: they meet in one shuffle, unsummed."""
+    k = len(model.start)
+    values = [f"v{i}" for i in range(k)]
+    rows = texts.mapInArrow(_counted(vocabulary, model), ", ".join(["symbol int", *[f"{v} float" for v in values]])).repartition("symbol")
+    table = rows.groupBy("symbol").agg(*[F.sum(v).alias(v) for v in values]).toArrow()
+    symbols, sums = table["symbol"].to_numpy(), np.stack([table[v].to_numpy() for v in values])
+    emits, other = np.zeros((k, vocabulary.end + 1)), np.zeros((k + 1, k))
+    emits[:, symbols[symbols >= 0]] = sums[:, symbols >= 0]
+    other[-1 - symbols[symbols < 0]] = sums[:, symbols < 0].T
+    return other[0], other[1:], emits
+
+
+def _guess(sample: list[np.ndarray], prior: np.ndarray, states: int, rounds: int) -> Model:
+    """A first model: Baum-Welch on a sample from a random split of its documents among the states. Symbols that the
+    sample doesn't hold are one in it; they share its emissions by ``prior``."""
     rng = np.random.default_rng(11)
-    k, m = states, len(prior)
+    k = states
+    symbols, flat = np.unique(np.concatenate(sample), return_inverse=True)
+    sample = np.split(flat, np.cumsum([len(s) for s in sample])[:-1])
+    others = max(1.0 - prior[symbols].sum(), 1e-300)
+    part = np.append(prior[symbols], others)
+    m = len(part)
     emits = np.stack([np.bincount(np.concatenate([s for s, g in zip(sample, rng.integers(0, k, len(sample))) if g == i] or [np.zeros(0, np.int64)]), minlength=m) for i in range(k)]).astype(float)
-    model = _maximised(np.ones(k), np.full((k, k), 1.0) + np.eye(k) * 50 * k, emits, prior)
+    model = _maximised(np.ones(k), np.full((k, k), 1.0) + np.eye(k) * 50 * k, emits, part)
     for _ in range(rounds):
         parts = [expected(model, [sample[i] for i in chunk]) for chunk in _chunks(sample)]
-        model = _maximised(*[sum(p) for p in zip(*parts)], prior)
-    return model
+        model = _maximised(*[sum(p) for p in zip(*parts)], part)
+    emit = np.outer(model.emit[:, -1] / others, prior)
+    emit[:, symbols] = model.emit[:, :-1]
+    return Model(model.start, model.move, emit)
 
 
 def is_held_out(doc_id):
@@ -219,7 +254,7 @@ def _scored(vocabulary: Vocabulary, model: Model):
                     out[5].append(n.astype(np.int32))
             score = np.array(out[3])
             for chunk in _chunks(every):
-                score[chunk] += forward(model, [every[i] for i in chunk])
+                score[chunk] += forward(*_compact(model, [every[i] for i in chunk])[1:])
             out[3] = score.tolist()
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
@@ -231,7 +266,8 @@ def _scored(vocabulary: Vocabulary, model: Model):
 
 
 def _vocabulary(counts: DataFrame, ends: int, held: int, emissions: int) -> tuple[Vocabulary, int]:
-    """The words of the least count at which no more than ``held`` qualify, and that count."""
+    """The words of the least count at which no more than ``held`` qualify, and that count. Those that occur twice or
+    more, up to ``emissions``, have symbols of their own."""
     by_count = np.array([tuple(r) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()], np.int64).reshape(-1, 2)
     by_count = by_count[np.argsort(-by_count[:, 0])]
     fits = np.cumsum(by_count[:, 1]) <= held
@@ -240,20 +276,20 @@ def _vocabulary(counts: DataFrame, ends: int, held: int, emissions: int) -> tupl
     hashes, n = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
-    emissions = min(emissions, len(n))
+    emissions = min(emissions, int((n >= 2).sum()))
     symbol = np.full(len(n), emissions)
     symbol[np.sort(np.lexsort((hashes, -n))[:emissions])] = np.arange(emissions)
     total, distinct = int((by_count[:, 0] * by_count[:, 1]).sum()), int(by_count[:, 1].sum())
     return Vocabulary(hashes, n, symbol, emissions, total + ends, distinct + (ends > 0), ends), least
 
 
-def language_scores(docs: DataFrame, states: int = 8, emissions: int = 20_000, held: int = 1 << 20, passes: int = 2, sample_rows: int = 1500) -> DataFrame:
+def language_scores(docs: DataFrame, states: int = 8, emissions: int = 1 << 19, held: int = 1 << 20, passes: int = 2, sample_rows: int = 1500) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents that :func:`is_held_out` leaves. ``base_score`` is the add-half unigram score, ``score`` the
     model's log10 likelihood. ``passes`` full Baum-Welch passes run over all of them, from a guess fitted to
-    ``sample_rows`` of them. Driver and tasks hold ``held`` words with counts (16 MB) and ``emissions`` of them in each
-    state, whatever the input; rarer words meet their counts in a shuffle. Null texts are the end alone; repeated rows
+    ``sample_rows`` of them. Driver and tasks hold ``held`` words with counts (16 MB) and up to ``emissions`` of them in
+    each state (16 MB, and 32 MB of expected counts); rarer words meet their counts in a shuffle. Null texts are the end alone; repeated rows
     each get a row; an empty table gives an empty table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -271,13 +307,11 @@ def language_scores(docs: DataFrame, states: int = 8, emissions: int = 20_000, h
         chosen = hashed.orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
         picked = train.join(F.broadcast(chosen), "doc_id").limit(sample_rows).select("text").toArrow()["text"].combine_chunks()
         sample = [s for *_, sequences in _sequences(picked, vocabulary) for s in sequences]
-        model = _guess(sorted(sample, key=lambda s: (len(s), s.tobytes())), vocabulary, prior, states, 12) if sample else model
+        model = _guess(sorted(sample, key=lambda s: (len(s), s.tobytes())), prior, states, 12) if sample else model
     for _ in range(passes if ends else 0):
-        cells = train.select("text").mapInArrow(_counted(vocabulary, model), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-        flat = np.zeros(states + states * states + states * len(prior))
-        flat[cells["cell"].to_numpy()] = cells["value"].to_numpy()
-        starts, moves, emits = np.split(flat, [states, states + states * states])
-        model = _maximised(starts, moves.reshape(states, states), emits.reshape(states, -1), prior)
+        model.emit = model.emit.astype(np.float32)
+        model = _maximised(*_summed(train.select("text"), vocabulary, model), prior)
+    model.emit = model.emit.astype(np.float32)
 
     columns = f"doc_id {kind}, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = rows.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(_scored(vocabulary, model), f"{columns}, words array<long>, counts array<int>")

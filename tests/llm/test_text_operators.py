@@ -251,6 +251,20 @@ def test_language_scores(odd, held):
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
 
 
+def test_words_beyond_the_most_frequent_have_states(spark):
+    """Two kinds of documents, each with words that tell it and 12,000 of its own that occur twice: over 20,000 in all."""
+    rng = random.Random(4)
+    ids = (i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1)
+    rows = [(next(ids), " ".join(w for j in range(100) for w in [f"{kind}{(i * 100 + j) % 12000}", *[f"{kind}x{rng.randrange(50)}"] * rng.choice([0, 0, 1, 4])])) for kind in "ab" for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda **options: hmm.language_scores(docs, states=2, **options).agg(F.sum("score")).first()[0]
+    # The 8000 tokens of the other 4000 words are about twice as likely where their kind is known.
+    assert score() - score(emissions=20_000) > 0.4 * 8000 * math.log10(2)
+    counts = spark.createDataFrame([(i, 1 + i % 3) for i in range(60000)], "word long, n long")
+    vocabulary, _ = hmm._vocabulary(counts, 5, 1 << 20, 1 << 19)
+    assert vocabulary.emissions == 40000 and vocabulary.weights().sum() == pytest.approx(120005 + 0.5 * 60002)
+
+
 def test_language_scores_of_nothing(none):
     assert hmm.language_scores(none).count() == 0
 

@@ -1,11 +1,12 @@
 """Words and word hashes of whole Arrow batches of texts, as numpy arrays.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D; in UTF-8 that is the pattern ``[^\\x20\\x09-\\x0D]+``.
-Hashes are 64-bit; equal words have equal hashes on every machine.
+Hashes are 64-bit; equal words have equal hashes on every machine, and different ones differ up to chance.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,6 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,23 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CASED = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-_LOWER = _CASED.copy()
-_LOWER[65:91] = _CASED[97:123]
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 1 << 16)
-        for_powers = np.full(size, _BASE, np.uint64)
-        for_powers[0] = 1
-        for_inverse = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        for_inverse[0] = 1
-        _powers, _inverse = np.cumprod(for_powers), np.cumprod(for_inverse)
-    return _powers, _inverse
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The first k bytes of a block, for k up to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG_WORD = 256
 
 
 class Words:
@@ -77,11 +65,25 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self, lower: bool) -> np.ndarray:
-        powers, inverse = _powers_to(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _CASED)[self.data] * powers[: len(self.data)], out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        return mix(raw + np.uint64(0x9E3779B97F4A7C15) * (self.ends - self.starts).astype(np.uint64))
+        """Blocks of eight bytes go one after the other through a mixed state that starts from the length; BLAKE2 takes
+        words of more than ``_LONG_WORD`` bytes."""
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = _LOWER[self.data] if lower else self.data
+        blocks = np.ndarray(len(self.data) + 1, "<u8", data, strides=(1,))
+        lengths = self.ends - self.starts
+        state = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at = np.flatnonzero(lengths <= _LONG_WORD)
+        done = 0
+        while len(at):
+            left = lengths[at] - done
+            block = blocks[self.starts[at] + done] & _FIRST[np.minimum(left, 8)]
+            state[at] = mix((state[at] ^ block) + np.uint64(0x632BE59BD9B4E019))
+            done += 8
+            at = at[left > 8]
+        for i in np.flatnonzero(lengths > _LONG_WORD).tolist():
+            word = data[self.starts[i] : self.ends[i]].tobytes()
+            state[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return state
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -9,14 +9,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-#: The split pattern of this family of tokenizers, whole and without its look-ahead.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PATTERN_SINGLE_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-#: Without two spaces in a row the look-ahead never decides; the class is a superset of the pattern's.
-_TWO_SPACES = re.compile(r"\s\s")
+#: The split pattern of this family of tokenizers without its rule for white space before a word, which
+#: :func:`_chunks` applies, and the white space of Unicode.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -27,12 +26,31 @@ def _byte_letters() -> dict[str, int]:
 
 
 def _is_byte_bpe(spec: dict) -> bool:
-    pre = spec.get("pre_tokenizer") or {}
-    plain = not spec.get("normalizer") and not spec["model"].get("ignore_merges")
-    return plain and spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-
-
-@lru_cache(maxsize=4)
+    """Whether the file is a byte-level BPE whose merges come in the order of their ids, which is what ranks say."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+    if model.get("type") != "BPE" or spec.get("normalizer") or model.get("ignore_merges") or not byte_level:
+        return False
+    plain = not any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word"))
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in pairs]
+    return plain and all(a < b for a, b in zip(ids, ids[1:])) and len(set(ids)) == len(ids)
+
+
+def _chunks(text: str) -> Iterator[str]:
+    """Parts that split alike alone and together: of white space before a word, all but the last is a part of its own."""
+    at = 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        if at < run.start():
+            yield text[at : run.start()]
+        yield text[run.start() : end]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
+@lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], list[int]]:
     """A function from a text to its ids, without begin, end or added tokens. Special tokens' strings inside a text are
     taken as the file's own library takes them by default."""
@@ -56,14 +74,20 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     letters = _byte_letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    single = tiktoken.Encoding("single", pat_str=PATTERN_SINGLE_SPACES, mergeable_ranks=ranks, special_tokens=special)
+    encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
 
     def ids(text: str) -> list[int]:
-        encoding = whole if _TWO_SPACES.search(text) else single
-        if any(s in text for s in special):
-            return encoding.encode(text, allowed_special="all")
-        return encoding.encode_ordinary(text)
+        out: list[int] = []
+        for part in marks.split(text) if marks else [text]:
+            if part in special:
+                out.append(special[part])
+            elif not _RUN.search(part):
+                out += encoding.encode_ordinary(part)
+            else:
+                for chunk in _chunks(part):
+                    out += encoding.encode_ordinary(chunk)
+        return out
 
     return ids
 

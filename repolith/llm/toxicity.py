@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
+from repolith.llm import shared
 from repolith.llm.text import Words, mix, texts
 
 PREFIXES = (4, 5, 6)
@@ -101,12 +101,14 @@ def train(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, k: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_terms: int = 4096, common_terms: int = 256, least_chi: float = 30.0) -> Machine:
-    """A machine from ``labels`` (doc_id, toxic) and the texts of ``docs``.
+    """A machine from ``labels`` (doc_id, toxic) and the texts of ``docs`` (doc_id, text); other columns are ignored.
 
-    ``most_rows`` labelled documents, by least hash of their id, are the sample; equal texts count once. The driver
+    Rows without id, text or label teach nothing; without any row the machine gives every text the same score. Of equal
+    texts the one marked toxic counts. ``most_rows`` labelled documents, by least hash of their id, are the sample; equal texts count once. The driver
     gets ``most_terms`` terms by chi-squared, ``common_terms`` by frequency, and the sample's rows in those terms:
     bounded by the three parameters.
     """
+    shared.small_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     # A threshold leaves some twice as many rows as are needed to be compared.
     chosen = known.filter(F.col("h") <= int(2 * most_rows / max(known.count(), 1) * (1 << 40))).orderBy("h", "doc_id").limit(most_rows).select("doc_id", "toxic")
@@ -135,19 +137,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_terms:
     return train([np.array(t, np.int64) for t, _ in order], np.array([y for _, y in order], float), buckets)
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with ``__score``: every column and row as before. Null and empty texts get the bias alone."""
-    place = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+def score(machine: Machine):
+    """A function from a column of texts to the probability that each is toxic; null and empty texts get the bias alone.
+    Tasks receive the texts and nothing else of a row."""
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.full(batch.num_rows, machine.probability(np.zeros(0, np.int64)))
-            for row, terms in _terms(batch.column(place)):
-                found[row] = machine.probability(terms)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "__score"])
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
+        found = np.full(len(column), machine.probability(np.zeros(0, np.int64)))
+        for row, terms in _terms(column):
+            found[row] = machine.probability(terms)
+        return pa.array(found)
 
-    return docs.mapInArrow(scored, schema)
+    return scored
 
 
 def learnable(labels: DataFrame) -> DataFrame:

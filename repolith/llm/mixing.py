@@ -29,35 +29,13 @@ def _category(value: Column, targets: dict[str, float]) -> Column:
 
 
 def with_cells(docs: DataFrame, sources: dict[str, float], langs: dict[str, float]) -> DataFrame:
-    """``docs`` with __tokens (words of the text, 1 at least), __source, __lang and __topic. Nulls count as ``other``."""
-    text = F.coalesce("text", F.lit(""))
+    """``row`` (all of a row of ``docs``), tokens (words of the text, 1 at least), source, lang and topic. Nulls count as
+    ``other``."""
+    text = F.coalesce("row.text", F.lit(""))
     words = F.greatest(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(1).cast("long"))
-    docs = docs.withColumn("__tokens", words)
-    return docs.withColumns({"__source": _category(F.col("source"), sources), "__lang": _category(F.col("lang"), langs), "__topic": topic(text, F.col("__tokens"))})
-
-
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``: shares of the mixture, raked ``rounds`` times over each margin.
-
-    Cells are bounded by the product of the numbers of targets; they are one partition, in which all windows run
-    without a shuffle. Categories without tokens give their target to those present.
-    """
-    rows = cells.coalesce(1).withColumn("weight", F.col("tokens").cast("double"))
-    for name in MARGINS:
-        rows = rows.withColumn(f"target_{name}", F.element_at(F.create_map(*[F.lit(x) for kv in targets[name].items() for x in kv]), F.col(name)))
-    for _ in range(rounds):
-        for name in MARGINS:
-            group = Window.partitionBy(name)
-            rows = rows.withColumn("weight", F.col("weight") * F.col(f"target_{name}") / F.sum("weight").over(group))
-    whole = Window.partitionBy(F.lit(1))
-    return rows.withColumn("weight", F.col("weight") / F.sum("weight").over(whole)).select(*MARGINS, "tokens", "weight")
-
-
-def probabilities(cells: DataFrame) -> DataFrame:
-    """``cells`` with the probability of their documents, weight over tokens on the largest scale that leaves none above 1:
-    the expected tokens of the sample follow the weights."""
-    ratio = F.col("weight") / F.col("tokens")
-    return cells.withColumn("probability", F.round(ratio / F.max(ratio).over(Window.partitionBy(F.lit(1))), 9))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", words.alias("tokens"), _category(F.col("row.source"), sources).alias("source"), _category(F.col("row.lang"), langs).alias("lang"))
+    return rows.withColumn("topic", topic(text, F.col("tokens")))
 
 
 def capped(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, share: float) -> DataFrame:
@@ -66,7 +44,8 @@ def capped(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int,
     A category is thin when it holds under ``share`` of what its target takes of all tokens. The budget is what the
     other categories of each margin can carry at their targets. A category that can't supply its part of the budget
     is taken whole and the others of its margin share what is missing by their targets. Raking to these parts never
-    takes more of a cell than it holds; other cells of the category make up for it. One partition, as in :func:`rake`.
+    takes more of a cell than it holds; other cells of the category make up for it. Cells are bounded by the product of
+    the numbers of targets; they are one partition, in which all windows run without a shuffle.
     """
     whole = Window.partitionBy(F.lit(1))
     rows = cells.coalesce(1).withColumn("tokens", F.col("tokens").cast("double")).withColumn("total", F.sum("tokens").over(whole))
@@ -91,7 +70,7 @@ def capped(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int,
     for _ in range(rounds):
         for name in MARGINS:
             rows = rows.withColumn("weight", F.least("tokens", F.col("weight") * F.col(f"part_{name}") / F.sum("weight").over(Window.partitionBy(name))))
-    return rows.withColumn("probability", F.round(F.col("weight") / F.col("tokens"), 9))
+    return rows.withColumn("probability", F.col("weight") / F.col("tokens"))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -101,25 +80,21 @@ def uniform(doc_id: Column) -> Column:
 
 def mixed(
     docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS,
-    rounds: int = 12, share: float | None = 0.25,
+    rounds: int = 12, share: float = 0.25,
 ) -> DataFrame:
-    """``docs`` with __tokens, __source, __lang, __topic, __probability and __selected; keeps every row and column.
+    """``row`` (all columns of ``docs``, whatever they are called), tokens, source, lang, topic, probability and selected.
 
-    ``share`` of the tokens at least are expected in the sample, with thin cells whole (:func:`capped`); without it, no
-    target is relaxed and the scarcest cell sets the size of the sample (:func:`probabilities`).
-    Equal rows and equal ids share one draw; a null id draws as the empty string. An empty table gives an empty table.
+    ``share`` of the tokens at least are expected in the sample, with thin cells whole (:func:`capped`). Equal rows and
+    equal ids share one draw; a null id draws as the empty string. An empty table gives an empty table.
     """
     rows = with_cells(docs, sources, langs)
-    sums = rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens"))
-    cells = sums.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), "tokens")
-    targets = {"source": sources, "lang": langs, "topic": topics}
-    raked = probabilities(rake(cells, targets, rounds)) if share is None else capped(cells, targets, rounds, share)
-    table = raked.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
+    cells = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    raked = capped(cells, {"source": sources, "lang": langs, "topic": topics}, rounds, share)
     # At most (sources + 1) x (langs + 1) x topics rows.
-    rows = rows.join(F.broadcast(table), [f"__{m}" for m in MARGINS])
-    return rows.withColumn("__selected", uniform(F.col("doc_id")) < F.col("__probability"))
+    rows = rows.join(F.broadcast(raked.select(*MARGINS, "probability")), list(MARGINS))
+    return rows.withColumn("selected", uniform(F.col("row.doc_id")) < F.col("probability"))
 
 
 def selected(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their own columns."""
-    return mixed(docs, **options).filter("__selected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed(docs, **options).filter("selected").select("row.*")

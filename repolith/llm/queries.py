@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import exact, hmm, jaccard, mixing, packing, pii, quality, substrings, token_counts, toxicity
+from repolith.llm import exact, hmm, jaccard, mixing, packing, pii, quality, shared, substrings, token_counts, toxicity
 
 TOXIC = 0.7
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,20 +43,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(documents(spark, sf_dir), share=None)  # as its SQL has it
-    return rows.select(
-        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_words"),
-        F.round("__probability", 6).alias("probability"), F.col("__selected").alias("selected"),
-    )
+    rows = mixing.mixed(documents(spark, sf_dir))
+    return rows.select("row.doc_id", "source", "lang", "topic", F.col("tokens").alias("n_words"), F.round("probability", 6).alias("probability"), "selected")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     machine = toxicity.fit(docs, toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return toxicity.score(docs, machine).select(
-        "doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= TOXIC).cast("int").alias("predicted")
-    )
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(machine)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +68,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    """Counts are cached in the shared folder: a later run encodes only contents that no run before it met."""
+    cache = f"{shared.shared_dir(spark)}/repolith/token-counts"
+    counts = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 

@@ -50,23 +50,33 @@ def _names(targets: dict[str, float]) -> str:
     return ", ".join(f"'{k}'" for k in targets if k != "other")
 
 
-def mixing_sql(table: str = "documents", columns: str = "*", rounds: int = 12) -> str:
+def mixing_sql(table: str = "documents", rounds: int = 12, share: float = 0.25) -> str:
     """CTEs up to ``mixed``: the rows of ``table`` with their cell, words, probability and selection."""
     targets = {"source": mixing.SOURCES, "lang": mixing.LANGS, "topic": mixing.TOPICS}
-    steps, last = [], "rake0"
+    each = lambda form: ", ".join(form.format(m=m, target=_case(f"{m}_", targets[m])) for m in mixing.MARGINS)
+    steps = []
     for i in range(rounds * 3):
         name = mixing.MARGINS[i % 3]
-        steps.append(f"rake{i + 1} AS (SELECT source_, lang_, topic_, tokens, weight * {_case(name + '_', targets[name])} / sum(weight) OVER (PARTITION BY {name}_) AS weight FROM {last})")
-        last = f"rake{i + 1}"
+        steps.append(f"rake{i + 1} AS (SELECT * REPLACE (least(tokens, weight * part_{name} / sum(weight) OVER (PARTITION BY {name}_)) AS weight) FROM rake{i})")
     return rf"""counted AS (SELECT *, greatest(len({WORDS}), 1)::BIGINT AS tokens_ FROM {table}),
 celled AS (SELECT *, CASE WHEN source IN ({_names(mixing.SOURCES)}) THEN source ELSE 'other' END AS source_,
   CASE WHEN lang IN ({_names(mixing.LANGS)}) THEN lang ELSE 'other' END AS lang_,
   CASE WHEN tokens_ < 100 THEN 'short'
        WHEN (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) * 40 >= tokens_ THEN 'lines' ELSE 'long' END AS topic_
   FROM counted),
-rake0 AS (SELECT source_, lang_, topic_, sum(tokens_)::DOUBLE AS tokens, sum(tokens_)::DOUBLE AS weight FROM celled GROUP BY ALL),
+cells AS (SELECT source_, lang_, topic_, sum(tokens_)::DOUBLE AS tokens FROM celled GROUP BY ALL),
+aimed AS (SELECT *, sum(tokens) OVER () AS total, {each("{target} / count(*) OVER (PARTITION BY {m}_) AS raw_{m}")} FROM cells),
+scaled AS (SELECT *, {each("raw_{m} / sum(raw_{m}) OVER () AS target_{m}, sum(tokens) OVER (PARTITION BY {m}_) AS held_{m}")} FROM aimed),
+goals AS (SELECT *, {each("sum(target_{m}) OVER (PARTITION BY {m}_) AS goal_{m}")} FROM scaled),
+ratios AS (SELECT *, {each("held_{m} / goal_{m} AS ratio_{m}")} FROM goals),
+ups AS (SELECT *, {each("sum(tokens) OVER up_{m} AS tokens_{m}, sum(target_{m}) OVER up_{m} AS targets_{m}")} FROM ratios
+  WINDOW {each("up_{m} AS (ORDER BY ratio_{m} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")}),
+carried AS (SELECT *, {each(f"min(CASE WHEN ratio_{{m}} >= {share!r}::DOUBLE * total THEN total - tokens_{{m}} + ratio_{{m}} * targets_{{m}} END) OVER () AS carried_{{m}}")} FROM ups),
+budgeted AS (SELECT *, least(greatest(least({each("carried_{m}")}), {share!r}::DOUBLE * total), total) AS budget FROM carried),
+rake0 AS (SELECT source_, lang_, topic_, tokens, tokens * budget / total AS weight,
+  {each("least(held_{m}, max((budget - total + tokens_{m}) / targets_{m}) OVER () * goal_{m}) AS part_{m}")} FROM budgeted),
 {", ".join(steps)},
-ratio AS (SELECT source_, lang_, topic_, round(weight / sum(weight) OVER () / tokens / max(weight / tokens) OVER () * sum(weight) OVER (), 9) AS probability_ FROM {last}),
+ratio AS (SELECT source_, lang_, topic_, weight / tokens AS probability_ FROM rake{rounds * 3}),
 mixed AS (SELECT celled.*, probability_, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < probability_ AS selected_
   FROM celled JOIN ratio USING (source_, lang_, topic_))"""
 

@@ -2,7 +2,8 @@
 
 A filter has at most ``bits / 64`` rows of two longs, so its size is bounded by a parameter (16 MB at the default)
 whatever the input; that bound is what allows the broadcast. A filter that fills up costs speed, never results: every
-row that it lets through is checked exactly afterwards.
+row that it lets through is checked exactly afterwards. Rows that are probed have no columns of the names used here
+(``__word``, ``__mask``, ``__position``, ``__maybe``): callers put a user's columns into one struct.
 """
 
 from __future__ import annotations

@@ -23,11 +23,12 @@ def normalised(text: Column) -> Column:
 
 
 def _split(docs: DataFrame, per_row: int) -> DataFrame:
-    """``docs`` with ``__text`` (normalised) and ``__maybe``: whether another row may have an equal text."""
+    """``row`` (all of a row of ``docs``), ``norm`` (its normalised text) and ``maybe``: whether another row may have an
+    equal text."""
     bits = bloom.filter_bits(docs.count(), per_row)
     hashes = docs.select(F.xxhash64(normalised(F.col("text"))).alias("h"))
-    rows = docs.withColumn("__text", normalised(F.col("text")))
-    return bloom.flagged(rows, F.xxhash64("__text"), bloom.repeated_filter(hashes, "h", bits), bits, "__maybe")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), normalised(F.col("text")).alias("norm"))
+    return bloom.flagged(rows, F.xxhash64("norm"), bloom.repeated_filter(hashes, "h", bits), bits, "maybe")
 
 
 def duplicate_report(docs: DataFrame, bits_per_row: int = 64) -> DataFrame:
@@ -36,12 +37,12 @@ def duplicate_report(docs: DataFrame, bits_per_row: int = 64) -> DataFrame:
     Of equal texts the row with the largest doc_id stays; null ids come last, and of rows that repeat that doc_id with
     an equal text one stays. Null texts count as empty. An empty table gives an empty table; other columns are ignored.
     """
-    rows = _split(docs.select("doc_id", "text"), bits_per_row).select("doc_id", F.sha2("__text", 256).alias("text_sha256"), "__maybe")
-    alone = rows.filter("not __maybe").select(
+    rows = _split(docs.select("doc_id", "text"), bits_per_row).select("row.doc_id", F.sha2("norm", 256).alias("text_sha256"), "maybe")
+    alone = rows.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     # A row for each distinct (digest, doc_id) and its count; a hot digest is summed before the shuffle.
-    counted = rows.filter("__maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
+    counted = rows.filter("maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
     # Written, so that the join below deals its sides itself and can split a large group.
     groups = shared.written(counted.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     copies = (
@@ -55,14 +56,7 @@ def duplicate_report(docs: DataFrame, bits_per_row: int = 64) -> DataFrame:
 def without_duplicates(docs: DataFrame, bits_per_row: int = 64) -> DataFrame:
     """``docs`` with one whole row of each set of equal texts: that with the largest doc_id (null ids last; of equal ids
     the one whose other columns hash highest). Keeps all columns, whatever they are called."""
-    columns = docs.columns
     split = _split(docs, bits_per_row)
-    alone = split.filter("not __maybe").select(*[F.col(f"`{c}`") for c in columns])
-    order = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    best = (
-        split.filter("__maybe")
-        .groupBy(F.sha2("__text", 256).alias("__digest"))
-        .agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias("__row"))
-        .select("__row.*")
-    )
-    return alone.unionByName(best)
+    order = F.struct(F.col("row.doc_id").isNotNull(), F.col("row.doc_id"), F.xxhash64("row"))
+    best = split.filter("maybe").groupBy(F.sha2("norm", 256).alias("digest")).agg(F.max_by("row", order).alias("row"))
+    return split.filter("not maybe").select("row").unionByName(best.select("row")).select("row.*")

@@ -30,7 +30,9 @@ def _counter(path: str):
 
 def _stored(spark, cache: str, version: str) -> DataFrame | None:
     try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version).select("digest", "n_tokens")
+        rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version)
+        # Two writers may have stored one digest.
+        return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -40,11 +42,12 @@ def _stored(spark, cache: str, version: str) -> DataFrame | None:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, bits_per_row: int = 64) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_bytes (UTF-8), n_tokens.
 
-    ``tokenizer``: a file that every executor has. ``cache``: a table in shared storage, with one writer at a time; without one,
-    a new one is used.
+    ``tokenizer``: a file that every executor has. ``cache``: a table in shared storage that is made where it is missing;
+    without one, a new one is used.
     Null texts count as empty; repeated rows each get a row; an empty table gives an empty table.
     """
     spark, version = docs.sparkSession, tokens.version(tokenizer)
+    shared.small_batches(spark)
     cache = cache or shared.new_path(spark, "token-counts")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))

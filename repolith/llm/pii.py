@@ -14,6 +14,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from repolith.llm import shared
+
 #: Kinds in the order in which equal starts are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "userinfo")
 BASE = frozenset(KINDS[:4])
@@ -23,7 +25,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: All that the numeric kinds consist of: a match lies within one run of these characters.
 _RUN = re.compile(r"[0-9+().\x20-]+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -74,9 +76,16 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
 
 def _numbers(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
     """The valid addresses, cards and phones of a run of their characters."""
-    for m in _IP.finditer(text, start, end):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
-            yield "ip", m.start(), m.end()
+    # Four groups of digits with one dot between each; a failing address is used up as a valid one is.
+    chain: list[re.Match] = []
+    for group in _DIGITS.finditer(text, start, end):
+        if chain and not (group.start() == chain[-1].end() + 1 and text[chain[-1].end()] == "."):
+            chain = []
+        chain.append(group)
+        if len(chain) == 4:
+            if all(len(part := g[0].lstrip("0")) <= 3 and int(part or "0") <= 255 for g in chain):
+                yield "ip", chain[0].start(), group.end()
+            chain = []
     for m in _CARD.finditer(text, start, end):
         digits = _NOT_DIGIT.sub("", m[0])
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -113,7 +122,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id and ``spans`` array<struct<kind, start, end>>; null texts have none."""
+    """For each row of ``docs`` (doc_id, text): doc_id and ``spans`` array<struct<kind, start, end>>.
+
+    Null and empty texts have none; repeated rows each get a row; an empty table gives an empty table; other columns are
+    ignored. The time is linear in a text's length.
+    """
+    shared.small_batches(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

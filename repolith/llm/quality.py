@@ -54,7 +54,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, most_symbols: float = 0.2, most_dup_lines: float = 0.5, host_limit: float = 0.5, least_prior: float = 10.0, most_broadcast: int = 100_000) -> DataFrame:
-    """``rows`` of :func:`features` with base_failed, n_failed (of four rules), host_rate and kept.
+    """``rows`` of :func:`features` with base_failed, failed (one of four rules), host_rate and kept.
 
     A host's rate is that of its documents that fail a rule: (failures + a) / (documents + a + b), with a and b from
     mean and variance of the hosts' raw rates (method of moments; the prior weighs ``least_prior`` documents at least).

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, maybe string, `word` int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, maybe string, `word` int, `row` string, rid long, tokens int, probability double, `__word` int, `__text` string, `a.b` int"
 
 
 def odd_rows():
@@ -19,7 +19,7 @@ def odd_rows():
         rows.append((i, " ".join(near)))
     rows += [(90, text(6000)), (91, "x " * 3000), (92, base.upper()), (93, base.lower()), (94, base), (95, base), (96, ""), (97, None), (98, " \t\n "), (None, base), (None, None), (None, "alone")]
     rows += [(99, "same id, one"), (99, "same id, two"), (40, rows[40][1]), (94, base), (100, "line a\nline a\n\nline b"), (101, "a@b.co, call +1 (555) 123-4567 or 10.0.0.300 and 4111 1111 1111 1111\nü 192.168.1.1 é"), (102, "<|endoftext|> a  b\t\t c <|endoftext|>")]
-    return [(i, t, rng.choice(["en", None, "xx"]), rng.choice(["src0", None, "new", "src1"]), None if t is None else len(t), "m", 1) for i, t in rows]
+    return [(i, t, rng.choice(["en", None, "xx"]), rng.choice(["src0", None, "new", "src1"]), None if t is None else len(t), "m", 1, "r", None, 2, 0.5, 3, "t", 4) for i, t in rows]
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,11 @@
 """Exact, near and substring duplicates against brute force."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,9 +93,52 @@ def test_near(odd, options):
     same(jaccard.near_duplicates(docs, **options), near_brute(rows, options["width"], options["percent"]))
 
 
-def test_sketches_never_exceed_the_difference():
-    import numpy as np
+def test_a_family_costs_its_rows(spark):
+    """Copies of one text with one to six words changed, some alike; no two are compared that share nothing but the text."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        words = base.copy()
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[f"x{rng.randrange(4)}"], [f"y{rng.randrange(10**6)}"], [], [words[at], "z"]])
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({"width": 4, "percent": 85}, {"width": 4, "percent": 92, "most_frequent": 1}):
+        same(jaccard.near_duplicates(docs, **options), near_brute(rows, options["width"], options["percent"]))
+
+
+def test_lists_are_streamed_like_whole_ones():
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(t), int(t) % 3, int(p), int(n), int(d)) for t, p, n, d in zip(rng.integers(0, 12, 300), rng.integers(0, 4, 300), rng.integers(50, 90, 300), rng.integers(0, 60, 300))})
+    table = pa.table({c: pa.array(v, k) for c, v, k in zip(("token", "salt", "pos", "n", "node"), zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))})
+    answers = []
+    for size in (1, 2, 3, 7, 300):
+        out = [tuple(r.values()) for b in jaccard._heads(85)(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        answers.append(sorted(set(out)))
+        for kind in (jaccard.POSTING, jaccard.HEAD):
+            assert len([r for r in out if r[0] == kind]) == len({r for r in out if r[0] == kind})
+    assert all(a == answers[0] for a in answers)
+
+
+def test_words_of_equal_letters_differ(spark):
+    """Thue-Morse words have equal polynomial hashes modulo a power of two."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    same(jaccard.near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).select("doc_id", "component_id"), [(1, 1), (2, 2)])
+
+
+def test_rows_of_one_id(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(near)), (5, " ".join(near)), (5, ""), (5, " ".join([*near[:-1], "x"])), (5, "alone"), (7, " ".join([*near[:-1], "x"])), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(jaccard.near_duplicates(docs), near_brute(rows, 4, 85))
+    same(jaccard.without_near_duplicates(docs).select("doc_id", "text"), [rows[0], rows[2], rows[4], rows[6]])
+
 
+def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(3)
     for n in (1, 500, 3000, 40_000):
         base = rng.integers(0, 1 << 63, n, dtype=np.uint64)

@@ -26,7 +26,7 @@ def test_stages(spark, odd, tmp_path):
             break
         if name == "toxicity":
             machine = toxicity.fit(now, toxicity.learnable(spark.read.parquet(f"{folder}/labels.parquet")))
-            scored = [tuple(r) for r in toxicity.score(now, machine).collect()]
+            scored = [tuple(r) for r in now.withColumn("score", toxicity.score(machine)("text")).collect()]
             same(out, [r[:-1] for r in scored if r[-1] < 0.7])
         elif name == "exact dedup":
             same(out.select("doc_id"), [(i,) for i, _, _, kept, _ in exact_brute(before) if kept])
@@ -34,7 +34,7 @@ def test_stages(spark, odd, tmp_path):
             gone = {i for i, _, c in near_brute(before, 5, 80) if c is not None and c != i}
             same(out, [r for r in before if r[0] not in gone])
         else:
-            chance = {r.doc_id: r["__probability"] for r in mixing.mixed(now).collect()}
+            chance = {r.doc_id: r.probability for r in mixing.mixed(now).select("row.doc_id", "probability").collect()}
             draw = {r.doc_id: r.u for r in now.select("doc_id", mixing.uniform(F.col("doc_id")).alias("u")).collect()}
             same(out.select("doc_id"), [(r[0],) for r in before if draw[r[0]] < chance[r[0]]])
         out.write.parquet(f"{folder}/{k}")

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,7 +95,50 @@ def test_bins_are_whole_and_few(counts):
             first_fit.append(100 - s)
         else:
             first_fit[i] -= s
-    assert -(-sum(s * n for s, n in counts.items()) // 100) <= bins <= len(first_fit) + 1
+    left = np.array([counts.get(s, 0) for s in range(101)])
+    assert packing.least_bins(left, 100) <= bins <= len(first_fit)
+    assert sum(t for t, _ in packing.best_fit(left, 100)) == len(first_fit)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=10))
+def test_few_pieces_are_packed_into_the_least_bins(sizes):
+    def fewest(left, rooms):
+        if not left:
+            return len(rooms)
+        top, rest = left[0], left[1:]
+        options = {r for r in rooms if r >= top}
+        return min([fewest(rest, sorted([*rooms, 20 - top])), *(fewest(rest, sorted([*rooms[: (i := rooms.index(r))], r - top, *rooms[i + 1 :]])) for r in options)])
+
+    assert sum(t for t, _ in packing.complete_bins(Counter(sizes), 20)) == fewest(sorted(sizes, reverse=True), [])
+
+
+def test_bins_of_the_small_table():
+    lengths = Counter()
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(tokens.encoder(PATH)(text or "")) + 1
+        lengths.update({n % 1024: 1, 1024: n // 1024})
+    counts = {s: n for s, n in lengths.items() if s and n}
+    assert 962 <= sum(t for t, _ in packing.complete_bins(counts, 1024)) <= 964
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "7" * 1_000_000, "a" * 1_000_000, "!" * 1_000_000, " " * 1_000_000 + "w \t x" + "\u3000" * 9])
+def test_ids_of_long_texts(text):
+    assert tokens.encoder(PATH)(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_the_query_s_cache_is_kept(spark, tmp_path):
+    from repolith.llm import queries, shared
+
+    spark.createDataFrame([(1, "some words"), (2, "other words"), (3, "some words")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    stored = lambda: spark.read.parquet(f"{shared.shared_dir(spark)}/repolith/token-counts")
+    first = sorted(queries.op10_token_counts(spark, f"file://{tmp_path}").collect())
+    files = set(stored().inputFiles())
+    # Two writers may have stored the same digests.
+    stored().limit(1).write.mode("append").parquet(f"{shared.shared_dir(spark)}/repolith/token-counts")
+    rows = stored().count()
+    assert sorted(queries.op10_token_counts(spark, f"file://{tmp_path}").collect()) == first and [r.n_tokens for r in first] == [2, 2, 2]
+    assert stored().count() == rows and files
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -125,6 +169,8 @@ def test_base_spans_of_planted_text(odd):
     kinds = [s[0] for s in pii.spans("IBAN: DE89 3704 0044 0532 0130 00, SSN 123-45-6789, account no. 1234-5678, https://me:secret@host.example/")]
     assert {"iban", "ssn", "account", "userinfo"} <= set(kinds)
     assert pii.find_spans(docs).count() == len(rows)
+    assert pii.find_spans(docs.limit(0)).count() == 0
+    assert pii.spans("7" * 1_000_000) == [] and pii.spans("1." * 500_000)[:1] == [("ip", 0, 7)]
 
 
 def quality_brute(text):
@@ -156,28 +202,28 @@ def test_mixing_meets_targets(spark):
     rows = [(i, "w " * 200, ["en", "de"][i % 5 == 0], ["src0", "src1", "src2"][min(i % 7, 2)], 400) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     sources, langs, topics = {"src0": 2.0, "src1": 1.0, "src2": 1.0}, {"en": 3.0, "de": 1.0}, {"long": 1.0}
-    out = mixing.mixed(docs, sources, langs, topics)
-    weight = {m: {r[0]: r[1] for r in out.groupBy(f"__{m}").agg(F.sum(F.col("__tokens") * F.col("__probability"))).collect()} for m in ("source", "lang")}
+    out = mixing.mixed(docs, sources, langs, topics, share=0.01)
+    weight = {m: {r[0]: r[1] for r in out.groupBy(m).agg(F.sum(F.col("tokens") * F.col("probability"))).collect()} for m in ("source", "lang")}
     for margin, targets in (("source", sources), ("lang", langs)):
         total = sum(weight[margin].values())
         for k, v in targets.items():
             assert weight[margin][k] / total == pytest.approx(v / sum(targets.values()), abs=1e-4)
-    chosen = mixing.selected(docs, sources=sources, langs=langs, topics=topics)
+    chosen = mixing.selected(docs, sources=sources, langs=langs, topics=topics, share=0.01)
     assert chosen.columns == docs.columns
-    assert chosen.count() == pytest.approx(out.agg(F.sum("__probability")).first()[0], rel=0.1)
+    assert chosen.count() == pytest.approx(out.agg(F.sum("probability")).first()[0], rel=0.1)
 
 
 def test_one_thin_category_does_not_shrink_the_sample(spark):
     kinds = [f"src{i}" for i in range(20)]
     rows = [(i, "w " * 200, ["en", "en", "en", "de", "fr", "es"][i % 6], kinds[i % 20], 400) for i in range(3000)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    kept = lambda rows: mixing.mixed(spark.createDataFrame(rows, schema)).agg(F.sum(F.col("__tokens") * F.col("__probability")) / F.sum("__tokens")).first()[0]
+    kept = lambda rows: mixing.mixed(spark.createDataFrame(rows, schema)).agg(F.sum(F.col("tokens") * F.col("probability")) / F.sum("tokens")).first()[0]
     before = kept(rows)
     assert before >= 0.25
     for thin in ((3000, "w " * 300, "en", None, 600), (3000, "w " * 300, None, "src1", 600), (3000, "w", "en", "src1", 1)):
         assert kept([*rows, thin]) == pytest.approx(before, abs=0.01)
     out = mixing.mixed(spark.createDataFrame([*rows, (3000, "w " * 300, "en", None, 600)], schema))
-    assert out.filter("doc_id = 3000").first()["__probability"] > 0.9 and out.agg(F.max("__probability")).first()[0] <= 1
+    assert out.filter("row.doc_id = 3000").first()["probability"] > 0.9 and out.agg(F.max("probability")).first()[0] <= 1
 
 
 def test_mixing_of_odd_rows(odd, none):
@@ -201,7 +247,7 @@ def test_toxicity_learns_pairs_and_words(spark):
     d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     learn = toxicity.learnable(y)
     machine = toxicity.fit(d, learn)
-    scores = {r.doc_id: r["__score"] for r in toxicity.score(d, machine).collect()}
+    scores = {r.doc_id: r.score for r in d.withColumn("score", toxicity.score(machine)("text")).collect()}
     held = set(range(900)) - {r.doc_id for r in learn.collect()}
     assert len(held) > 200
     right = sum((scores[i] >= 0.5) == bool(labels[i][1]) for i in held) / len(held)
@@ -213,9 +259,21 @@ def test_toxicity_learns_pairs_and_words(spark):
 def test_toxicity_of_odd_rows(odd, none):
     rows, docs = odd
     machine = toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")).limit(0))
-    out = toxicity.score(docs, machine)
-    assert out.columns == [*docs.columns, "__score"] and out.filter("__score between 0 and 1").count() == len(rows)
-    assert toxicity.score(none, machine).count() == 0
+    out = docs.select(toxicity.score(machine)("text").alias("score"))
+    assert out.filter("score between 0 and 1").count() == len(rows)
+    assert none.select(toxicity.score(machine)("text")).count() == 0
+    empty = toxicity.fit(none, none.select("doc_id", F.lit(1).alias("toxic")))
+    assert docs.select(toxicity.score(empty)("text").alias("score")).distinct().count() == 1
+
+
+def test_a_machine_s_probability_is_its_pairwise_sum():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(np.arange(0, 60, 2), -0.3, rng.normal(size=30), rng.normal(size=(30, 4)))
+    terms = np.array([0, 1, 4, 10, 33, 58])
+    held = [t // 2 for t in terms if t % 2 == 0]
+    z = -0.3 + sum(machine.weights[i] for i in held)
+    z += sum(float(machine.factors[i] @ machine.factors[j]) for a, i in enumerate(held) for j in held[:a])
+    assert machine.probability(terms) == pytest.approx(1 / (1 + math.exp(-z)))
 
 
 def forward_brute(model, symbols):

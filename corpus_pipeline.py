@@ -15,9 +15,10 @@ from repolith.llm.queries import TOKENIZER, TOXIC
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score ``TOXIC`` or more; learns from the labelled documents outside the held-out third."""
+    """Drops documents that score ``TOXIC`` or more; learns from the labelled documents outside the held-out third. Null and
+    empty texts score the bias and stay; each row is judged by its text alone."""
     machine = toxicity.fit(docs, toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.score(docs, machine).filter(F.col("__score") < TOXIC).drop("__score")
+    return docs.filter(toxicity.score(machine)(F.col("text")) < TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +32,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents towards the default targets of source, language and topic."""
+    """Draws documents towards the default targets of source, language and topic; nulls count as ``other``, rows of one id
+    are drawn together."""
     return mixing.selected(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens."""
+    """Packs what is left into sequences of 1024 tokens; null and empty texts are their end id alone."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=2, capacity=1024)
 
 
@@ -55,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What a stage wrote on the way goes once its rows are written.
+        with shared.scope(spark):
+            docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

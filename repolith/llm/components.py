@@ -53,10 +53,11 @@ def connected_components(links: DataFrame, most_rounds: int = 40, rows_per_task:
     are not listed.
     """
     links = shared.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    links = links.coalesce(max(1, -(-links.count() // rows_per_task)))
-    links = shared.written(links.mapInArrow(_local_stars, "a long, b long"), "links")
+    tasks = max(1, -(-links.count() // rows_per_task))
+    links = shared.written(links.coalesce(tasks).mapInArrow(_local_stars, "a long, b long"), "links")
     for _ in range(most_rounds):
-        if _are_stars(links):
+        # One task has settled all.
+        if tasks == 1 or _are_stars(links):
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

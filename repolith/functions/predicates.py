@@ -45,19 +45,19 @@ def glob_regex(pattern: str) -> str:
 
 def _any(column: Column, patterns: list[str]) -> Column:
     inner = "|".join(f"(?:{glob_regex(p)[5:-1]})" for p in patterns)
-    return column.rlike(f"(?s)^(?:{inner})$") if patterns else F.lit(False)
+    return column.rlike(f"(?s)^(?:{inner})\\z") if patterns else F.lit(False)
 
 
 def excluded(path: Column, name: Column, patterns: tuple[str, ...] = EXCLUDES) -> Column:
     """A pattern matches the path or name as a glob, is a prefix ending in ``/`` (without the slash), a whole leading
     folder, the path itself, or one of its segments."""
+    either = lambda texts: "(?:" + "|".join(re.escape(t) for t in dict.fromkeys(texts)) + ")"
     plain = [p.rstrip("/") for p in patterns]
-    prefixes = [p[:-1] for p in patterns if p.endswith("/")]
-    starts = [path.startswith(p) for p in prefixes] + [path.startswith(f"{p}/") for p in plain]
-    out = _any(path, list(patterns)) | _any(name, list(patterns)) | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, plain)))
-    for s in starts:
-        out = out | s
-    return F.coalesce(out, F.lit(False))
+    rules = [f"(?:{glob_regex(p)[5:-1]})\\z" for p in patterns]
+    rules += [re.escape(p[:-1]) for p in patterns if p.endswith("/")]
+    rules += [f"{either(plain)}/", f"(?:.*/)?{either(p for p in plain if '/' not in p)}(?:/|\\z)"] if plain else []
+    # One expression for all: as many conditions are too much for one generated method.
+    return F.coalesce(path.rlike(f"(?s)^(?:{'|'.join(rules)})"), F.lit(False)) | F.coalesce(_any(name, list(patterns)), F.lit(False)) if rules else F.lit(False)
 
 
 def included(path: Column, name: Column, patterns: tuple[str, ...] = INCLUDES) -> Column:

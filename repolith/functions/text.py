@@ -17,7 +17,7 @@ def truncated(content: Column, most: int = MOST_CHARS, notice: str = CUT_NOTICE)
 def numbered_lines(content: Column, first: int = 1) -> Column:
     """Lines behind six-wide numbers and a tab."""
     lines = F.split(content, "\n")
-    return F.array_join(F.transform(lines, lambda line, i: F.concat(F.lpad((i + first).cast("string"), 6, " "), F.lit("\t"), line)), "\n")
+    return F.array_join(F.transform(lines, lambda line, i: F.concat(F.repeat(F.lit(" "), 6 - F.length((i + first).cast("string"))), (i + first).cast("string"), F.lit("\t"), line)), "\n")
 
 
 def line_range(content: Column, first: Column, last: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ast
-import builtins
 import re
 from collections.abc import Iterator
 
-#: Names that are never dependencies.
-BUILTINS = frozenset(n for n in dir(builtins) if not n.startswith("_"))
+#: Names that are never dependencies.
+BUILTINS = frozenset((
+    "print", "len", "str", "int", "float", "bool", "list", "dict", "tuple", "set", "range", "enumerate", "zip", "isinstance", "hasattr", "getattr", "setattr",
+    "open", "super", "__import__", "type", "object", "Exception", "ValueError", "TypeError", "KeyError", "IndexError", "AttributeError", "ImportError",
+    "max", "min", "sum", "abs", "round", "sorted", "reversed", "filter", "map", "any", "all", "next", "iter", "callable", "repr", "format", "exec", "eval",
+))
 
 
 def module_of(path: str) -> str:
@@ -26,6 +29,20 @@ def _dotted(node: ast.expr) -> str | None:
     return None
 
 
+def _called(node: ast.expr) -> str | None:
+    """The dotted name that a call names, from its first name on if that is what it starts with. None for builtins and for
+    what is called on one; where that is deeper down, the attributes after the first remain."""
+    names = []
+    while isinstance(node, ast.Attribute):
+        names.append(node.attr)
+        node = node.value
+    if not isinstance(node, ast.Name):
+        return ".".join(reversed(names)) or None
+    if node.id not in BUILTINS:
+        return ".".join([node.id, *reversed(names)])
+    return ".".join(reversed(names[:-1])) or None
+
+
 class _Visitor(ast.NodeVisitor):
     """Emits in source order. ``scoped``: leaving a nested scope returns to the outer one; without it the scope is lost."""
 
@@ -76,8 +93,8 @@ class _Visitor(ast.NodeVisitor):
     visit_FunctionDef = visit_AsyncFunctionDef = _function
 
     def visit_Call(self, node: ast.Call) -> None:
-        caller, callee = self.cls or self.function, _dotted(node.func)
-        if caller and callee and callee not in BUILTINS:
+        caller, callee = self.cls or self.function, _called(node.func)
+        if caller and callee:
             self._edge(caller, callee, node.lineno)
         self.generic_visit(node)
 

@@ -17,6 +17,8 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="repolith-")
@@ -49,15 +51,16 @@ def leaves(nodes: DataFrame, edges: DataFrame, threshold: int = 400) -> DataFram
 
 
 def reachable(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """All pairs (src, dst) with a path from src to dst, by doubling; rounds are logarithmic in the longest path."""
-    paths = saved(edges.select("src", "dst").distinct())
-    n = paths.count()
+    """All pairs (src, dst) with a path from src to dst, and the ``hops`` of the shortest, by doubling; rounds are
+    logarithmic in the longest path."""
+    paths, was = saved(edges.select("src", "dst").distinct().withColumn("hops", F.lit(1).cast("long"))), None
     for _ in range(most_rounds):
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = saved(paths.unionByName(longer).distinct())
-        was, n = n, paths.count()
-        if n == was:
+        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), (F.col("a.hops") + F.col("b.hops")).alias("hops"))
+        paths = saved(paths.unionByName(longer).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
+        now = tuple(paths.agg(F.count("*"), F.sum("hops")).first())
+        if now == was:
             return paths
+        was = now
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 
@@ -73,23 +76,29 @@ def cyclic_core(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     raise RuntimeError("peeling did not end")
 
 
+def _components(paths: DataFrame) -> DataFrame:
+    mutual = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("id"), F.col("a.dst").alias("other"))
+    return mutual.groupBy("id").agg(F.least(F.min("id"), F.min("other")).alias("scc"), F.count("*").alias("n")).filter("n > 1").select("id", "scc")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(id, scc) of strongly connected components of two nodes or more; scc is the least id. Loops alone are none.
 
     What can't lie on a cycle is peeled off before reachability is closed on the rest.
     """
-    paths = reachable(cyclic_core(edges))
-    mutual = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("id"), F.col("a.dst").alias("other"))
-    return mutual.groupBy("id").agg(F.least(F.min("id"), F.min("other")).alias("scc"), F.count("*").alias("n")).filter("n > 1").select("id", "scc")
+    return _components(reachable(cyclic_core(edges)))
 
 
 def without_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(acyclic edges, removed edges): of each component the edges from a smaller to a larger or equal id go, so what is
-    left inside falls strictly. Deterministic; loops go too."""
-    scc = cycles(edges)
-    side = lambda c: scc.select(F.col("id").alias(c), F.col("scc").alias(f"{c}_scc"))
+    """(acyclic edges, removed edges): each component is ordered by the hops from its least id and then by id, and its edges
+    that don't lead forward go; a single cycle loses one edge. Deterministic; loops go too."""
+    paths = reachable(cyclic_core(edges))
+    scc = _components(paths)
+    hops = scc.join(paths.select(F.col("src").alias("scc"), F.col("dst").alias("id"), "hops"), ["scc", "id"])
+    placed = saved(hops.withColumn("hops", F.when(F.col("id") == F.col("scc"), 0).otherwise(F.col("hops"))))
+    side = lambda c: placed.select(F.col("id").alias(c), F.col("scc").alias(f"{c}_scc"), F.struct("hops", "id").alias(f"{c}_at"))
     marked = edges.select("src", "dst").distinct().join(side("src"), "src", "left").join(side("dst"), "dst", "left")
-    back = F.coalesce((F.col("src_scc") == F.col("dst_scc")) & (F.col("src") <= F.col("dst")), F.lit(False)) | (F.col("src") == F.col("dst"))
+    back = F.coalesce((F.col("src_scc") == F.col("dst_scc")) & (F.col("src_at") >= F.col("dst_at")), F.lit(False)) | (F.col("src") == F.col("dst"))
     marked = saved(marked.select("src", "dst", back.alias("back")))
     return marked.filter("not back").select("src", "dst"), marked.filter("back").select("src", "dst")
 
@@ -113,10 +122,19 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame, most_levels: int = 10_
     raise RuntimeError(f"more than {most_levels} levels")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place, from 1, in ``order``: sorted ranges of rows are counted, and each starts behind those before."""
+    ranges = saved(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range.
+    starts = ranges.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranges.withColumn("row", within).join(F.broadcast(starts), "range").withColumn(name, (F.col("start") + F.col("row")).cast("long")).drop("range", "start", "row")
+
+
 def post_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, ord): dependencies first, equal levels by id."""
-    levels = dependency_levels(nodes, edges)
-    return levels.select("id", F.row_number().over(Window.orderBy("level", "id")).cast("long").alias("ord"))
+    return numbered(dependency_levels(nodes, edges), ["level", "id"], "ord").select("id", "ord")
 
 
 def elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:

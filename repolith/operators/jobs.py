@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +19,36 @@ def latest_states(events: DataFrame) -> DataFrame:
     )
 
 
+def decisions(job_id, events: list[tuple], job: tuple | None, minutes: int) -> tuple[list[tuple], tuple | None]:
+    """Decisions (job_id, ts, ord, decision) on the queued ones of one job's ``events`` (ts, ord, status), in order, and the
+    job (status, created_at) after them. Refused requests leave the job as it is."""
+    out = []
+    for ts, ord_, status in events:
+        if status != "queued":
+            job = (status, job[1] if job else ts)
+            continue
+        if job and job[0] in ("queued", "processing"):
+            decision = "running"
+        elif job and job[0] == "failed" and ts < job[1] + pd.Timedelta(minutes=minutes):
+            decision = "cooling"
+        else:
+            decision, job = "admitted", ("queued", ts)
+        out.append((job_id, ts, ord_, decision))
+    return out, job
+
+
 def admitted(requests: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
-    """``requests`` (job_id, ts, ord, status) that are queued, with ``decision`` by the job's previous event: ``running``
-    while queued or processing, ``cooling`` within the minutes after a failure, else ``admitted``."""
-    w = Window.partitionBy("job_id").orderBy("ts", "ord")
-    rows = requests.withColumn("last", F.lag("status").over(w)).withColumn("last_ts", F.lag("ts").over(w)).filter("status = 'queued'")
-    cooling = (F.col("last") == "failed") & (F.col("ts") < F.col("last_ts") + F.make_dt_interval(mins=F.lit(minutes)))
-    decision = F.when(F.col("last").isin("queued", "processing"), "running").when(cooling, "cooling").otherwise("admitted")
-    return rows.withColumn("decision", decision).drop("last", "last_ts")
+    """A decision for each queued row of ``requests`` (job_id, ts, ord, status), in order of (ts, ord): ``running`` while
+    the job is queued or processing, ``cooling`` if it has failed and was created less than the minutes before, else
+    ``admitted``, which makes it a new job. A task holds the events of one job at a time."""
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "ord"])
+        found, _ = decisions(rows["job_id"].iloc[0], list(zip(rows["ts"], rows["ord"], rows["status"])), None, minutes)
+        return pd.DataFrame(found, columns=["job_id", "ts", "ord", "decision"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    return requests.groupBy("job_id").applyInPandas(decide, f"job_id {kinds['job_id']}, ts {kinds['ts']}, ord {kinds['ord']}, decision string")
 
 
 def valid_entries(cache: DataFrame, now: Column, days: int = TTL_DAYS) -> DataFrame:

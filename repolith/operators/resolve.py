@@ -92,18 +92,36 @@ def code_of(wanted: DataFrame, components: DataFrame) -> DataFrame:
     return wanted.join(code, "id", "left").select("ord", "id", F.coalesce("source_code", F.concat(F.lit("# Component "), "id", F.lit(" not found"))).alias("source_code"))
 
 
+def _ends_with(edges: DataFrame, side: str, names: DataFrame) -> DataFrame:
+    """Pairs of ``edges`` and ``names`` (name) in which the edge's ``side`` ends with the name, as an equi-join on suffixes
+    of the distinct ids."""
+    ids = edges.select(side).distinct()
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.length(side)), lambda n: F.right(F.col(side), n)))
+    ends = ids.filter(F.length(side) > 0).select(side, suffix.alias("name")).join(names, "name")
+    return edges.join(ends, side)
+
+
+def call_relations(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (name, relation, other, seq): what the functions of each name call (``calls``) and what calls them
+    (``called_by``), from resolved ``edges`` whose caller or callee ends with the name; others lose what precedes a colon."""
+    names, known = components.select("name").distinct(), edges.filter("is_resolved").select("caller", "callee", "seq")
+    side = lambda at, other, relation: _ends_with(known, at, names).select("name", F.lit(relation).alias("relation"), F.substring_index(other, ":", -1).alias("other"), "seq")
+    return side("caller", "callee", "calls").unionByName(side("callee", "caller", "called_by"))
+
+
 def call_lists(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per component: first docstring line, what it calls and what calls it, and whether it calls itself. Names are
-    compared by last segment, so the ends-with match is an equi-join."""
-    key = F.substring_index(last_segment(F.col("id")), ":", -1)
-    comps = components.withColumn("short", key)
-    ends = edges.select(last_segment(F.col("caller")).alias("a"), last_segment(F.col("callee")).alias("b")).distinct()
-    calls = ends.groupBy(F.col("a").alias("short")).agg(F.array_sort(F.collect_set("b")).alias("calls"))
-    called = ends.groupBy(F.col("b").alias("short")).agg(F.array_sort(F.collect_set("a")).alias("called_by"))
+    """Per component: file name, first docstring line, parameters if there are any, what it calls and what calls it, in
+    order of edges, and whether an edge from an id that ends with its name calls that very name."""
+    related = call_relations(components, edges)
+    listed = lambda relation: F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") == relation, F.struct("seq", "other")))), lambda x: x["other"]).alias(relation)
+    lists = related.groupBy("name").agg(listed("calls"), listed("called_by"))
+    own = _ends_with(edges.select("caller", "callee"), "caller", components.select("name").distinct()).filter("callee = name").select("name").distinct()
     none = F.array().cast("array<string>")
-    return comps.join(calls, "short", "left").join(called, "short", "left").select(
-        "id", F.split("docstring", "\n")[0].alias("summary"), F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by"),
-        F.coalesce(F.array_contains("calls", F.col("short")), F.lit(False)).alias("is_recursive"),
+    out = components.join(lists, "name", "left").join(own.withColumn("own", F.lit(True)), "name", "left")
+    return out.select(
+        "id", "name", F.substring_index("file_path", "/", -1).alias("file"), F.split("docstring", "\n")[0].alias("summary"),
+        (F.col("parameters") if "parameters" in components.columns else F.lit(None).cast("array<string>")).alias("parameters"),
+        F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by"), F.coalesce("own", F.lit(False)).alias("is_recursive"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.operators.graph import saved
+from repolith.operators import graph
 
 #: Token thresholds of grouping and delegation, and the deepest delegation.
 GROUP_TOKENS, DELEGATE_TOKENS, MOST_DEPTH = 36_369, 16_000, 2
@@ -24,33 +24,31 @@ def is_complex(modules: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def order_key(ords: Column) -> Column:
-    """A key of the ordinals from the root down; in post-order a parent's key is longer by a last high mark."""
-    return F.array_join(F.transform(ords, lambda o: F.lpad(o.cast("string"), 8, "0")), "/")
+    """A key of the ordinals from the root down, as wide as any; in post-order a parent's key is longer by a last high mark."""
+    return F.array_join(F.transform(ords, lambda o: F.lpad(o.cast("string"), 19, "0")), "/")
 
 
-def with_ordinals(modules: DataFrame, most_depth: int = 32) -> DataFrame:
+def with_ordinals(modules: DataFrame) -> DataFrame:
     """``modules`` with ``ords``, the ordinals from the root down, one join for each level."""
     out = level = modules.filter("depth = 0").withColumn("ords", F.array("ord"))
-    for depth in range(1, most_depth):
+    for depth in range(1, (modules.agg(F.max("depth")).first()[0] or 0) + 1):
         above = level.select(F.col("path").alias("parent"), F.col("ords").alias("above"))
-        level = modules.filter(F.col("depth") == depth).join(above, "parent").withColumn("ords", F.concat("above", F.array("ord"))).drop("above").select(out.columns)
-        if level.isEmpty():
-            break
+        level = graph.saved(modules.filter(F.col("depth") == depth).join(above, "parent").withColumn("ords", F.concat("above", F.array("ord"))).drop("above").select(out.columns))
         out = out.unionByName(level)
     return out
 
 
 def post_order(modules: DataFrame) -> DataFrame:
     """``modules`` with ``place``: children before parents, siblings by ord."""
-    key = F.concat(order_key(F.col("ords")), F.lit("/~"))
-    return with_ordinals(modules).withColumn("place", F.row_number().over(Window.orderBy(key)).cast("long"))
+    keyed = with_ordinals(modules).withColumn("key", F.concat(order_key(F.col("ords")), F.lit("/~")))
+    return graph.numbered(keyed, ["key"], "place").drop("key")
 
 
 def rendered(modules: DataFrame, current: list[str] | None = None) -> DataFrame:
     """(place, line): the tree in pre-order, indented by depth; the current module is marked."""
     here = F.col("path") == F.array(*map(F.lit, current)) if current else F.lit(False)
     line = F.concat(F.expr("repeat('  ', depth)"), "name", F.when(here, " (current module)").otherwise(""))
-    return with_ordinals(modules).select(F.row_number().over(Window.orderBy(order_key(F.col("ords")))).cast("long").alias("place"), line.alias("line"))
+    return graph.numbered(with_ordinals(modules).select(order_key(F.col("ords")).alias("key"), line.alias("line")), ["key"], "place").select("place", "line")
 
 
 def child_documents(modules: DataFrame, docs: DataFrame, target: list[str]) -> DataFrame:
@@ -75,13 +73,13 @@ def cluster(leaves: DataFrame, tokens: Callable[[Column], Column], group: Callab
     ``group`` maps (path, id) to (path, id, name): the sub-group of each component. A group that doesn't shrink, or
     gives one sub-group, ends. Returns the tree; each level is one job, however many groups it has.
     """
-    members = saved(leaves.select(F.array().cast("array<string>").alias("path"), "id", tokens(F.col("text")).alias("tokens")))
+    members = graph.saved(leaves.select(F.array().cast("array<string>").alias("path"), "id", tokens(F.col("text")).alias("tokens")))
     out = None
     for depth in range(most_depth):
         size = members.groupBy("path").agg(F.sum("tokens").alias("total"), F.count("*").alias("n")).filter(F.col("total") > threshold)
         named = group(members.join(size.select("path"), "path", "left_semi").select("path", "id"))
         named = named.join(named.groupBy("path").agg(F.count_distinct("name").alias("names")).filter("names > 1").select("path"), "path", "left_semi")
-        members = saved(named.join(members.select("path", "id", "tokens"), ["path", "id"]).select(F.concat("path", F.array("name")).alias("path"), "id", "tokens"))
+        members = graph.saved(named.join(members.select("path", "id", "tokens"), ["path", "id"]).select(F.concat("path", F.array("name")).alias("path"), "id", "tokens"))
         if members.isEmpty():
             break
         level = members.groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("components")).select(
@@ -97,7 +95,7 @@ def generate(modules: DataFrame, existing: DataFrame, leaf_text: Callable[[DataF
 
     ``leaf_text`` maps modules to (path, body); ``parent_text`` maps (path, name, children array<struct<name, body>>) to the same.
     """
-    docs = saved(existing.select("path", "body"))
+    docs = graph.saved(existing.select("path", "body"))
     deepest = modules.agg(F.max("depth")).first()[0]
     leaf = leaf_modules(modules)
     for depth in range(-1 if deepest is None else deepest, -1, -1):
@@ -105,7 +103,7 @@ def generate(modules: DataFrame, existing: DataFrame, leaf_text: Callable[[DataF
         children = modules.join(docs, "path").select(F.col("parent").alias("path"), F.struct("ord", "name", "body").alias("child"))
         grouped = todo.join(leaf.select("path"), "path", "left_anti").join(children, "path").groupBy("path", "name").agg(F.array_sort(F.collect_list("child")).alias("children"))
         wave = leaf_text(todo.join(leaf.select("path"), "path", "left_semi")).unionByName(parent_text(grouped))
-        docs = saved(docs.unionByName(wave.select("path", "body")))
+        docs = graph.saved(docs.unionByName(wave.select("path", "body")))
     return docs
 
 

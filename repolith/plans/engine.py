@@ -46,7 +46,7 @@ def analyze(spark: SparkSession, root: str, include: list[str] | None = None, ex
     edges = graph.saved(resolve.first_edges(resolve.resolve_calls(extract.edges_of(rows), components)))
     deps = graph.saved(resolve.dependencies(edges, components))
     valid = components.filter(predicates.valid_leaf(F.col("id"), F.col("component_type")))
-    leaves = graph.saved(graph.leaves(valid.select("id"), deps))
+    leaves = graph.saved(graph.leaves(valid.select("id"), graph.without_cycles(deps)[0]))
     return Analysis(files.drop("content"), code.drop("content"), components, edges, deps, leaves, rows.filter("kind = 'error'").select("file_path", "error"))
 
 

@@ -222,9 +222,12 @@ def g10_module_paths(spark, sf_dir):
     return resolve.module_paths(components(spark, sf_dir))
 
 
-@query(f"""WITH {COMPONENTS}, {EDGES}, e AS (SELECT DISTINCT split_part(caller, '.', -1) AS a, split_part(callee, '.', -1) AS b FROM deduped),
-c AS (SELECT a, string_agg(b, ',' ORDER BY b) AS calls, bool_or(a = b) AS own FROM e GROUP BY a), d AS (SELECT b, string_agg(a, ',' ORDER BY a) AS called_by FROM e GROUP BY b)
-SELECT id, coalesce(calls, '') AS calls, coalesce(called_by, '') AS called_by, coalesce(own, false) AS is_recursive FROM comp LEFT JOIN c ON a = split_part(id, '.', -1) LEFT JOIN d ON b = split_part(id, '.', -1)""")
+@query(f"""WITH {COMPONENTS}, {EDGES}, n AS (SELECT DISTINCT name FROM comp),
+c AS (SELECT name, string_agg(split_part(callee, ':', -1), ',' ORDER BY seq) AS calls FROM n JOIN deduped ON ends_with(caller, name) WHERE is_resolved GROUP BY name),
+d AS (SELECT name, string_agg(split_part(caller, ':', -1), ',' ORDER BY seq) AS called_by FROM n JOIN deduped ON ends_with(callee, name) WHERE is_resolved GROUP BY name),
+o AS (SELECT DISTINCT name FROM n JOIN deduped ON ends_with(caller, name) AND callee = name)
+SELECT id, coalesce(calls, '') AS calls, coalesce(called_by, '') AS called_by, o.name IS NOT NULL AS is_recursive
+FROM comp LEFT JOIN c ON c.name = comp.name LEFT JOIN d ON d.name = comp.name LEFT JOIN o ON o.name = comp.name""")
 def j8_g9_call_lists(spark, sf_dir):
     comps = components(spark, sf_dir).withColumn("docstring", F.col("source_code"))
     out = resolve.call_lists(comps, resolve.first_edges(resolved(spark, sf_dir)))
@@ -253,6 +256,7 @@ def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return s.select(k.alias("id")), s.select(k.alias("src"), ((k * k + k + 3) % n).alias("dst"))
 
 
+#: Each node has one edge, so a component is one cycle and loses the edge into its least id.
 GRAPH = """RECURSIVE g AS (SELECT s_suppkey AS src, (s_suppkey * s_suppkey + s_suppkey + 3) % (SELECT count(*) FROM supplier) AS dst FROM supplier),
 closure AS (SELECT src, dst FROM g UNION SELECT c.src, g.dst FROM closure c JOIN g ON g.src = c.dst),
 scc AS (SELECT a.src AS id, min(a.dst) AS scc FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1)"""
@@ -260,7 +264,7 @@ scc AS (SELECT a.src AS id, min(a.dst) AS scc FROM closure a JOIN closure b ON a
 
 @query(f"WITH {GRAPH} SELECT src, dst FROM closure")
 def g_reachable_pairs(spark, sf_dir):
-    return graph.reachable(supplier_graph(spark, sf_dir)[1])
+    return graph.reachable(supplier_graph(spark, sf_dir)[1]).select("src", "dst")
 
 
 @query(f"WITH {GRAPH} SELECT id, scc FROM scc")
@@ -268,13 +272,13 @@ def g1_cycles(spark, sf_dir):
     return graph.cycles(supplier_graph(spark, sf_dir)[1])
 
 
-@query(f"WITH {GRAPH} SELECT g.src, g.dst FROM g LEFT JOIN scc a ON a.id = g.src LEFT JOIN scc b ON b.id = g.dst WHERE (a.scc = b.scc AND g.src <= g.dst) OR g.src = g.dst")
+@query(f"WITH {GRAPH} SELECT g.src, g.dst FROM g LEFT JOIN scc a ON a.id = g.src LEFT JOIN scc b ON b.id = g.dst WHERE (a.scc = b.scc AND g.dst = b.scc) OR g.src = g.dst")
 def g2_removed_cycle_edges(spark, sf_dir):
     return graph.without_cycles(supplier_graph(spark, sf_dir)[1])[1]
 
 
 ACYCLIC = GRAPH + """,
-dag AS (SELECT g.src, g.dst FROM g LEFT JOIN scc a ON a.id = g.src LEFT JOIN scc b ON b.id = g.dst WHERE NOT coalesce((a.scc = b.scc AND g.src <= g.dst) OR g.src = g.dst, false)),
+dag AS (SELECT g.src, g.dst FROM g LEFT JOIN scc a ON a.id = g.src LEFT JOIN scc b ON b.id = g.dst WHERE NOT coalesce((a.scc = b.scc AND g.dst = b.scc) OR g.src = g.dst, false)),
 walk AS (SELECT s_suppkey AS id, 0 AS level FROM supplier UNION ALL SELECT dag.src, walk.level + 1 FROM walk JOIN dag ON dag.dst = walk.id)"""
 
 
@@ -290,9 +294,10 @@ def g4_dependency_order(spark, sf_dir):
     return graph.post_order(nodes, graph.without_cycles(edges)[0])
 
 
-@query(f"WITH {GRAPH} SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT dst FROM g)")
+@query(f"WITH {ACYCLIC} SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT dst FROM dag)")
 def g5_g6_roots(spark, sf_dir):
-    return graph.leaves(*supplier_graph(spark, sf_dir), threshold=1)
+    nodes, edges = supplier_graph(spark, sf_dir)
+    return graph.leaves(nodes, graph.without_cycles(edges)[0], threshold=1)
 
 
 # A module tree of regions, nations and segments.
@@ -377,8 +382,14 @@ def w2_w4_job_states(spark, sf_dir):
     return jobs.latest_states(job_events(spark, sf_dir)).select("job_id", "status", _iso("created_at"), _iso("completed_at"))
 
 
-@query(f"""WITH {JOBS}, p AS (SELECT *, lag(status) OVER w AS l, lag(ts) OVER w AS lt FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts, ord))
-SELECT job_id, ord, CASE WHEN l IN ('queued', 'processing') THEN 'running' WHEN l = 'failed' AND ts < lt + INTERVAL 3 MINUTE THEN 'cooling' ELSE 'admitted' END AS decision FROM p WHERE status = 'queued'""")
+@query(f"""WITH RECURSIVE {JOBS}, p AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, ord) AS i FROM e),
+step AS (SELECT job_id, ord, i, status AS event, status AS now, ts AS created, 'admitted' AS decision FROM p WHERE i = 1
+UNION ALL SELECT p.job_id, p.ord, p.i, p.status,
+  CASE WHEN p.status <> 'queued' THEN p.status WHEN s.now = 'failed' AND p.ts < s.created + INTERVAL 3 MINUTE THEN s.now WHEN s.now IN ('queued', 'processing') THEN s.now ELSE 'queued' END,
+  CASE WHEN p.status <> 'queued' OR s.now IN ('queued', 'processing') OR (s.now = 'failed' AND p.ts < s.created + INTERVAL 3 MINUTE) THEN s.created ELSE p.ts END,
+  CASE WHEN s.now IN ('queued', 'processing') THEN 'running' WHEN s.now = 'failed' AND p.ts < s.created + INTERVAL 3 MINUTE THEN 'cooling' ELSE 'admitted' END
+  FROM step s JOIN p ON p.job_id = s.job_id AND p.i = s.i + 1)
+SELECT job_id, ord, decision FROM step WHERE event = 'queued'""")
 def w3_admissions(spark, sf_dir):
     return jobs.admitted(job_events(spark, sf_dir)).select("job_id", "ord", "decision")
 

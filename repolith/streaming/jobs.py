@@ -8,27 +8,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "status string, ts timestamp"
+from repolith.operators.jobs import decisions
+
+STATE = "status string, created_at timestamp"
 DECISIONS = "job_id long, ts timestamp, ord long, decision string"
 
 
 def _decide(minutes: int):
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, last_ts = state.get if state.exists else (None, None)
-        out = []
-        for event in pd.concat(list(batches)).sort_values(["ts", "ord"]).itertuples():
-            if event.status == "queued":
-                cooling = last == "failed" and event.ts < last_ts + pd.Timedelta(minutes=minutes)
-                out.append((key[0], event.ts, event.ord, "running" if last in ("queued", "processing") else "cooling" if cooling else "admitted"))
-            last, last_ts = event.status, event.ts
-        state.update((last, last_ts))
+        events = pd.concat(list(batches)).sort_values(["ts", "ord"])
+        out, job = decisions(key[0], list(zip(events["ts"], events["ord"], events["status"])), state.get if state.exists else None, minutes)
+        if job:
+            state.update(job)
         yield pd.DataFrame(out, columns=["job_id", "ts", "ord", "decision"])
 
     return decide
 
 
 def admissions(events: DataFrame, minutes: int = 3) -> DataFrame:
-    """A decision for each queued event, from the job's last event; state is one row per job."""
+    """A decision for each queued event, as ``operators.jobs.admitted`` makes it; state is one row per job."""
     return events.groupBy("job_id").applyInPandasWithState(_decide(minutes), DECISIONS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

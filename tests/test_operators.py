@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.functions import text, urls
-from repolith.operators import graph, jobs, tree
+from repolith.operators import graph, jobs, resolve, tree
 from repolith.plans import witness
 
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e"), ("f", "ghost")]
@@ -28,8 +28,53 @@ def test_graph(small):
     assert {r.id: r.degree for r in graph.degrees(nodes, known).collect()} == {"a": 2, "b": 2, "c": 3, "d": 1, "e": 1, "f": 0}
     assert [r.id for r in graph.most_connected(nodes, edges, 2).collect()] == ["c", "a"]
     kept, removed = graph.without_cycles(known)
-    assert {tuple(r) for r in removed.collect()} == {("a", "b"), ("b", "c"), ("e", "e")}
-    assert {r.id: r.level for r in graph.dependency_levels(nodes, kept).collect()} == {"a": 0, "b": 0, "d": 0, "e": 0, "f": 0, "c": 1}
+    assert {tuple(r) for r in removed.collect()} == {("c", "a"), ("e", "e")}
+    assert {r.id: r.level for r in graph.dependency_levels(nodes, kept).collect()} == {"a": 2, "b": 1, "d": 0, "e": 0, "f": 0, "c": 0} | ({"c": 1, "b": 2, "a": 3} if ("c", "d") in EDGES else {})
+
+
+def test_a_single_back_edge_goes_alone(spark):
+    """One edge back in a graph of edges that all lead up; a group of nodes without others keeps a leaf."""
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(a + 1, 6)] + [(5, 0)], "src long, dst long")
+    assert [tuple(r) for r in graph.without_cycles(edges)[1].collect()] == [(5, 0)]
+    pair = spark.createDataFrame([("A", "B"), ("B", "A")], "src string, dst string")
+    nodes = spark.createDataFrame([("A",), ("B",)], "id string")
+    assert [r.id for r in graph.leaves(nodes, graph.without_cycles(pair)[0], threshold=2).collect()] == ["A"]
+
+
+def test_refused_requests_leave_the_job(spark):
+    t = datetime(2024, 1, 1)
+    at = lambda minutes: t + timedelta(minutes=minutes)
+    rows = [(1, at(0), 0, "queued"), (1, at(1), 1, "failed"), (1, at(2), 2, "queued"), (1, at(2.5), 3, "queued"), (1, at(3), 4, "queued"), (1, at(4), 5, "queued"), (1, at(9), 6, "completed"), (1, at(9), 7, "queued")]
+    events = spark.createDataFrame(rows, "job_id long, ts timestamp, ord long, status string")
+    assert [r.decision for r in jobs.admitted(events).orderBy("ord").collect()] == ["admitted", "cooling", "cooling", "admitted", "running", "admitted"]
+
+
+def test_call_lists(spark):
+    comps = spark.createDataFrame([("m.foo", "foo", "d/m.py", "Does.\nMore"), ("m.xfoo", "xfoo", "d/m.py", ""), ("n.bar", "bar", "n.py", None)], "id string, name string, file_path string, docstring string")
+    edges = spark.createDataFrame([(0, "m.xfoo", "n.bar", True), (1, "m.foo", "foo", False), (2, "n.bar", "d/m.py:foo", True), (3, "m.foo", "lost", False)], "seq long, caller string, callee string, is_resolved boolean")
+    got = {r.name: (r.file, r.summary, r.calls, r.called_by, r.is_recursive) for r in resolve.call_lists(comps, edges).collect()}
+    assert got == {"foo": ("m.py", "Does.", ["n.bar"], ["n.bar"], True), "xfoo": ("m.py", "", ["n.bar"], [], False), "bar": ("n.py", None, ["foo"], ["m.xfoo"], False)}
+
+
+def test_calls_on_builtins():
+    from repolith.operators.extract import python_source
+
+    code = "def f():\n id(1); len(2); str.join(a); str.x.y(); str.x.y.z(); a.b.c.d.e(); g().h.i(); hash(3)\n"
+    assert [r["callee"] for r in python_source.analyze("m.py", code) if r["kind"] == "edge"] == ["id", "y", "y.z", "a.b.c.d.e", "h.i", "g", "hash"]
+
+
+def test_excluded_paths(spark):
+    from repolith.functions import predicates
+
+    paths = ["bin/a", "a/bin/b", "binary/x", "x/y.tmp", "y.tmp", "a/b\nc/bin", "keep/z", "deep/er/z", "deep/er", "bin\n"]
+    df = spark.createDataFrame([(p, p.split("/")[-1]) for p in paths], "path string, name string")
+    hit = [r[0] for r in df.select(predicates.excluded(F.col("path"), F.col("name"), ("bin", "*.tmp", "deep/er/"))).collect()]
+    assert hit == [True, True, False, True, True, True, False, True, True, False]
+
+
+def test_numbers_of_long_texts(spark):
+    lines = spark.range(1).select(text.numbered_lines(F.lit("a\nb"), 999_999).alias("t")).first().t
+    assert lines == "999999\ta\n1000000\tb"
 
 
 def test_random_graphs_become_acyclic(spark):

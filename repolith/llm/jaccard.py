@@ -333,15 +333,17 @@ class Links:
 
 def _cells(near: DataFrame, components: DataFrame) -> DataFrame:
     """(node, cell) of sets in cells; a cell is named by its representative, the set of a component that is head of most
-    pairs (a, b). A set goes to the largest component among its own and those of its near heads. Cells that are one
-    component need none: its sets are linked already."""
-    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    placed = components.join(sizes, "component")
-    heads = near.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("pairs")).join(placed, "node")
-    leads = shared.written(heads.groupBy("component", "size").agg(F.max_by("node", F.struct("pairs", -F.col("node"))).alias("cell")), "cell-leads")
-    own = components.select("node", "component", F.lit(False).alias("foreign"))
+    pairs (a, b). A set that is linked with none is a component too, so that a family without links has a cell. A set
+    goes to the representative of most pairs among that of its own component and those of its near heads'. Cells that
+    are one component need none: its sets are linked already."""
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(components, "node", "left")
+    nodes = shared.written(nodes.withColumn("component", F.coalesce("component", "node")), "cell-nodes")
+    heads = near.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("pairs")).join(nodes, "node")
+    leads = heads.groupBy("component").agg(F.max(F.struct("pairs", "node")).alias("lead")).select("component", "lead.pairs", F.col("lead.node").alias("cell"))
+    leads = shared.written(leads, "cell-leads")
+    own = nodes.select("node", "component", F.lit(False).alias("foreign"))
     other = _apart(near, components).select(F.col("b").alias("node"), F.col("c").alias("component"), F.lit(True).alias("foreign"))
-    places = own.unionByName(other).join(leads, "component").groupBy("node").agg(F.max_by(F.struct("cell", "foreign"), F.struct("size", -F.col("component"))).alias("to"))
+    places = own.unionByName(other).join(leads, "component").groupBy("node").agg(F.max(F.struct("pairs", "cell", "foreign")).alias("to"))
     places = shared.written(places.select("node", "to.cell", "to.foreign"), "cell-places")
     return places.join(places.filter("foreign").select("cell").distinct(), "cell").select("node", "cell")
 
@@ -422,14 +424,21 @@ def _across(postings: DataFrame, components: DataFrame, cells: DataFrame, percen
     return pairs.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
 
 
-def _frequent(reps: DataFrame, leads: DataFrame, width: int, percent: int, frequent: int, most_frequent: int):
-    """The broadcast :class:`Frequent` shingles."""
-    low = leads.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 80 + 4))).first()[0] or 0
-    least = max(frequent, -(-int(low) // most_frequent))
+def _frequent(reps: DataFrame, width: int, percent: int, frequent: int, most_frequent: int):
+    """The broadcast :class:`Frequent` shingles: those of more than ``frequent`` sets, or of more than the least count that
+    leaves ``most_frequent`` of them at each of two counts."""
     context = reps.sparkSession.sparkContext
 
     def often(known=None) -> pa.Table:
         counts = reps.select("text").mapInArrow(_counted_shingles(width, percent, known), "token long").groupBy("token").count()
+        counts = shared.written(counts.filter(F.col("count") > frequent), "frequent")
+        # As many rows as there are different counts.
+        by_count = sorted((r["count"], r["tokens"]) for r in counts.groupBy("count").agg(F.count("*").alias("tokens")).collect())
+        held, least = sum(n for _, n in by_count), frequent
+        for count, n in by_count:
+            if held <= most_frequent:
+                break
+            held, least = held - n, count
         return counts.filter(F.col("count") > least).toArrow()
 
     def as_frequent(table: pa.Table):
@@ -450,7 +459,7 @@ def _components(sized: DataFrame, rows: DataFrame, width: int, percent: int, fre
     # Equal sets: only one row goes on.
     others = shared.written(sized.select("rid").distinct().join(leads.select("rid"), "rid", "left_anti"), "copies")
     reps = bloom.anti_join(rows, others, "rid", bits)
-    known = _frequent(reps, leads, width, percent, frequent, most_frequent)
+    known = _frequent(reps, width, percent, frequent, most_frequent)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = reps.select("text").mapInArrow(_postings(width, percent, known), "token long, salt int, node long, n int, pos int")
     lists = postings.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "pos", "n", "node")
@@ -493,8 +502,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, frequent
     Sets of distinct ``width``-word shingles (ASCII lower-cased) link when 100 * intersection >= ``percent`` * union;
     component_id is the least doc_id that links reach. Texts without words and null ids link with nothing: their
     component is their own id. Rows that repeat an id are one node, whatever their texts. Texts may be of any length;
-    an empty table gives an empty table; other columns are ignored. Shingles of more than ``frequent`` sets, or of more
-    where they would be over ``most_frequent``, come late in the order, by classes of their count; at most twice
+    an empty table gives an empty table; other columns are ignored. Shingles of more than ``frequent`` sets, or of as many
+    more as leave ``most_frequent`` of them, come late in the order, by classes of their count; at most twice
     ``most_frequent`` of them (20 MB) go to the driver and to tasks. The order never changes results.
     """
     with shared.scope(docs.sparkSession):

@@ -124,8 +124,12 @@ def definition_patterns(lang: Column) -> Column:
     return F.coalesce(F.element_at(table, F.lower(lang)), F.element_at(table, F.lit("general")))
 
 
+#: Node types that are component types of their own.
+NODE_TYPES = ("class", "interface", "struct", "enum", "record", "abstract class", "annotation", "delegate")
+
+
 def component_type(is_method: Column, node_type: Column, default: str = "function") -> Column:
-    return F.when(is_method, "method").when(node_type.isin("class", "interface", "struct", "enum", "record"), node_type).otherwise(default)
+    return F.when(is_method, "method").when(node_type.isin(*NODE_TYPES), node_type).otherwise(default)
 
 
 def top_tier_model(model: Column, tiers: tuple[str, ...] = ("opus", "sonnet", "gpt-4", "gpt-5", "gemini-2.5")) -> Column:

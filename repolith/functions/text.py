@@ -14,12 +14,28 @@ def truncated(content: Column, most: int = MOST_CHARS, notice: str = CUT_NOTICE)
     return F.when(F.length(content) > most, F.concat(F.left(content, F.lit(most)), F.lit(notice))).otherwise(content)
 
 
+def tabs_expanded(content: Column, width: int = 8) -> Column:
+    """Tabs as spaces up to the next stop; each tab ends at one, so what precedes the next tab starts at column 0 of a stop."""
+
+    def filled(parts: Column) -> Column:
+        to_stop = lambda p: F.rpad(p, (F.floor(F.length(p) / width) + 1).cast("int") * width, " ")
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, to_stop(p)).otherwise(p)), "")
+
+    lines = F.transform(F.split(content, r"(?<=[\n\r])"), lambda line: filled(F.split(line, "\t")))
+    return F.when(F.contains(content, F.lit("\t")), F.array_join(lines, "")).otherwise(content)
+
+
 def numbered_lines(content: Column, first: int = 1) -> Column:
     """Lines behind six-wide numbers and a tab."""
     lines = F.split(content, "\n")
     return F.array_join(F.transform(lines, lambda line, i: F.concat(F.repeat(F.lit(" "), 6 - F.length((i + first).cast("string"))), (i + first).cast("string"), F.lit("\t"), line)), "\n")
 
 
+def editor_output(content: Column, first: int = 1) -> Column:
+    """What an editor shows of a text: cut, then without tabs, then numbered."""
+    return numbered_lines(tabs_expanded(truncated(content)), first)
+
+
 def line_range(content: Column, first: Column, last: Column) -> Column:
     """Lines ``first`` to ``last`` (-1: to the end); null where the range is not within the text."""
     lines = F.split(content, "\n")
@@ -33,11 +49,15 @@ def occurrences(content: Column, part: Column) -> Column:
 
 
 def replace_once(content: Column, old: Column, new: Column) -> Column:
-    """A struct of ``ok``, ``text`` and ``message``: replaced only where ``old`` occurs exactly once and differs from ``new``."""
-    n = occurrences(content, old)
+    """A struct of ``ok``, ``text``, ``message`` and ``lines``: replaced only where ``old`` occurs exactly once and differs from
+    ``new``, all three without tabs; ``lines`` lists the lines of an ``old`` that occurs more often."""
+    plain, old, new = tabs_expanded(content), tabs_expanded(old), tabs_expanded(new)
+    n = occurrences(plain, old)
     ok = (n == 1) & (old != new)
-    message = F.when(old == new, "same text").when(n == 0, "not found").when(n > 1, F.concat(F.lit("found "), n.cast("string"), F.lit(" times"))).otherwise("replaced")
-    return F.struct(ok.alias("ok"), F.when(ok, F.replace(content, old, new)).otherwise(content).alias("text"), message.alias("message"))
+    numbered = F.transform(F.split(plain, "\n"), lambda line, i: F.struct((i + 1).alias("i"), F.contains(line, old).alias("hit")))
+    lines = F.when(n > 1, F.transform(F.filter(numbered, lambda x: x["hit"]), lambda x: x["i"]))
+    message = F.when(n == 0, "not found").when(n > 1, F.concat(F.lit("found "), n.cast("string"), F.lit(" times"))).when(old == new, "same text").otherwise("replaced")
+    return F.struct(ok.alias("ok"), F.when(ok, F.replace(plain, old, new)).otherwise(content).alias("text"), message.alias("message"), lines.alias("lines"))
 
 
 def insert_after(content: Column, line: Column, new: Column) -> Column:
@@ -67,31 +87,69 @@ def html_escaped(text: Column) -> Column:
     return text
 
 
+def html_unescaped(text: Column) -> Column:
+    for plain, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"), ("&", "&amp;")):
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    return text
+
+
+#: How rendered pages open and close a diagram's code, and the element that shows it.
+DIAGRAM_OPEN, DIAGRAM_CLOSE, DIAGRAM_DIV = '<pre><code class="language-mermaid">', "</code></pre>", '<div class="mermaid">'
+
+
+def diagram_divs(html: Column) -> Column:
+    """Code blocks of diagrams as elements that show them, their entities resolved; a block that never closes stays."""
+
+    def shown(part: Column) -> Column:
+        end = F.locate(DIAGRAM_CLOSE, part)
+        body = html_unescaped(F.left(part, end - 1))
+        return F.when(end > 0, F.concat(F.lit(DIAGRAM_DIV), body, F.lit("</div>"), F.substr(part, end + len(DIAGRAM_CLOSE)))).otherwise(F.concat(F.lit(DIAGRAM_OPEN), part))
+
+    parts = F.split(html, DIAGRAM_OPEN)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(shown(p))), "")
+
+
 def mermaid_blocks(text: Column) -> Column:
-    """array<struct<line, body>> of fenced diagrams: the fence's 1-based line and what is inside; blank ones are left out,
-    an open one runs to the end."""
+    """array<struct<line, body>> of fenced diagrams: the fence's 1-based line and what is inside; those without a line are
+    left out, an open one runs to the end. Only fences pass through the running state, as line numbers."""
     lines = F.split(text, "\n")
-    empty = F.array().cast("array<struct<line: int, body: array<string>, open: boolean>>")
-    opens = lambda s: F.trim(s).startswith("```mermaid")
-    closes = lambda s: F.trim(s) == "```"
-
-    def step(state: Column, row: Column) -> Column:
-        last = F.get(state, F.size(state) - 1)
-        inside = F.coalesce(last["open"], F.lit(False))
-        rest = F.slice(state, F.lit(1), F.size(state) - 1)
-        shut = F.struct(last["line"].alias("line"), last["body"].alias("body"), F.lit(False).alias("open"))
-        more = F.struct(last["line"].alias("line"), F.concat(last["body"], F.array(row["s"])).alias("body"), F.lit(True).alias("open"))
-        new = F.struct(row["i"].alias("line"), F.array().cast("array<string>").alias("body"), F.lit(True).alias("open"))
-        return (
-            F.when(inside & closes(row["s"]), F.concat(rest, F.array(shut)))
-            .when(inside, F.concat(rest, F.array(more)))
-            .when(opens(row["s"]), F.concat(state, F.array(new)))
-            .otherwise(state)
-        )
-
-    numbered = F.transform(lines, lambda s, i: F.struct((i + 1).alias("i"), s.alias("s")))
-    blocks = F.transform(F.aggregate(numbered, empty, step), lambda b: F.struct(b["line"].alias("line"), F.array_join(b["body"], "\n").alias("body")))
-    return F.filter(blocks, lambda b: F.trim(b["body"]) != "")
+    fence = lambda s, i: F.struct((i + 1).alias("i"), s.rlike(r"^\s*```mermaid").alias("opens"), s.rlike(r"^\s*```\s*$").alias("closes"))
+    fences = F.filter(F.transform(lines, fence), lambda f: f["opens"] | f["closes"])
+    state = lambda spans, at: F.struct(spans.alias("spans"), at.alias("at"))
+    closed = lambda s, i: F.concat(s["spans"], F.array(F.struct(s["at"].alias("line"), i.alias("end"))))
+
+    def step(s: Column, f: Column) -> Column:
+        inside = s["at"] > 0
+        return F.when(inside & f["closes"], state(closed(s, f["i"]), F.lit(0))).when(~inside & f["opens"], state(s["spans"], f["i"])).otherwise(s)
+
+    none = state(F.array().cast("array<struct<line: int, end: int>>"), F.lit(0))
+    spans = F.aggregate(fences, none, step, lambda s: F.when(s["at"] > 0, closed(s, F.size(lines) + 1)).otherwise(s["spans"]))
+    inside = F.filter(spans, lambda b: b["end"] - b["line"] > 1)
+    return F.transform(inside, lambda b: F.struct(b["line"].alias("line"), F.array_join(F.slice(lines, b["line"] + 1, b["end"] - b["line"] - 1), "\n").alias("body")))
+
+
+def diagram_error(number: Column, fence_line: Column, error: Column) -> Column:
+    """A validator's error on a diagram with its line counted in the file; null without an error."""
+    line = F.regexp_extract(error, r"line (\d+)", 1)
+    rest = F.array_join(F.slice(F.split(error, "\n"), F.lit(2), F.size(F.split(error, "\n"))), "\n")
+    placed = F.concat(F.lit("Parse error on line "), (fence_line + F.try_to_number(line, F.lit("999999999")).cast("int")).cast("string"), F.lit(":\n"), rest)
+    return F.when(error != "", F.concat(F.lit("Diagram "), number.cast("string"), F.lit(": "), F.when(line != "", placed).otherwise(error)))
+
+
+def lint_error(line: Column) -> Column:
+    """A struct of filename, line, col and problem from ``file:line:col: problem``; null where the line is none."""
+    at = F.locate(": ", line)
+    parts = F.split(F.when(at > 0, F.left(line, at - 1)).otherwise(line), ":")
+    number = lambda i: F.trim(F.get(parts, F.lit(i))).try_cast("int")
+    good = (F.size(parts) == 3) & number(1).isNotNull() & number(2).isNotNull()
+    problem = F.when(at > 0, F.substr(line, at + 2)).otherwise("")
+    return F.when(good, F.struct(F.get(parts, F.lit(0)).alias("filename"), number(1).alias("line"), number(2).alias("col"), problem.alias("problem")))
+
+
+def titled(name: Column) -> Column:
+    """Underscores as spaces, each run of letters with a capital first."""
+    runs = F.split(F.lower(F.replace(name, F.lit("_"), F.lit(" "))), r"(?<=\P{L})")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, 2, 1 << 30))), "")
 
 
 def masked_key(key: Column, shown: int = 4) -> Column:
@@ -122,6 +180,17 @@ def elapsed(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
 
 
+def eta(seconds: Column, progress: Column) -> Column:
+    """The time that is left at the pace so far; null before any progress."""
+    left = seconds / progress - seconds
+    minutes, rest = F.floor(left / 60), F.floor(left) % 60
+    shown = (
+        F.when(left < 0, "< 1 min").when(minutes > 60, F.format_string("%dh %dm", F.floor(minutes / 60), minutes % 60))
+        .when(minutes > 0, F.format_string("%dm %ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
+    )
+    return F.when(progress > 0, shown)
+
+
 def first_items(items: Column, n: int = 3) -> Column:
     """The first n and how many more there are."""
     more = F.size(items) - n
@@ -140,15 +209,36 @@ def docs_file_allowed(name: Column) -> Column:
     return name.endswith(".md") & ~name.startswith("/") & ~F.array_contains(F.split(name, "/"), "..")
 
 
+#: The language of a fence by file extension.
+FENCES = {
+    ".py": "python", ".md": "markdown", ".sh": "bash", ".json": "json", ".yaml": "yaml", ".java": "java", ".js": "javascript", ".ts": "typescript",
+    ".cpp": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp", ".tsx": "typescript", ".cc": "cpp", ".cxx": "cpp", ".jsx": "javascript", ".mjs": "javascript",
+    ".cjs": "javascript", ".cs": "csharp",
+}
+
+
 def fence_language(ext: Column) -> Column:
-    table = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".cs": "csharp", ".c": "c", ".h": "c", ".cpp": "cpp", ".md": "markdown", ".sh": "bash", ".json": "json", ".yaml": "yaml", ".yml": "yaml"}
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), ext), F.lit(""))
+    """Empty for other extensions."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FENCES.items() for x in kv]), ext), F.lit(""))
 
 
 def branch_name(t: Column, prefix: str = "docs/repolith") -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.date_format(t, "yyyyMMdd-HHmmss"))
 
 
+def unused_name(name: Column, taken: Column) -> Column:
+    """``name``, or with the least counter from 1 under which it isn't among ``taken``."""
+    counters = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda i: F.concat(name, F.lit("-"), i.cast("string")))
+    free = F.get(F.filter(counters, lambda c: ~F.array_contains(taken, c)), F.lit(0))
+    return F.when(F.array_contains(taken, name), free).otherwise(name)
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8, or else Latin-1; line ends become line feeds."""
+    whole = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+    return F.regexp_replace(whole, "\\r\\n?", "\n")
+
+
 def info_panel(model: Column, t: Column, commit: Column, components: Column, depth: Column) -> Column:
     return F.concat_ws(
         " | ", model, F.date_format(t, "yyyy-MM-dd HH:mm"), F.left(commit, F.lit(8)),

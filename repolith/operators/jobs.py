@@ -51,6 +51,22 @@ def admitted(requests: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
     return requests.groupBy("job_id").applyInPandas(decide, f"job_id {kinds['job_id']}, ts {kinds['ts']}, ord {kinds['ord']}, decision string")
 
 
+def queued_runs(requests: DataFrame, capacity: int = QUEUE) -> DataFrame:
+    """``requests`` (queue, ts, ord, seconds) through first-in-first-out queues of ``capacity`` places with one consumer each:
+    ``entered`` (a full queue makes a request wait for a place), ``started`` and ``finished``, in seconds since the epoch.
+
+    A run ends at the latest of (arrival of an earlier request + all work from it on), which is a running maximum of the
+    arrival less the work before it; so one window over (queue), sorted, gives all times. A task holds one row at a time.
+    """
+    by = Window.partitionBy("queue").orderBy("ts", "ord")
+    until = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    work = F.sum("seconds").over(until)
+    rows = requests.withColumn("arrived", F.unix_micros("ts") / 1_000_000).withColumn("work", work)
+    rows = rows.withColumn("finished", F.max(F.col("arrived") - F.col("work") + F.col("seconds")).over(until) + F.col("work"))
+    rows = rows.withColumn("started", F.col("finished") - F.col("seconds"))
+    return rows.withColumn("entered", F.greatest("arrived", F.lag("started", capacity).over(by))).drop("work", "arrived")
+
+
 def valid_entries(cache: DataFrame, now: Column, days: int = TTL_DAYS) -> DataFrame:
     """Entries younger than the limit; one exactly as old has expired."""
     return cache.filter(now < F.col("created_at") + F.make_dt_interval(days=F.lit(days)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolith.functions import text
 from repolith.operators import graph
 
 #: Token thresholds of grouping and delegation, and the deepest delegation.
@@ -51,6 +53,33 @@ def rendered(modules: DataFrame, current: list[str] | None = None) -> DataFrame:
     return graph.numbered(with_ordinals(modules).select(order_key(F.col("ords")).alias("key"), line.alias("line")), ["key"], "place").select("place", "line")
 
 
+def outlined(modules: DataFrame, current: list[str] | None = None) -> DataFrame:
+    """(place, line): the tree in pre-order with each module's components, two levels of indent for each depth; the line
+    that announces children stands before them. The current module is marked."""
+    parents = modules.select(F.col("parent").alias("path")).distinct().withColumn("has_children", F.lit(True))
+    here = F.col("path") == F.array(*map(F.lit, current)) if current else F.lit(False)
+    pad = lambda more: F.expr(f"repeat('  ', 2 * depth + {more})")
+    lines = F.array(
+        F.concat(pad(0), "name", F.when(here, " (current module)").otherwise("")),
+        F.concat(pad(1), F.lit(" Core components: "), F.array_join("components", ", ")),
+        F.when(F.col("has_children"), F.concat(pad(1), F.lit(" Children:"))),
+    )
+    rows = with_ordinals(modules).join(parents, "path", "left").select(order_key(F.col("ords")).alias("key"), F.posexplode(lines).alias("part", "line"))
+    return graph.numbered(rows.filter("line is not null"), ["key", "part"], "place").select("place", "line")
+
+
+def navigation(modules: DataFrame, page: str = "") -> DataFrame:
+    """Links of the two upper levels (section, title, href, level, active, place): a section without components has a title
+    but no link."""
+    href = F.when((F.col("depth") > 0) | (F.size("components") > 0), F.concat(F.lit("/"), "name", F.lit(".md")))
+    section = F.when(F.col("depth") == 0, F.col("name")).otherwise(F.element_at("parent", 1))
+    rows = with_ordinals(modules.filter("depth < 2")).select(
+        section.alias("section"), text.titled(F.col("name")).alias("title"), href.alias("href"), (F.col("depth") + 1).alias("level"),
+        F.coalesce(href == F.lit(f"/{page}"), F.lit(False)).alias("active"), order_key(F.col("ords")).alias("key"),
+    )
+    return graph.numbered(rows, ["key"], "place").drop("key")
+
+
 def child_documents(modules: DataFrame, docs: DataFrame, target: list[str]) -> DataFrame:
     """Children of the target with their documents' text, empty where there is none."""
     children = modules.filter(F.col("parent") == F.array(*map(F.lit, target)))
@@ -67,15 +96,16 @@ def tagged(reply: Column, tag: str = "OVERVIEW") -> Column:
     return F.trim(F.regexp_extract(reply, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
 
 
-def cluster(leaves: DataFrame, tokens: Callable[[Column], Column], group: Callable[[DataFrame], DataFrame], threshold: int = GROUP_TOKENS, most_depth: int = 8) -> DataFrame:
+def cluster(leaves: DataFrame, tokens: Callable[[Column], Column], group: Callable[[DataFrame], DataFrame], threshold: int = GROUP_TOKENS, most_depth: int | None = None) -> DataFrame:
     """Splits groups of ``leaves`` (id, text) level by level until their tokens fit ``threshold``.
 
     ``group`` maps (path, id) to (path, id, name): the sub-group of each component. A group that doesn't shrink, or
-    gives one sub-group, ends. Returns the tree; each level is one job, however many groups it has.
+    gives one sub-group, ends, so every level has smaller groups and the last one comes. Returns the tree; each level is
+    one job, however many groups it has. ``most_depth`` is a limit that the caller asks for.
     """
     members = graph.saved(leaves.select(F.array().cast("array<string>").alias("path"), "id", tokens(F.col("text")).alias("tokens")))
     out = None
-    for depth in range(most_depth):
+    for depth in itertools.count() if most_depth is None else range(most_depth):
         size = members.groupBy("path").agg(F.sum("tokens").alias("total"), F.count("*").alias("n")).filter(F.col("total") > threshold)
         named = group(members.join(size.select("path"), "path", "left_semi").select("path", "id"))
         named = named.join(named.groupBy("path").agg(F.count_distinct("name").alias("names")).filter("names > 1").select("path"), "path", "left_semi")

@@ -106,6 +106,16 @@ def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) ->
     return spark.read.format("repo").option("path", root).option("exclude", "\n".join(exclude)).load()
 
 
+def with_extensions(files: DataFrame, extensions: tuple[str, ...] | None = None, folder: str = "", recursive: bool = True) -> DataFrame:
+    """``files`` (path, name) below ``folder``, or right in it, whose extension is one of these, case and all; None takes all. A
+    leading dot alone makes no extension."""
+    inside = F.col("path").startswith(f"{folder}/") if folder else F.lit(True)
+    rest = F.substring("path", len(folder) + 2 if folder else 1, 1 << 30)
+    suffix = F.regexp_extract("name", r"(?s)^.*[^.].*?(\.[^./]+)$", 1)
+    kept = inside if recursive else inside & ~F.contains(rest, F.lit("/"))
+    return files.filter(kept if extensions is None else kept & suffix.isin(*extensions))
+
+
 def readme(files: DataFrame) -> DataFrame:
     """The content of the first of the read-me names at the root; null where that one can't be read."""
     names = F.array(*map(F.lit, README_NAMES))

@@ -1,7 +1,7 @@
 """Graphs, trees, jobs, texts and the queries on the driver's tables."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import duckdb
 import pytest
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import text, urls
 from repolith.operators import graph, jobs, resolve, tree
-from repolith.plans import witness
+from repolith.plans import catalog, witness
 
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e"), ("f", "ghost")]
 
@@ -141,20 +141,56 @@ def test_texts(spark):
         assert one(urls.sanitized(F.lit(url))) == clean
     assert one(urls.owner_and_name(F.lit("https://github.com/o/my.github.io"))).name == "myhub.io"
     md = "a\nb\n```mermaid\ngraph\n```\n```mermaid\n\n```\n```mermaid\nopen\nend"
-    assert [tuple(b) for b in one(text.mermaid_blocks(F.lit(md)))] == [(3, "graph"), (9, "open\nend")]
+    assert [tuple(b) for b in one(text.mermaid_blocks(F.lit(md)))] == [(3, "graph"), (6, ""), (9, "open\nend")]
     assert one(text.replace_once(F.lit("a b a"), F.lit("a"), F.lit("c"))).message == "found 2 times"
     assert one(text.title(F.lit("# Hello\nx"), F.lit("a.md"))) == "Hello" and one(text.title(F.lit("x"), F.lit("my_file.md"))) == "My File"
     assert one(text.first_items(F.array(*map(F.lit, "abcde")))) == "a, b, c ... and 2 more"
 
 
-@pytest.mark.parametrize("name", sorted(witness.SQL))
+def test_editor_texts(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    for raw in ("", "\t", "a\tb", "12345678\tx\t", "a\r\tb\n\t\tc", "no tab\n"):
+        assert one(text.tabs_expanded(F.lit(raw))) == raw.expandtabs()
+    assert one(text.replace_once(F.lit("a\tb\na b"), F.lit("a"), F.lit("c"))["lines"]) == [1, 2]
+    assert one(text.replace_once(F.lit("a\tb"), F.lit("a\tb"), F.lit("c"))["text"]) == "c"
+    for line, found in {"x.py:3:4: E1 a: b": ("x.py", 3, 4, "E1 a: b"), "x.py:3:4": ("x.py", 3, 4, ""), "x.py:3: E1": None, "x.py:a:4: E1": None, "": None}.items():
+        assert (got := one(text.lint_error(F.lit(line)))) == found or tuple(got) == found
+    for seconds, progress, left in ((10, 0, None), (10, 0.5, "10s"), (100, 0.5, "1m 40s"), (3660, 0.5, "1h 1m"), (10, 2.0, "< 1 min"), (3600, 0.5, "60m 0s")):
+        assert one(text.eta(F.lit(float(seconds)), F.lit(float(progress)))) == left
+    taken = F.array(*map(F.lit, ("b", "b-1", "b-3")))
+    assert one(text.unused_name(F.lit("b"), taken)) == "b-2" and one(text.unused_name(F.lit("c"), taken)) == "c"
+    assert one(text.unused_name(F.lit("b"), F.array().cast("array<string>"))) == "b"
+    for name in ("my_module", "it's 3d_x", "ÉTÉ", ""):
+        assert one(text.titled(F.lit(name))) == name.replace("_", " ").title()
+    assert one(text.diagram_error(F.lit(2), F.lit(5), F.lit("Error: Parse error on line 3:\nx\ny"))) == "Diagram 2: Parse error on line 8:\nx\ny"
+    assert one(text.diagram_error(F.lit(1), F.lit(5), F.lit("odd"))) == "Diagram 1: odd" and one(text.diagram_error(F.lit(1), F.lit(5), F.lit(None).cast("string"))) is None
+    page = '<pre><code class="language-mermaid">a &amp;lt; b</code></pre><pre><code class="language-mermaid">open'
+    assert one(text.diagram_divs(F.lit(page))) == '<div class="mermaid">a &lt; b</div><pre><code class="language-mermaid">open'
+
+
+def test_queues_equal_a_sequential_consumer(spark):
+    rng = random.Random(3)
+    rows = [("q", datetime(2026, 1, 1) + timedelta(seconds=rng.randrange(200)), i, rng.randrange(1, 20)) for i in range(60)]
+    got = {r.ord: (round(r.entered - r.started, 3), round(r.started, 3)) for r in jobs.queued_runs(spark.createDataFrame(rows, "queue string, ts timestamp, ord long, seconds long"), 4).collect()}
+    free, starts, expected = 0.0, [], {}
+    for _, ts, ord_, seconds in sorted(rows, key=lambda r: (r[1], r[2])):
+        arrived = ts.replace(tzinfo=timezone.utc).timestamp()
+        entered = max(arrived, starts[-4]) if len(starts) >= 4 else arrived
+        started = max(arrived, free)
+        starts.append(started)
+        free = started + seconds
+        expected[ord_] = (entered - started, started)
+    assert got == expected
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_queries_equal_their_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages".split():
         con.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
-    df = witness.QUERIES[name](spark, sf_dir)
-    expected = con.sql(witness.SQL[name])
+    df = catalog.QUERIES[name](spark, sf_dir)
+    expected = con.sql(catalog.SQL[name])
     columns = sorted(df.columns)
     assert columns == sorted(expected.columns)
     flat = lambda rows: sorted((tuple(str(x) for x in r) for r in rows))

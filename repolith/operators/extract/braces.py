@@ -25,6 +25,8 @@ class Language:
     (the type of the variable that it is called on), ``owner`` (a class or function of this file) or nothing.
     ``bases`` likewise: ``module``, ``bare`` or ``known`` (only bases of this file). ``uses``: patterns of type names that
     are dependencies wherever they stand; ``qualified_uses`` puts them into this module. ``stops`` are never dependencies.
+    ``globals``: how uses of this file's global variables are spelled, ``module`` (and resolved) or ``bare``; empty: they
+    make no edges. ``doc_types``: the types that doc comments name are dependencies.
     """
 
     types: list[tuple[str, str]]
@@ -33,6 +35,8 @@ class Language:
     uses: list[str] = field(default_factory=list)
     qualified_uses: bool = False
     stops: frozenset[str] = field(default_factory=frozenset)
+    globals: str = ""
+    doc_types: bool = False
 
 
 _BASES = rf"(?:\s+extends\s+(?P<base>{_NAME}(?:\.{_NAME})*))?(?:\s*<[^{{]*?>)?(?:\s+implements\s+(?P<more>[\w\s,.<>$]+?))?"
@@ -43,6 +47,7 @@ _JS = [
 ]
 _TS = [*_JS, ("interface", rf"\binterface\s+(?P<name>{_NAME})(?:<[^{{]*?>)?(?:\s+extends\s+(?P<more>[\w\s,.<>$]+?))?\s*\{{"), ("enum", rf"\benum\s+(?P<name>{_NAME})\s*\{{"), ("type", rf"\btype\s+(?P<name>{_NAME})(?:<[^=]*>)?\s*=\s*\{{")]
 _JAVA = [
+    ("abstract class", rf"\babstract\s+(?:(?:public|protected|private|static|strictfp)\s+)*class\s+(?P<name>{_NAME})(?:<[^{{]*?>)?{_BASES}\s*\{{"),
     ("class", rf"\bclass\s+(?P<name>{_NAME})(?:<[^{{]*?>)?{_BASES}\s*\{{"),
     ("interface", rf"(?<!@)\binterface\s+(?P<name>{_NAME})(?:<[^{{]*?>)?(?:\s+extends\s+(?P<more>[\w\s,.<>$]+?))?\s*\{{"),
     ("enum", rf"\benum\s+(?P<name>{_NAME})(?:\s+implements\s+(?P<more>[\w\s,.<>$]+?))?\s*\{{"),
@@ -51,22 +56,43 @@ _JAVA = [
     ("method", rf"(?:[\w<>\[\],.?]+\s+)(?P<name>{_NAME})\s*\((?P<args>[^)]*)\)\s*(?:throws\s+[\w\s,.]+)?\{{"),
 ]
 _CS = [(t, rf"\b{t}\s+(?P<name>{_NAME})(?:<[^{{]*?>)?(?:\s*\([^)]*\))?(?:\s*:\s*(?P<more>[\w\s,.<>]+?))?\s*(?:where[^{{]*)?\{{") for t in ("class", "interface", "struct", "enum", "record")]
+_MODIFIERS = r"(?:(?:public|private|protected|internal|sealed|partial|new|unsafe)\s+)*"
+_CS = [
+    *((f"{kind} class", rf"\b{kind}\s+{_MODIFIERS}{_CS[0][1][2:]}") for kind in ("static", "abstract")), *_CS,
+    ("delegate", rf"\bdelegate\s+[\w.<>\[\],?]+\s+(?P<name>{_NAME})\s*(?:<[^(]*>)?\([^)]*\)[^;{{]*;"),
+]
 _C = [("function", rf"(?:^|[\n;}}])[ \t]*(?!else\b|return\b|typedef\b|#)[\w*][\w\s*]*?[\s*](?P<name>{_NAME})\s*\((?P<args>[^;{{}}]*)\)\s*\{{")]
 _CPP = [*[(t, rf"\b{t}\s+(?P<name>{_NAME})(?:\s+final)?(?:\s*:\s*(?P<more>[\w\s,:<>]+?))?\s*\{{") for t in ("class", "struct")], ("function", _C[0][1].replace("[\\w*][\\w\\s*]*?", "[\\w*][\\w\\s*:<>&,]*?").replace("[\\s*](", "[\\s*&](").replace(r"\)\s*\{", r"\)\s*(?:const\s*)?\{"))]
 _PRIMITIVES = frozenset("int long short byte char float double boolean bool void String string object decimal var".split())
-_SYSTEM = frozenset("printf scanf malloc calloc realloc free strlen strcpy strcmp strcat memcpy memset memcmp exit assert fopen fclose fprintf sprintf snprintf".split())
+#: Calls that are never dependencies, in C and in C++.
+_SYSTEM = frozenset((
+    "printf", "scanf", "malloc", "free", "strlen", "strcpy", "strcmp", "memcpy", "memset", "exit", "abort", "fopen", "fclose", "fread", "fwrite",
+    "SDL_Init", "SDL_CreateWindow", "SDL_Log", "SDL_GetError", "SDL_Quit",
+))
+_CPP_SYSTEM = frozenset(("printf", "scanf", "malloc", "free", "strlen", "strcpy", "strcmp", "cout", "cin", "endl", "std", "new", "delete"))
+#: Types in doc comments that are no dependencies.
+_DOC_BUILTINS = frozenset((
+    "string", "number", "boolean", "object", "undefined", "null", "void", "any", "Array", "Promise", "Date", "RegExp", "Error", "Map", "Set", "WeakMap",
+    "WeakSet", "Function", "Object", "String", "Number", "Boolean", "Symbol", "BigInt", "Element", "HTMLElement", "Document", "Window", "Event",
+    "EventTarget", "Node", "Response", "Request", "Headers", "URL", "URLSearchParams", "FormData", "Blob", "File", "T", "U", "V", "K", "P", "R", "E",
+))
+#: The tags of doc comments that name types.
+_DOC_TAGS = (r"@param\s*\{([^}]+)\}", r"@returns?\s*\{([^}]+)\}", r"@type\s*\{([^}]+)\}", r"@typedef\s*\{[^}]*\}\s*(\w+)", r"@interface\s+(\w+)")
+_GLOBAL = re.compile(rf"(?:^|[;{{}}])\s*(?P<type>(?:[A-Za-z_][\w:]*(?:<[^;=(){{}}]*>)?\s+)+)(?P<star>\*?)\s*(?P<name>{_NAME})\s*(?P<end>[=;,])")
+_NO_GLOBAL = frozenset("typedef return using goto friend template namespace delete throw".split())
+_NEW = re.compile(rf"\bnew\s+(?P<name>{_NAME})")
 _FIELD = rf"(?:^|[;{{}}\n])\s*(?:(?:public|private|protected|internal|static|final|readonly|virtual|override)\s+)+(?P<type>{_NAME})(?:<[^;=(){{}}]*>)?(?:\[\])?\s+{_NAME}\s*[;={{]"
 
 _PARAMETER = rf"[(,]\s*(?:(?:ref|out|in|params|this|final)\s+)?(?P<type>{_NAME})(?:<[^,(){{}}]*>)?(?:\[\])?\s+{_NAME}\s*(?=[,)=])"
 _ANNOTATION = rf"[\w)?]\s*:\s*(?P<type>[A-Z][\w$]*)"
 
 LANGUAGES: dict[str, Language] = {
-    "javascript": Language(_JS, calls="module"),
+    "javascript": Language(_JS, calls="module", doc_types=True),
     "typescript": Language(_TS, calls="module", uses=[_ANNOTATION], qualified_uses=True, stops=frozenset("string number boolean any void never unknown null undefined object".split())),
     "java": Language(_JAVA, calls="receiver", uses=[_FIELD], stops=_PRIMITIVES),
     "csharp": Language(_CS, bases="known", uses=[_FIELD, _PARAMETER], stops=_PRIMITIVES),
-    "c": Language(_C, calls="bare", stops=_SYSTEM),
-    "cpp": Language(_CPP, calls="owner", bases="bare", stops=_SYSTEM),
+    "c": Language(_C, calls="bare", stops=_SYSTEM, globals="module"),
+    "cpp": Language(_CPP, calls="owner", bases="bare", stops=_CPP_SYSTEM, globals="bare"),
 }
 
 
@@ -86,6 +112,45 @@ def _ends(code: str) -> dict[int, int]:
     return out | dict.fromkeys(stack, len(code))
 
 
+def doc_types(comment: str) -> list[str]:
+    """The types that a doc comment names: the first word of each, those in angle brackets, and the members of unions."""
+    out = []
+    for spelled in (m.strip() for tag in _DOC_TAGS for m in re.findall(tag, comment)):
+        inner = [w for generic in re.findall(r"<([^<>]+)>", spelled) for w in re.findall(r"\w+", generic)]
+        members = [m[0] for part in spelled.split("|") if (m := re.match(r"\w+", part.strip()))]
+        out += members[:1] * bool(re.match(r"\w", spelled)) + inner + members * ("|" in spelled)
+    return [t for t in dict.fromkeys(out) if t not in _DOC_BUILTINS]
+
+
+def global_variables(code: str, pointers: bool) -> set[str]:
+    """Variables declared outside all blocks but namespaces and linkage blocks; ``pointers`` counts initialised pointers too.
+    Of a declaration of several, the first one that has a name of its own counts."""
+    code = re.sub(r"(?m)^[ \t]*#(?:\\\n|[^\n])*", lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    outer, end = [], 0
+    for brace, close in sorted(_ends(code).items()):
+        if brace >= end and not re.search(rf"(?:\bnamespace(?:\s+[\w:]+)?|\bextern)\s*\Z", code[max(0, brace - 200) : brace]):
+            outer += [code[end : brace + 1], " " * (close - brace - 1)]
+            end = close
+    code = "".join(outer) + code[end:]
+    found = set()
+    for m in _GLOBAL.finditer(re.sub(r"[;}]", lambda x: x[0] + "\n", code)):
+        words = m["type"].split()
+        tag_only = len(words) == 1 and words[0] in ("struct", "class", "enum", "union", "else", "public", "private")
+        if not tag_only and not _NO_GLOBAL & set(words) and (not m["star"] or (pointers and m["end"] == "=")):
+            found.add(m["name"])
+    return found
+
+
+def _defines(code: str, paren: int) -> bool:
+    """Whether a body follows the parentheses that open at ``paren``, so that they hold a method's parameters."""
+    depth = 0
+    for m in re.compile(r"[()]").finditer(code, paren):
+        depth += 1 if m[0] == "(" else -1
+        if not depth:
+            return bool(re.compile(r"\s*(?::\s*[\w$][^{;=()]*)?\{").match(code, m.end()))
+    return False
+
+
 def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
     language = LANGUAGES[name]
     patterns = [(kind, re.compile(p, re.M)) for kind, p in language.types]
@@ -100,8 +165,9 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
             for m in pattern.finditer(code):
                 if m["name"] not in _KEYWORDS:
                     found.append((m.start("name"), m.end() - 1, ends.get(m.end() - 1, len(code)), kind, m))
-        found.sort(key=lambda f: f[0])
-        scopes: list[tuple[int, int, str]] = []
+        # Of patterns that find the same name, the first one counts.
+        found = sorted({f[0]: f for f in reversed(found)}.values(), key=lambda f: f[0])
+        scopes: list[tuple[int, int, str, str]] = []
         rows, names = [], {m["name"] for *_, m in found}
         for start, brace, end, kind, m in found:
             owner = next((s for s in reversed(scopes) if s[0] < start < s[1]), None)
@@ -111,7 +177,9 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
             if kind == "method" and owner is None:
                 continue
             label = f"{owner[2]}.{m['name']}" if kind == "method" else m["name"]
-            scopes.append((brace, end, label))
+            if kind == "delegate":
+                end = brace
+            scopes.append((brace, end, label, kind))
             groups = m.groupdict()
             bases = [b.strip().split("<")[0].split(" ")[-1] for b in ",".join(filter(None, (groups.get("base"), groups.get("more")))).split(",") if b.strip()]
             args = [a.strip().split("=")[0].split(":")[0].strip().split(" ")[-1].lstrip("*&") for a in (groups.get("args") or "").split(",") if a.strip()]
@@ -121,6 +189,16 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
                 if language.bases != "known" or base in names:
                     rows.append({"kind": "edge", "caller": f"{module}.{label}", "callee": base if language.bases == "bare" else f"{module}.{base}", "call_line": first, "is_resolved": language.bases == "known"})
         heads = {start for start, *_ in found}
+        variables = global_variables(code, language.globals == "module") if language.globals else set()
+        kinds = [(r["name"], r["source_code"].split("\n")) for r in rows if r["kind"] == "component" and r["component_type"] in ("class", "struct")]
+
+        def owner_of(called: str) -> str | None:
+            """The first class or struct with a line that spells the call and a result type or the class itself."""
+            for cls, source in kinds:
+                if any(f"{called}(" in line and any(w in line for w in ("void", "int", "bool", cls)) for line in source):
+                    return cls
+            return called if called in names or called in variables else None
+
         at = lambda place: next((s for s in reversed(scopes) if s[0] < place < s[1]), None)
         declared = [(m.start(), m[1], m[2]) for m in _DECLARED.finditer(code) if m[1] not in _KEYWORDS] if language.calls == "receiver" else []
 
@@ -142,22 +220,42 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
                 kind = spelled if new else type_of(parts[0], place) if len(parts) > 1 else None
                 return (None if kind in language.stops else kind), False
             if language.calls == "owner":
-                return (f"{module}.{short}" if short in names else None), False
-            return short, False
+                # Qualified names and objects that are made are no calls of their own here.
+                own = None if new or "::" in spelled else owner_of(short)
+                return own and f"{module}.{own}", False
+            return (short if len(parts) == 1 else None), False
 
         uses = []
         if language.calls:
             for m in _CALL.finditer(code):
-                if m.start("name") not in heads:
+                if m.start("name") not in heads and not (language.calls == "module" and _defines(code, m.end() - 1)):
                     uses.append((m.start("name"), *target(m["name"], bool(m["new"]), m.start())))
         for pattern in language.uses:
             for m in re.finditer(pattern, code):
                 kind = m["type"]
                 if kind not in language.stops and kind not in _KEYWORDS:
                     uses.append((m.start("type"), f"{module}.{kind}" if language.qualified_uses else kind, False))
+        for m in _BLANK.finditer(content) if language.doc_types else ():
+            scope = at(m.start())
+            named = doc_types(m[0]) if scope and m[0].startswith("/") else []
+            if named:
+                # A comment belongs to the block that it stands in and to what follows it.
+                block = max(b for b, e in ends.items() if b < m.start() < e)
+                after = m.end() + len(content[m.end() :]) - len(content[m.end() :].lstrip())
+                uses += [(at_line, f"{module}.{t}", False) for at_line in (block, after) for t in named]
+        if variables:
+            for m in re.finditer(rf"(?<![\w.>])(?:{'|'.join(sorted(variables))})\b", code):
+                declared_here = re.search(rf"({_NAME})[\s*&]+\Z", code[max(0, m.start() - 200) : m.start()])
+                local = language.globals == "bare" and declared_here and declared_here[1] not in _KEYWORDS | {"case", "else"} and re.match(r"\s*[;,]", code[m.end() :])
+                if not local:
+                    uses.append((m.start(), m[0] if language.globals == "bare" else f"{module}.{m[0]}", language.globals == "module"))
+        if language.calls == "owner":
+            uses += [(m.start("name"), f"{module}.{m['name']}", False) for m in _NEW.finditer(code) if m["name"] in names | variables]
         seen = set()
         for place, callee, known in sorted(uses, key=lambda u: u[0]):
-            scope = at(place)
+            scope = at(place) or at(place + 1)
+            if scope and language.calls == "owner" and scope[3] != "function":
+                continue
             key = (scope and scope[2], callee, line_of(place))
             if callee and scope and key not in seen and callee != f"{module}.{scope[2]}":
                 seen.add(key)

@@ -1,0 +1,188 @@
+"""Queries on the language analyzers: one source file for each part, spelled from its columns, and its edges and components in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from repolith.operators import extract
+from repolith.plans.witness import query, table
+
+C = """#include <stdio.h>
+static int total_{k} = {n};
+int plain_{k};
+char *gone_{k};
+struct S { int inner; };
+int add_{k}(int a) {
+  printf("plain_{k}");
+  p->total_{k} = a + total_{k};
+  return helper_{n}(plain_{k});
+}
+"""
+CPP = """namespace n {
+int counter_{k} = 0;
+}
+class Shape_{k} {
+public:
+  void draw_{k}(int a) { helper_{k}(); }
+};
+struct Box_{k} : public Shape_{k} { };
+void helper_{k}() { counter_{k} = {n}; }
+int run_{k}() {
+  Shape_{k}* s = new Shape_{k}();
+  s->draw_{k}(1);
+  helper_{k}();
+  std::sort(s);
+  return counter_{k};
+}
+"""
+JS = """// class No_{k} {}
+class A_{k} extends B_{n} {
+  /** @param {Foo_{n}|string} a
+   * @returns {Promise<Bar_{k}, Map>} */
+  go() { return 1; }
+}
+/** @type {Skipped} */
+function f_{k}(x, y) {
+  return g_{n}('h()');
+}
+"""
+TS = """interface I_{k} { x: string }
+enum E_{k} { A, B }
+export class A_{k} implements I_{k} {
+  m(b: Foo_{n}) { new C_{k}(); }
+}
+"""
+JAVA = """package p;
+public abstract class A_{k} extends B_{n} {
+  private Foo_{n} foo;
+  int run(int a) {
+    return foo.help(a);
+  }
+}
+record R_{k}(int a) implements I_{k} { }
+"""
+CS = """public static class Util_{k} { }
+public abstract class Base_{k} { }
+public delegate void Handler_{k}(object sender);
+class A_{k} : Base_{k} { private Foo_{n} f; }
+"""
+PY = """class Base_{k}:
+    def run(self):
+        return helper_{k}(len("x"))
+
+class Child_{k}(Base_{k}):
+    def go(self):
+        other_{n}.work()
+
+def helper_{k}(x, *, y=0):
+    return str(x)
+"""
+
+
+def found(spark, sf_dir, language: str, ext: str, template: str) -> DataFrame:
+    """What the analyzer finds in one file for each part."""
+    content = F.lit(template)
+    for name, column in (("{k}", "p_partkey"), ("{n}", "p_size")):
+        content = F.replace(content, F.lit(name), F.col(column).cast("string"))
+    files = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("file_ord"), F.concat(F.lit("src/p"), "p_partkey", F.lit(ext)).alias("path"), F.lit(language).alias("language"), content.alias("content"),
+    )
+    return extract.extract(files)
+
+
+def edges(rows: DataFrame) -> DataFrame:
+    return extract.edges_of(rows).select("caller", "callee", "call_line", "is_resolved")
+
+
+def components(rows: DataFrame) -> DataFrame:
+    return extract.components_of(rows).select("id", "component_type", "start_line", "end_line", F.array_join("parameters", ",").alias("parameters"), F.array_join("base_classes", ",").alias("bases"))
+
+
+def _sql(rows: list[tuple], names: str) -> str:
+    """Rows of a file as SQL on ``part``: texts hold {k} and {n}, and {m} is the file's module."""
+    values = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) if isinstance(v, (str, bool)) else f"{v}::INT" for v in row) + ")" for row in rows)
+    columns = [n.strip() for n in names.split(",")]
+    spelled = [i for i, _ in enumerate(columns) if any(isinstance(r[i], str) for r in rows)]
+    shown = [f"replace(replace(replace({c}, '{{m}}', 'src.p' || p_partkey), '{{k}}', p_partkey::VARCHAR), '{{n}}', p_size::VARCHAR) AS {c}" if i in spelled else c for i, c in enumerate(columns)]
+    return f"SELECT {', '.join(shown)} FROM part, (VALUES {values}) v({names})"
+
+
+EDGES, COMPONENTS = "caller, callee, call_line, is_resolved", "id, component_type, start_line, end_line, parameters, bases"
+
+
+@query(_sql([("{m}.add_{k}", "{m}.total_{k}", 8, True), ("{m}.add_{k}", "helper_{n}", 9, False), ("{m}.add_{k}", "{m}.plain_{k}", 9, True)], EDGES))
+def x7a_c_edges(spark, sf_dir):
+    return edges(found(spark, sf_dir, "c", ".c", C))
+
+
+@query(_sql([("{m}.add_{k}", "function", 6, 10, "a", None)], COMPONENTS))
+def x7_c_functions(spark, sf_dir):
+    return components(found(spark, sf_dir, "c", ".c", C))
+
+
+@query(_sql([
+    ("{m}.Box_{k}", "Shape_{k}", 8, False), ("{m}.helper_{k}", "counter_{k}", 9, False), ("{m}.run_{k}", "{m}.Shape_{k}", 11, False),
+    ("{m}.run_{k}", "{m}.Shape_{k}", 12, False), ("{m}.run_{k}", "{m}.Shape_{k}", 13, False), ("{m}.run_{k}", "counter_{k}", 15, False),
+], EDGES))
+# A line of the class spells helper with a result type, so that the class counts as its owner.
+def x8a_x8b_cpp_edges(spark, sf_dir):
+    return edges(found(spark, sf_dir, "cpp", ".cpp", CPP))
+
+
+@query(_sql([("{m}.Shape_{k}", "class", 4, 7, None, None), ("{m}.Box_{k}", "struct", 8, 8, None, "Shape_{k}"), ("{m}.helper_{k}", "function", 9, 9, "", None), ("{m}.run_{k}", "function", 10, 16, "", None)], COMPONENTS))
+def x8_cpp_components(spark, sf_dir):
+    return components(found(spark, sf_dir, "cpp", ".cpp", CPP))
+
+
+@query(_sql([
+    ("{m}.A_{k}", "{m}.B_{n}", 2, False), ("{m}.A_{k}", "{m}.Foo_{n}", 2, False), ("{m}.A_{k}", "{m}.Bar_{k}", 2, False),
+    ("{m}.A_{k}", "{m}.Foo_{n}", 5, False), ("{m}.A_{k}", "{m}.Bar_{k}", 5, False), ("{m}.f_{k}", "{m}.g_{n}", 9, False),
+], EDGES))
+def x3d_javascript_edges(spark, sf_dir):
+    return edges(found(spark, sf_dir, "javascript", ".js", JS))
+
+
+@query(_sql([("{m}.A_{k}", "class", 2, 6, None, "B_{n}"), ("{m}.f_{k}", "function", 8, 10, "x,y", None)], COMPONENTS))
+def x3_javascript_components(spark, sf_dir):
+    return components(found(spark, sf_dir, "javascript", ".js", JS))
+
+
+@query(_sql([("{m}.I_{k}", "interface", 1, 1, None, None), ("{m}.E_{k}", "enum", 2, 2, None, None), ("{m}.A_{k}", "class", 3, 5, None, "I_{k}")], COMPONENTS))
+def x4_x4d_typescript_components(spark, sf_dir):
+    return components(found(spark, sf_dir, "typescript", ".ts", TS))
+
+
+@query(_sql([("{m}.A_{k}", "{m}.I_{k}", 3, False), ("{m}.A_{k}", "{m}.Foo_{n}", 4, False), ("{m}.A_{k}", "{m}.C_{k}", 4, False)], EDGES))
+def x4b_typescript_edges(spark, sf_dir):
+    return edges(found(spark, sf_dir, "typescript", ".ts", TS))
+
+
+@query(_sql([("{m}.A_{k}", "abstract class", 2, 7, None, "B_{n}"), ("{m}.A_{k}.run", "method", 4, 6, "a", None), ("{m}.R_{k}", "record", 8, 8, None, "I_{k}")], COMPONENTS))
+def x5_java_components(spark, sf_dir):
+    return components(found(spark, sf_dir, "java", ".java", JAVA))
+
+
+@query(_sql([("{m}.A_{k}", "{m}.B_{n}", 2, False), ("{m}.R_{k}", "{m}.I_{k}", 8, False), ("{m}.A_{k}", "Foo_{n}", 3, False), ("{m}.A_{k}.run", "Foo_{n}", 5, False)], EDGES))
+def x5a_x5b_java_edges(spark, sf_dir):
+    return edges(found(spark, sf_dir, "java", ".java", JAVA))
+
+
+@query(_sql([("{m}.Util_{k}", "static class", 1, 1, None, None), ("{m}.Base_{k}", "abstract class", 2, 2, None, None), ("{m}.Handler_{k}", "delegate", 3, 3, None, None), ("{m}.A_{k}", "class", 4, 4, None, "Base_{k}")], COMPONENTS))
+def x6_csharp_components(spark, sf_dir):
+    return components(found(spark, sf_dir, "csharp", ".cs", CS))
+
+
+@query(_sql([("{m}.A_{k}", "{m}.Base_{k}", 4, True), ("{m}.A_{k}", "Foo_{n}", 4, False)], EDGES))
+def x6a_csharp_edges(spark, sf_dir):
+    return edges(found(spark, sf_dir, "csharp", ".cs", CS))
+
+
+@query(_sql([("{m}.Base_{k}", "class", 1, 3, None, None), ("{m}.Child_{k}", "class", 5, 7, None, "Base_{k}"), ("{m}.helper_{k}", "function", 9, 10, "x", None)], COMPONENTS))
+def x2_python_components(spark, sf_dir):
+    return components(found(spark, sf_dir, "python", ".py", PY))
+
+
+@query(_sql([("{m}.Base_{k}", "helper_{k}", 3, False), ("{m}.Child_{k}", "{m}.Base_{k}", 5, True), ("{m}.Child_{k}", "other_{n}.work", 7, False)], EDGES))
+def x2c_python_edges(spark, sf_dir):
+    return edges(found(spark, sf_dir, "python", ".py", PY))

@@ -79,6 +79,26 @@ def test_languages_with_braces(language, path, code, ids, edge):
     assert edge in [(r["caller"], r["callee"]) for r in rows if r["kind"] == "edge"]
 
 
+def test_global_variables():
+    code = "#define Z int q;\nstatic int total = 0;\nint plain, second;\nchar *name = 0;\nchar *gone;\nstruct S { int inner; };\nstruct S origin;\nint proto(int a);\ntypedef int T;\nint f() { int local; return local; }\nnamespace n { int deep; class A { int field; }; }\n"
+    assert braces.global_variables(code, True) == {"total", "plain", "name", "origin", "deep"}
+    assert braces.global_variables(code, False) == {"total", "plain", "origin", "deep"} and braces.global_variables("", True) == set()
+
+
+def test_doc_types():
+    for comment, types in {
+        "/** @param {Foo|string} a @returns {Promise<Bar, Map>} */": ["Foo", "Bar"], "/** @type {?Odd} */": [], "/** @type {A<B>|C} */": ["A", "B", "C"],
+        "/** @typedef {Object} Mine */": ["Mine"], "// @interface Face": ["Face"], "/* none */": [],
+    }.items():
+        assert braces.doc_types(comment) == types
+
+
+def test_comments_make_edges_within_components():
+    code = "/** @type {Before} */\nclass A {\n  /** @param {Foo} a */\n  go(a) { return stay(a); }\n}\n"
+    edges = [(r["caller"], r["callee"], r["call_line"]) for r in braces.analyzer("javascript")("a.js", code) if r["kind"] == "edge"]
+    assert edges == [("a.A", "a.Foo", 2), ("a.A", "a.Foo", 4), ("a.A", "a.stay", 4)]
+
+
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")

@@ -93,7 +93,7 @@ def python_function_included(name: Column) -> Column:
 
 
 def typescript_node_included(name: Column, kind: Column) -> Column:
-    return (kind != "variable") & ~name.isin("constructor", "__proto__", "prototype")
+    return (kind != "variable") & ~F.lower(name).isin("constructor", "__proto__", "prototype")
 
 
 def has_any(column: Column, parts: tuple[str, ...]) -> Column:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repolith.functions import text
+
 Client = Callable[[str], str]
 
 
@@ -77,3 +79,19 @@ def group_by_folder(prompt: str) -> str:
 def list_children(prompt: str) -> str:
     """A stand-in that keeps the headings."""
     return "<OVERVIEW>" + "\n".join(x for x in prompt.split("\n") if x.startswith("#")) + "</OVERVIEW>"
+
+
+def source_prompts(members: DataFrame, components: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, sources): the texts of a module's files in the order in which ``members`` (path, ord, id) first name them, each
+    under its name and the ids in it. Unknown ids are left out; a file that can't be read says so. ``components`` has (id,
+    file_path), ``files`` (path, content)."""
+    named = members.join(components.select("id", "file_path"), "id")
+    by_file = named.groupBy("path", "file_path").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("ids"))
+    texts = files.select(F.col("path").alias("file_path"), "content")
+    ext = F.concat(F.lit("."), F.element_at(F.split("file_path", r"\."), -1))
+    block = F.concat(
+        F.lit("# File: "), "file_path", F.lit("\n\n## Core Components in this file:\n"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("- "), x["id"], F.lit("\n"))), ""),
+        F.lit("\n## File Content:\n```"), text.fence_language(ext), F.lit("\n"), F.coalesce("content", F.lit("# Error reading file\n")), F.lit("```\n\n"),
+    )
+    blocks = by_file.join(texts, "file_path", "left").select("path", F.struct("first", block.alias("block")).alias("part"))
+    return blocks.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["block"]), "").alias("sources"))

@@ -53,6 +53,27 @@ def rendered(modules: DataFrame, current: list[str] | None = None) -> DataFrame:
     return graph.numbered(with_ordinals(modules).select(order_key(F.col("ords")).alias("key"), line.alias("line")), ["key"], "place").select("place", "line")
 
 
+#: A level of a tree in JSON; what is below stays text until its turn.
+_LEVEL = "map<string, struct<components: array<string>, children: string>>"
+
+
+def flattened(trees: DataFrame) -> DataFrame:
+    """The modules of one nested tree in JSON (tree), level by level, as a table with paths; null is a tree without modules.
+    Siblings keep the order of the text."""
+    none = F.array().cast("array<string>")
+    out, level = None, trees.select(none.alias("parent"), F.from_json("tree", _LEVEL).alias("modules"))
+    for depth in itertools.count():
+        rows = level.select("parent", F.posexplode("modules").alias("ord", "name", "module"))
+        rows = graph.saved(rows.select(
+            F.concat("parent", F.array("name")).alias("path"), "name", "parent", F.lit(depth).alias("depth"), "ord",
+            F.coalesce("module.components", none).alias("components"), F.col("module.children").alias("children"),
+        ))
+        out = rows.drop("children") if out is None else out.unionByName(rows.drop("children"))
+        if rows.isEmpty():
+            return out
+        level = rows.select(F.col("path").alias("parent"), F.from_json("children", _LEVEL).alias("modules"))
+
+
 def outlined(modules: DataFrame, current: list[str] | None = None) -> DataFrame:
     """(place, line): the tree in pre-order with each module's components, two levels of indent for each depth; the line
     that announces children stands before them. The current module is marked."""
@@ -72,7 +93,7 @@ def navigation(modules: DataFrame, page: str = "") -> DataFrame:
     """Links of the two upper levels (section, title, href, level, active, place): a section without components has a title
     but no link."""
     href = F.when((F.col("depth") > 0) | (F.size("components") > 0), F.concat(F.lit("/"), "name", F.lit(".md")))
-    section = F.when(F.col("depth") == 0, F.col("name")).otherwise(F.element_at("parent", 1))
+    section = F.when(F.col("depth") == 0, F.col("name")).otherwise(F.get("parent", F.lit(0)))
     rows = with_ordinals(modules.filter("depth < 2")).select(
         section.alias("section"), text.titled(F.col("name")).alias("title"), href.alias("href"), (F.col("depth") + 1).alias("level"),
         F.coalesce(href == F.lit(f"/{page}"), F.lit(False)).alias("active"), order_key(F.col("ords")).alias("key"),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repolith.functions import predicates, text
-from repolith.operators import edits, jobs, tree
-from repolith.plans.witness import EXTS, FILES, TREE, _pick, files, module_tree, query, table
+from repolith.functions import predicates, text, urls
+from repolith.operators import edits, external, graph, jobs, resolve, tree
+from repolith.plans.witness import COMPONENTS, EDGES, EXTS, FILES, TREE, _pick, components, files, module_tree, query, resolved, table
 from repolith.sources import repo
 
 
@@ -155,3 +155,56 @@ def e32_unused_names(spark, sf_dir):
     taken = F.when(F.col("o_orderkey") % 2 == 0, name).otherwise(F.concat(name, F.lit("-"), F.col("o_orderkey") % 4))
     rows = table(spark, sf_dir, "orders").select("o_custkey", name.alias("name"), taken.alias("taken")).groupBy("o_custkey", "name").agg(F.collect_set("taken").alias("taken"))
     return rows.select("o_custkey", text.unused_name(F.col("name"), F.col("taken")).alias("branch"))
+
+
+@query(f"WITH {TREE} SELECT p AS path, depth, (row_number() OVER (PARTITION BY parent, depth ORDER BY k) - 1)::INT AS ord, CASE WHEN depth = 1 THEN name ELSE '' END AS components FROM tree")
+def s13_flattened_tree(spark, sf_dir):
+    """A nested tree in one JSON text: regions with their nations, each the one component of itself."""
+    none = F.array().cast("array<string>")
+    leaf = F.struct(F.array("name").alias("components"), F.lit("{}").alias("children"))
+    children = module_tree(spark, sf_dir).filter("depth = 1").groupBy(F.get("parent", F.lit(0)).alias("name")).agg(F.array_sort(F.collect_list(F.struct("ord", "name", leaf.alias("leaf")))).alias("all"))
+    quoted = lambda parts: F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+    below = quoted(F.transform("all", lambda x: F.concat(F.lit('"'), x["name"], F.lit('": {"components": ["'), x["name"], F.lit('"]}'))))
+    top = module_tree(spark, sf_dir).filter("depth = 0").join(children, "name", "left")
+    line = F.concat(F.lit('"'), "name", F.lit('": {"description": "x", "children": '), F.coalesce(below, F.lit("{}")), F.lit("}"))
+    trees = top.agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("lines")).select(quoted(F.transform("lines", lambda x: x["line"])).alias("tree"))
+    return tree.flattened(trees).select(F.array_join("path", "/").alias("path"), "depth", "ord", F.array_join(F.coalesce("components", none), ",").alias("components"))
+
+
+@query(f"""WITH {COMPONENTS}, m AS (SELECT p_size AS module, p_partkey AS ord, 'mod' || (p_partkey % 60) || '.' || replace(p_name, ' ', '_') AS id FROM part),
+n AS (SELECT module, ord, m.id, file_path FROM m JOIN comp ON comp.id = m.id),
+b AS (SELECT module, file_path, min(ord) AS first, '# File: ' || file_path || chr(10) || chr(10) || '## Core Components in this file:' || chr(10) || string_agg('- ' || id || chr(10), '' ORDER BY ord) || chr(10) || '## File Content:' || chr(10) || '```python' || chr(10)
+|| CASE WHEN file_path LIKE '%3.py' THEN '# Error reading file' || chr(10) ELSE 'x of ' || file_path END || '```' || chr(10) || chr(10) AS block FROM n GROUP BY module, file_path)
+SELECT module, md5(string_agg(block, '' ORDER BY first)) AS digest FROM b GROUP BY module""")
+def a12_source_prompts(spark, sf_dir):
+    name = F.concat(F.lit("mod"), F.col("p_partkey") % 60, F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_")))
+    members = table(spark, sf_dir, "part").select(F.col("p_size").alias("path"), F.col("p_partkey").alias("ord"), name.alias("id"))
+    known = components(spark, sf_dir)
+    texts = known.select(F.col("file_path").alias("path")).distinct().filter("path not like '%3.py'").withColumn("content", F.concat(F.lit("x of "), "path"))
+    return external.source_prompts(members, known, texts).select(F.col("path").alias("module"), F.md5("sources").alias("digest"))
+
+
+@query(f"""WITH {COMPONENTS}, {EDGES} SELECT '{{"data":{{"id":"' || id || '","label":"' || name || '"}},"classes":"' || CASE component_type WHEN 'method' THEN 'node-method' ELSE 'node-function' END || ' lang-python"}}' AS element FROM comp
+UNION ALL SELECT '{{"data":{{"id":"' || caller || '->' || callee || '","source":"' || caller || '","target":"' || callee || '"}},"classes":"edge-call"}}' FROM deduped WHERE is_resolved""")
+def g8_view_json(spark, sf_dir):
+    return graph.elements(components(spark, sf_dir), resolve.first_edges(resolved(spark, sf_dir)))
+
+
+@query("""SELECT p_partkey, p_partkey % 5 < 2 AS url_ok, p_size >= 10 AS key_ok, p_size % 2 = 1 AS model_ok, p_partkey % 3 <> 0 AND p_size % 4 <> 0 AS kept, NOT p_partkey % 3 = 1 AS counted FROM part""")
+def f10_f12_f27_checks(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    url = pick(("https://host.example/v1", "http://localhost:4000/", "http://host.example/", "ftp://localhost/", "https:///v1"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", predicates.valid_url(url).alias("url_ok"), predicates.valid_api_key(F.concat(F.lit(" "), F.repeat(F.lit("k"), size))).alias("key_ok"),
+        predicates.valid_model_name(F.when(size % 2 == 1, "m").otherwise("  ")).alias("model_ok"),
+        predicates.typescript_node_included(pick(("Constructor", "go", "run")), F.when(size % 4 == 0, "variable").otherwise("function")).alias("kept"),
+        predicates.python_function_included(pick(("run", "_test_run", "test_run"))).alias("counted"),
+    )
+
+
+@query("SELECT s_suppkey, 'https://github.com/o' || s_suppkey || '/r/compare/docs-' || s_nationkey || '?expand=1' AS url, 'o' || s_suppkey || '/r' AS full_name FROM supplier")
+def e5_e7_compare_urls(spark, sf_dir):
+    url = F.concat(F.lit("https://github.com/o"), "s_suppkey", F.lit("/r.git"))
+    job = urls.job_id(urls.repo_info(url)["full_name"])
+    return table(spark, sf_dir, "supplier").select("s_suppkey", urls.compare_url(url, F.concat(F.lit("docs-"), "s_nationkey")).alias("url"), urls.full_name(job).alias("full_name"))

@@ -28,6 +28,23 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+#: Fixed value: the tree of a run that has written none.
+NO_TREE = '{"Overview": {"description": "Repository overview", "components": [], "children": {}}}'
+
+
+def read_module_tree(spark: SparkSession, path: str, overview: bool = True) -> DataFrame:
+    """(tree): the JSON text at ``path``. Without a file it is the overview alone, or with ``overview`` false null, as it then is
+    for a text that is no JSON, too; with ``overview`` such a text is an error."""
+    try:
+        content = spark.read.text(path, wholetext=True).select(F.col("value").alias("tree"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.range(1).select(F.lit(NO_TREE if overview else None).cast("string").alias("tree"))
+    parsed = F.parse_json("tree") if overview else F.try_parse_json("tree")
+    return content.select(F.to_json(parsed).alias("tree"))
+
+
 def completed_jobs(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, JOBS).filter("status = 'completed'")
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from repolith.functions import patterns, predicates
 from repolith.operators import extract, resolve
+from repolith.operators import tree as tree_operators
 from repolith.operators.extract import braces, python_source
 from repolith.sources import repo, state
+from repolith.sources import settings as run_settings
 
 A = '''class Base:
     def run(self):
@@ -217,3 +219,44 @@ def test_clients_fall_back(spark):
     df = spark.createDataFrame([(["a"], "x")], "path array<string>, prompt string")
     assert external.completions(df, [broken, str.upper]).first().reply == "X"
     assert external.completions(df, [broken]).first().error == "TimeoutError: late"
+
+
+def test_module_tree_texts(spark, tmp_path):
+    missing = str(tmp_path / "none.json")
+    assert [(r.path, r.components) for r in tree_operators.flattened(state.read_module_tree(spark, missing)).collect()] == [(["Overview"], [])]
+    assert state.read_module_tree(spark, missing, overview=False).first().tree is None
+    assert tree_operators.flattened(state.read_module_tree(spark, missing, overview=False)).isEmpty()
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('{"b": {"components": ["x", "y"], "children": {"c": {"components": [], "children": {"d": {"components": ["z"]}}}}}, "a": {}}')
+    bad.write_text("{oops")
+    rows = tree_operators.flattened(state.read_module_tree(spark, str(good))).collect()
+    assert sorted((r.depth, r.name, tuple(r.parent), tuple(r.components)) for r in rows) == [(0, "a", (), ()), (0, "b", (), ("x", "y")), (1, "c", ("b",), ()), (2, "d", ("b", "c"), ("z",))]
+    assert state.read_module_tree(spark, str(bad), overview=False).first().tree is None
+    with pytest.raises(Exception, match="MALFORMED|oops"):
+        state.read_module_tree(spark, str(bad)).collect()
+
+
+def test_settings():
+    env = {"MAIN_MODEL": "m", "LLM_API_KEY": "k"}
+    s = run_settings.from_environment("/x/my-repo/", environment=env)
+    assert (s.docs_dir, s.graph_dir, s.main_model, s.cluster_model, s.fallback_model, s.api_key) == ("output/docs/my_repo-docs", "output/dependency_graphs", "m", "m", None, "k")
+    assert run_settings.given("/x/r", "out", "m", "c").graph_dir == "out/temp/dependency_graphs"
+
+
+def test_listed_files(spark):
+    rows = spark.createDataFrame([("a/x.py", "x.py"), ("a/b/y.PY", "y.PY"), ("a/b/z.py", "z.py"), ("a/.py", ".py"), ("ab/w.py", "w.py")], "path string, name string")
+    paths = lambda **options: sorted(r.path for r in repo.with_extensions(rows, **options).collect())
+    assert paths(extensions=(".py",)) == ["a/b/z.py", "a/x.py", "ab/w.py"] and paths(extensions=(".py",), folder="a") == ["a/b/z.py", "a/x.py"]
+    assert paths(folder="a", recursive=False) == ["a/.py", "a/x.py"] and len(paths()) == 5
+
+
+def test_jobs_and_caches_as_tables(spark, tmp_path):
+    jobs_path, cache_path = str(tmp_path / "jobs"), str(tmp_path / "cache")
+    row = spark.range(2).selectExpr("concat('j', id) as job_id", "'u' as repo_url", "if(id = 0, 'completed', 'failed') as status", "timestamp'2026-01-01 00:00:00' as created_at", "cast(null as string) as error_message")
+    state.write_json(row, jobs_path)
+    assert [(r.job_id, str(r.created_at), r.docs_path) for r in state.completed_jobs(spark, jobs_path).collect()] == [("j0", "2026-01-01 00:00:00", None)]
+    entry = spark.range(1).selectExpr("'u' as repo_url", "'h' as repo_url_hash", "'/d' as docs_path", "timestamp'2026-01-01 00:00:00' as created_at", "timestamp'2026-01-02 00:00:00' as last_accessed")
+    state.write_json(entry, cache_path)
+    assert state.read_cache(spark, cache_path).collect() == entry.collect()
+    state.write_texts(spark.createDataFrame([("a.md", "# A\nx"), ("b.md", "")], "name string, content string"), str(tmp_path / "texts"))
+    assert {r.content.rstrip("\n") for r in state.read_texts(spark, str(tmp_path / "texts/*/*.txt")).collect()} == {"# A\nx", ""}

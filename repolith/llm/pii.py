@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass finds anchors: at-signs, schemes, digits, plus signs and identifier cues. A deterministic parser
-expands each anchor to its borders and validates it. No shuffle; each text is looked at on its own.
+expands each anchor to its borders and validates it. Cues of secrets ("token", "password") take a value of 16 characters
+or more with letters, digits and eight different characters. No shuffle; each text is looked at on its own.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from repolith.llm import shared
 
 #: Kinds in the order in which equal starts are listed; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "userinfo")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "userinfo", "secret")
 BASE = frozenset(KINDS[:4])
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
@@ -33,7 +34,9 @@ _IBAN = re.compile(r"[:#=\x20]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8})
 _SSN = re.compile(r"[:#=\x20]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?))?[:#=\x20]{1,3}([0-9](?:[0-9-]{4,22})[0-9])(?![0-9-])")
 _USERINFO = re.compile(r"([A-Za-z0-9._%+-]+:[^\x20\x09-\x0D/@]+)@")
-_CUES = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT, "acct": _ACCOUNT, "passport": _ACCOUNT}
+_SECRET = re.compile(r"(?:[_-]?(?:key|id|value))?[\"']?[\x20\x09]{0,2}[:=][\x20\x09]{0,2}[\"']?([A-Za-z0-9_+/=.~-]{16,})")
+_SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key")
+_CUES = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT, "acct": _ACCOUNT, "passport": _ACCOUNT} | dict.fromkeys(_SECRET_CUES, _SECRET)
 
 
 def luhn(digits: str) -> bool:
@@ -49,6 +52,11 @@ def _iban_valid(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _secret_valid(text: str) -> bool:
+    letters = set(text)
+    return len(letters) >= 8 and any(c.isdigit() for c in letters) and any(c.isalpha() for c in letters)
+
+
 @lru_cache(maxsize=1)
 def _anchors():
     import ahocorasick
@@ -113,6 +121,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if (m := _USERINFO.match(text, last + 1)) and m.start(1) >= ends["userinfo"]:
                 ends["userinfo"] = m.end(1)
                 found.append(("userinfo", *m.span(1)))
+        elif kind in _SECRET_CUES:
+            # A failing value is used up as a valid one is, so no text is read twice.
+            if last >= ends["secret"] and (m := _SECRET.match(text, last + 1)):
+                ends["secret"] = m.end(1)
+                if _secret_valid(m[1]):
+                    found.append(("secret", *m.span(1)))
         elif (m := _CUES[kind].match(text, last + 1)) and (kind != "iban" or _iban_valid(m[1])):
             kind = kind if kind in _ORDER else "account"
             if m.start(1) >= ends[kind]:

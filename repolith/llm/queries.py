@@ -33,13 +33,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digest of the base kinds; ``spans`` lists all kinds."""
+    """Counts and digest of the base kinds; ``spans`` lists all kinds and ``n_spans`` counts them."""
     found = pii.find_spans(documents(spark, sf_dir))
     entry = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     listed = lambda spans: F.array_join(F.transform(spans, entry), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,9 @@ def test_base_spans_of_planted_text(odd):
     assert [s for s in pii.spans(planted) if s[0] in pii.BASE] == base_brute(planted)
     kinds = [s[0] for s in pii.spans("IBAN: DE89 3704 0044 0532 0130 00, SSN 123-45-6789, account no. 1234-5678, https://me:secret@host.example/")]
     assert {"iban", "ssn", "account", "userinfo"} <= set(kinds)
+    secrets = 'x token = "24be64439e3e49cf46b2d7c90f3602a3" client_secret_key: abcdefgh12345678 password=aaaaaaaaaaaaaaaaaaaa1 token of 24be64439e3e49cf46'
+    assert [secrets[a:b] for kind, a, b in pii.spans(secrets) if kind == "secret"] == ["24be64439e3e49cf46b2d7c90f3602a3", "abcdefgh12345678"]
+    assert pii.spans("token=" * 200_000) == []
     assert pii.find_spans(docs).count() == len(rows)
     assert pii.find_spans(docs.limit(0)).count() == 0
     assert pii.spans("7" * 1_000_000) == [] and pii.spans("1." * 500_000)[:1] == [("ip", 0, 7)]

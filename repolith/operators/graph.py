@@ -64,38 +64,68 @@ def reachable(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 
-def cyclic_core(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """``edges`` between nodes that still have edges in and out when all others have been peeled off."""
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """``edges`` without loops, repeats and most of those that lie on no cycle: nodes without edges in or out are peeled off
+    in rounds, as long as a round takes a tenth of what is left."""
     core = saved(edges.filter("src <> dst").select("src", "dst").distinct())
     n = core.count()
-    for _ in range(most_rounds):
-        core = saved(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    while n:
+        for _ in range(2):
+            core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        core = saved(core)
         was, n = n, core.count()
-        if n == was:
-            return core
-    raise RuntimeError("peeling did not end")
-
-
-def _components(paths: DataFrame) -> DataFrame:
-    mutual = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("id"), F.col("a.dst").alias("other"))
-    return mutual.groupBy("id").agg(F.least(F.min("id"), F.min("other")).alias("scc"), F.count("*").alias("n")).filter("n > 1").select("id", "scc")
+        if was - n < 0.1 * was:
+            break
+    return core
+
+
+def least_sources(edges: DataFrame) -> DataFrame:
+    """(id, root, hops) of the nodes of ``edges``: the least id with a path to the node, itself included, and the hops of the
+    shortest. Each round sends one row along an edge; three rounds are one job, until none changes a node."""
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    at = F.struct(F.col("id").alias("root"), F.lit(0).cast("long").alias("hops"))
+    nodes = saved(ids.select("id", at.alias("at"), at.alias("was")))
+    while True:
+        now = nodes.select("id", "at", F.col("at").alias("was"))
+        for _ in range(3):
+            onward = F.struct("at.root", (F.col("at.hops") + 1).alias("hops"))
+            sent = edges.join(now.select(F.col("id").alias("src"), "at"), "src").select(F.col("dst").alias("id"), onward.alias("at"))
+            now = now.unionByName(sent, allowMissingColumns=True).groupBy("id").agg(F.min("at").alias("at"), F.max("was").alias("was"))
+        nodes = saved(now)
+        if nodes.filter("at <> was").isEmpty():
+            return nodes.select("id", "at.*")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, scc, hops) of strongly connected components of two nodes or more; scc is the least id, hops are those from it.
+
+    Nodes are coloured by the least id that reaches them. Those that reach this id within their colour are its component;
+    the others of the colour go into the next round, as does no edge between colours. Tables are never larger than the
+    edges. A job follows three hops and a round finds one component of each colour: long paths cost jobs.
+    """
+    found = edges.select(F.col("src").alias("id"), F.col("src").alias("scc"), F.lit(0).cast("long").alias("hops")).limit(0)
+    left = cyclic_core(edges)
+    while not left.isEmpty():
+        colour = least_sources(left)
+        side = lambda c: colour.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+        inside = saved(left.join(side("src"), "src").join(side("dst"), "dst").filter("src_root = dst_root").select("src", "dst"))
+        returns = least_sources(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        part = saved(colour.join(returns.select("id", "root"), ["id", "root"]).select("id", F.col("root").alias("scc"), "hops"))
+        found = found.unionByName(part.join(part.filter("hops > 0").select("scc").distinct(), "scc", "left_semi").select("id", "scc", "hops"))
+        rest = inside.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti")
+        left = cyclic_core(rest.select("src", "dst"))
+    return found
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(id, scc) of strongly connected components of two nodes or more; scc is the least id. Loops alone are none.
-
-    What can't lie on a cycle is peeled off before reachability is closed on the rest.
-    """
-    return _components(reachable(cyclic_core(edges)))
+    """(id, scc) of strongly connected components of two nodes or more; scc is the least id. Loops alone are none."""
+    return strong_components(edges).select("id", "scc")
 
 
 def without_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(acyclic edges, removed edges): each component is ordered by the hops from its least id and then by id, and its edges
     that don't lead forward go; a single cycle loses one edge. Deterministic; loops go too."""
-    paths = reachable(cyclic_core(edges))
-    scc = _components(paths)
-    hops = scc.join(paths.select(F.col("src").alias("scc"), F.col("dst").alias("id"), "hops"), ["scc", "id"])
-    placed = saved(hops.withColumn("hops", F.when(F.col("id") == F.col("scc"), 0).otherwise(F.col("hops"))))
+    placed = saved(strong_components(edges))
     side = lambda c: placed.select(F.col("id").alias(c), F.col("scc").alias(f"{c}_scc"), F.struct("hops", "id").alias(f"{c}_at"))
     marked = edges.select("src", "dst").distinct().join(side("src"), "src", "left").join(side("dst"), "dst", "left")
     back = F.coalesce((F.col("src_scc") == F.col("dst_scc")) & (F.col("src_at") >= F.col("dst_at")), F.lit(False)) | (F.col("src") == F.col("dst"))
@@ -103,23 +133,26 @@ def without_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("not back").select("src", "dst"), marked.filter("back").select("src", "dst")
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, most_levels: int = 10_000) -> DataFrame:
-    """(id, level): 0 depends on nothing; each node is one above the highest it depends on. Needs acyclic edges.
+def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level): 0 depends on nothing; each node is one above the highest it depends on. Raises if the edges hold a cycle.
 
-    Ordering by (level, id) puts dependencies first. One wave of joins for each level.
+    Ordering by (level, id) puts dependencies first. Levels rise along edges, three to a job; after t rounds a level below
+    t is final. Without a cycle, each job finds some node final that wasn't.
     """
-    waiting, waits, out = saved(nodes.select("id").distinct()), saved(edges.select("src", "dst").distinct()), None
-    waits = waits.join(waiting.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    for level in range(most_levels):
-        ready = saved(waiting.join(waits.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
-        out = ready if out is None else out.unionByName(ready)
-        waiting = saved(waiting.join(ready.select("id"), "id", "left_anti"))
-        if waiting.isEmpty():
-            return out
-        if ready.isEmpty():
+    known = nodes.select("id").distinct()
+    waits = edges.select("src", "dst").distinct().join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    waits, levels = saved(waits.select("src", "dst")), saved(known.withColumn("level", F.lit(0)))
+    rounds, open_ = 0, levels.count()
+    while open_:
+        now = levels
+        for _ in range(3):
+            raised = waits.join(now.select(F.col("id").alias("dst"), "level"), "dst").select(F.col("src").alias("id"), (F.col("level") + 1).alias("level"))
+            now = now.unionByName(raised).groupBy("id").agg(F.max("level").alias("level"))
+        levels, rounds = saved(now), rounds + 3
+        was, open_ = open_, levels.filter(F.col("level") >= rounds).count()
+        if open_ == was:
             raise ValueError("the edges hold a cycle")
-        waits = saved(waits.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    raise RuntimeError(f"more than {most_levels} levels")
+    return levels
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:

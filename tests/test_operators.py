@@ -41,6 +41,24 @@ def test_a_single_back_edge_goes_alone(spark):
     assert [r.id for r in graph.leaves(nodes, graph.without_cycles(pair)[0], threshold=2).collect()] == ["A"]
 
 
+def test_rings_and_chains(spark):
+    """A ring of 30 that leads to one of 7, a chain behind both, and a group whose least id isn't reached first."""
+    ring = lambda ids: list(zip(ids, ids[1:] + ids[:1]))
+    pairs = ring(list(range(100, 130))) + ring(list(range(7))) + [(110, 3), (5, 200), (5, 5)] + [(i, i + 1) for i in range(200, 212)] + [(300, 301), (301, 300), (301, 1)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got = {r.id: (r.scc, r.hops) for r in graph.strong_components(edges).collect()}
+    assert got == {100 + i: (100, i) for i in range(30)} | {i: (0, i) for i in range(7)} | {300: (300, 0), 301: (300, 1)}
+    kept, removed = graph.without_cycles(edges)
+    assert {tuple(r) for r in removed.collect()} == {(129, 100), (6, 0), (5, 5), (301, 300)}
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    level = {r.id: r.level for r in graph.dependency_levels(nodes, kept).collect()}
+    assert level[212] == 0 and level[200] == 12 and level[5] == 13 and level[0] == 18 and level[300] == level[301] + 1 == 19
+    with pytest.raises(ValueError):
+        graph.dependency_levels(nodes, edges)
+    none = edges.limit(0)
+    assert graph.cycles(none).count() == 0 and graph.dependency_levels(none.select(F.col("src").alias("id")), none).count() == 0
+
+
 def test_refused_requests_leave_the_job(spark):
     t = datetime(2024, 1, 1)
     at = lambda minutes: t + timedelta(minutes=minutes)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import exact, hmm, jaccard, mixing, packing, pii, quality, shared, substrings, token_counts, toxicity
+from repolith.llm import clusters, exact, hmm, jaccard, licenses, mixing, packing, pii, quality, shared, substrings, token_counts, toxicity, trie
 
 TOXIC = 0.7
 TOKENIZER = "byte_bpe_50k.json"
@@ -77,10 +77,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of the base phrases, labels of both kinds; ``spans`` lists what the rules found as label:form:start:end."""
+    found = licenses.find_licenses(documents(spark, sf_dir))
+    labels = lambda spans: F.transform(spans, lambda s: s["label"])
+    listed = lambda names: F.array_join(F.array_sort(F.array_distinct(names)), ",")
+    starts = F.transform("base", lambda s: s["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        listed(labels(F.col("base"))).alias("base_labels"), listed(F.concat(labels(F.col("base")), labels(F.col("spans")))).alias("labels"), "score",
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["form"], s["start"], s["end"])), ",").alias("spans"),
+    )
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, components=64, seed=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join, op2_best_fit_packing, op3_quality_rules, op4_pii, op5_mixing, op6_toxicity,
-        op7_substring_dedup, op8_hidden_markov_scores, op9_exact_dedup, op10_token_counts,
+        op7_substring_dedup, op8_hidden_markov_scores, op9_exact_dedup, op10_token_counts, op11_conversation_trie, op12_license_scan, op13_centroid_clusters,
     )
     return {f.__name__: f for f in every}
 

@@ -69,3 +69,15 @@ def small_batches(spark: SparkSession, most_bytes: int = 4 << 20, most_rows: int
         now = (spark.conf.get(key, None) or "").rstrip("b")
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the application ends: for tables that a lazy result reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

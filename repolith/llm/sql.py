@@ -109,6 +109,54 @@ h AS (SELECT doc_id, sum(removed) AS n_removed, string_agg(word, ' ' ORDER BY i)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN h ON h.doc_id = d.doc_id
 """
 
+# crc32 by its definition: eight entries for a digit, as only the first of each carries the digit's bits.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(conv_id::VARCHAR, '')])), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, length(text) AS chars, md5(length(role) || ':' || role || ':' || text) AS key, turn FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS i FROM k),
+c AS (SELECT conv_id, ({_CRC} % 6)::BIGINT AS h, conv_id - conv_id % 100 AS source FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT c.conv_id, 1 AS part, r.i, key, chars FROM c JOIN r ON r.conv_id = c.source AND r.i <= c.h
+      UNION ALL SELECT c.conv_id, 2, r.i, key, chars FROM c JOIN r ON r.conv_id = c.conv_id AND r.i > c.h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(key, '') OVER w) AS node, chars FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT conv_id, depth, node, chars, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent, lead(node) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM s
+      UNION ALL SELECT c.conv_id, 0, '', 0, NULL, NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = c.conv_id) FROM c),
+g AS (SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM a GROUP BY node),
+q AS (SELECT parent, count(*) AS n_children FROM g GROUP BY parent),
+w AS (SELECT g.*, coalesce(n_children, 0)::BIGINT AS n_children, (n_convs - 1) * chars AS saved FROM g LEFT JOIN q ON q.parent = g.node),
+-- A node's ancestors are those of its smallest member's path.
+u AS (SELECT a.node, sum((w.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(w.saved)::BIGINT AS saved_tokens FROM w JOIN a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY a.node)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM w JOIN u ON u.node = w.node LEFT JOIN g p ON p.node = w.parent
+"""
+
+
+def clusters_sql(k: int = 40, rounds: int = 5, components: int = 64, seed: int = 2) -> str:
+    """Squared distances row by row, for every vector and centroid of each round."""
+    near = lambda i: (
+        f"d{i} AS (SELECT r, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS distance FROM v JOIN m{i} m ON m.i = v.i GROUP BY r, c), "
+        f"a{i} AS (SELECT r, arg_min((c, distance), (distance, c)) AS best FROM d{i} GROUP BY r), b{i} AS (SELECT r, best[1] AS c, best[2] AS distance FROM a{i})"
+    )
+    mean = lambda i: (
+        f"m{i + 1} AS (SELECT m.c, m.i, coalesce(s.x, m.x) AS x FROM m{i} m LEFT JOIN "
+        f"(SELECT c, i, floor(sum(x)::HUGEINT / count(*))::BIGINT AS x FROM v JOIN b{i} USING (r) GROUP BY c, i) s ON s.c = m.c AND s.i = m.i)"
+    )
+    steps = ", ".join(f"{near(i)}, {mean(i)}" for i in range(rounds))
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+kept AS (SELECT r, vec_id, [floor(256 * x)::BIGINT FOR x IN e] AS v FROM e WHERE len(e) = {components} AND len([x FOR x IN e IF x IS NOT NULL AND isfinite(x)]) = {components}),
+v AS (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept),
+m0 AS (SELECT c - 1 AS c, i, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), vec_id, v) AS c FROM kept) JOIN v USING (r) WHERE c <= {k}),
+{steps}, {near(rounds)},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM b{rounds} JOIN kept USING (r) JOIN h USING (c)
+"""
+
+
 ORACLES = {
     "op1_ngram_jaccard_join": NEAR, "op3_quality_rules": QUALITY, "op5_mixing": MIXING, "op7_substring_dedup": REPEATS, "op9_exact_dedup": EXACT,
+    "op11_conversation_trie": TRIE, "op13_centroid_clusters": clusters_sql(),
 }

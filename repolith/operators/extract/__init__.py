@@ -1,4 +1,5 @@
-"""Components and call edges of source files, as rows. A language's analyzer is a function of (path, content)."""
+"""Components and call edges of source files, as rows. TypeScript, JavaScript and Java are analysed as tables of tokens; another
+language's analyzer is a function of (path, content)."""
 
 from __future__ import annotations
 
@@ -7,8 +8,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from repolith.operators.extract import braces, python_source
+from repolith.operators.extract import braces, java, python_source, scripts
 
 ROWS = (
     "file_ord long, emit_ord long, kind string, id string, name string, component_type string, file_path string, start_line int, end_line int, "
@@ -21,15 +23,39 @@ Analyzer = Callable[[str, str], Iterator[dict]]
 ANALYZERS: dict[str, Analyzer] = {"python": python_source.analyze} | {lang: braces.analyzer(lang) for lang in braces.LANGUAGES}
 
 
+#: (components, edges) from a table of files.
+TABLES: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = {
+    "typescript": lambda files: scripts.analyzed(files, typed=True), "javascript": lambda files: scripts.analyzed(files, typed=False),
+    "java": java.analyzed,
+}
+
+
 def register_analyzer(language: str, analyzer: Analyzer) -> None:
     """An analyzer yields rows of kind ``component`` or ``edge``; it replaces the one there is."""
     ANALYZERS[language] = analyzer
+    TABLES.pop(language, None)
+
+
+def _with_source(files: DataFrame, components: DataFrame) -> DataFrame:
+    """``components`` with the lines of their files from start_line to end_line. A file's lines are split once."""
+    names = components.columns
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, found in zip(batch.column("content").to_pylist(), batch.column("found")):
+                lines = (content or "").split("\n")
+                code = pa.array(["\n".join(lines[f["start_line"].as_py() - 1 : f["end_line"].as_py()]) for f in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*found.values.flatten(), code], [*names, "source_code"])
+
+    lists = components.groupBy("file_ord").agg(F.collect_list(F.struct(*names)).alias("found"))
+    schema = T.StructType([*components.schema.fields, T.StructField("source_code", T.StringType())])
+    return files.select("file_ord", "content").join(lists, "file_ord").select("content", "found").mapInArrow(sliced, schema)
 
 
 def extract(files: DataFrame) -> DataFrame:
     """Rows of kind component, edge or error from ``files`` (file_ord, path, language, content). A file that can't be
     analyzed gives one error row. (file_ord, emit_ord) orders everything."""
-    analyzers = dict(ANALYZERS)
+    analyzers, tables = {k: v for k, v in ANALYZERS.items() if k not in TABLES}, dict(TABLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,7 +68,17 @@ def extract(files: DataFrame) -> DataFrame:
                 rows = [{"file_ord": row["file_ord"], "emit_ord": i, "file_path": row["path"]} | x for i, x in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], _KINDS[k]) for n, k in _FIELDS], [n for n, _ in _FIELDS])
 
-    return files.select("file_ord", "path", "language", "content").mapInArrow(run, ROWS)
+    out = files.filter(~F.col("language").isin(*tables)).select("file_ord", "path", "language", "content").mapInArrow(run, ROWS)
+    # What there is, so that no table of tokens is made for a language without files.
+    present = {r[0] for r in files.select("language").distinct().filter(F.col("language").isin(*tables)).collect()}
+    for language, table in ((k, v) for k, v in tables.items() if k in present):
+        own = files.filter(F.col("language") == language)
+        components, edges = table(own)
+        components = _with_source(own, components).withColumns({"kind": F.lit("component"), "docstring": F.lit("")})
+        edges = edges.withColumn("kind", F.lit("edge")).join(own.select("file_ord", F.col("path").alias("file_path")), "file_ord")
+        for rows in (components, edges):
+            out = out.unionByName(rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(k).alias(n) for n, k in _FIELDS]))
+    return out
 
 
 def components_of(rows: DataFrame) -> DataFrame:

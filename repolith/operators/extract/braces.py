@@ -4,16 +4,16 @@ table for each language says what opens a component and what counts as an edge."
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 from repolith.operators.extract.python_source import module_of
 
 _BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _NAME = r"[A-Za-z_$][\w$]*"
 _CALL = re.compile(rf"(?<![\w$.])(?P<new>new\s+)?(?P<name>{_NAME}(?:(?:\.|->|::){_NAME})*)\s*(?:<[\w\s,<>\[\]?]*>)?\s*\(")
-_DECLARED = re.compile(rf"\b({_NAME})(?:<[^;(){{}}]*>)?(?:\[\])?\s+({_NAME})\s*[=;,)]")
 _KEYWORDS = frozenset("if for while switch catch return function sizeof typeof await do else new throw super this constructor using lock foreach void defined".split())
 
 
@@ -21,40 +21,20 @@ _KEYWORDS = frozenset("if for while switch catch return function sizeof typeof a
 class Language:
     """``types``: patterns (component type, regular expression with name and maybe bases and args).
 
-    ``calls`` says what a call points to: ``module`` (the name in this module), ``bare`` (the name as it is), ``receiver``
-    (the type of the variable that it is called on), ``owner`` (a class or function of this file) or nothing.
-    ``bases`` likewise: ``module``, ``bare`` or ``known`` (only bases of this file). ``uses``: patterns of type names that
-    are dependencies wherever they stand; ``qualified_uses`` puts them into this module. ``stops`` are never dependencies.
-    ``globals``: how uses of this file's global variables are spelled, ``module`` (and resolved) or ``bare``; empty: they
-    make no edges. ``doc_types``: the types that doc comments name are dependencies.
+    ``calls`` says what a call points to: ``bare`` (the name as it is), ``owner`` (a class or function of this file) or nothing.
+    ``bases``: ``bare`` or ``known`` (only bases of this file). ``uses``: patterns of type names that are dependencies wherever
+    they stand. ``stops`` are never dependencies. ``globals``: how uses of this file's global variables are spelled,
+    ``module`` (and resolved) or ``bare``; empty: they make no edges.
     """
 
     types: list[tuple[str, str]]
     calls: str = ""
-    bases: str = "module"
+    bases: str = "bare"
     uses: list[str] = field(default_factory=list)
-    qualified_uses: bool = False
     stops: frozenset[str] = field(default_factory=frozenset)
     globals: str = ""
-    doc_types: bool = False
 
 
-_BASES = rf"(?:\s+extends\s+(?P<base>{_NAME}(?:\.{_NAME})*))?(?:\s*<[^{{]*?>)?(?:\s+implements\s+(?P<more>[\w\s,.<>$]+?))?"
-_JS = [
-    ("class", rf"\b(?:abstract\s+)?class\s+(?P<name>{_NAME})(?:<[^{{]*?>)?{_BASES}\s*\{{"),
-    ("function", rf"\b(?:async\s+)?function\s*\*?\s*(?P<name>{_NAME})\s*(?:<[^(]*>)?\((?P<args>[^)]*)\)[^;{{]*\{{"),
-    ("function", rf"\b(?:const|let|var)\s+(?P<name>{_NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\s*\*?\s*(?:{_NAME})?\s*)?\((?P<args>[^)]*)\)[^;{{=]*(?:=>\s*)?\{{"),
-]
-_TS = [*_JS, ("interface", rf"\binterface\s+(?P<name>{_NAME})(?:<[^{{]*?>)?(?:\s+extends\s+(?P<more>[\w\s,.<>$]+?))?\s*\{{"), ("enum", rf"\benum\s+(?P<name>{_NAME})\s*\{{"), ("type", rf"\btype\s+(?P<name>{_NAME})(?:<[^=]*>)?\s*=\s*\{{")]
-_JAVA = [
-    ("abstract class", rf"\babstract\s+(?:(?:public|protected|private|static|strictfp)\s+)*class\s+(?P<name>{_NAME})(?:<[^{{]*?>)?{_BASES}\s*\{{"),
-    ("class", rf"\bclass\s+(?P<name>{_NAME})(?:<[^{{]*?>)?{_BASES}\s*\{{"),
-    ("interface", rf"(?<!@)\binterface\s+(?P<name>{_NAME})(?:<[^{{]*?>)?(?:\s+extends\s+(?P<more>[\w\s,.<>$]+?))?\s*\{{"),
-    ("enum", rf"\benum\s+(?P<name>{_NAME})(?:\s+implements\s+(?P<more>[\w\s,.<>$]+?))?\s*\{{"),
-    ("record", rf"\brecord\s+(?P<name>{_NAME})\s*\([^)]*\)(?:\s+implements\s+(?P<more>[\w\s,.<>$]+?))?\s*\{{"),
-    ("annotation", rf"@interface\s+(?P<name>{_NAME})\s*\{{"),
-    ("method", rf"(?:[\w<>\[\],.?]+\s+)(?P<name>{_NAME})\s*\((?P<args>[^)]*)\)\s*(?:throws\s+[\w\s,.]+)?\{{"),
-]
 _CS = [(t, rf"\b{t}\s+(?P<name>{_NAME})(?:<[^{{]*?>)?(?:\s*\([^)]*\))?(?:\s*:\s*(?P<more>[\w\s,.<>]+?))?\s*(?:where[^{{]*)?\{{") for t in ("class", "interface", "struct", "enum", "record")]
 _MODIFIERS = r"(?:(?:public|private|protected|internal|sealed|partial|new|unsafe)\s+)*"
 _CS = [
@@ -84,12 +64,8 @@ _NEW = re.compile(rf"\bnew\s+(?P<name>{_NAME})")
 _FIELD = rf"(?:^|[;{{}}\n])\s*(?:(?:public|private|protected|internal|static|final|readonly|virtual|override)\s+)+(?P<type>{_NAME})(?:<[^;=(){{}}]*>)?(?:\[\])?\s+{_NAME}\s*[;={{]"
 
 _PARAMETER = rf"[(,]\s*(?:(?:ref|out|in|params|this|final)\s+)?(?P<type>{_NAME})(?:<[^,(){{}}]*>)?(?:\[\])?\s+{_NAME}\s*(?=[,)=])"
-_ANNOTATION = rf"[\w)?]\s*:\s*(?P<type>[A-Z][\w$]*)"
 
 LANGUAGES: dict[str, Language] = {
-    "javascript": Language(_JS, calls="module", doc_types=True),
-    "typescript": Language(_TS, calls="module", uses=[_ANNOTATION], qualified_uses=True, stops=frozenset("string number boolean any void never unknown null undefined object".split())),
-    "java": Language(_JAVA, calls="receiver", uses=[_FIELD], stops=_PRIMITIVES),
     "csharp": Language(_CS, bases="known", uses=[_FIELD, _PARAMETER], stops=_PRIMITIVES),
     "c": Language(_C, calls="bare", stops=_SYSTEM, globals="module"),
     "cpp": Language(_CPP, calls="owner", bases="bare", stops=_CPP_SYSTEM, globals="bare"),
@@ -141,16 +117,6 @@ def global_variables(code: str, pointers: bool) -> set[str]:
     return found
 
 
-def _defines(code: str, paren: int) -> bool:
-    """Whether a body follows the parentheses that open at ``paren``, so that they hold a method's parameters."""
-    depth = 0
-    for m in re.compile(r"[()]").finditer(code, paren):
-        depth += 1 if m[0] == "(" else -1
-        if not depth:
-            return bool(re.compile(r"\s*(?::\s*[\w$][^{;=()]*)?\{").match(code, m.end()))
-    return False
-
-
 def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
     language = LANGUAGES[name]
     patterns = [(kind, re.compile(p, re.M)) for kind, p in language.types]
@@ -167,24 +133,27 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
                     found.append((m.start("name"), m.end() - 1, ends.get(m.end() - 1, len(code)), kind, m))
         # Of patterns that find the same name, the first one counts.
         found = sorted({f[0]: f for f in reversed(found)}.values(), key=lambda f: f[0])
+        # Scopes by start, and the number of the one around each; ``inner`` holds those that are open.
         scopes: list[tuple[int, int, str, str]] = []
+        parents: list[int] = []
+        inner: list[int] = []
         rows, names = [], {m["name"] for *_, m in found}
         for start, brace, end, kind, m in found:
-            owner = next((s for s in reversed(scopes) if s[0] < start < s[1]), None)
-            nested = kind in ("function", "method") and owner is not None
-            if kind == "function" and nested:
-                continue
-            if kind == "method" and owner is None:
+            while inner and scopes[inner[-1]][1] <= start:
+                inner.pop()
+            if kind == "function" and inner:
                 continue
-            label = f"{owner[2]}.{m['name']}" if kind == "method" else m["name"]
+            label = m["name"]
             if kind == "delegate":
                 end = brace
+            parents.append(inner[-1] if inner else -1)
+            inner.append(len(scopes))
             scopes.append((brace, end, label, kind))
             groups = m.groupdict()
             bases = [b.strip().split("<")[0].split(" ")[-1] for b in ",".join(filter(None, (groups.get("base"), groups.get("more")))).split(",") if b.strip()]
             args = [a.strip().split("=")[0].split(":")[0].strip().split(" ")[-1].lstrip("*&") for a in (groups.get("args") or "").split(",") if a.strip()]
             first, last = line_of(start), line_of(end)
-            rows.append({"kind": "component", "id": f"{module}.{label}", "name": label, "component_type": kind, "start_line": first, "end_line": last, "docstring": "", "parameters": args if kind in ("function", "method") else None, "base_classes": bases or None, "source_code": "\n".join(lines[first - 1 : last])})
+            rows.append({"kind": "component", "id": f"{module}.{label}", "name": label, "component_type": kind, "start_line": first, "end_line": last, "docstring": "", "parameters": args if kind == "function" else None, "base_classes": bases or None, "source_code": "\n".join(lines[first - 1 : last])})
             for base in bases:
                 if language.bases != "known" or base in names:
                     rows.append({"kind": "edge", "caller": f"{module}.{label}", "callee": base if language.bases == "bare" else f"{module}.{base}", "call_line": first, "is_resolved": language.bases == "known"})
@@ -192,6 +161,7 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
         variables = global_variables(code, language.globals == "module") if language.globals else set()
         kinds = [(r["name"], r["source_code"].split("\n")) for r in rows if r["kind"] == "component" and r["component_type"] in ("class", "struct")]
 
+        @cache
         def owner_of(called: str) -> str | None:
             """The first class or struct with a line that spells the call and a result type or the class itself."""
             for cls, source in kinds:
@@ -199,26 +169,20 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
                     return cls
             return called if called in names or called in variables else None
 
-        at = lambda place: next((s for s in reversed(scopes) if s[0] < place < s[1]), None)
-        declared = [(m.start(), m[1], m[2]) for m in _DECLARED.finditer(code) if m[1] not in _KEYWORDS] if language.calls == "receiver" else []
+        starts = [s[0] for s in scopes]
 
-        def type_of(name: str, place: int) -> str | None:
-            """By the nearest declaration before the place, within the scopes around it; fields may also follow."""
-            scope = at(place)
-            own = [t for start, t, n in declared if n == name and scope and scope[0] - 400 < start < place]
-            return own[-1] if own else next((t for _, t, n in declared if n == name), None)
+        def at(place: int) -> tuple[int, int, str, str] | None:
+            """The innermost scope around a place: up from the last one that starts before it."""
+            i = bisect_left(starts, place) - 1
+            while i >= 0 and scopes[i][1] <= place:
+                i = parents[i]
+            return scopes[i] if i >= 0 else None
 
-        def target(spelled: str, new: bool, place: int) -> tuple[str | None, bool]:
+        def target(spelled: str, new: bool) -> tuple[str | None, bool]:
             parts = re.split(r"\.|->|::", spelled)
             short = parts[-1]
             if short in _KEYWORDS or short in language.stops:
                 return None, False
-            if language.calls == "module":
-                own = spelled.startswith(("this.", "super."))
-                return (None if own else f"{module}.{spelled if new else short}"), not new and short in names
-            if language.calls == "receiver":
-                kind = spelled if new else type_of(parts[0], place) if len(parts) > 1 else None
-                return (None if kind in language.stops else kind), False
             if language.calls == "owner":
                 # Qualified names and objects that are made are no calls of their own here.
                 own = None if new or "::" in spelled else owner_of(short)
@@ -228,21 +192,13 @@ def analyzer(name: str) -> Callable[[str, str], Iterator[dict]]:
         uses = []
         if language.calls:
             for m in _CALL.finditer(code):
-                if m.start("name") not in heads and not (language.calls == "module" and _defines(code, m.end() - 1)):
-                    uses.append((m.start("name"), *target(m["name"], bool(m["new"]), m.start())))
+                if m.start("name") not in heads:
+                    uses.append((m.start("name"), *target(m["name"], bool(m["new"]))))
         for pattern in language.uses:
             for m in re.finditer(pattern, code):
                 kind = m["type"]
                 if kind not in language.stops and kind not in _KEYWORDS:
-                    uses.append((m.start("type"), f"{module}.{kind}" if language.qualified_uses else kind, False))
-        for m in _BLANK.finditer(content) if language.doc_types else ():
-            scope = at(m.start())
-            named = doc_types(m[0]) if scope and m[0].startswith("/") else []
-            if named:
-                # A comment belongs to the block that it stands in and to what follows it.
-                block = max(b for b, e in ends.items() if b < m.start() < e)
-                after = m.end() + len(content[m.end() :]) - len(content[m.end() :].lstrip())
-                uses += [(at_line, f"{module}.{t}", False) for at_line in (block, after) for t in named]
+                    uses.append((m.start("type"), kind, False))
         if variables:
             for m in re.finditer(rf"(?<![\w.>])(?:{'|'.join(sorted(variables))})\b", code):
                 declared_here = re.search(rf"({_NAME})[\s*&]+\Z", code[max(0, m.start() - 200) : m.start()])

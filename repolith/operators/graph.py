@@ -13,7 +13,7 @@ _own: dict[str, str] = {}
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that loops don't grow lineage."""
+    """``df`` written to the shared folder and read again, so that loops don't grow lineage. It goes when the application ends."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -24,6 +24,8 @@ def saved(df: DataFrame) -> DataFrame:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="repolith-")
         folder = _own[app]
     path = f"{folder}/repolith/{uuid.uuid4().hex}-graph"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -148,7 +148,8 @@ def x3_javascript_components(spark, sf_dir):
     return components(found(spark, sf_dir, "javascript", ".js", JS))
 
 
-@query(_sql([("{m}.I_{k}", "interface", 1, 1, None, None), ("{m}.E_{k}", "enum", 2, 2, None, None), ("{m}.A_{k}", "class", 3, 5, None, "I_{k}")], COMPONENTS))
+@query(_sql([("{m}.I_{k}", "interface", 1, 1, None, None), ("{m}.E_{k}", "enum", 2, 2, None, None), ("{m}.A_{k}", "class", 3, 5, None, "I_{k}"), ("{m}.m", "function", 4, 4, "b", None)], COMPONENTS))
+# A method is a component of its bare name, as it stands in no function's body.
 def x4_x4d_typescript_components(spark, sf_dir):
     return components(found(spark, sf_dir, "typescript", ".ts", TS))
 
@@ -186,3 +187,175 @@ def x2_python_components(spark, sf_dir):
 @query(_sql([("{m}.Base_{k}", "helper_{k}", 3, False), ("{m}.Child_{k}", "{m}.Base_{k}", 5, True), ("{m}.Child_{k}", "other_{n}.work", 7, False)], EDGES))
 def x2c_python_edges(spark, sf_dir):
     return edges(found(spark, sf_dir, "python", ".py", PY))
+
+# Each construct once; the rows are written from the rules.
+TS_ALL = """import { Foo_{n} } from "./foo";
+export interface Shape extends Base<Foo_{n}> { area(): number; owner: Owner; list?: Array<Item> }
+export enum Color { Red = 1, Green }
+type Pair<T> = { left: T; right: Foo_{n} };
+type Alias = Foo_{n} | Shape
+export abstract class Animal_{k}<T extends Foo_{n}> extends Thing implements Shape, Gen<T> {
+  private name: Name = makeName();
+  constructor(private readonly dep: Dep, b?: string) { super(); this.init(dep); }
+  async speak(a: A, cb: (x: X) => void): Promise<Result<Foo_{n}>> {
+    const local = new Helper_{k}.Inner<Foo_{n}>();
+    function nested() { return Color.Red; }
+    class Hidden { run() {} }
+    console.log(`t ${fmt(a)}`);
+    return local.value;
+  }
+  abstract later(): void;
+  get size(): number { return this.count }
+}
+export function outer_{k}(x: number, { y }: Opts, ...rest: Rest[]): Out {
+  const inner = (z: Z) => z.go();
+  return inner(nested2(x));
+}
+function* gen() { yield outer_{k}(1) }
+const arrow = async (p: P, q = 2): Promise<Q> => { await outer_{k}(p); };
+const short = v => v.map(w => w.id)
+const plain = 5, other = function named() {};
+let hidden = arrow;
+export default register(plain);
+declare module "x" { export function amb(a: Amb): void; }
+namespace NS { export const deep = () => outer_{k}(2); export class Kept {} }
+"""
+JS_ALL = """/** top */
+export class A extends B {
+  /** @param {Foo_{n}|string} a */
+  go(a) { this.run(); this.other(); helper(); return new Z(); }
+  run() {}
+  field = () => { inField(); };
+}
+export default function main_{k}(x, y = 2, ...z) {
+  const inner = async k => { await load(k); };
+  function sub() { inner(1); }
+  return main_{k}.call(this, sub());
+}
+function* gen() { yield* main_{k}(); }
+const one = x => x + 1, two = () => 2;
+var three = () => 3;
+let four = function (a, b) { return one(a) };
+const obj = { m() { four(); }, n: () => 1 };
+if (one(2)) { two(); }
+"""
+JAVA_ALL = """package p;
+import java.util.List;
+
+@Service(name = "x")
+public abstract class Animal_{k}<T extends Foo_{n}> extends Thing implements Shape, Gen<T> {
+  private final Name name = new Name();
+  private List<Item> items;
+  Map<String, Foo_{n}> map, other;
+  int count;
+  Foo_{n}[] array;
+  Outer.Inner scoped;
+  public Animal_{k}(Dep dep) { dep.use(); Local l = new Local(); l.go(); }
+  @Override
+  public <R> Result<R> speak(A a, List<B> b) throws Err {
+    Worker w = pool.take();
+    w.run();
+    {
+      Other w = make();
+      w.stop();
+    }
+    w.end();
+    for (Row row : rows) { row.read(); }
+    row.gone();
+    for (It it = x(); it.ok(); it.next()) it.use();
+    try (Res res = open()) { res.use(); }
+    handlers.each((Event e, Ctx k) -> e.fire(k));
+    list.each((Event2 e) -> { e.fire2(); });
+    name.print();
+    Helper_{k}.help();
+    a.param();
+    String str = "x"; str.trim();
+    if (a < b && c > d) { new Box<Foo_{n}>(); }
+    Runnable r = new Runnable() { public void run() { name.inner(); w.late(); } };
+    return null;
+  }
+  abstract void later(int z);
+  static class Helper_{k} { Name name2; void help() { name2.a(); name.b(); } }
+}
+interface Shape extends Base { double area(); Name CONST = null; }
+enum Color implements Shape { RED(1), GREEN(2) { void x() {} }; private Paint paint; Color(int i) { } void mix() { paint.mix(); } }
+record Point(int x, int y) implements Shape { Point { } int sum() { return x; } }
+@interface Marker { String value() default ""; }
+class Generic extends Base<Foo_{n}> { }
+"""
+
+
+@query(_sql([
+    ('{m}.Shape', 'interface', 2, 2, None, None), ('{m}.Color', 'enum', 3, 3, None, None), ('{m}.Pair', 'type', 4, 4, None, None),
+    ('{m}.Alias', 'type', 5, 5, None, None), ('{m}.Animal_{k}', 'class', 6, 18, None, 'Thing,Shape'), ('{m}.speak', 'function', 9, 15, 'a,cb', None),
+    ('{m}.size', 'function', 17, 17, '', None), ('{m}.outer_{k}', 'function', 19, 22, 'x', None), ('{m}.gen', 'function', 23, 23, '', None),
+    ('{m}.arrow', 'function', 24, 24, 'p,q', None), ('{m}.short', 'function', 25, 25, '', None), ('{m}.register', 'function', 28, 28, '', None),
+    ('{m}.deep', 'function', 30, 30, '', None), ('{m}.Kept', 'class', 30, 30, None, None),
+], COMPONENTS))
+def x4_x4a_typescript_constructs(spark, sf_dir):
+    return components(found(spark, sf_dir, "typescript", ".ts", TS_ALL))
+
+
+@query(_sql([
+    ('{m}.Shape', '{m}.Owner', 2, False), ('{m}.Shape', '{m}.Array', 2, False), ('{m}.Shape', '{m}.Item', 2, False), ('{m}.Pair', '{m}.T', 4, False),
+    ('{m}.Pair', '{m}.Foo_{n}', 4, False), ('{m}.Animal_{k}', '{m}.Shape', 6, False), ('{m}.Animal_{k}', '{m}.Name', 7, False),
+    ('{m}.Animal_{k}', '{m}.makeName', 7, False), ('{m}.Animal_{k}', '{m}.Dep', 8, False), ('{m}.Animal_{k}', '{m}.this.init', 8, False),
+    ('{m}.Animal_{k}', '{m}.init', 8, False), ('{m}.Animal_{k}', '{m}.A', 9, False), ('{m}.Animal_{k}', '{m}.X', 9, False),
+    ('{m}.Animal_{k}', '{m}.Promise', 9, False), ('{m}.Animal_{k}', '{m}.Result', 9, False), ('{m}.Animal_{k}', '{m}.Foo_{n}', 9, False),
+    ('{m}.Animal_{k}', '{m}.Helper_{k}.Inner', 10, False), ('{m}.Animal_{k}', '{m}.Inner', 10, False), ('{m}.Animal_{k}', '{m}.Red', 11, False),
+    ('{m}.Animal_{k}', '{m}.console.log', 13, False), ('{m}.Animal_{k}', '{m}.log', 13, False), ('{m}.Animal_{k}', '{m}.fmt', 13, False),
+    ('{m}.Animal_{k}', '{m}.value', 14, False), ('{m}.Animal_{k}', '{m}.count', 17, False), ('{m}.outer_{k}', '{m}.Opts', 19, False),
+    ('{m}.outer_{k}', '{m}.Rest', 19, False), ('{m}.outer_{k}', '{m}.Out', 19, False), ('{m}.outer_{k}', '{m}.Z', 20, False),
+    ('{m}.outer_{k}', '{m}.z.go', 20, False), ('{m}.outer_{k}', '{m}.go', 20, False), ('{m}.outer_{k}', '{m}.nested2', 21, False),
+    ('{m}.gen', '{m}.outer_{k}', 23, False), ('{m}.arrow', '{m}.P', 24, False), ('{m}.arrow', '{m}.Promise', 24, False),
+    ('{m}.arrow', '{m}.Q', 24, False), ('{m}.arrow', '{m}.outer_{k}', 24, False), ('{m}.short', '{m}.v.map', 25, False),
+    ('{m}.short', '{m}.map', 25, False), ('{m}.short', '{m}.id', 25, False), ('{m}.register', '{m}.register', 28, False),
+    ('{m}.deep', '{m}.outer_{k}', 30, False),
+], EDGES))
+def x4b_typescript_uses(spark, sf_dir):
+    return edges(found(spark, sf_dir, "typescript", ".ts", TS_ALL))
+
+
+@query(_sql([
+    ('{m}.A', 'class', 2, 7, None, 'B'), ('{m}.main_{k}', 'function', 8, 12, 'x', None), ('{m}.inner', 'function', 9, 9, '', None),
+    ('{m}.sub', 'function', 10, 10, '', None), ('{m}.gen', 'function', 13, 13, '', None), ('{m}.one', 'function', 14, 14, '', None),
+    ('{m}.four', 'function', 16, 16, 'a,b', None),
+], COMPONENTS))
+def x3_javascript_constructs(spark, sf_dir):
+    return components(found(spark, sf_dir, "javascript", ".js", JS_ALL))
+
+
+@query(_sql([
+    ('{m}.A', '{m}.B', 2, False), ('{m}.A', '{m}.Foo_{n}', 2, False), ('{m}.A', '{m}.Foo_{n}', 4, False), ('{m}.A', '{m}.other', 4, False),
+    ('{m}.A', '{m}.helper', 4, False), ('{m}.A', '{m}.Z', 4, False), ('{m}.A', '{m}.inField', 6, False), ('{m}.inner', '{m}.load', 9, False),
+    ('{m}.sub', '{m}.inner', 10, True), ('{m}.main_{k}', '{m}.call', 11, False), ('{m}.main_{k}', '{m}.sub', 11, True),
+    ('{m}.gen', '{m}.main_{k}', 13, True), ('{m}.four', '{m}.one', 16, True),
+], EDGES))
+def x3a_x3b_javascript_uses(spark, sf_dir):
+    return edges(found(spark, sf_dir, "javascript", ".js", JS_ALL))
+
+
+@query(_sql([
+    ('{m}.Animal_{k}', 'abstract class', 4, 38, None, 'Thing,Shape,Gen'), ('{m}.Animal_{k}.speak', 'method', 13, 35, 'a,b', None),
+    ('{m}.Animal_{k}.run', 'method', 33, 33, '', None), ('{m}.Animal_{k}.later', 'method', 36, 36, 'z', None),
+    ('{m}.Helper_{k}', 'class', 37, 37, None, None), ('{m}.Helper_{k}.help', 'method', 37, 37, '', None),
+    ('{m}.Shape', 'interface', 39, 39, None, 'Base'), ('{m}.Shape.area', 'method', 39, 39, '', None), ('{m}.Color', 'enum', 40, 40, None, 'Shape'),
+    ('{m}.Color.mix', 'method', 40, 40, '', None), ('{m}.Point', 'record', 41, 41, None, 'Shape'), ('{m}.Point.sum', 'method', 41, 41, '', None),
+    ('{m}.Marker', 'annotation', 42, 42, None, None), ('{m}.Generic', 'class', 43, 43, None, 'Base'),
+], COMPONENTS))
+def x5_java_constructs(spark, sf_dir):
+    return components(found(spark, sf_dir, "java", ".java", JAVA_ALL))
+
+
+@query(_sql([
+    ('{m}.Animal_{k}', '{m}.Thing', 4, False), ('{m}.Animal_{k}', '{m}.Shape', 4, False), ('{m}.Animal_{k}', '{m}.Gen', 4, False),
+    ('{m}.Animal_{k}', 'Name', 6, False), ('{m}.Animal_{k}', 'Local', 12, False), ('{m}.Animal_{k}.speak', 'Worker', 16, False),
+    ('{m}.Animal_{k}.speak', 'Other', 19, False), ('{m}.Animal_{k}.speak', 'Worker', 21, False), ('{m}.Animal_{k}.speak', 'Row', 22, False),
+    ('{m}.Animal_{k}.speak', 'It', 24, False), ('{m}.Animal_{k}.speak', 'Res', 25, False), ('{m}.Animal_{k}.speak', 'Event', 26, False),
+    ('{m}.Animal_{k}.speak', 'Event2', 27, False), ('{m}.Animal_{k}.speak', 'Name', 28, False), ('{m}.Animal_{k}.speak', 'Helper_{k}', 29, False),
+    ('{m}.Animal_{k}', 'Box', 32, False), ('{m}.Animal_{k}', 'Runnable', 33, False), ('{m}.Animal_{k}.run', 'Name', 33, False),
+    ('{m}.Animal_{k}.run', 'Worker', 33, False), ('{m}.Helper_{k}', 'Name', 37, False), ('{m}.Helper_{k}.help', 'Name', 37, False),
+    ('{m}.Color', '{m}.Shape', 40, False), ('{m}.Color', 'Paint', 40, False), ('{m}.Point', '{m}.Shape', 41, False),
+], EDGES))
+def x5a_x5b_java_scopes(spark, sf_dir):
+    return edges(found(spark, sf_dir, "java", ".java", JAVA_ALL))

@@ -67,9 +67,6 @@ def test_nested_scopes():
 @pytest.mark.parametrize(
     "language, path, code, ids, edge",
     [
-        ("java", "p/A.java", "class A extends B {\n  private Foo foo;\n  int run(int a) { return foo.help(a); }\n}", ["p.A.A", "p.A.A.run"], ("p.A.A.run", "Foo")),
-        ("javascript", "p/a.js", "// class X {}\nclass A extends B { m() { foo(); } }\nfunction f(a) { g('h()'); }", ["p.a.A", "p.a.f"], ("p.a.f", "p.a.g")),
-        ("typescript", "p/a.ts", "interface I { x: string }\nexport class A implements I { m() { new C(); } }", ["p.a.I", "p.a.A"], ("p.a.A", "p.a.C")),
         ("csharp", "p/a.cs", "class B { }\nclass A : B { private Foo f; }", ["p.a.B", "p.a.A"], ("p.a.A", "p.a.B")),
         ("c", "p/a.c", "static int add(int a) {\n  printf(\"x\"); return mul(a);\n}\n", ["p.a.add"], ("p.a.add", "mul")),
         ("cpp", "p/a.cpp", "class S : public T { };\nint twice(int a) { return a; }\nint add(int a) { return twice(a); }", ["p.a.S", "p.a.twice", "p.a.add"], ("p.a.add", "p.a.twice")),
@@ -95,12 +92,6 @@ def test_doc_types():
         assert braces.doc_types(comment) == types
 
 
-def test_comments_make_edges_within_components():
-    code = "/** @type {Before} */\nclass A {\n  /** @param {Foo} a */\n  go(a) { return stay(a); }\n}\n"
-    edges = [(r["caller"], r["callee"], r["call_line"]) for r in braces.analyzer("javascript")("a.js", code) if r["kind"] == "edge"]
-    assert edges == [("a.A", "a.Foo", 2), ("a.A", "a.Foo", 4), ("a.A", "a.stay", 4)]
-
-
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")

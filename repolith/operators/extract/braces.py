@@ -56,8 +56,8 @@ _DOC_BUILTINS = frozenset((
     "WeakSet", "Function", "Object", "String", "Number", "Boolean", "Symbol", "BigInt", "Element", "HTMLElement", "Document", "Window", "Event",
     "EventTarget", "Node", "Response", "Request", "Headers", "URL", "URLSearchParams", "FormData", "Blob", "File", "T", "U", "V", "K", "P", "R", "E",
 ))
-#: The tags of doc comments that name types.
-_DOC_TAGS = (r"@param\s*\{([^}]+)\}", r"@returns?\s*\{([^}]+)\}", r"@type\s*\{([^}]+)\}", r"@typedef\s*\{[^}]*\}\s*(\w+)", r"@interface\s+(\w+)")
+#: The tags of doc comments that name types; a type has 1000 letters at most, so that time is linear.
+_DOC_TAGS = (r"@param\s*\{([^}]{1,1000})\}", r"@returns?\s*\{([^}]{1,1000})\}", r"@type\s*\{([^}]{1,1000})\}", r"@typedef\s*\{[^}]{0,1000}\}\s*(\w+)", r"@interface\s+(\w+)")
 _GLOBAL = re.compile(rf"(?:^|[;{{}}])\s*(?P<type>(?:[A-Za-z_][\w:]*(?:<[^;=(){{}}]*>)?\s+)+)(?P<star>\*?)\s*(?P<name>{_NAME})\s*(?P<end>[=;,])")
 _NO_GLOBAL = frozenset("typedef return using goto friend template namespace delete throw".split())
 _NEW = re.compile(rf"\bnew\s+(?P<name>{_NAME})")

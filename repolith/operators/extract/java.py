@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.operators.extract.scripts import _any, c, record
-from repolith.operators.extract.token_table import first_after, last_before, last_so_far, siblings, token_table, with_enclosing, with_innermost, with_neighbours
+from repolith.operators.extract.scripts import _any, c, modules, record
+from repolith.operators.extract.token_table import first_after, last_before, last_so_far, token_table, with_enclosing, with_innermost, with_neighbours
 from repolith.operators.graph import saved
 
 MODIFIERS = ("public", "private", "protected", "static", "final", "abstract", "native", "synchronized", "transient", "volatile", "strictfp", "default", "sealed")
@@ -27,13 +27,13 @@ NO_DEPENDENCY = (
 
 
 def _marked(tokens: DataFrame) -> DataFrame:
-    rows = with_neighbours(with_enclosing(tokens, F.struct("text", "close", "line"), "around"), 4, 4)
-    rows = rows.withColumns({"nl1": F.lead("line").over(siblings()), "starts": c("p1").isin("", ";", "}") | ((c("p1") == ",") & (c("around.text") == "("))})
+    rows = with_neighbours(tokens, 4, 4)
+    rows = rows.withColumns({"starts": c("p1").isin("", ";", "}") | ((c("p1") == ",") & (c("around.text") == "("))})
     word, named = c("kind") == "w", (c("kind") == "w") & (c("nk1") == "w") & (c("p1") != ".")
     type_kind = F.when(named & (c("text") == "class"), "class").when(named & (c("text") == "interface"), F.when(c("p1") == "@", "annotation").otherwise("interface"))
     type_kind = type_kind.when(named & (c("text") == "enum") & c("n2").isin("{", "implements"), "enum").when(named & (c("text") == "record") & c("n2").isin("(", "<") & (c("starts") | c("p1").isin(*MODIFIERS)), "record")
     head = word & ~c("text").isin(*MODIFIERS, *WORDS) & (c("starts") | c("p1").isin(*MODIFIERS) | (c("p2") == "@") | ((c("p1") == ")") & (c("p4") == "@")))
-    rows = rows.withColumns({"declares": type_kind, "type_head": _any(head), "angle": F.sum(F.when(c("text") == "<", 1).when(c("text") == ">", -1).otherwise(0)).over(siblings().rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    rows = rows.withColumns({"declares": type_kind, "type_head": _any(head)})
     at = lambda condition: F.coalesce(last_before(condition, c("i")), F.lit(-1))
     rows = rows.withColumn("statement", last_so_far(c("starts"), F.struct("i", "line"))).withColumns({
         "brace_at": at(c("text").isin("{", ";")), "new_at": at(c("text") == "new"), "type_of": last_so_far(c("type_head"), F.struct("i", "text", c("n1").alias("next"))),
@@ -56,7 +56,6 @@ def _marked(tokens: DataFrame) -> DataFrame:
 
 def _owned(files: DataFrame) -> DataFrame:
     rows = _marked(token_table(files, scripts=False))
-    rows = rows.withColumn("module", F.regexp_replace(F.regexp_replace("path", r"\.java$", ""), r"[/\\]", "."))
     rows = with_innermost(rows, c("declares").isNotNull(), c("block.close"), F.struct("i", c("declares").alias("kind"), c("n1").alias("name")), "owner")
     rows = rows.withColumn("method", c("method") & (c("text") != F.coalesce("owner.name", F.lit(""))))
     method_end = F.when(c("signature.text") == "{", c("signature.close")).otherwise(c("signature.i"))
@@ -105,8 +104,8 @@ def analyzed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(components, edges) of ``files`` (file_ord, path, content). What tokens contribute is written once."""
     rows = _owned(files)
     owner = F.when(c("what") == "base edge", c("head.name")).otherwise(c("owner.name")).alias("owner")
-    rows = rows.withColumn("head", c("declared")).select("file_ord", "path", "module", "i", "owner", "head", "in_method", "own_class", F.inline(F.array_compact(F.array(*_records(rows)))))
-    spread = saved(rows.select("file_ord", "path", "module", "i", owner, "in_method", "own_class", "what", "order", "key", "line", "own", "kind", "start_line", "end_line", "paren", "first_at"))
+    rows = rows.withColumn("head", c("declared")).select("file_ord", "i", "owner", "head", "in_method", "own_class", F.inline(F.array_compact(F.array(*_records(rows)))))
+    spread = saved(rows.select("file_ord", "i", owner, "in_method", "own_class", "what", "order", "key", "line", "own", "kind", "start_line", "end_line", "paren", "first_at").join(modules(files), "file_ord"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"])
     lists = lambda what, name: spread.filter(c("what") == what).groupBy("file_ord", "paren").agg(listed.alias(name))
     components = spread.filter("what = 'component'").join(lists("parameter", "parameters"), ["file_ord", "paren"], "left").join(lists("base", "base_classes").withColumnRenamed("paren", "i"), ["file_ord", "i"], "left")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.operators.extract.token_table import first_after, last_before, last_so_far, siblings, token_table, with_enclosing, with_innermost, with_neighbours
+from repolith.operators.extract.token_table import back, first_after, first_after_at_level, last_before, last_so_far, token_table, with_enclosing, with_innermost, with_neighbours
 from repolith.operators.graph import saved
 
 #: Words that no call, method or type starts with.
@@ -41,8 +41,7 @@ def _marked(tokens: DataFrame, typed: bool) -> DataFrame:
     """Tokens with what they declare and open: flags, and for braces ``opens`` (body, class, interface, enum, type or block)."""
     # Comments that name types are siblings of nothing.
     rows = tokens.withColumns({"up": F.when(c("kind") == "d", -2).otherwise(c("up")), "next_line": F.lead("line").over(Window.partitionBy("file_ord").orderBy("i"))})
-    rows = with_enclosing(rows, F.struct("text", "close", "line"), "around")
-    rows = with_neighbours(rows, 4, 4).withColumns({"nl1": F.lead("line").over(siblings()), "nl2": F.lead("line", 2).over(siblings()), "nl4": F.lead("line", 4).over(siblings()), "last_line": F.max("line").over(siblings().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    rows = with_neighbours(rows, 4, 4).withColumn("last_line", F.coalesce("around.last", F.max("line").over(Window.partitionBy("file_ord"))))
     word = c("kind") == "w"
     free = word & ~F.coalesce(c("p1").isin(".", "?."), F.lit(False))
     context = F.when(c("p1").isin("async", "abstract"), c("p2")).otherwise(c("p1"))
@@ -57,7 +56,6 @@ def _marked(tokens: DataFrame, typed: bool) -> DataFrame:
         "enum": _any(free & (c("text") == "enum") & (c("nk1") == "w") & (c("n2") == "{")) if typed else F.lit(False),
         "alias": _any(free & (c("text") == "type") & (c("nk1") == "w") & c("n2").isin("=", "<")) if typed else F.lit(False),
         "declares": _any(free & c("text").isin("const", "let", "var") & (c("n1") != "enum")),
-        "angle": F.sum(F.when(c("text") == "<", 1).when(c("text") == ">", -1).otherwise(0)).over(siblings().rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     }
     rows = rows.withColumns(flags)
     at = lambda condition: F.coalesce(last_before(condition, c("i")), F.lit(-1))
@@ -78,7 +76,7 @@ def _marked(tokens: DataFrame, typed: bool) -> DataFrame:
         | _any(word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == "{") & (c("p1") == "*") & ~c("p2").isin("function"))
         | _any(word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == ":") & (c("inside") == "class") & ~c("p1").isin(".", "?.") & (first_after(c("text").isin("{", ";"), c("text")) == "{")),
     })
-    change = lambda kind: F.when(c("opens") == kind, 1).when((c("kind") == "c") & (F.lag("opens").over(siblings()) == kind), -1).otherwise(0)
+    change = lambda kind: F.when(c("opens") == kind, 1).when((c("kind") == "c") & (back("opens") == kind), -1).otherwise(0)
     before = Window.partitionBy("file_ord").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumns({"bodies": change("body"), "classes": change("class")}).withColumns({"in_body": F.coalesce(F.sum("bodies").over(before), F.lit(0)) > 0, "in_class": F.coalesce(F.sum("classes").over(before), F.lit(0)) > 0})
 
@@ -92,7 +90,7 @@ def _candidates(rows: DataFrame, typed: bool) -> DataFrame:
     inner_end = F.coalesce(c("around.close") - 1, F.max("i").over(Window.partitionBy("file_ord")))
     # An arrow's parameters: in parentheses, one name, or parentheses before a result type.
     typed_result = last_before((c("text") == ")") & (c("n1") == ":"), F.struct(c("pi1").alias("paren"), F.when(c("p2") == "async", c("p3")).otherwise(c("p2")).alias("before"), "line"))
-    arrow = F.when(c("text") != "=>", None).when(c("p1") == ")", F.struct((F.lag("i", 2).over(siblings())).alias("paren"), F.when(c("p3") == "async", c("p4")).otherwise(c("p3")).alias("before"), F.lag("line", 2).over(siblings()).alias("line")))
+    arrow = F.when(c("text") != "=>", None).when(c("p1") == ")", F.struct(c("pi2").alias("paren"), F.when(c("p3") == "async", c("p4")).otherwise(c("p3")).alias("before"), c("pl2").alias("line")))
     arrow = arrow.when((c("pk1") == "w") & c("p2").isin("=", "async", "(", ",", "=>"), F.struct(F.lit(None).cast("int").alias("paren"), F.when(c("p2") == "async", c("p3")).otherwise(c("p2")).alias("before"), c("pl1").alias("line"))).otherwise(typed_result)
     rows = rows.withColumns({"arrow": arrow, "owner_name": last_before(c("declarator"), F.struct("text", "i", "line"))})
     name_at = F.when(c("n1") == "*", 2).otherwise(1)
@@ -137,18 +135,16 @@ def _annotated(rows: DataFrame) -> DataFrame:
     named = _any(c("pk1").isin("w", "s"), c("p1").isin("?", "!", "]", "}"))
     returns = (c("p1") == ")") & ~F.coalesce(c("p3").isin("case", "?"), F.lit(False)) & F.coalesce(first_after(c("text").isin("{", "=>", ";", "?"), c("text")).isin("{", "=>", ";"), c("inside").isin("class", "interface", "type"), F.lit(False))
     mark = (c("text") == ":") & (
-        (c("inside").isin("class", "interface", "type") & (named | (c("p1") == ")"))) | (c("in_parameters") & named) | F.lag("declarator").over(siblings()) | (returns & (c("around.text").isNull() | (c("around.text") == "{")) & ~F.coalesce(c("inside") == "block", F.lit(False)))
+        (c("inside").isin("class", "interface", "type") & (named | (c("p1") == ")"))) | (c("in_parameters") & named) | back("declarator") | (returns & (c("around.text").isNull() | (c("around.text") == "{")) & ~F.coalesce(c("inside") == "block", F.lit(False)))
     )
-    level = Window.partitionBy("file_ord", "up", "angle").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    plain = F.last(F.when(c("text").isin(",", ";", "=") | c("breaks"), c("i")), ignorenulls=True).over(level)
-    after_result = F.last(F.when((c("text").isin(";", "=>") | ((c("text") == "{") & ~c("p1").isin(":", "|", "&", "<", ","))), c("i")), ignorenulls=True).over(level)
+    plain = first_after_at_level(c("text").isin(",", ";", "=") | c("breaks"), c("i"))
+    after_result = first_after_at_level(c("text").isin(";", "=>") | ((c("text") == "{") & ~c("p1").isin(":", "|", "&", "<", ",")), c("i"))
     rows = rows.withColumns({"annotates": _any(mark), "type_end": F.coalesce(F.when(c("p1") == ")", F.least(F.coalesce(after_result, plain), F.coalesce(plain, after_result))).otherwise(plain), c("around.close"), F.max("i").over(Window.partitionBy("file_ord")) + 1) - 1})
     return with_innermost(rows, c("annotates"), c("type_end"), c("line"), "type_line")
 
 
 def _rows(files: DataFrame, typed: bool) -> DataFrame:
     rows = _candidates(_marked(token_table(files, scripts=True), typed), typed)
-    rows = rows.withColumn("module", F.regexp_replace(F.regexp_replace("path", r"\.(tsx?|jsx?|mjs|cjs)$", ""), r"[/\\]", "."))
     name = Window.partitionBy("file_ord", "found.name").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if typed:
         component = (c("found.kind") != "variable") & ~F.lower(c("found.name")).isin(*NO_COMPONENT) & ~c("in_body")
@@ -161,9 +157,8 @@ def _rows(files: DataFrame, typed: bool) -> DataFrame:
         end = F.coalesce(first_after(c("breaks"), F.when(c("text") == ";", c("i")).otherwise(c("pi1"))), c("around.close") - 1, F.max("i").over(Window.partitionBy("file_ord")))
         rows = with_innermost(rows, held, end, c("text"), "owner2").withColumn("owner", F.coalesce("owner1", "owner2"))
     else:
-        per_statement = Window.partitionBy("file_ord", "up", "statement.i").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         valued = c("found").isNotNull() & ((c("text") == "=>") | (c("function") & c("expression")))
-        first = F.sum(F.when(valued, 1).otherwise(0)).over(per_statement) == 1
+        first = F.coalesce(last_before(valued, c("statement.i")), F.lit(-1)) != c("statement.i")
         valued_ok = valued & c("statement.text").isin("const", "let") & first
         kept = c("found").isNotNull() & F.when(c("class"), True).when(valued, valued_ok & ~c("in_class")).otherwise(~c("in_class"))
         rows = rows.withColumns({"kept": _any(kept), "top": _any(kept), "first_at": c("i")})
@@ -225,15 +220,21 @@ def _documented(rows: DataFrame) -> DataFrame:
     """Edges to the types of doc comments: at the line of the block that holds the comment, and at that of what follows it."""
     named = rows.withColumn("callee", F.explode(F.when(c("owner").isNotNull(), c("types"))))
     lines = F.array(record(F.lit(True), "new", c("callee"), order=F.lit(6), line=c("around.line")), record(F.lit(True), "new", c("callee"), order=F.lit(7), line=c("next_line")))
-    return named.select("file_ord", "path", "module", "i", "owner", F.lit(False).alias("top"), F.inline(lines)).filter("line is not null")
+    return named.select("file_ord", "i", "owner", F.lit(False).alias("top"), F.inline(lines)).filter("line is not null")
+
+
+def modules(files: DataFrame) -> DataFrame:
+    """(file_ord, path, module): paths as dotted ids without their extension."""
+    bare = F.regexp_replace("path", r"\.(tsx?|jsx?|mjs|cjs|java)$", "")
+    return files.select("file_ord", "path", F.regexp_replace(bare, r"[/\\]", ".").alias("module"))
 
 
 def analyzed(files: DataFrame, typed: bool) -> tuple[DataFrame, DataFrame]:
     """(components, edges) of ``files`` (file_ord, path, content); ``typed``: TypeScript. What tokens contribute is written once."""
     rows = _chained(_rows(files, typed))
     rows = _heritage(_annotated(rows) if typed else rows.withColumn("type_line", F.lit(None).cast("int")), typed).withColumn("class_line", last_before(c("class"), c("line")))
-    spread = rows.select("file_ord", "path", "module", "i", "owner", "top", F.inline(F.array_compact(F.array(*_records(rows, typed)))))
-    spread = saved(spread if typed else spread.unionByName(_documented(rows)))
+    spread = rows.select("file_ord", "i", "owner", "top", F.inline(F.array_compact(F.array(*_records(rows, typed)))))
+    spread = saved((spread if typed else spread.unionByName(_documented(rows))).join(modules(files), "file_ord"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"])
     lists = lambda what, name: spread.filter(c("what") == what).groupBy("file_ord", "paren").agg(listed.alias(name))
     bases = lists("base", "base_classes").withColumnRenamed("paren", "i")

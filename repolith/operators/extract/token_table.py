@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from repolith.operators.extract.braces import doc_types
 
-TOKEN = "struct<i:int,text:string,kind:string,line:int,at:int,ends:int,up:int,level:int,close:int,types:array<string>>"
+TOKEN = "struct<i:int,text:string,kind:string,line:int,at:int,ends:int,up:int,level:int,close:int,types:array<string>,around:struct<text:string,close:int,line:int,last:int>>"
 _KIND = pa.list_(pa.struct([
     ("i", pa.int32()), ("text", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("at", pa.int32()), ("ends", pa.int32()), ("up", pa.int32()), ("level", pa.int32()),
     ("close", pa.int32()), ("types", pa.list_(pa.string())),
+    ("around", pa.struct([("text", pa.string()), ("close", pa.int32()), ("line", pa.int32()), ("last", pa.int32())])),
 ]))
 
 #: Every alternative is decided by its first letters and none looks back, so time is linear in the text.
@@ -44,7 +45,7 @@ def lexed(content: str, scripts: bool) -> list[dict]:
     at, line, last = 0, 1, None
 
     def put(kind: str, text: str, ends: int, **more) -> dict:
-        token = {"i": len(out), "text": text, "kind": kind, "line": line, "at": at, "ends": ends, "up": stack[-1][0] if stack else -1, "level": len(stack), "close": None, "types": None} | more
+        token = {"i": len(out), "text": text, "kind": kind, "line": line, "at": at, "ends": ends, "up": stack[-1][0] if stack else -1, "level": len(stack), "close": None, "last": None, "types": None} | more
         out.append(token)
         return token
 
@@ -81,7 +82,7 @@ def lexed(content: str, scripts: bool) -> list[dict]:
             stack.append((last["i"], False))
         elif kind == "sign" and text in _CLOSE and stack:
             opener, in_template = stack.pop()
-            out[opener]["close"] = len(out)
+            out[opener] |= {"close": len(out), "last": out[-1]["line"]}
             last = put("c", text, end)
             if in_template:
                 at = end
@@ -92,58 +93,87 @@ def lexed(content: str, scripts: bool) -> list[dict]:
         line += text.count("\n")
         at = end
     for opener, _ in stack:
-        out[opener]["close"] = len(out) - 1
+        out[opener] |= {"close": len(out) - 1, "last": out[-1]["line"]}
+    for token in out:
+        if token["up"] >= 0:
+            token["around"] = {k: out[token["up"]][k] for k in ("text", "close", "line", "last")}
     return out
 
 
 def token_table(files: DataFrame, scripts: bool) -> DataFrame:
-    """``files`` (file_ord, path, content) as rows (file_ord, path, i, text, kind, line, at, ends, up, level, close, types), dealt by file."""
+    """``files`` (file_ord, content) as rows (file_ord, i, text, kind, line, at, ends, up, level, close, types, around), dealt by file. ``close``: where
+    an opening bracket closes; ``around``: text, close, line and last line of the bracket that a token stands in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, p, c in zip(batch.column("file_ord").to_pylist(), batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([p], pa.string()), pa.array([lexed(c or "", scripts)], _KIND)], ["file_ord", "path", "tokens"])
+            for f, c in zip(batch.column("file_ord").to_pylist(), batch.column("content").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([lexed(c or "", scripts)], _KIND)], ["file_ord", "tokens"])
 
-    lists = files.select("file_ord", "path", "content").mapInArrow(run, f"file_ord long, path string, tokens array<{TOKEN}>")
+    lists = files.select("file_ord", "content").mapInArrow(run, f"file_ord long, tokens array<{TOKEN}>")
     # A fixed number: rows of tokens are many times what AQE sees of these lists when it joins small partitions.
-    return lists.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_ord").select("file_ord", "path", F.inline("tokens"))
+    return lists.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_ord").select("file_ord", F.inline("tokens"))
 
 
-def siblings() -> Window:
-    return Window.partitionBy("file_ord", "up").orderBy("i")
+def siblings(backwards: bool = False) -> Window:
+    """All tokens of a file, by bracket and number. Brackets are many and small, so they share a window, and what is taken from
+    other rows counts only if it is of the same bracket."""
+    return Window.partitionBy("file_ord").orderBy(*[F.desc(x) if backwards else x for x in ("up", "i")])
+
+
+def back(column: str, k: int = 1) -> Column:
+    """``column`` of the k-th sibling before."""
+    return F.when(F.lag("up", k).over(siblings()) == F.col("up"), F.lag(column, k).over(siblings()))
+
+
+def ahead(column: str, k: int = 1) -> Column:
+    return F.when(F.lead("up", k).over(siblings()) == F.col("up"), F.lead(column, k).over(siblings()))
+
+
+def _last(condition: Column, value: Column, window: Window, *same: str) -> Column:
+    """``value`` of the last row of the window where the condition holds, if it agrees with this one in ``same``."""
+    found = F.last(F.when(condition, F.struct(F.struct(*same).alias("of"), value.alias("x"))), ignorenulls=True).over(window)
+    return F.when(found["of"] == F.struct(*same), found["x"])
 
 
 def last_so_far(condition: Column, value: Column) -> Column:
     """Of the siblings up to this one."""
-    return F.last(F.when(condition, value), ignorenulls=True).over(siblings().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _last(condition, value, siblings().rowsBetween(Window.unboundedPreceding, Window.currentRow), "up")
 
 
 def last_before(condition: Column, value: Column) -> Column:
-    return F.last(F.when(condition, value), ignorenulls=True).over(siblings().rowsBetween(Window.unboundedPreceding, -1))
+    return _last(condition, value, siblings().rowsBetween(Window.unboundedPreceding, -1), "up")
 
 
 def first_after(condition: Column, value: Column) -> Column:
     """Of the siblings after this one, in a window of the reverse order, so that its frame only grows."""
-    back = Window.partitionBy("file_ord", "up").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    return F.last(F.when(condition, value), ignorenulls=True).over(back)
+    return _last(condition, value, siblings(backwards=True).rowsBetween(Window.unboundedPreceding, -1), "up")
+
+
+def first_after_at_level(condition: Column, value: Column) -> Column:
+    """Of the siblings after this one with the same ``angle``."""
+    window = Window.partitionBy("file_ord").orderBy(F.desc("up"), F.desc("angle"), F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    return _last(condition, value, window, "up", "angle")
 
 
 def with_neighbours(tokens: DataFrame, before: int, after: int) -> DataFrame:
-    """Siblings' texts p1, p2, ... and n1, n2, ..., empty beyond the bracket; pk1, nk1 kinds, pi1, ni1 numbers, nc1 to nc4 where they close."""
-    by = siblings()
-    texts = {f"p{k}": F.coalesce(F.lag("text", k).over(by), F.lit("")) for k in range(1, before + 1)} | {f"n{k}": F.coalesce(F.lead("text", k).over(by), F.lit("")) for k in range(1, after + 1)}
-    more = {"pk1": F.lag("kind").over(by), "nk1": F.lead("kind").over(by), "pi1": F.lag("i").over(by), "ni1": F.lead("i").over(by), "pl1": F.lag("line").over(by)}
-    return tokens.withColumns(texts | more | {f"nc{k}": F.lead("close", k).over(by) for k in range(1, 5)})
+    """Siblings' texts p1, p2, ... and n1, n2, ..., empty beyond the bracket; pk1, nk1 kinds, pi1, ni1 numbers, pl1, nl1, nl2, nl4 lines,
+    nc1 to nc4 where they close; ``angle``: how many angle brackets are open among the siblings so far."""
+    texts = {f"p{k}": F.coalesce(back("text", k), F.lit("")) for k in range(1, before + 1)} | {f"n{k}": F.coalesce(ahead("text", k), F.lit("")) for k in range(1, after + 1)}
+    more = {"pk1": back("kind"), "nk1": ahead("kind"), "pi1": back("i"), "pi2": back("i", 2), "ni1": ahead("i"), "pl1": back("line"), "pl2": back("line", 2)} | {f"nl{k}": ahead("line", k) for k in (1, 2, 4)}
+    so_far = siblings().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    delta = F.when(F.col("text") == "<", 1).when(F.col("text") == ">", -1).otherwise(0)
+    rows = tokens.withColumns(texts | more | {f"nc{k}": ahead("close", k) for k in range(1, 5)} | {"angles": F.sum(delta).over(so_far)})
+    return rows.withColumn("angle", F.col("angles") - F.last(F.when(F.col("p1") == "", F.col("angles") - delta), ignorenulls=True).over(so_far)).drop("angles")
 
 
 def with_enclosing(tokens: DataFrame, info: Column, name: str) -> DataFrame:
     """``info`` of the bracket that each token stands in, as column ``name``; null outside all brackets. An opening bracket takes part
     twice: as a token of its level, and on the level of what it holds."""
     rows = tokens.withColumn("role", F.explode(F.when(F.col("kind") == "o", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    by = Window.partitionBy("file_ord", F.col("level") + F.col("role")).orderBy("i", "role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The brackets of a level come one after the other, so the last one that opened holds the token; a struct keeps null values.
-    held = F.last(F.when(F.col("role") == 1, F.struct(info.alias("x"))), ignorenulls=True).over(by)["x"]
-    return rows.withColumn(name, F.when(F.col("level") > 0, held)).filter("role = 0").drop("role")
+    rows = rows.withColumn("of_level", F.col("level") + F.col("role"))
+    by = Window.partitionBy("file_ord").orderBy("of_level", "i", "role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The brackets of a level come one after the other, so the last one that opened holds the token.
+    return rows.withColumn(name, F.when(F.col("level") > 0, _last(F.col("role") == 1, info, by, "of_level"))).filter("role = 0").drop("role", "of_level")
 
 
 def with_innermost(tokens: DataFrame, start: Column, end: Column, info: Column, name: str, among: tuple[str, ...] = ()) -> DataFrame:
@@ -155,6 +185,6 @@ def with_innermost(tokens: DataFrame, start: Column, end: Column, info: Column,
     delta = F.when(F.col("role") == 2, -1).when(F.col("begins"), 1).otherwise(0)
     whole = Window.partitionBy("file_ord", *among).orderBy("place", "role", F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("nesting", F.sum(delta).over(whole))
-    by = Window.partitionBy("file_ord", *among, "nesting").orderBy("place", "role", F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = F.last(F.when((F.col("role") == 1) & F.col("begins"), F.struct(info.alias("x"))), ignorenulls=True).over(by)["x"]
+    by = Window.partitionBy("file_ord", *among).orderBy("nesting", "place", "role", F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = _last((F.col("role") == 1) & F.col("begins"), info, by, "nesting")
     return rows.withColumn(name, F.when(F.col("nesting") > 0, held)).filter("role = 1").drop("role", "begins", "until", "place", "nesting")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolith.operators.graph import saved
+
 #: Days that a cache entry holds, minutes after a failure without a new try, hours that ended jobs stay, queue length.
 TTL_DAYS, COOLDOWN_MINUTES, KEEP_HOURS, QUEUE = 365, 3, 24_000, 100
 
@@ -51,20 +53,31 @@ def admitted(requests: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
     return requests.groupBy("job_id").applyInPandas(decide, f"job_id {kinds['job_id']}, ts {kinds['ts']}, ord {kinds['ord']}, decision string")
 
 
-def queued_runs(requests: DataFrame, capacity: int = QUEUE) -> DataFrame:
+def queued_runs(requests: DataFrame, capacity: int = QUEUE, ranges: int | None = None) -> DataFrame:
     """``requests`` (queue, ts, ord, seconds) through first-in-first-out queues of ``capacity`` places with one consumer each:
     ``entered`` (a full queue makes a request wait for a place), ``started`` and ``finished``, in seconds since the epoch.
 
-    A run ends at the latest of (arrival of an earlier request + all work from it on), which is a running maximum of the
-    arrival less the work before it; so one window over (queue), sorted, gives all times. A task holds one row at a time.
+    A run ends at the latest of (arrival of an earlier request + all work from it on). A stretch of a queue is a pair: its
+    work, and the latest of its arrivals less the work before each; of two stretches that follow each other the works add up, and
+    the second's latest loses the first's work. So requests are sorted in ranges, each range sums itself up, and a row for each
+    queue and range says what the ones before add: a single queue is many tasks' work. ``ranges``: how many, else as Spark deals.
     """
-    by = Window.partitionBy("queue").orderBy("ts", "ord")
-    until = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    work = F.sum("seconds").over(until)
-    rows = requests.withColumn("arrived", F.unix_micros("ts") / 1_000_000).withColumn("work", work)
-    rows = rows.withColumn("finished", F.max(F.col("arrived") - F.col("work") + F.col("seconds")).over(until) + F.col("work"))
-    rows = rows.withColumn("started", F.col("finished") - F.col("seconds"))
-    return rows.withColumn("entered", F.greatest("arrived", F.lag("started", capacity).over(by))).drop("work", "arrived")
+    by = ["queue", "ts", "ord"]
+    dealt = requests.repartitionByRange(ranges, *by) if ranges else requests.repartitionByRange(*by)
+    rows = saved(dealt.withColumns({"range": F.spark_partition_id(), "arrived": F.unix_micros("ts") / 1_000_000}))
+    until = Window.partitionBy("queue", "range").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"work": F.sum("seconds").over(until), "place": F.count("*").over(until)}).withColumn("latest", F.max(F.col("arrived") - F.col("work") + F.col("seconds")).over(until))
+    before = Window.partitionBy("queue").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("queue", "range").agg(F.sum("seconds").alias("own"), F.count("*").alias("n"), F.max("latest").alias("peak"))
+    sums = sums.withColumns({"work_before": F.coalesce(F.sum("own").over(before), F.lit(0)), "places_before": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    sums = sums.withColumn("latest_before", F.max(F.col("peak") - F.col("work_before")).over(before)).select("queue", "range", "work_before", "places_before", "latest_before")
+    rows = rows.join(sums, ["queue", "range"])
+    finished = F.greatest(F.col("latest") - F.col("work_before"), "latest_before") + F.col("work_before") + F.col("work")
+    rows = rows.withColumns({"finished": finished, "place": F.col("place") + F.col("places_before")}).withColumn("started", F.col("finished") - F.col("seconds"))
+    # A place is free once the request that was ``capacity`` before has started.
+    freed = rows.select("queue", (F.col("place") + capacity).alias("place"), F.col("started").alias("freed"))
+    rows = rows.join(freed, ["queue", "place"], "left").withColumn("entered", F.greatest("arrived", "freed"))
+    return rows.select(*requests.columns, "finished", "started", "entered")
 
 
 def valid_entries(cache: DataFrame, now: Column, days: int = TTL_DAYS) -> DataFrame:
@@ -125,3 +138,18 @@ def edit_history(edits: DataFrame) -> DataFrame:
     by = Window.partitionBy("path").orderBy("version")
     rows = edits.withColumn("previous", F.lag("content").over(by))
     return rows.groupBy("path").agg(F.max_by("content", "version").alias("content"), F.max_by("previous", "version").alias("previous"), F.max("version").alias("version"))
+
+
+def undone(steps: DataFrame) -> DataFrame:
+    """``steps`` (path, version, kind, content; kind ``edit`` or ``undo``) with the ``depth`` of the path's stack of edits and the content ``shown``
+    after each; null once all is undone. An undo without an edit does nothing.
+
+    The depth is a walk that can't fall below 0: the running sum of +1 and -1 less its lowest value so far. The edit on top is
+    the last one that reached the depth: one of a higher depth has been undone, and those after it at this depth replaced it.
+    """
+    until = Window.partitionBy("path").orderBy("version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = steps.withColumn("walk", F.sum(F.when(F.col("kind") == "edit", 1).otherwise(-1)).over(until))
+    rows = rows.withColumn("depth", F.col("walk") - F.least(F.lit(0), F.min("walk").over(until))).drop("walk")
+    at_depth = Window.partitionBy("path", "depth").orderBy("version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    top = F.last(F.when(F.col("kind") == "edit", F.struct("content")), ignorenulls=True).over(at_depth)["content"]
+    return rows.withColumn("shown", F.when(F.col("depth") > 0, top))

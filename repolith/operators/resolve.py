@@ -92,13 +92,20 @@ def code_of(wanted: DataFrame, components: DataFrame) -> DataFrame:
     return wanted.join(code, "id", "left").select("ord", "id", F.coalesce("source_code", F.concat(F.lit("# Component "), "id", F.lit(" not found"))).alias("source_code"))
 
 
+#: Letters by which ends of ids and names meet first.
+TAIL = 4
+
+
 def _ends_with(edges: DataFrame, side: str, names: DataFrame) -> DataFrame:
-    """Pairs of ``edges`` and ``names`` (name) in which the edge's ``side`` ends with the name, as an equi-join on suffixes
-    of the distinct ids."""
+    """Pairs of ``edges`` and ``names`` (name) in which the edge's ``side`` ends with the name. Ids and names meet by their last
+    ``TAIL`` letters (shorter names whole); only then are ids cut to the lengths of the names met, so rows follow matches."""
+    length = F.least(F.length("name"), F.lit(TAIL))
+    tails = names.filter(F.length("name") > 0).groupBy(F.right("name", length).alias("tail"), (F.length("name") >= TAIL).alias("long")).agg(F.collect_set(F.length("name")).alias("lengths"))
     ids = edges.select(side).distinct()
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.length(side)), lambda n: F.right(F.col(side), n)))
-    ends = ids.filter(F.length(side) > 0).select(side, suffix.alias("name")).join(names, "name")
-    return edges.join(ends, side)
+    own = F.transform(F.sequence(F.lit(1), F.lit(TAIL)), lambda k: F.struct(F.right(F.col(side), k).alias("tail"), (k == TAIL).alias("long")))
+    met = ids.filter(F.length(side) > 0).select(side, F.inline(F.array_distinct(own))).join(tails, ["tail", "long"])
+    cut = met.select(side, F.explode("lengths").alias("n")).filter(F.col("n") <= F.length(side)).select(side, F.expr(f"right({side}, n)").alias("name"))
+    return edges.join(cut.join(names, "name").distinct(), side)
 
 
 def call_relations(components: DataFrame, edges: DataFrame) -> DataFrame:

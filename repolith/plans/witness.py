@@ -669,3 +669,13 @@ def j12_new_lint_errors(spark, sf_dir):
 def w7_edit_history(spark, sf_dir):
     edits = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.struct("o_orderdate", "o_orderkey").alias("version"), F.col("o_totalprice").alias("content"))
     return jobs.edit_history(edits).select("path", "content", "previous")
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_custkey AS path, o_orderkey, o_totalprice, o_orderkey % 5 < 2 AS undo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+s AS (SELECT path, o_orderkey, i, CASE WHEN undo THEN [] ELSE [o_totalprice] END AS stack FROM p WHERE i = 1
+  UNION ALL SELECT p.path, p.o_orderkey, p.i, CASE WHEN undo THEN stack[:len(stack) - 1] ELSE list_append(stack, o_totalprice) END FROM s JOIN p ON p.path = s.path AND p.i = s.i + 1)
+SELECT path, o_orderkey, len(stack) AS depth, stack[len(stack)] AS shown FROM s""")
+def w7_undo_stack(spark, sf_dir):
+    kind = F.when(F.col("o_orderkey") % 5 < 2, "undo").otherwise("edit")
+    steps = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.struct("o_orderdate", "o_orderkey").alias("version"), kind.alias("kind"), F.col("o_totalprice").alias("content"), "o_orderkey")
+    return jobs.undone(steps).select("path", "o_orderkey", F.col("depth").cast("long").alias("depth"), "shown")

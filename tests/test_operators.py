@@ -189,7 +189,7 @@ def test_editor_texts(spark):
 def test_queues_equal_a_sequential_consumer(spark):
     rng = random.Random(3)
     rows = [("q", datetime(2026, 1, 1) + timedelta(seconds=rng.randrange(200)), i, rng.randrange(1, 20)) for i in range(60)]
-    got = {r.ord: (round(r.entered - r.started, 3), round(r.started, 3)) for r in jobs.queued_runs(spark.createDataFrame(rows, "queue string, ts timestamp, ord long, seconds long"), 4).collect()}
+    requests = spark.createDataFrame(rows, "queue string, ts timestamp, ord long, seconds long")
     free, starts, expected = 0.0, [], {}
     for _, ts, ord_, seconds in sorted(rows, key=lambda r: (r[1], r[2])):
         arrived = ts.replace(tzinfo=timezone.utc).timestamp()
@@ -198,7 +198,32 @@ def test_queues_equal_a_sequential_consumer(spark):
         starts.append(started)
         free = started + seconds
         expected[ord_] = (entered - started, started)
-    assert got == expected
+    # One queue in one range, and in many.
+    for ranges in (None, 1, 17):
+        assert {r.ord: (round(r.entered - r.started, 3), round(r.started, 3)) for r in jobs.queued_runs(requests, 4, ranges).collect()} == expected
+
+
+def test_undo_equals_a_stack(spark):
+    rng = random.Random(6)
+    steps = [(path, i, rng.choice(["edit", "undo"]), rng.choice([None, f"c{i}"])) for path in "ab" for i in range(150)]
+    got = {(r.path, r.version): (r.depth, r.shown) for r in jobs.undone(spark.createDataFrame(steps, "path string, version int, kind string, content string").repartition(3)).collect()}
+    stacks = {"a": [], "b": []}
+    for path, version, kind, content in steps:
+        stack = stacks[path]
+        if kind == "edit":
+            stack.append(content)
+        elif stack:
+            stack.pop()
+        assert got[path, version] == (len(stack), stack[-1] if stack else None)
+
+
+def test_ends_of_ids_against_all_pairs(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab.") for _ in range(n))
+    ids, names = [word(rng.randint(0, 9)) for _ in range(80)], {word(rng.randint(0, 7)) for _ in range(60)}
+    edges = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "caller string, seq long")
+    got = resolve._ends_with(edges, "caller", spark.createDataFrame([(n,) for n in names], "name string")).select("seq", "name").collect()
+    assert sorted(map(tuple, got)) == sorted((i, n) for i, x in enumerate(ids) for n in names if n and x.endswith(n))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

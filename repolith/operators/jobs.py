@@ -22,10 +22,10 @@ def latest_states(events: DataFrame) -> DataFrame:
 
 
 def decisions(job_id, events: list[tuple], job: tuple | None, minutes: int) -> tuple[list[tuple], tuple | None]:
-    """Decisions (job_id, ts, ord, decision) on the queued ones of one job's ``events`` (ts, ord, status), in order, and the
-    job (status, created_at) after them. Refused requests leave the job as it is."""
+    """Decisions (job_id, ts, ord, decision) on the queued ones of one job's ``events`` (ts, ord, status, whether the cache has it), in
+    order, and the job (status, created_at) after them. Refused requests leave the job as it is; one that is served is complete."""
     out = []
-    for ts, ord_, status in events:
+    for ts, ord_, status, cached in events:
         if status != "queued":
             job = (status, job[1] if job else ts)
             continue
@@ -33,24 +33,36 @@ def decisions(job_id, events: list[tuple], job: tuple | None, minutes: int) -> t
             decision = "running"
         elif job and job[0] == "failed" and ts < job[1] + pd.Timedelta(minutes=minutes):
             decision = "cooling"
+        elif cached:
+            decision, job = "cached", ("completed", ts)
         else:
             decision, job = "admitted", ("queued", ts)
         out.append((job_id, ts, ord_, decision))
     return out, job
 
 
+def with_cache(requests: DataFrame, cache: DataFrame, days: int = TTL_DAYS) -> DataFrame:
+    """``requests`` (job_id, ts, ...) with ``cached``: whether an entry of ``cache`` (job_id, created_at) was there and valid at the time. Of
+    several entries of a job the latest counts, as a later one replaces it."""
+    latest = cache.groupBy("job_id").agg(F.max("created_at").alias("stored_at"))
+    valid = (F.col("ts") >= F.col("stored_at")) & (F.col("ts") < F.col("stored_at") + F.make_dt_interval(days=F.lit(days)))
+    return requests.join(latest, "job_id", "left").withColumn("cached", F.coalesce(valid, F.lit(False))).drop("stored_at")
+
+
 def admitted(requests: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
-    """A decision for each queued row of ``requests`` (job_id, ts, ord, status), in order of (ts, ord): ``running`` while
-    the job is queued or processing, ``cooling`` if it has failed and was created less than the minutes before, else
-    ``admitted``, which makes it a new job. A task holds the events of one job at a time."""
+    """A decision for each queued row of ``requests`` (job_id, ts, ord, status, perhaps cached), in order of (ts, ord): ``running`` while
+    the job is queued or processing, ``cooling`` if it has failed and was created less than the minutes before, ``cached`` if the
+    cache serves it, else ``admitted``, which makes it a new job. A task holds the events of one job at a time."""
+    if "cached" not in requests.columns:
+        requests = requests.withColumn("cached", F.lit(False))
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "ord"])
-        found, _ = decisions(rows["job_id"].iloc[0], list(zip(rows["ts"], rows["ord"], rows["status"])), None, minutes)
+        found, _ = decisions(rows["job_id"].iloc[0], list(zip(rows["ts"], rows["ord"], rows["status"], rows["cached"])), None, minutes)
         return pd.DataFrame(found, columns=["job_id", "ts", "ord", "decision"])
 
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
-    return requests.groupBy("job_id").applyInPandas(decide, f"job_id {kinds['job_id']}, ts {kinds['ts']}, ord {kinds['ord']}, decision string")
+    return requests.select("job_id", "ts", "ord", "status", "cached").groupBy("job_id").applyInPandas(decide, f"job_id {kinds['job_id']}, ts {kinds['ts']}, ord {kinds['ord']}, decision string")
 
 
 def queued_runs(requests: DataFrame, capacity: int = QUEUE, ranges: int | None = None) -> DataFrame:

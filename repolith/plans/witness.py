@@ -394,6 +394,19 @@ def w3_admissions(spark, sf_dir):
     return jobs.admitted(job_events(spark, sf_dir)).select("job_id", "ord", "decision")
 
 
+@query(f"""WITH RECURSIVE {JOBS}, stored AS (SELECT job_id, max(ts) - INTERVAL 20 DAY AS stored_at FROM e WHERE status = 'completed' AND job_id % 2 = 0 GROUP BY job_id),
+p AS (SELECT e.*, coalesce(ts >= stored_at AND ts < stored_at + INTERVAL 10 DAY, false) AS cached, row_number() OVER (PARTITION BY e.job_id ORDER BY ts, ord) AS i FROM e LEFT JOIN stored USING (job_id)),
+step AS (SELECT job_id, ord, i, CASE WHEN status = 'queued' AND cached THEN 'completed' ELSE status END AS now, ts AS created, CASE WHEN status <> 'queued' THEN NULL WHEN cached THEN 'cached' ELSE 'admitted' END AS decision FROM p WHERE i = 1
+UNION ALL SELECT job_id, ord, i, CASE WHEN d IS NULL THEN status WHEN d IN ('running', 'cooling') THEN was WHEN d = 'cached' THEN 'completed' ELSE 'queued' END, CASE WHEN d IN ('cached', 'admitted') THEN ts ELSE created END, d
+  FROM (SELECT p.*, s.now AS was, s.created, CASE WHEN p.status <> 'queued' THEN NULL WHEN s.now IN ('queued', 'processing') THEN 'running'
+    WHEN s.now = 'failed' AND p.ts < s.created + INTERVAL 3 MINUTE THEN 'cooling' WHEN p.cached THEN 'cached' ELSE 'admitted' END AS d FROM step s JOIN p ON p.job_id = s.job_id AND p.i = s.i + 1))
+SELECT job_id, ord, decision FROM step WHERE decision IS NOT NULL""")
+def w3_cached_admissions(spark, sf_dir):
+    events = job_events(spark, sf_dir)
+    cache = events.filter("status = 'completed' and job_id % 2 = 0").groupBy("job_id").agg((F.max("ts") - F.expr("interval 20 days")).alias("created_at"))
+    return jobs.admitted(jobs.with_cache(events, cache, days=10)).select("job_id", "ord", "decision")
+
+
 def states_at(spark, sf_dir) -> DataFrame:
     return jobs.latest_states(job_events(spark, sf_dir)).withColumn("created_at", F.coalesce("created_at", "started_at", "completed_at"))
 

@@ -1,5 +1,6 @@
 """Graphs, trees, jobs, texts and the queries on the driver's tables."""
 
+import os
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -151,6 +152,33 @@ def test_streamed_admissions_equal_the_batch(spark, tmp_path):
     assert got == {(r.job_id, r.ord, r.decision) for r in jobs.admitted(events).collect()}
 
 
+def test_state_of_ended_jobs_expires(spark, tmp_path):
+    from repolith.streaming.jobs import admissions
+
+    t = datetime(2026, 1, 1)
+    batches = [[(1, t, 0, "queued"), (1, t, 1, "failed"), (2, t, 2, "queued")], [(3, t + timedelta(hours=9), 3, "queued")], [(1, t + timedelta(hours=10), 4, "queued"), (2, t + timedelta(hours=10), 5, "queued")]]
+    schema, rows = "job_id long, ts timestamp, ord long, status string", []
+    os.makedirs(tmp_path / "in")
+    query = admissions(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), keep_hours=2).writeStream.format("memory").queryName("expiring").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/check").start()
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        query.processAllAvailable()
+        rows.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    query.stop()
+    # The failed job is gone after the second batch and comes anew with the third; the one that never ended stays.
+    assert rows == [2, 2, 3]
+    assert {(r.ord, r.decision) for r in spark.table("expiring").collect()} == {(0, "admitted"), (2, "admitted"), (3, "admitted"), (4, "admitted"), (5, "running")}
+
+
+def test_cached_requests(spark):
+    t = datetime(2026, 1, 1)
+    rows = [(1, t, 0, "queued"), (1, t + timedelta(days=1), 1, "queued"), (1, t + timedelta(days=366), 2, "queued"), (2, t, 3, "queued"), (2, t + timedelta(days=2), 4, "queued")]
+    requests = spark.createDataFrame(rows, "job_id long, ts timestamp, ord long, status string")
+    cache = spark.createDataFrame([(1, t), (1, t - timedelta(days=400)), (2, t + timedelta(days=1))], "job_id long, created_at timestamp")
+    got = jobs.admitted(jobs.with_cache(requests, cache)).orderBy("ord").collect()
+    assert [r.decision for r in got] == ["cached", "cached", "admitted", "admitted", "running"]
+
+
 def test_texts(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     for key, shown in {"": "Not set", "abcdefgh": "ab...gh", "abcdefghi": "abcd...fghi"}.items():

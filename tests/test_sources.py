@@ -105,7 +105,7 @@ def test_many_functions_in_one_file(spark):
 @pytest.mark.parametrize("unit", ['"' + "a" * 1000, "a < ", "/*", "*/", "{", "}", "`${", "/[a", "'\\", "a.", "(a: ", "/** @type {"])
 def test_lexing_is_linear(unit):
     began = time.perf_counter()
-    tokens = lexed(unit * (1_000_000 // len(unit)), True)
+    tokens = lexed(unit * (300_000 // len(unit)), True)
     assert time.perf_counter() - began < 30 and all(t["close"] is not None for t in tokens if t["kind"] == "o")
 
 

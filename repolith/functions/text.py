@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the length at which editor output is cut, and the notice behind the cut.
+#: Fixed value: the length at which editor output is cut.
 MOST_CHARS = 16_000
+#: What follows a cut.
 CUT_NOTICE = "<response clipped><NOTE>Only part of this file is shown.</NOTE>"
 
 
@@ -69,11 +70,6 @@ def insert_after(content: Column, line: Column, new: Column) -> Column:
     return F.when(good, F.array_join(parts, "\n"))
 
 
-def source_slice(content: Column, start: Column, end: Column) -> Column:
-    """Lines start to end, 1-based, inclusive."""
-    return F.array_join(F.slice(F.split(content, "\n"), start, F.greatest(end - start + 1, F.lit(0))), "\n")
-
-
 def title(body: Column, name: Column) -> Column:
     """The first line's heading, else the file name in title case."""
     first = F.split(body, "\n")[0]

@@ -10,13 +10,15 @@ from repolith.plans.witness import COMPONENTS, EDGES, EXTS, FILES, TREE, _pick,
 from repolith.sources import repo
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, '. ', chr(9)), chr(10))) AS line, generate_subscripts(string_split(replace(text, '. ', chr(9)), chr(10)), 1) AS i FROM documents WHERE length(text) <= 16000),
+@query(f"""WITH t AS (SELECT doc_id, replace(text, '. ', chr(9)) AS whole FROM documents),
+c AS (SELECT doc_id, CASE WHEN length(whole) > {text.MOST_CHARS} THEN left(whole, {text.MOST_CHARS}) || '{text.CUT_NOTICE}' ELSE whole END AS cut FROM t),
+l AS (SELECT doc_id, unnest(string_split(cut, chr(10))) AS line, generate_subscripts(string_split(cut, chr(10)), 1) AS i FROM c),
 p AS (SELECT doc_id, i, string_split(line, chr(9)) AS p FROM l),
 x AS (SELECT doc_id, i, array_to_string(list_transform(range(1, len(p) + 1), lambda k: CASE WHEN k < len(p) THEN p[k] || repeat(' ', 8 - length(p[k]) % 8) ELSE p[k] END), '') AS line FROM p)
 SELECT doc_id, md5(string_agg(lpad(i::VARCHAR, 6, ' ') || chr(9) || line, chr(10) ORDER BY i)) AS digest FROM x GROUP BY doc_id""")
 def e11_editor_output(spark, sf_dir):
     tabbed = F.replace("text", F.lit(". "), F.lit("\t"))
-    return table(spark, sf_dir, "documents").filter(F.length("text") <= text.MOST_CHARS).select("doc_id", F.md5(text.editor_output(tabbed)).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.editor_output(tabbed)).alias("digest"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)

@@ -537,10 +537,13 @@ def e1_e5_urls(spark, sf_dir):
     return s.select("s_suppkey", "url", urls.job_id(urls.repo_info(F.col("url"))["full_name"]).alias("job_id"))
 
 
-@query("SELECT page_id, rtrim(lower(url), '/') AS normal, false AS on_host FROM pages")
+@query(r"""WITH u AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://github.com/O' || page_id || '/Repo.git' ELSE url END AS url FROM pages),
+p AS (SELECT *, string_split(trim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), '/') AS parts FROM u)
+SELECT page_id, page_id % 2 = 0 AS on_host, CASE WHEN len(parts) > 1 THEN 'https://github.com/' || parts[1] || '/' || regexp_replace(parts[2], '\.git$', '') ELSE lower(rtrim(url, '/')) END AS normal FROM p""")
 def e4_f27_foreign_urls(spark, sf_dir):
-    plain = F.lower(F.rtrim("url", F.lit("/")))
-    return table(spark, sf_dir, "pages").select("page_id", plain.alias("normal"), predicates.repository_url(F.col("url")).alias("on_host"))
+    """Addresses of repositories among those of other hosts, which are taken for repositories where their paths have two parts."""
+    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://github.com/O"), "page_id", F.lit("/Repo.git"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalized(url).alias("normal"), predicates.repository_url(url).alias("on_host"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")

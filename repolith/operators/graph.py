@@ -42,6 +42,14 @@ def most_connected(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return nodes.join(degrees(nodes, inside), "id").orderBy(F.desc("degree"), "ord").limit(k).select("id", "ord", "degree")
 
 
+def most_connected_subgraph(nodes: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the graph cut to its k most connected nodes: whole if it has no more than k. Without edges the first k nodes
+    by ord stay, as all degrees are equal. The kept nodes are k rows, so they are broadcast."""
+    kept = saved(most_connected(nodes, edges, k).select("id", "ord"))
+    side = lambda c: F.broadcast(kept.select(F.col("id").alias(c)))
+    return kept, edges.join(side("src"), "src", "left_semi").join(side("dst"), "dst", "left_semi").select(*edges.columns)
+
+
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that nothing depends on."""
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")

@@ -217,6 +217,12 @@ def a13_most_connected(spark, sf_dir):
     return graph.most_connected(components(spark, sf_dir).select("id", F.col("pos").alias("ord")), deps(spark, sf_dir), 25)
 
 
+@query(f"""WITH {COMPONENTS}, {EDGES}, d AS (SELECT src, dst FROM deps UNION SELECT dst, src FROM deps), n AS (SELECT id, pos, coalesce(k, 0)::BIGINT AS degree FROM comp LEFT JOIN (SELECT src, count(*) AS k FROM d GROUP BY src) ON src = id),
+kept AS (SELECT id FROM n ORDER BY degree DESC, pos LIMIT 60) SELECT src, dst FROM deps WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)""")
+def a13_subgraph_edges(spark, sf_dir):
+    return graph.most_connected_subgraph(components(spark, sf_dir).select("id", F.col("pos").alias("ord")), deps(spark, sf_dir), 60)[1].select("src", "dst")
+
+
 @query(f"WITH {COMPONENTS} SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, i), '.') AS module FROM comp, unnest(range(1, greatest(len(string_split(id, '.')), 2))) t(i)")
 def g10_module_paths(spark, sf_dir):
     return resolve.module_paths(components(spark, sf_dir))

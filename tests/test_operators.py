@@ -28,6 +28,9 @@ def test_graph(small):
     assert {r.id for r in graph.roots(nodes, known).collect()} == {"f"}
     assert {r.id: r.degree for r in graph.degrees(nodes, known).collect()} == {"a": 2, "b": 2, "c": 3, "d": 1, "e": 1, "f": 0}
     assert [r.id for r in graph.most_connected(nodes, edges, 2).collect()] == ["c", "a"]
+    few, between = graph.most_connected_subgraph(nodes, edges, 2)
+    assert {r.id for r in few.collect()} == {"a", "c"} and [tuple(r) for r in between.collect()] == [("c", "a")]
+    assert graph.most_connected_subgraph(nodes, edges, 9)[1].count() == 5 and [r.id for r in graph.most_connected_subgraph(nodes, edges.limit(0), 2)[0].orderBy("ord").collect()] == ["a", "b"]
     kept, removed = graph.without_cycles(known)
     assert {tuple(r) for r in removed.collect()} == {("c", "a"), ("e", "e")}
     assert {r.id: r.level for r in graph.dependency_levels(nodes, kept).collect()} == {"a": 2, "b": 1, "d": 0, "e": 0, "f": 0, "c": 0} | ({"c": 1, "b": 2, "a": 3} if ("c", "d") in EDGES else {})

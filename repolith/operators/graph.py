@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Most nodes of a block of a graph, and about the most edges within one.
+BLOCK_NODES, BLOCK_EDGES = 200_000, 1_000_000
 
 #: Folders of applications without ``spark.checkpoint.dir`` (tests).
 _own: dict[str, str] = {}
@@ -89,42 +96,177 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
-def least_sources(edges: DataFrame) -> DataFrame:
+def blocked(edges: DataFrame, ids: DataFrame | None = None, most_nodes: int = BLOCK_NODES, most_edges: int = BLOCK_EDGES) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(nodes (id, block), edges within a block (block, src, dst), the others (src, dst) or None): ranges of ids of bounded size.
+
+    A small graph is one block. A block with more than ``most_edges`` edges keeps about so many, by hash, as its own; any edge may stand among the others, as
+    these are followed by joins, so a hot node makes no task large.
+    """
+    if ids is None:
+        ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    ids = saved(ids.select("id"))
+    parts = -(-ids.count() // most_nodes)
+    if parts <= 1 and edges.count() <= most_edges:
+        return ids.withColumn("block", F.lit(0)), edges.select(F.lit(0).alias("block"), "src", "dst"), None
+    nodes = saved(ids.repartitionByRange(max(1, parts), "id").withColumn("block", F.spark_partition_id()))
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("block").alias(f"{c}_block"))
+    marked = saved(edges.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst"))
+    sizes = marked.filter("src_block = dst_block").groupBy(F.col("src_block").alias("size_of")).count()
+    sized = marked.join(sizes, F.col("src_block") == F.col("size_of"), "left")
+    own = (F.col("src_block") == F.col("dst_block")) & (F.expr("pmod(xxhash64(src, dst), greatest(count, 1))") < most_edges)
+    marked = saved(sized.select("src", "dst", F.when(own, F.col("src_block")).alias("block")))
+    others = marked.filter("block is null").select("src", "dst")
+    return nodes, marked.filter("block is not null").select("block", "src", "dst"), None if others.isEmpty() else others
+
+
+def _indexed(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[list, list[list[int]]]:
+    """The ids of a block, and for each place the places of the ids that its edges lead to."""
+    ids = nodes["id"].tolist()
+    place = {v: i for i, v in enumerate(ids)}
+    onward: list[list[int]] = [[] for _ in ids]
+    for src, dst in zip(edges["src"].tolist(), edges["dst"].tolist(), strict=True):
+        onward[place[src]].append(place[dst])
+    return ids, onward
+
+
+def _nearest(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """``nodes`` (id, block, root, hops) with the least (root, hops) that reaches each along ``edges``; every node is settled once."""
+    _, onward = _indexed(nodes, edges)
+    at = list(zip(nodes["root"].tolist(), nodes["hops"].tolist(), strict=True))
+    heap = [(*x, i) for i, x in enumerate(at)]
+    heapq.heapify(heap)
+    while heap:
+        root, hops, i = heapq.heappop(heap)
+        if (root, hops) != at[i]:
+            continue
+        for j in onward[i]:
+            if (root, hops + 1) < at[j]:
+                at[j] = (root, hops + 1)
+                heapq.heappush(heap, (root, hops + 1, j))
+    return nodes.assign(root=[x[0] for x in at], hops=[x[1] for x in at])
+
+
+def _raised(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """``nodes`` (id, block, level, crossed) with the levels that ``edges`` ask for, dependencies first; -1 on or above a cycle."""
+    _, onward = _indexed(nodes, edges)
+    level, crossed = nodes["level"].tolist(), nodes["crossed"].tolist()
+    waiting: list[list[int]] = [[] for _ in onward]
+    for i, targets in enumerate(onward):
+        for j in targets:
+            waiting[j].append(i)
+    open_ = [len(x) for x in onward]
+    ready = [i for i, n in enumerate(open_) if not n]
+    for j in ready:
+        for i in waiting[j]:
+            level[i], crossed[i] = max(level[i], level[j] + 1), max(crossed[i], crossed[j])
+            open_[i] -= 1
+            if not open_[i]:
+                ready.append(i)
+    return nodes.assign(level=[-1 if n else x for n, x in zip(open_, level, strict=True)], crossed=crossed)
+
+
+def _contracted(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """(id, label) of a block: the least id of each strongly connected component of its own edges, by path-based search."""
+    ids, onward = _indexed(nodes, edges)
+    order, label = [-1] * len(ids), list(range(len(ids)))
+    closed, count = [False] * len(ids), 0
+    open_nodes: list[int] = []
+    starts: list[int] = []
+    for first in range(len(ids)):
+        if order[first] >= 0:
+            continue
+        walk = [(first, iter(onward[first]))]
+        order[first], count = count, count + 1
+        open_nodes.append(first)
+        starts.append(first)
+        while walk:
+            i, rest = walk[-1]
+            j = next(rest, None)
+            if j is None:
+                walk.pop()
+                if starts[-1] == i:
+                    starts.pop()
+                    at = next(k for k in range(len(open_nodes) - 1, -1, -1) if open_nodes[k] == i)
+                    group = open_nodes[at:]
+                    del open_nodes[at:]
+                    least = min(group, key=ids.__getitem__)
+                    for k in group:
+                        label[k], closed[k] = least, True
+            elif order[j] < 0:
+                order[j], count = count, count + 1
+                open_nodes.append(j)
+                starts.append(j)
+                walk.append((j, iter(onward[j])))
+            elif not closed[j]:
+                while order[starts[-1]] > order[j]:
+                    starts.pop()
+    return nodes[["id"]].assign(label=[ids[k] for k in label])
+
+
+def within_blocks(nodes: DataFrame, own: DataFrame, solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: StructType) -> DataFrame:
+    """``solve`` of each block's nodes and own edges, a task for each block."""
+    return saved(nodes.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(solve, schema))
+
+
+def least_sources(edges: DataFrame, **sizes: int) -> DataFrame:
     """(id, root, hops) of the nodes of ``edges``: the least id with a path to the node, itself included, and the hops of the
-    shortest. Each round sends one row along an edge; three rounds are one job, until none changes a node."""
-    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    at = F.struct(F.col("id").alias("root"), F.lit(0).cast("long").alias("hops"))
-    nodes = saved(ids.select("id", at.alias("at"), at.alias("was")))
+    shortest. A round closes each block under its own edges and then sends one row along each edge between blocks, so there are as
+    many rounds as a shortest path has edges between blocks, until none changes a node."""
+    nodes, own, others = blocked(edges, **sizes)
+    state = nodes.select("id", "block", F.col("id").alias("root"), F.lit(0).cast("long").alias("hops"))
     while True:
-        now = nodes.select("id", "at", F.col("at").alias("was"))
-        for _ in range(3):
-            onward = F.struct("at.root", (F.col("at.hops") + 1).alias("hops"))
-            sent = edges.join(now.select(F.col("id").alias("src"), "at"), "src").select(F.col("dst").alias("id"), onward.alias("at"))
-            now = now.unionByName(sent, allowMissingColumns=True).groupBy("id").agg(F.min("at").alias("at"), F.max("was").alias("was"))
-        nodes = saved(now)
-        if nodes.filter("at <> was").isEmpty():
-            return nodes.select("id", "at.*")
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
+        state = within_blocks(state, own, _nearest, state.schema)
+        if others is None:
+            return state.select("id", "root", "hops")
+        sent = others.join(state.select(F.col("id").alias("src"), "root", "hops"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("root", (F.col("hops") + 1).alias("hops"))).alias("sent"))
+        at = F.struct("root", "hops")
+        now = state.join(sent, "id", "left").select("id", "block", F.least(at, "sent").alias("at"), (F.col("sent") < at).alias("better"))
+        now = saved(now.select("id", "block", "at.*", F.coalesce("better", F.lit(False)).alias("better")))
+        if now.filter("better").isEmpty():
+            return state.select("id", "root", "hops")
+        state = now.drop("better")
+
+
+def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``edges`` between the labels of their ends, without loops and repeats; ``labels`` (id, label) has all ends."""
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    both = edges.join(side("src"), "src").join(side("dst"), "dst")
+    return both.filter("src_label <> dst_label").select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).distinct()
+
+
+def strong_components(edges: DataFrame, **sizes: int) -> DataFrame:
     """(id, scc, hops) of strongly connected components of two nodes or more; scc is the least id, hops are those from it.
 
-    Nodes are coloured by the least id that reaches them. Those that reach this id within their colour are its component;
-    the others of the colour go into the next round, as does no edge between colours. Tables are never larger than the
-    edges. A job follows three hops and a round finds one component of each colour: long paths cost jobs.
+    Each task finds the components of its block's own edges, and the graph goes on with each of them as one node; without edges
+    between blocks that is all. Else nodes are coloured by the least id that reaches them: those that reach this id within their colour
+    are its component, the others of the colour go into the next round, as does no edge between colours. Tables are never
+    larger than the edges.
     """
-    found = edges.select(F.col("src").alias("id"), F.col("src").alias("scc"), F.lit(0).cast("long").alias("hops")).limit(0)
-    left = cyclic_core(edges)
+    whole = left = saved(edges.filter("src <> dst").select("src", "dst").distinct())
+    steps: list[DataFrame] = []
     while not left.isEmpty():
-        colour = least_sources(left)
-        side = lambda c: colour.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+        nodes, own, others = blocked(left, **sizes)
+        kind = nodes.schema["id"].dataType
+        steps.append(within_blocks(nodes, own, _contracted, StructType().add("id", kind).add("label", kind)))
+        if others is None:
+            break
+        left = cyclic_core(relabelled(left, steps[-1]))
+        colour = least_sources(left, **sizes)
+        side = lambda c: colour.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
         inside = saved(left.join(side("src"), "src").join(side("dst"), "dst").filter("src_root = dst_root").select("src", "dst"))
-        returns = least_sources(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        part = saved(colour.join(returns.select("id", "root"), ["id", "root"]).select("id", F.col("root").alias("scc"), "hops"))
-        found = found.unionByName(part.join(part.filter("hops > 0").select("scc").distinct(), "scc", "left_semi").select("id", "scc", "hops"))
-        rest = inside.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti")
+        returns = least_sources(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), **sizes)
+        steps.append(saved(colour.join(returns.select("id", "root"), ["id", "root"]).select("id", F.col("root").alias("label"))))
+        rest = inside.join(steps[-1].select(F.col("id").alias("src")), "src", "left_anti").join(steps[-1].select(F.col("id").alias("dst")), "dst", "left_anti")
         left = cyclic_core(rest.select("src", "dst"))
-    return found
+    if not steps:
+        return whole.select(F.col("src").alias("id"), F.col("src").alias("scc"), F.lit(0).cast("long").alias("hops"))
+    labels = steps[0]
+    for step in steps[1:]:
+        onward = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        labels = saved(labels.join(onward, "label", "left").select("id", F.coalesce("next", "label").alias("label")))
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    inside = saved(whole.join(side("src"), "src").join(side("dst"), "dst").filter("src_label = dst_label").select("src", "dst"))
+    return least_sources(inside, **sizes).select("id", F.col("root").alias("scc"), "hops")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -143,26 +285,33 @@ def without_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("not back").select("src", "dst"), marked.filter("back").select("src", "dst")
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def dependency_levels(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
     """(id, level): 0 depends on nothing; each node is one above the highest it depends on. Raises if the edges hold a cycle.
 
-    Ordering by (level, id) puts dependencies first. Levels rise along edges, three to a job; after t rounds a level below
-    t is final. Without a cycle, each job finds some node final that wasn't.
+    Ordering by (level, id) puts dependencies first. A round raises levels within each block, in a task, and then along the edges
+    between blocks; ``crossed`` counts those on a path. A level is final once a round has passed for each of them, and without a
+    cycle fewer nodes are open after each round.
     """
-    known = nodes.select("id").distinct()
-    waits = edges.select("src", "dst").distinct().join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
-    waits, levels = saved(waits.select("src", "dst")), saved(known.withColumn("level", F.lit(0)))
-    rounds, open_ = 0, levels.count()
-    while open_:
-        now = levels
-        for _ in range(3):
-            raised = waits.join(now.select(F.col("id").alias("dst"), "level"), "dst").select(F.col("src").alias("id"), (F.col("level") + 1).alias("level"))
-            now = now.unionByName(raised).groupBy("id").agg(F.max("level").alias("level"))
-        levels, rounds = saved(now), rounds + 3
-        was, open_ = open_, levels.filter(F.col("level") >= rounds).count()
+    known = saved(nodes.select("id").distinct())
+    waits = saved(edges.select("src", "dst").distinct().join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    placed, own, others = blocked(waits, known, **sizes)
+    state = placed.select("id", "block", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("crossed"))
+    rounds, open_ = 0, -1
+    loops = others is not None and not others.filter("src = dst").isEmpty()
+    while True:
+        state = within_blocks(state, own, _raised, state.schema)
+        if loops or not state.filter("level < 0").isEmpty():
+            raise ValueError("the edges hold a cycle")
+        rounds += 1
+        if others is not None:
+            raised = others.join(state.select(F.col("id").alias("dst"), "level", "crossed"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("level") + 1).alias("up"), (F.max("crossed") + 1).alias("more"))
+            now = saved(state.join(raised, "id", "left").select("id", "block", F.greatest("level", "up").alias("level"), F.greatest("crossed", "more").alias("crossed")))
+            was, open_ = open_, now.filter(F.col("crossed") >= rounds).count()
+        if others is None or not open_:
+            return state.select("id", F.col("level").cast("int").alias("level"))
         if open_ == was:
             raise ValueError("the edges hold a cycle")
-    return levels
+        state = now
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -63,6 +63,46 @@ def test_rings_and_chains(spark):
     assert graph.cycles(none).count() == 0 and graph.dependency_levels(none.select(F.col("src").alias("id")), none).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"most_nodes": 4, "most_edges": 3}, {"most_nodes": 1000, "most_edges": 5}])
+def test_blocks_of_a_graph(spark, sizes):
+    """Random graphs cut into small blocks, and into one whose edges stand mostly among the others, against plain searches."""
+    rng = random.Random(3)
+    n = 14
+    pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(12)} | {(i, i + 1) for i in range(5)} | {(5, 0), (13, 11), (11, 12), (12, 13)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    hops = {a: {a: 0} for a in range(n)}
+    for a, seen in hops.items():
+        wave = [a]
+        while wave:
+            wave = list(dict.fromkeys(y for x in wave for p, y in pairs if p == x and y not in seen and not seen.update({y: seen[x] + 1})))
+    least = {b: min((a, hops[a][b]) for a in range(n) if b in hops[a]) for b in {x for p in pairs for x in p}}
+    assert {r.id: (r.root, r.hops) for r in graph.least_sources(edges, **sizes).collect()} == least
+    same = {a: {b for b in range(n) if b in hops[a] and a in hops[b]} for a in range(n)}
+    want = {a: (min(x), hops[min(x)][a]) for a, x in same.items() if len(x) > 1}
+    assert {r.id: (r.scc, r.hops) for r in graph.strong_components(edges, **sizes).collect()} == want
+    acyclic = sorted((a, b) for a, b in pairs if b not in same[a])
+    level = dict.fromkeys(range(n), 0)
+    for _ in range(n):
+        for a, b in acyclic:
+            level[a] = max(level[a], level[b] + 1)
+    got = graph.dependency_levels(spark.range(n), spark.createDataFrame(acyclic, "src long, dst long"), **sizes)
+    assert {r.id: r.level for r in got.collect()} == level
+    with pytest.raises(ValueError):
+        graph.dependency_levels(spark.range(n), edges, **sizes)
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    chain = spark.range(9999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    assert graph.dependency_levels(spark.range(10_000), chain).agg(F.max("level")).first()[0] == 9999
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 20
+    spark.sparkContext.setJobGroup("ring", "ring")
+    ring = chain.union(spark.createDataFrame([(9999, 0)], "src long, dst long"))
+    assert graph.strong_components(ring).agg(F.max("hops"), F.count("*")).first() == (9999, 10_000)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ring")) < 30
+    spark.sparkContext.setJobGroup("rest", "rest")
+
+
 def test_refused_requests_leave_the_job(spark):
     t = datetime(2024, 1, 1)
     at = lambda minutes: t + timedelta(minutes=minutes)

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,9 +19,8 @@ BLOCK_NODES, BLOCK_EDGES = 200_000, 1_000_000
 _own: dict[str, str] = {}
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that loops don't grow lineage. It goes when the application ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that isn't in use. What is written there goes when the application ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -33,8 +32,14 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{folder}/repolith/{uuid.uuid4().hex}-graph"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that loops don't grow lineage. It goes when the application ends."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -131,6 +131,35 @@ def s8_listed_files(spark, sf_dir):
     return repo.with_extensions(files(spark, sf_dir), (".py", ".js", ".TSX"), "src").select("path")
 
 
+@query("SELECT 'b=' || (p_partkey % 20) || '/s=' || (p_size % 10) AS folder, count(*) AS n_parts, sum(length(p_name))::BIGINT AS n_chars FROM part WHERE (p_partkey % 20)::VARCHAR LIKE '1%' GROUP BY 1")
+def s1_s8_tree_of_parts(spark, sf_dir):
+    """Parts written as a tree of texts, then read as one: folders of other numbers aren't entered, sums of blocks aren't opened."""
+    root = graph.new_path(spark)
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("value"), (F.col("p_partkey") % 20).alias("b"), (F.col("p_size") % 10).alias("s"))
+    parts.repartition("b", "s").write.partitionBy("b", "s").text(root)
+    listed = repo.with_extensions(repo.read_tree(spark, root.removeprefix("file:").replace("///", "/"), driver_folders=8), (".txt",)).filter(F.col("path").startswith("b=1"))
+    lines = listed.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder"), F.explode(F.split(F.rtrim("content", F.lit("\n")), "\n")).alias("line"))
+    return lines.groupBy("folder").agg(F.count("*").alias("n_parts"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, string_split(replace(replace(text, ' a', chr(10) || chr(10)), ' t', chr(10) || '@t'), chr(10)) AS p FROM documents),
+w AS (SELECT doc_id, p, len(p) AS n, doc_id % len(p) + 1 AS a, least(len(p), doc_id % len(p) + 6) AS z, doc_id % 40 AS most, doc_id % 2 = 0 AS py FROM d),
+s AS (SELECT *, -1 AS dir, a AS cur, least(most, a - 1) AS room FROM w UNION ALL SELECT *, 1, z, least(most, n - z) FROM w),
+k AS (SELECT *, unnest(generate_series(0, room)) AS k FROM s),
+l AS (SELECT *, cur + dir * k AS i, p[cur + dir * k] AS line, CASE WHEN k < room THEN p[cur + dir * (k + 1)] END AS following FROM k),
+r AS (SELECT *, CASE WHEN py AND regexp_matches(line, '^\s*(def\s+|class\s+|@)') THEN 3 WHEN line <> '' THEN 0 WHEN following = '' THEN 2 ELSE 1 END AS score FROM l),
+e AS (SELECT *, CASE WHEN i IN (1, n) THEN 3 ELSE score END AS best, CASE WHEN dir = 1 AND k > 0 AND NOT (score < 3 AND i IN (1, n)) THEN i - 1 ELSE i END AS stop FROM r),
+q AS (SELECT doc_id, dir, cur, best, stop, row_number() OVER (PARTITION BY doc_id, dir ORDER BY best DESC, k) AS place FROM e),
+t AS (SELECT doc_id, dir, CASE WHEN best = 0 THEN cur WHEN dir = 1 THEN greatest(stop, cur) ELSE least(stop, cur) END AS stop FROM q WHERE place = 1)
+SELECT d.doc_id, u.stop::INT AS first_line, v.stop::INT AS last_line FROM documents d LEFT JOIN t u ON u.doc_id = d.doc_id AND u.dir = -1 LEFT JOIN t v ON v.doc_id = d.doc_id AND v.dir = 1""")
+def e17_expanded_views(spark, sf_dir):
+    lines = F.replace(F.replace("text", F.lit(" a"), F.lit("\n\n")), F.lit(" t"), F.lit("\n@t"))
+    n = F.size(F.split("lines", "\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).withColumn("n", n).withColumn("a", F.col("doc_id") % F.col("n") + 1)
+    view = text.expanded_view(F.col("lines"), F.col("a"), F.least("n", F.col("a") + 5), F.col("doc_id") % 40, F.col("doc_id") % 2 == 0)
+    return docs.select("doc_id", view.alias("view")).select("doc_id", F.col("view.first").alias("first_line"), F.col("view.last").alias("last_line"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'caf' || chr(195) || chr(169) || chr(255) || p_name ELSE 'caf' || chr(233) || chr(10) || p_name END AS content FROM part")
 def s12_decoded_files(spark, sf_dir):
     starts = {0: "636166C3A90D0A", 1: "636166C3A9FF", 2: "636166E90D"}  # UTF-8; neither; Latin-1

@@ -103,6 +103,41 @@ def test_a_long_chain_takes_few_jobs(spark):
     spark.sparkContext.setJobGroup("rest", "rest")
 
 
+def nearest_break(lines, at, step, most, python):
+    """The last line of a view that ends at ``at``, by a walk."""
+    end = len(lines) if step > 0 else 1
+    if at == end:
+        return at
+    walk = list(range(at, at + step * min(most, abs(end - at)) + step, step))
+    options = []
+    for k, i in enumerate(walk):
+        line, beyond = lines[i - 1], lines[walk[k + 1] - 1] if k + 1 < len(walk) else None
+        if python and line.lstrip().startswith(("def ", "class ", "@")):
+            options.append((3, i - 1 if step > 0 and k else i))
+        elif line == "":
+            options.append((2 if beyond == "" else 1, i - 1 if step > 0 and k else i))
+        if i in (1, len(lines)):
+            options.append((3, i))
+    # ``max`` takes the first of equals.
+    found = max(options, key=lambda x: x[0])[1] if options else at
+    return max(found, at) if step > 0 else min(found, at)
+
+
+def test_views_end_at_breaks(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        lines = [rng.choice(["", "", "x = 1", "def f():", "  class A:", "@a", "undefined"] if i % 3 else ["x", "y", ""]) for _ in range(rng.randrange(1, 30))]
+        first = rng.randrange(1, len(lines) + 1)
+        rows.append((i, "\n".join(lines), first, rng.randrange(first, len(lines) + 1), rng.randrange(-1, 12), bool(i % 2)))
+    outside = [(400, "a\nb", 0, 1, 3, True), (401, "a\nb", 1, 3, 3, True), (402, "a\nb", 2, 1, 3, True), (403, None, 1, 1, 3, True), (404, "", 1, 1, 3, True)]
+    table = spark.createDataFrame(rows + outside, "i int, t string, a int, z int, most int, py boolean")
+    view = text.expanded_view(F.col("t"), F.col("a"), F.col("z"), F.col("most"), F.col("py"))
+    got = {r.i: r.view and tuple(r.view) for r in table.select("i", view.alias("view")).collect()}
+    want = {i: (nearest_break(t.split("\n"), a, -1, m, py), nearest_break(t.split("\n"), z, 1, m, py)) if m > 0 else (a, z) for i, t, a, z, m, py in rows}
+    assert got == want | {400: None, 401: None, 402: None, 403: None, 404: (1, 1)}
+
+
 def test_refused_requests_leave_the_job(spark):
     t = datetime(2024, 1, 1)
     at = lambda minutes: t + timedelta(minutes=minutes)

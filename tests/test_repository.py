@@ -112,6 +112,29 @@ def test_tree_is_read_whole(spark, tree):
     assert repo.readme(repo.read_tree(spark, tree)).first()[0] == "# Hi"
 
 
+def test_filters_reach_the_source(spark, tree, monkeypatch):
+    """The same files with and without filters, listed on the driver or in tasks; a file that is left out is not opened."""
+    whole = repo.read_tree(spark, tree).cache()
+    for few in (1, 2, 1000):
+        files = repo.read_tree(spark, tree, driver_folders=few)
+        assert [r.path for r in files.orderBy("file_ord").collect()] == [r.path for r in whole.orderBy("file_ord").collect()]
+        for test in (
+            F.col("path").startswith("pkg/"), F.col("extension") == ".py", F.col("name").isin("a.py", "q.py"), F.col("path").isin("pkg/a.py", "none"), F.col("size_bytes") > 20,
+            ~F.col("path").startswith("pkg/") & F.col("path").contains("/"), F.col("name").endswith("x.py") & (F.col("size_bytes") <= 5), F.col("content").startswith("#"), F.col("path").isNull(),
+        ):
+            assert {tuple(r) for r in files.filter(test).drop("file_ord").collect()} == {tuple(r) for r in whole.filter(test).drop("file_ord").collect()}
+    plan = files.filter(F.col("path").startswith("pkg/"))._jdf.queryExecution().executedPlan().toString()
+    assert "StartsWith(path, pkg/)" not in plan.split("BatchScan")[0]
+    reader = repo._Reader({"path": tree, "driverFolders": "1"})
+    left = list(reader.pushFilters([repo.StringStartsWith(("path",), "pkg/"), repo.EqualTo(("extension",), ".py"), repo.EqualTo(("content",), "x")]))
+    assert left == [repo.EqualTo(("content",), "x")]
+    seen, plain, scan = [], os.open, os.scandir
+    monkeypatch.setattr(os, "open", lambda p, *a, **k: seen.append(os.path.relpath(p, tree)) or plain(p, *a, **k))
+    monkeypatch.setattr(os, "scandir", lambda p: seen.append(os.path.relpath(p, tree)) or scan(p))
+    assert [r[1] for part in reader.partitions() for r in reader.read(part)] == ["pkg/__init__.py", "pkg/a.py", "pkg/b.py", "pkg/raw.py"]
+    assert sorted(seen) == [".", "pkg", "pkg/__init__.py", "pkg/a.py", "pkg/b.py", "pkg/raw.py"]
+
+
 def test_tree_to_dependencies(spark, tree):
     files = repo.read_tree(spark, tree, patterns.EXCLUDES).withColumn("language", predicates.language(F.col("extension"))).filter("language is not null")
     rows = extract.extract(files.repartition(3))

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -329,6 +329,16 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranges.withColumn("row", within).join(F.broadcast(starts), "range").withColumn(name, (F.col("start") + F.col("row")).cast("long")).drop("range", "start", "row")
 
 
+def summed_before(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over those before in ``order``, by sorted ranges as in ``numbered``."""
+    ranges = saved(rows.withColumn("value", value).repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each range.
+    starts = ranges.groupBy("range").agg(F.sum("value").alias("value")).select("range", before(Window.orderBy("range")).alias("start"))
+    within = ranges.withColumn("within", before(Window.partitionBy("range").orderBy(*order)))
+    return within.join(F.broadcast(starts), "range").withColumn(name, F.col("start") + F.col("within")).drop("range", "start", "within", "value")
+
+
 def post_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, ord): dependencies first, equal levels by id."""
     return numbered(dependency_levels(nodes, edges), ["level", "id"], "ord").select("id", "ord")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import text
 from repolith.operators import graph
+from repolith.operators import tokens as token_counts
 
 #: Token thresholds of grouping and delegation, and the deepest delegation.
 GROUP_TOKENS, DELEGATE_TOKENS, MOST_DEPTH = 36_369, 16_000, 2
@@ -118,19 +119,19 @@ def tagged(reply: Column, tag: str = "OVERVIEW") -> Column:
 
 
 def cluster(leaves: DataFrame, tokens: Callable[[Column], Column], group: Callable[[DataFrame], DataFrame], threshold: int = GROUP_TOKENS, most_depth: int | None = None) -> DataFrame:
-    """Splits groups of ``leaves`` (id, text) level by level until their tokens fit ``threshold``.
+    """Splits groups of ``leaves`` (id, text) level by level until the tokens of their texts, one after the other by id, fit ``threshold``.
 
     ``group`` maps (path, id) to (path, id, name): the sub-group of each component. A group that doesn't shrink, or
     gives one sub-group, ends, so every level has smaller groups and the last one comes. Returns the tree; each level is
     one job, however many groups it has. ``most_depth`` is a limit that the caller asks for.
     """
-    members = graph.saved(leaves.select(F.array().cast("array<string>").alias("path"), "id", tokens(F.col("text")).alias("tokens")))
+    members = graph.saved(token_counts.parts(leaves.select(F.array().cast("array<string>").alias("path"), "id", "text"), tokens))
     out = None
     for depth in itertools.count() if most_depth is None else range(most_depth):
-        size = members.groupBy("path").agg(F.sum("tokens").alias("total"), F.count("*").alias("n")).filter(F.col("total") > threshold)
+        size = token_counts.totals(members, "path", ["id"], tokens).filter(F.col("total") > threshold)
         named = group(members.join(size.select("path"), "path", "left_semi").select("path", "id"))
         named = named.join(named.groupBy("path").agg(F.count_distinct("name").alias("names")).filter("names > 1").select("path"), "path", "left_semi")
-        members = graph.saved(named.join(members.select("path", "id", "tokens"), ["path", "id"]).select(F.concat("path", F.array("name")).alias("path"), "id", "tokens"))
+        members = graph.saved(named.join(members, ["path", "id"]).select(F.concat("path", F.array("name")).alias("path"), *members.drop("path").columns))
         if members.isEmpty():
             break
         level = members.groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("components")).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repolith.functions import predicates, text, urls
-from repolith.operators import edits, external, graph, jobs, resolve, tree
+from repolith.operators import edits, external, graph, jobs, resolve, tokens, tree
 from repolith.plans.witness import COMPONENTS, EDGES, EXTS, FILES, TREE, _pick, components, files, module_tree, query, resolved, table
 from repolith.sources import repo
 
@@ -131,6 +131,16 @@ def s8_listed_files(spark, sf_dir):
     return repo.with_extensions(files(spark, sf_dir), (".py", ".js", ".TSX"), "src").select("path")
 
 
+@query(r"""SELECT source, sum(length(text))::BIGINT AS n_chars, len(regexp_extract_all(string_agg(text, '' ORDER BY doc_id), '\w+|[^\w\s]'))::BIGINT AS n_tokens
+FROM documents GROUP BY source""")
+def t12_tokens_of_joined_texts(spark, sf_dir):
+    """The tokens of each source's documents, joined by id: no task holds a source."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    counts = tokens.totals(tokens.parts(docs, external.approximate_tokens), "source", ["doc_id"], external.approximate_tokens)
+    chars = docs.groupBy("source").agg(F.sum(F.length("text")).alias("n_chars"))
+    return counts.join(chars, F.equal_null(counts["source"], chars["source"])).select(counts["source"], "n_chars", F.col("total").alias("n_tokens"))
+
+
 @query("SELECT 'b=' || (p_partkey % 20) || '/s=' || (p_size % 10) AS folder, count(*) AS n_parts, sum(length(p_name))::BIGINT AS n_chars FROM part WHERE (p_partkey % 20)::VARCHAR LIKE '1%' GROUP BY 1")
 def s1_s8_tree_of_parts(spark, sf_dir):
     """Parts written as a tree of texts, then read as one: folders of other numbers aren't entered, sums of blocks aren't opened."""

@@ -2,14 +2,17 @@
 
 import os
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import duckdb
+import pandas as pd
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from repolith.functions import text, urls
-from repolith.operators import graph, jobs, resolve, tree
+from repolith.operators import external, graph, jobs, resolve, tokens, tree
 from repolith.plans import catalog, witness
 
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e"), ("f", "ghost")]
@@ -103,6 +106,29 @@ def test_a_long_chain_takes_few_jobs(spark):
     spark.sparkContext.setJobGroup("rest", "rest")
 
 
+@pytest.mark.parametrize("name", ["words", "bytes"])
+def test_tokens_of_joined_texts(spark, name):
+    """Counts from parts against the tokenizer on the whole text: words cut anywhere, parts without letters or spaces, empty ones."""
+    count, plain = external.approximate_tokens, lambda x: len(re.findall(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]", x))
+    if name == "bytes":
+        public_tokenizers = pytest.importorskip("public_tokenizers")
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        plain = lambda x: len(tokenizers.Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids)
+
+        @F.pandas_udf("long")
+        def count(texts: pd.Series) -> pd.Series:
+            return pd.Series([len(x.ids) for x in tokenizers.Tokenizer.from_file(path).encode_batch(texts.tolist(), add_special_tokens=False)])
+
+    rng = random.Random(8)
+    rows = []
+    for group in range(6):
+        for i in range(40 if group else 1):
+            rows.append((group, i, "".join(rng.choice(["word", "don't ", " it's", "  ", "12", "3,", " ", "é ", "\n", "a", "...", " b"] if i % 3 else ["1", " ", "7", ". "]) for _ in range(rng.randrange(9)))))
+    table = spark.createDataFrame([*rows, (7, 0, None)], "g int, i int, text string")
+    got = {r.g: r.total for r in tokens.totals(tokens.parts(table.repartition(5), count), "g", ["i"], count).collect()}
+    assert got == {g: plain("".join(t for x, _, t in rows if x == g)) for g in range(6)} | {7: 0}
+
+
 def nearest_break(lines, at, step, most, python):
     """The last line of a view that ends at ``at``, by a walk."""
     end = len(lines) if step > 0 else 1

@@ -81,10 +81,21 @@ def documents(modules: DataFrame, analysis: Analysis, existing: DataFrame | None
     return tree.generate(modules, none if existing is None else existing, leaf, parent)
 
 
-def run(spark: SparkSession, root: str, out: str, threshold: int = tree.GROUP_TOKENS, **options) -> Analysis:
-    """Analysis, module tree and documents of a tree, written as tables below ``out``."""
+def stored_tree(spark: SparkSession, out: str) -> DataFrame | None:
+    """The module tree that a run left below ``out``; None if none was committed."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/module_tree/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        return None
+    return spark.read.schema("path array<string>, name string, parent array<string>, depth int, ord int, components array<string>").json(f"{out}/module_tree")
+
+
+def run(spark: SparkSession, root: str, out: str, threshold: int = tree.GROUP_TOKENS, reuse: bool = True, **options) -> Analysis:
+    """Analysis, module tree and documents of a tree, written as tables below ``out``. With ``reuse``, a module tree that an earlier
+    run left there is taken as it is and no group is split again."""
     analysis = analyze(spark, root, **options)
-    modules = graph.saved(module_tree(analysis, threshold=threshold))
+    stored = stored_tree(spark, out) if reuse else None
+    # Saved first, as the stored one is written over.
+    modules = graph.saved(module_tree(analysis, threshold=threshold) if stored is None else stored)
     docs = documents(modules, analysis)
     state.write_json(state.dependency_graph(analysis.components.drop("pos"), analysis.dependencies), f"{out}/dependency_graph")
     state.write_json(modules, f"{out}/module_tree")

@@ -222,6 +222,11 @@ def test_whole_run(spark, tree, tmp_path):
     assert docs["pkg/a.py"] == "# pkg/a.py\n- pkg.a.Base (class)\n- pkg.a.Child (class)"
     meta = state.read_metadata(spark, f"{out}/metadata").first()
     assert meta.statistics.total_components == 8 and meta.statistics.leaf_nodes == 4 and "pkg/a.py.md" in meta.files_generated
+    before = {tuple(r.path) for r in engine.stored_tree(spark, out).collect()}
+    engine.run(spark, tree, out, threshold=10**6)
+    assert {tuple(r.path) for r in engine.stored_tree(spark, out).collect()} == before and before
+    engine.run(spark, tree, out, threshold=10**6, reuse=False)
+    assert engine.stored_tree(spark, out).isEmpty() and engine.stored_tree(spark, f"{out}/none") is None
 
 
 def test_clients_fall_back(spark):

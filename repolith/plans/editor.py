@@ -143,7 +143,7 @@ def t12_tokens_of_joined_texts(spark, sf_dir):
 
 @query("SELECT 'b=' || (p_partkey % 20) || '/s=' || (p_size % 10) AS folder, count(*) AS n_parts, sum(length(p_name))::BIGINT AS n_chars FROM part WHERE (p_partkey % 20)::VARCHAR LIKE '1%' GROUP BY 1")
 def s1_s8_tree_of_parts(spark, sf_dir):
-    """Parts written as a tree of texts, then read as one: folders of other numbers aren't entered, sums of blocks aren't opened."""
+    """Parts written as a tree of texts, then read as one: no task lists folders of other numbers, and sums of blocks aren't opened."""
     root = graph.new_path(spark)
     parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("value"), (F.col("p_partkey") % 20).alias("b"), (F.col("p_size") % 10).alias("s"))
     parts.repartition("b", "s").write.partitionBy("b", "s").text(root)

@@ -122,7 +122,7 @@ def _test(f: Filter) -> Callable[[dict], bool] | None:
 class _Reader(DataSourceReader):
     """``partitions`` opens at most ``driverFolders`` folders on the driver; tasks list what is below. Numbers follow path order, without
     gaps unless a task lists. Filters on what the listing knows are applied before a file is opened, those on where a path starts before
-    a folder is."""
+    a task lists a folder; what the driver opens doesn't depend on filters, as numbers don't."""
 
     def __init__(self, options):
         self.root = options["path"]

@@ -72,17 +72,29 @@ def leaves(nodes: DataFrame, edges: DataFrame, threshold: int = 400) -> DataFram
     return roots(nodes, edges) if nodes.count() >= threshold else nodes.select("id")
 
 
+def prolonged(paths: DataFrame, reach: int) -> DataFrame:
+    """Paths (src, dst, hops) of ``reach`` hops, each followed by every path from its end."""
+    farthest = paths.filter(F.col("hops") == reach).select("src", F.col("dst").alias("via"))
+    return farthest.join(paths.select(F.col("src").alias("via"), "dst", "hops"), "via").select("src", "dst", (F.col("hops") + reach).alias("hops"))
+
+
 def reachable(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """All pairs (src, dst) with a path from src to dst, and the ``hops`` of the shortest, by doubling; rounds are
-    logarithmic in the longest path."""
-    paths, was = saved(edges.select("src", "dst").distinct().withColumn("hops", F.lit(1).cast("long"))), None
+    logarithmic in the longest path. Round k finds the pairs of 2^k + 1 to 2^(k+1) hops: their first 2^k hops are a shortest
+    path, so only pairs of exactly 2^k hops are prolonged, and a pair is met once for each node that lies there on its way."""
+    table, reach = new_path(edges.sparkSession), 1
+
+    def add(new: DataFrame) -> DataFrame:
+        new.write.parquet(f"{table}/reach-{reach}")
+        return edges.sparkSession.read.schema(new.schema).parquet(*(f"{table}/reach-{2**k}" for k in range(reach.bit_length())))
+
+    paths = add(edges.select("src", "dst").distinct().withColumn("hops", F.lit(1).cast("long")))
     for _ in range(most_rounds):
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), (F.col("a.hops") + F.col("b.hops")).alias("hops"))
-        paths = saved(paths.unionByName(longer).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
-        now = tuple(paths.agg(F.count("*"), F.sum("hops")).first())
-        if now == was:
+        if paths.filter(F.col("hops") == reach).isEmpty():
             return paths
-        was = now
+        nearest = paths.unionByName(prolonged(paths, reach)).groupBy("src", "dst").agg(F.min("hops").alias("hops"))
+        was, reach = reach, 2 * reach
+        paths = add(nearest.filter(F.col("hops") > was))
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 

@@ -39,6 +39,23 @@ def test_graph(small):
     assert {r.id: r.level for r in graph.dependency_levels(nodes, kept).collect()} == {"a": 2, "b": 1, "d": 0, "e": 0, "f": 0, "c": 0} | ({"c": 1, "b": 2, "a": 3} if ("c", "d") in EDGES else {})
 
 
+def test_reachable_pairs_are_met_once(spark):
+    """Hops against a search from each node; on a chain and a cycle a round meets each of its pairs once, not once for every node between."""
+    rng = random.Random(3)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(55)} | {(k, k + 1) for k in range(50, 90)}
+    expected = {}
+    for start in {a for a, _ in pairs}:
+        wave, hops = {b for a, b in pairs if a == start}, 1
+        while wave:
+            expected |= {(start, x): hops for x in wave}
+            wave, hops = {b for a, b in pairs if a in wave} - {b for a, b in expected if a == start}, hops + 1
+    got = graph.reachable(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()
+    assert len(got) == len(expected) and {(r.src, r.dst): r.hops for r in got} == expected
+    chain = spark.range(100).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(8), 100 - F.col("id")))).alias("hops")).withColumn("dst", F.col("src") + F.col("hops"))
+    longer = graph.prolonged(chain, 8)
+    assert longer.count() == longer.select("src", "dst").distinct().count() == sum(max(0, min(16, 100 - k) - 8) for k in range(100))
+
+
 def test_a_single_back_edge_goes_alone(spark):
     """One edge back in a graph of edges that all lead up; a group of nodes without others keeps a leaf."""
     edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(a + 1, 6)] + [(5, 0)], "src long, dst long")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolith.operators.extract import braces, java, python_source, scripts
+from repolith.operators.extract.token_table import dealt
 
 ROWS = (
     "file_ord long, emit_ord long, kind string, id string, name string, component_type string, file_path string, start_line int, end_line int, "
@@ -19,6 +20,9 @@ ROWS = (
 _FIELDS = [f.split(" ", 1) for f in ROWS.split(", ")]
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
+#: Rows and characters of code after which a task passes on what it found.
+BATCH_ROWS, BATCH_CHARS = 2000, 4_000_000
+
 Analyzer = Callable[[str, str], Iterator[dict]]
 ANALYZERS: dict[str, Analyzer] = {"python": python_source.analyze} | {lang: braces.analyzer(lang) for lang in braces.LANGUAGES}
 
@@ -52,23 +56,34 @@ def _with_source(files: DataFrame, components: DataFrame) -> DataFrame:
     return files.select("file_ord", "content").join(lists, "file_ord").select("content", "found").mapInArrow(sliced, schema)
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], _KINDS[k]) for n, k in _FIELDS], [n for n, _ in _FIELDS])
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Rows of kind component, edge or error from ``files`` (file_ord, path, language, content). A file that can't be
     analyzed gives one error row. (file_ord, emit_ord) orders everything."""
     analyzers, tables = {k: v for k, v in ANALYZERS.items() if k not in TABLES}, dict(TABLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                analyzer = analyzers.get(row["language"])
+            for file_ord, path, language, content in zip(*(column.to_pylist() for column in batch.columns)):
+                analyzer = analyzers.get(language)
                 try:
-                    found = list(analyzer(row["path"], row["content"] or "")) if analyzer else []
+                    found = list(analyzer(path, content or "")) if analyzer else []
                 except (SyntaxError, ValueError, RecursionError) as e:
                     found = [{"kind": "error", "error": f"{type(e).__name__}: {e}"}]
-                rows = [{"file_ord": row["file_ord"], "emit_ord": i, "file_path": row["path"]} | x for i, x in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], _KINDS[k]) for n, k in _FIELDS], [n for n, _ in _FIELDS])
-
-    out = files.filter(~F.col("language").isin(*tables)).select("file_ord", "path", "language", "content").mapInArrow(run, ROWS)
+                rows += [{"file_ord": file_ord, "emit_ord": i, "file_path": path} | x for i, x in enumerate(found)]
+                held += sum(len(x.get("source_code") or "") for x in found)
+                if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        yield _batch(rows)
+
+    # A few megabytes of a table can hold much work, so files are dealt by number, not by what a reader takes for a partition.
+    plain = dealt(files.filter(~F.col("language").isin(*tables)).select("file_ord", "path", "language", "content"))
+    out = plain.mapInArrow(run, ROWS)
     # What there is, so that no table of tokens is made for a language without files.
     present = {r[0] for r in files.select("language").distinct().filter(F.col("language").isin(*tables)).collect()}
     for language, table in ((k, v) for k, v in tables.items() if k in present):

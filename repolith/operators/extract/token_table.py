@@ -100,6 +100,11 @@ def lexed(content: str, scripts: bool) -> list[dict]:
     return out
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """``files`` dealt by file to as many tasks as the session shuffles to. A fixed number: AQE sees small rows, not the work in them."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_ord")
+
+
 def token_table(files: DataFrame, scripts: bool) -> DataFrame:
     """``files`` (file_ord, content) as rows (file_ord, i, text, kind, line, at, ends, up, level, close, types, around), dealt by file. ``close``: where
     an opening bracket closes; ``around``: text, close, line and last line of the bracket that a token stands in."""

@@ -114,3 +114,12 @@ def test_own_analyzers_replace_tables(spark, monkeypatch):
     monkeypatch.setattr(extract, "ANALYZERS", dict(extract.ANALYZERS))
     extract.register_analyzer("java", lambda path, content: iter([{"kind": "component", "id": "own", "name": "own"}]))
     assert [r.id for r in extract.extract(files(spark, "java", "class A {}")).collect()] == ["own"]
+
+
+def test_files_are_dealt_to_tasks(spark):
+    """Files of one partition are many tasks' work, and a task passes on many files' rows at a time."""
+    one = spark.createDataFrame([(i, f"src/f{i}.c", "c", f"int f{i}(int a) {{ return g(a); }}") for i in range(400)], "file_ord long, path string, language string, content string").coalesce(1)
+    rows = extract.extract(one)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert {(r.id, r.emit_ord) for r in extract.components_of(rows).select("id", "seq.emit_ord").collect()} == {(f"src.f{i}.f{i}", 0) for i in range(400)}
+    assert extract.edges_of(rows).count() == 400

@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from repolith.operators.extract import braces, java, python_source, scripts
 from repolith.operators.extract.token_table import dealt
@@ -40,22 +39,6 @@ def register_analyzer(language: str, analyzer: Analyzer) -> None:
     TABLES.pop(language, None)
 
 
-def _with_source(files: DataFrame, components: DataFrame) -> DataFrame:
-    """``components`` with the lines of their files from start_line to end_line. A file's lines are split once."""
-    names = components.columns
-
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content, found in zip(batch.column("content").to_pylist(), batch.column("found")):
-                lines = (content or "").split("\n")
-                code = pa.array(["\n".join(lines[f["start_line"].as_py() - 1 : f["end_line"].as_py()]) for f in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*found.values.flatten(), code], [*names, "source_code"])
-
-    lists = components.groupBy("file_ord").agg(F.collect_list(F.struct(*names)).alias("found"))
-    schema = T.StructType([*components.schema.fields, T.StructField("source_code", T.StringType())])
-    return files.select("file_ord", "content").join(lists, "file_ord").select("content", "found").mapInArrow(sliced, schema)
-
-
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], _KINDS[k]) for n, k in _FIELDS], [n for n, _ in _FIELDS])
 
@@ -87,11 +70,8 @@ def extract(files: DataFrame) -> DataFrame:
     # What there is, so that no table of tokens is made for a language without files.
     present = {r[0] for r in files.select("language").distinct().filter(F.col("language").isin(*tables)).collect()}
     for language, table in ((k, v) for k, v in tables.items() if k in present):
-        own = files.filter(F.col("language") == language)
-        components, edges = table(own)
-        components = _with_source(own, components).withColumns({"kind": F.lit("component"), "docstring": F.lit("")})
-        edges = edges.withColumn("kind", F.lit("edge")).join(own.select("file_ord", F.col("path").alias("file_path")), "file_ord")
-        for rows in (components, edges):
+        components, edges = table(files.filter(F.col("language") == language))
+        for rows in (components.withColumns({"kind": F.lit("component"), "docstring": F.lit("")}), edges.withColumn("kind", F.lit("edge"))):
             out = out.unionByName(rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(k).alias(n) for n, k in _FIELDS]))
     return out
 

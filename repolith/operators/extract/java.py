@@ -1,4 +1,4 @@
-"""Components and edges of Java, by rules over sibling tokens (:mod:`token_table`).
+"""Components and edges of Java, by rules over sibling tokens (:mod:`token_arrays`).
 
 Variables have scopes: a declaration is an interval from its name to the end of its block (of what follows, for variables of a
 loop, resources and lambda parameters), and a use takes the innermost interval of its name around it.
@@ -6,11 +6,12 @@ loop, resources and lambda parameters), and a use takes the innermost interval o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.operators.extract.scripts import _any, c, modules, record
-from repolith.operators.extract.token_table import first_after, last_before, last_so_far, token_table, with_enclosing, with_innermost, with_neighbours
+from repolith.operators.extract.scripts import c, with_module
+from repolith.operators.extract.token_arrays import Record, Tokens, any_of, coalesce, joined, record, records, when
+from repolith.operators.extract.token_table import with_innermost
 from repolith.operators.graph import saved
 
 MODIFIERS = ("public", "private", "protected", "static", "final", "abstract", "native", "synchronized", "transient", "volatile", "strictfp", "default", "sealed")
@@ -26,65 +27,73 @@ NO_DEPENDENCY = (
 )
 
 
-def _marked(tokens: DataFrame) -> DataFrame:
-    rows = with_neighbours(tokens, 4, 4)
-    rows = rows.withColumns({"starts": c("p1").isin("", ";", "}") | ((c("p1") == ",") & (c("around.text") == "("))})
+def _marked(t: Tokens) -> None:
+    c = t.col
+    t.neighbours(4, 4)
+    t.put({"starts": any_of(c("p1").isin("", ";", "}"), (c("p1") == ",") & (c("around.text") == "("))})
     word, named = c("kind") == "w", (c("kind") == "w") & (c("nk1") == "w") & (c("p1") != ".")
-    type_kind = F.when(named & (c("text") == "class"), "class").when(named & (c("text") == "interface"), F.when(c("p1") == "@", "annotation").otherwise("interface"))
+    type_kind = when(named & (c("text") == "class"), "class").when(named & (c("text") == "interface"), when(c("p1") == "@", "annotation").otherwise(t.every("interface")))
     type_kind = type_kind.when(named & (c("text") == "enum") & c("n2").isin("{", "implements"), "enum").when(named & (c("text") == "record") & c("n2").isin("(", "<") & (c("starts") | c("p1").isin(*MODIFIERS)), "record")
     head = word & ~c("text").isin(*MODIFIERS, *WORDS) & (c("starts") | c("p1").isin(*MODIFIERS) | (c("p2") == "@") | ((c("p1") == ")") & (c("p4") == "@")))
-    rows = rows.withColumns({"declares": type_kind, "type_head": _any(head)})
-    at = lambda condition: F.coalesce(last_before(condition, c("i")), F.lit(-1))
-    rows = rows.withColumn("statement", last_so_far(c("starts"), F.struct("i", "line"))).withColumns({
-        "brace_at": at(c("text").isin("{", ";")), "new_at": at(c("text") == "new"), "type_of": last_so_far(c("type_head"), F.struct("i", "text", c("n1").alias("next"))),
-        "declared": last_before(c("declares").isNotNull(), F.struct("i", c("statement.line").alias("line"), "angle", c("declares").alias("kind"), c("n1").alias("name"))), "abstract_at": at(c("text") == "abstract"),
-        "block": first_after(c("text") == "{", F.struct("close", c("nl1").alias("line"))), "signature": first_after(c("text").isin("{", ";"), F.struct("text", "i", "line", "close", c("nl1").alias("end_line"))),
+    t.put({"declares": type_kind, "type_head": any_of(head)})
+    at = lambda condition: coalesce(t.last_before(condition, c("i")), -1)
+    t.put({"statement": t.last_so_far(c("starts"), t.struct(i=c("i"), line=c("line")))})
+    t.put({
+        "brace_at": at(c("text").isin("{", ";")), "new_at": at(c("text") == "new"), "type_of": t.last_so_far(c("type_head"), t.struct(i=c("i"), text=c("text"), next=c("n1"))),
+        "declared": t.last_before(c("declares").isNotNull(), t.struct(i=c("i"), line=c("statement.line"), angle=c("angle"), kind=c("declares"), name=c("n1"))), "abstract_at": at(c("text") == "abstract"),
+        "block": t.first_after(c("text") == "{", t.struct(close=c("close"), line=c("nl1"))), "signature": t.first_after(c("text").isin("{", ";"), t.struct(text=c("text"), i=c("i"), line=c("line"), close=c("close"), end_line=c("nl1"))),
     })
-    opens = F.when(c("text") != "{", None).when(c("declared.i") > c("brace_at"), c("declared.kind")).when((c("p1") == ")") & (c("new_at") > c("brace_at")), "anonymous").otherwise("block")
-    rows = rows.withColumn("clause", last_before(c("text").isin("extends", "implements") & (c("angle") == c("declared.angle")), c("text")))
+    opens = when(c("text") != "{", None).when(c("declared.i") > c("brace_at"), c("declared.kind")).when((c("p1") == ")") & (c("new_at") > c("brace_at")), "anonymous").otherwise("block")
+    t.put({"clause": t.last_before(c("text").isin("extends", "implements") & (c("angle") == c("declared.angle")), c("text"))})
     # Where the variables of a parenthesis are known: in what follows it.
-    follows = F.when(c("n2") == "{", c("nc2")).when((c("n2") == "->") & (c("n3") == "{"), c("nc3")).otherwise(F.coalesce(first_after((c("text") == ";") | ((c("n1") == "") & (c("kind") != "o")), c("i")), c("close")))
-    scope = F.when(c("text") == "(", F.when(c("p1").isin("for", "try") | ((c("n1") == ")") & (c("n2") == "->")), follows)).when(c("text") == "{", c("close"))
-    rows = with_enclosing(with_enclosing(rows, opens, "inside"), scope, "scope")
-    in_type = F.coalesce(c("inside").isin("class", "interface", "enum", "record", "anonymous"), F.lit(False))
+    last = t.first_after((c("text") == ";") | ((c("n1") == "") & (c("kind") != "o")), c("i"))
+    follows = when(c("n2") == "{", c("nc2")).when((c("n2") == "->") & (c("n3") == "{"), c("nc3")).otherwise(coalesce(last, c("close")))
+    scope = when(c("text") == "(", when(c("p1").isin("for", "try") | ((c("n1") == ")") & (c("n2") == "->")), follows)).when(c("text") == "{", c("close")).value
+    t.put({"inside": t.enclosing(opens), "scope": t.enclosing(scope)})
+    in_type = coalesce(c("inside"), "").isin("class", "interface", "enum", "record", "anonymous")
     result = ((c("pk1") == "w") & ~c("p1").isin(*MODIFIERS, *WORDS)) | c("p1").isin(">", "]")
     method = word & in_type & (c("n1") == "(") & (c("n2") == ")") & c("n3").isin("{", ";", "throws", "[", "default") & result & ~c("text").isin(*WORDS) & ~c("p1").isin(".", "@") & (c("p2") != "@")
     first = ((c("pi1") == c("type_of.i")) & (c("type_of.next") == c("text"))) | ((c("p1") == ">") & (c("type_of.next") == "<") & (c("angle") == 0))
     variable = word & ~c("type_head") & (c("type_of.i") >= c("statement.i")) & (first | ((c("p1") == ",") & (c("around.text") == "{") & (c("type_of.next") != ".") & (c("angle") == 0))) & c("n1").isin("=", ";", ",", ":", "")
-    return rows.withColumns({"method": _any(method), "first_variable": _any(first), "variable": _any(variable & c("scope").isNotNull() & ~(in_type & ~c("n1").isin("=", ";", ",")))})
+    t.put({"method": any_of(method), "first_variable": any_of(first), "variable": any_of(variable & c("scope").isNotNull() & ~(in_type & ~c("n1").isin("=", ";", ",")))})
 
 
-def _owned(files: DataFrame) -> DataFrame:
-    rows = _marked(token_table(files, scripts=False))
-    rows = with_innermost(rows, c("declares").isNotNull(), c("block.close"), F.struct("i", c("declares").alias("kind"), c("n1").alias("name")), "owner")
-    rows = rows.withColumn("method", c("method") & (c("text") != F.coalesce("owner.name", F.lit(""))))
-    method_end = F.when(c("signature.text") == "{", c("signature.close")).otherwise(c("signature.i"))
-    rows = rows.withColumns({"method_end": method_end, "method_name": F.concat_ws(".", "owner.name", "text")})
-    rows = with_innermost(rows, c("method"), c("method_end"), c("method_name"), "in_method")
-    return with_innermost(rows, c("declares") == "class", c("block.close"), c("i"), "own_class")
+def _owned(t: Tokens) -> None:
+    c = t.col
+    t.put({"owner": t.innermost(c("declares").isNotNull(), c("block.close"), t.struct(i=c("i"), kind=c("declares"), name=c("n1")))})
+    t.put({"method": any_of(c("method") & (c("text") != coalesce(c("owner.name"), "")))})
+    t.put({"method_end": when(c("signature.text") == "{", c("signature.close")).otherwise(c("signature.i")), "method_name": when(c("owner.name").isNull(), c("text")).otherwise(joined(c("owner.name"), c("text"), "."))})
+    t.put({"in_method": t.innermost(c("method"), c("method_end"), c("method_name")), "own_class": t.innermost(c("declares") == "class", c("block.close"), c("i"))})
 
 
-def _records(rows: DataFrame) -> list[Column]:
-    named = F.when(c("declares").isNotNull(), F.struct(c("n1").alias("name"), F.when((c("declares") == "class") & (c("abstract_at") >= c("statement.i")), "abstract class").otherwise(c("declares")).alias("kind"), c("block.line").alias("end_line"), F.lit(-1).alias("paren")))
-    named = named.when(c("method"), F.struct(c("method_name").alias("name"), F.lit("method").alias("kind"), F.coalesce(F.when(c("signature.text") == "{", c("signature.end_line")), c("signature.line")).alias("end_line"), c("ni1").alias("paren")))
+def _found(t: Tokens) -> list[Record]:
+    _marked(t)
+    _owned(t)
+    c = t.col
+    kind = when((c("declares") == "class") & (c("abstract_at") >= c("statement.i")), "abstract class").otherwise(c("declares"))
+    closed = when(c("signature.text") == "{", c("signature.end_line")).value
+    type_, method = c("declares").isNotNull(), c("method") & c("declares").isNull()
     parameter = (c("kind") == "w") & (c("around.text") == "(") & c("n1").isin("", ",") & ((c("pk1") == "w") | c("p1").isin(">", "]", "...")) & (c("angle") == 0)
     level = (c("angle") == c("declared.angle")) & (c("declared.i") > c("brace_at")) & (c("kind") == "w")
     base = level & ((c("p1") == "extends") | ((c("clause") == "implements") & c("p1").isin("implements", ","))) & (c("n1") != ".") & ~c("text").isin("extends", "implements")
     extended = base & (c("p1") == "extends") & (c("n1") != "<") & (c("declared.kind") == "class")
     implemented = base & (c("clause") == "implements") & c("declared.kind").isin("class", "enum", "record")
-    field = c("variable") & c("first_variable") & c("inside").isin("class", "enum", "record") & c("type_of.next").isin("<", c("text"))
+    field = c("variable") & c("first_variable") & c("inside").isin("class", "enum", "record") & ((c("type_of.next") == "<") | (c("type_of.next") == c("text")))
     called = (c("kind") == "w") & (c("n1") == ".") & (c("nk1") == "p") & (c("n3") == "(") & ~c("p1").isin(".", "::", "new", "@") & ~c("text").isin("this", "super")
     made = (c("text") == "new") & (c("nk1") == "w") & c("n2").isin("(", "<")
-    dependency = lambda name: ~name.isin(*NO_DEPENDENCY)
-    return [
-        record(named.isNotNull(), "component", named["name"], kind=named["kind"], start_line=c("statement.line"), end_line=named["end_line"], paren=named["paren"], first_at=c("i")),
-        record(parameter, "parameter", c("text"), paren=c("up")), record(base, "base", c("text"), paren=c("declared.i")), record(c("declares").isNotNull(), "name", c("n1")),
-        record((extended | implemented) & dependency(c("text")), "base edge", c("text"), order=F.lit(0), line=c("declared.line")),
-        record(field & c("owner").isNotNull() & dependency(c("type_of.text")), "field", c("type_of.text"), order=F.lit(1), line=c("statement.line")),
-        record(made & c("owner").isNotNull() & dependency(c("n1")), "new", c("n1"), order=F.lit(2), line=c("line")),
-        record(called & c("owner").isNotNull(), "call", c("text"), order=F.lit(3), line=c("line")),
-        record(c("variable"), "variable", c("text"), kind=c("type_of.text"), paren=c("scope"), own=c("inside") == "class", first_at=F.when(c("type_of.next").isin("<", c("text")) | (c("p1") == ","), c("i"))),
+    owned, dependency = c("owner").isNotNull(), lambda name: ~name.isin(*NO_DEPENDENCY)
+    known = when((c("type_of.next") == "<") | (c("type_of.next") == c("text")) | (c("p1") == ","), c("i"))
+    out = [
+        record(type_, "component", c("n1"), kind=kind, start_line=c("statement.line"), end_line=c("block.line"), paren=-1, first_at=c("i")),
+        record(method, "component", c("method_name"), kind="method", start_line=c("statement.line"), end_line=coalesce(closed, c("signature.line")), paren=c("ni1"), first_at=c("i")),
+        record(parameter, "parameter", c("text"), paren=c("up")), record(base, "base", c("text"), paren=c("declared.i")), record(type_, "name", c("n1")),
+        record(any_of(extended, implemented) & dependency(c("text")), "base edge", c("text"), order=0, line=c("declared.line"), owner=c("declared.name")),
+        record(field & owned & dependency(c("type_of.text")), "field", c("type_of.text"), order=1, line=c("statement.line")),
+        record(made & owned & dependency(c("n1")), "new", c("n1"), order=2, line=c("line")),
+        record(called & owned, "call", c("text"), order=3, line=c("line")),
+        record(c("variable"), "variable", c("text"), kind=c("type_of.text"), paren=c("scope"), own=c("inside") == "class", first_at=known),
     ]
+    return [(held, {"owner": c("owner.name"), "in_method": c("in_method"), "own_class": c("own_class")} | fields) for held, fields in out]
 
 
 def _call_types(spread: DataFrame) -> DataFrame:
@@ -102,21 +111,18 @@ def _call_types(spread: DataFrame) -> DataFrame:
 
 def analyzed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(components, edges) of ``files`` (file_ord, path, content). What tokens contribute is written once."""
-    rows = _owned(files)
-    owner = F.when(c("what") == "base edge", c("head.name")).otherwise(c("owner.name")).alias("owner")
-    rows = rows.withColumn("head", c("declared")).select("file_ord", "i", "owner", "head", "in_method", "own_class", F.inline(F.array_compact(F.array(*_records(rows)))))
-    spread = saved(rows.select("file_ord", "i", owner, "in_method", "own_class", "what", "order", "key", "line", "own", "kind", "start_line", "end_line", "paren", "first_at").join(modules(files), "file_ord"))
+    spread = with_module(saved(records(files, False, _found).drop("top")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"])
     lists = lambda what, name: spread.filter(c("what") == what).groupBy("file_ord", "paren").agg(listed.alias(name))
     components = spread.filter("what = 'component'").join(lists("parameter", "parameters"), ["file_ord", "paren"], "left").join(lists("base", "base_classes").withColumnRenamed("paren", "i"), ["file_ord", "i"], "left")
     components = components.select(
         "file_ord", (c("i") * 8).cast("long").alias("emit_ord"), F.concat_ws(".", "module", "key").alias("id"), c("key").alias("name"), c("kind").alias("component_type"), c("path").alias("file_path"),
-        "start_line", "end_line", F.when(c("kind") == "method", F.coalesce("parameters", F.array().cast("array<string>"))).alias("parameters"), "base_classes",
+        "start_line", "end_line", "source_code", F.when(c("kind") == "method", F.coalesce("parameters", F.array().cast("array<string>"))).alias("parameters"), "base_classes",
     )
     edges = spread.filter(c("what").isin("base edge", "field", "new")).unionByName(_call_types(spread))
     caller = F.when(c("what") == "call", F.coalesce("in_method", "owner")).otherwise(c("owner"))
     edges = edges.select(
-        "file_ord", (c("i") * 8 + c("order")).cast("long").alias("emit_ord"), F.concat_ws(".", "module", caller).alias("caller"), F.when(c("what") == "base edge", F.concat_ws(".", "module", "key")).otherwise(c("key")).alias("callee"),
+        "file_ord", c("path").alias("file_path"), (c("i") * 8 + c("order")).cast("long").alias("emit_ord"), F.concat_ws(".", "module", caller).alias("caller"), F.when(c("what") == "base edge", F.concat_ws(".", "module", "key")).otherwise(c("key")).alias("callee"),
         c("line").alias("call_line"), F.lit(False).alias("is_resolved"),
     )
-    return components, edges.groupBy("file_ord", "caller", "callee", "call_line").agg(F.min("emit_ord").alias("emit_ord"), F.max("is_resolved").alias("is_resolved"))
+    return components, edges.groupBy("file_ord", "file_path", "caller", "callee", "call_line").agg(F.min("emit_ord").alias("emit_ord"), F.max("is_resolved").alias("is_resolved"))

@@ -1,4 +1,4 @@
-"""Components and edges of TypeScript and JavaScript, by rules over sibling tokens (:mod:`token_table`).
+"""Components and edges of TypeScript and JavaScript, by rules over sibling tokens (:mod:`token_arrays`).
 
 Each rule looks at a fixed number of siblings, or at the last or next one of a kind. Names are resolved within a file by windows
 over (file, name): of candidates with one name the last counts, so a variable hides a function of its name.
@@ -6,12 +6,13 @@ over (file, name): of candidates with one name the last counts, so a variable hi
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.operators.extract.token_table import back, first_after, first_after_at_level, last_before, last_so_far, token_table, with_enclosing, with_innermost, with_neighbours
+from repolith.operators.extract.token_arrays import Col, Record, Struct, Tokens, When, any_of, coalesce, lower, record, records, when
 from repolith.operators.graph import saved
 
 #: Words that no call, method or type starts with.
@@ -33,215 +34,229 @@ NO_COMPONENT = ("constructor", "__proto__", "prototype")
 c = F.col
 
 
-def _any(*conditions: Column) -> Column:
-    return F.coalesce(reduce(Column.__or__, conditions), F.lit(False))
-
-
-def _marked(tokens: DataFrame, typed: bool) -> DataFrame:
-    """Tokens with what they declare and open: flags, and for braces ``opens`` (body, class, interface, enum, type or block)."""
+def _marked(t: Tokens, typed: bool) -> None:
+    """What tokens declare and open: flags, and for braces ``opens`` (body, class, interface, enum, type or block)."""
+    c = t.col
     # Comments that name types are siblings of nothing.
-    rows = tokens.withColumns({"up": F.when(c("kind") == "d", -2).otherwise(c("up")), "next_line": F.lead("line").over(Window.partitionBy("file_ord").orderBy("i"))})
-    rows = with_neighbours(rows, 4, 4).withColumn("last_line", F.coalesce("around.last", F.max("line").over(Window.partitionBy("file_ord"))))
+    t.put({"up": when(c("kind") == "d", -2).otherwise(c("up")), "next_line": t.following("line")})
+    t.neighbours(4, 4)
+    t.put({"last_line": coalesce(c("around.last"), t.last_of_file("line"))})
     word = c("kind") == "w"
-    free = word & ~F.coalesce(c("p1").isin(".", "?."), F.lit(False))
-    context = F.when(c("p1").isin("async", "abstract"), c("p2")).otherwise(c("p1"))
+    free = word & ~c("p1").isin(".", "?.")
+    context = when(c("p1").isin("async", "abstract"), c("p2")).otherwise(c("p1"))
     expression = context.isin(*OPERATORS) | ((context == "") & c("around.text").isin("(", "["))
-    flags = {
-        "breaks": _any(c("text") == ";", (c("line") > c("pl1")) & ~c("p1").isin(*JOINS) & ~c("text").isin(*GOES_ON)),
-        "function": _any(free & (c("text") == "function") & ~c("n1").isin(":", ",", "=")),
-        "expression": _any(expression),
-        "class": _any(free & (c("text") == "class") & (c("nk1") == "w") & ~c("n1").isin("extends", "implements")),
-        "nameless": _any(free & (c("text") == "class") & c("n1").isin("{", "extends", "implements")),
-        "interface": _any(free & (c("text") == "interface") & (c("nk1") == "w") & c("n2").isin("{", "extends", "<")) if typed else F.lit(False),
-        "enum": _any(free & (c("text") == "enum") & (c("nk1") == "w") & (c("n2") == "{")) if typed else F.lit(False),
-        "alias": _any(free & (c("text") == "type") & (c("nk1") == "w") & c("n2").isin("=", "<")) if typed else F.lit(False),
-        "declares": _any(free & c("text").isin("const", "let", "var") & (c("n1") != "enum")),
-    }
-    rows = rows.withColumns(flags)
-    at = lambda condition: F.coalesce(last_before(condition, c("i")), F.lit(-1))
-    rows = rows.withColumns({
-        "brace_at": at(c("text").isin("{", ";")), "class_at": at(c("class") | c("nameless")), "class_angle": F.coalesce(last_before(c("class") | c("nameless"), c("angle")), F.lit(0)), "interface_at": at(c("interface")), "enum_at": at(c("enum")), "alias_at": at(c("alias")),
-        "returns_at": at((c("text") == ")") & (c("n1") == ":")), "broken_at": F.coalesce(last_so_far(c("breaks"), c("i")), F.lit(-1)), "declares_at": at(c("declares")),
+    t.put({
+        "breaks": any_of(c("text") == ";", (c("line") > c("pl1")) & ~c("p1").isin(*JOINS) & ~c("text").isin(*GOES_ON)),
+        "function": any_of(free & (c("text") == "function") & ~c("n1").isin(":", ",", "=")),
+        "expression": any_of(expression),
+        "class": any_of(free & (c("text") == "class") & (c("nk1") == "w") & ~c("n1").isin("extends", "implements")),
+        "nameless": any_of(free & (c("text") == "class") & c("n1").isin("{", "extends", "implements")),
+        "interface": any_of(free & (c("text") == "interface") & (c("nk1") == "w") & c("n2").isin("{", "extends", "<")) if typed else False,
+        "enum": any_of(free & (c("text") == "enum") & (c("nk1") == "w") & (c("n2") == "{")) if typed else False,
+        "alias": any_of(free & (c("text") == "type") & (c("nk1") == "w") & c("n2").isin("=", "<")) if typed else False,
+        "declares": any_of(free & c("text").isin("const", "let", "var") & (c("n1") != "enum")),
     })
-    body = (c("p1") == "=>") | ((c("p1") == ")") & ~F.coalesce(c("p3").isin(*CONTROL), F.lit(False))) | ((c("returns_at") > c("brace_at")) & ~c("p1").isin(":", "|", "&", "<", ","))
-    opens = F.when(c("text") != "{", None)
+    at = lambda condition: coalesce(t.last_before(condition, c("i")), -1)
+    t.put({
+        "brace_at": at(c("text").isin("{", ";")), "class_at": at(c("class") | c("nameless")), "class_angle": coalesce(t.last_before(c("class") | c("nameless"), c("angle")), 0), "interface_at": at(c("interface")), "enum_at": at(c("enum")), "alias_at": at(c("alias")),
+        "returns_at": at((c("text") == ")") & (c("n1") == ":")), "broken_at": coalesce(t.last_so_far(c("breaks"), c("i")), -1), "declares_at": at(c("declares")),
+    })
+    body = (c("p1") == "=>") | ((c("p1") == ")") & ~c("p3").isin(*CONTROL)) | ((c("returns_at") > c("brace_at")) & ~c("p1").isin(":", "|", "&", "<", ","))
+    opens = when(c("text") != "{", None)
     for kind in ("class", "interface", "enum"):
         opens = opens.when(c(f"{kind}_at") > c("brace_at"), kind)
-    opens = opens.when(_any(body), "body").when((c("alias_at") > c("brace_at")) & c("p1").isin("=", "&", "|"), "type").otherwise("block")
-    rows = rows.withColumn("opens", F.when(c("kind") == "o", opens))
+    opens = opens.when(any_of(body), "body").when((c("alias_at") > c("brace_at")) & c("p1").isin("=", "&", "|"), "type").otherwise("block")
+    t.put({"opens": when(c("kind") == "o", opens)})
     declared = word & (c("p1").isin("const", "let", "var") | ((c("p1") == ",") & (c("declares_at") >= c("broken_at")) & (c("declares_at") >= 0) & (c("angle") >= 0)))
-    rows = with_enclosing(rows, c("opens"), "inside").withColumns({
-        "declarator": _any(declared & ~c("text").isin(*WORDS, "{", "[")),
-        "method": _any(word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == "{") & ~c("p1").isin("function", ".", "?.", "new", "*", "=>") & ~c("text").isin(*WORDS))
-        | _any(word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == "{") & (c("p1") == "*") & ~c("p2").isin("function"))
-        | _any(word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == ":") & (c("inside") == "class") & ~c("p1").isin(".", "?.") & (first_after(c("text").isin("{", ";"), c("text")) == "{")),
+    t.put({"inside": t.enclosing(c("opens"))})
+    t.put({
+        "declarator": any_of(declared & ~c("text").isin(*WORDS, "{", "[")),
+        "method": any_of(
+            word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == "{") & ~c("p1").isin("function", ".", "?.", "new", "*", "=>") & ~c("text").isin(*WORDS),
+            word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == "{") & (c("p1") == "*") & ~c("p2").isin("function"),
+            word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == ":") & (c("inside") == "class") & ~c("p1").isin(".", "?.") & (t.first_after(c("text").isin("{", ";"), c("text")) == "{"),
+        ),
     })
-    change = lambda kind: F.when(c("opens") == kind, 1).when((c("kind") == "c") & (back("opens") == kind), -1).otherwise(0)
-    before = Window.partitionBy("file_ord").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({"bodies": change("body"), "classes": change("class")}).withColumns({"in_body": F.coalesce(F.sum("bodies").over(before), F.lit(0)) > 0, "in_class": F.coalesce(F.sum("classes").over(before), F.lit(0)) > 0})
+    change = lambda kind: when(c("opens") == kind, 1).when((c("kind") == "c") & (t.back("opens") == kind), -1).otherwise(0)
+    t.put({"in_body": t.open_before(change("body")), "in_class": t.open_before(change("class"))})
 
 
-def _candidates(rows: DataFrame, typed: bool) -> DataFrame:
+def _candidates(t: Tokens, typed: bool) -> None:
     """``found``: what a token declares (name, kind, start, start_line, end, end_line, paren); null for most."""
-    block = first_after(c("text") == "{", F.struct("close", c("nl1").alias("line")))
-    block_or_end = first_after(c("text").isin("{", ";"), F.struct("text", "close", c("nl1").alias("line")))
-    stop = first_after((c("text") == ",") | c("breaks"), F.struct(c("pi1").alias("i"), c("pl1").alias("line")))
-    rows = rows.withColumns({"block": block, "signature": block_or_end, "stop": stop})
-    inner_end = F.coalesce(c("around.close") - 1, F.max("i").over(Window.partitionBy("file_ord")))
+    c = t.col
+    t.put({
+        "block": t.first_after(c("text") == "{", t.struct(close=c("close"), line=c("nl1"))), "signature": t.first_after(c("text").isin("{", ";"), t.struct(text=c("text"), close=c("close"), line=c("nl1"))),
+        "stop": t.first_after((c("text") == ",") | c("breaks"), t.struct(i=c("pi1"), line=c("pl1"))),
+    })
+    inner_end = coalesce(c("around.close") - 1, t.last_of_file("i"))
     # An arrow's parameters: in parentheses, one name, or parentheses before a result type.
-    typed_result = last_before((c("text") == ")") & (c("n1") == ":"), F.struct(c("pi1").alias("paren"), F.when(c("p2") == "async", c("p3")).otherwise(c("p2")).alias("before"), "line"))
-    arrow = F.when(c("text") != "=>", None).when(c("p1") == ")", F.struct(c("pi2").alias("paren"), F.when(c("p3") == "async", c("p4")).otherwise(c("p3")).alias("before"), c("pl2").alias("line")))
-    arrow = arrow.when((c("pk1") == "w") & c("p2").isin("=", "async", "(", ",", "=>"), F.struct(F.lit(None).cast("int").alias("paren"), F.when(c("p2") == "async", c("p3")).otherwise(c("p2")).alias("before"), c("pl1").alias("line"))).otherwise(typed_result)
-    rows = rows.withColumns({"arrow": arrow, "owner_name": last_before(c("declarator"), F.struct("text", "i", "line"))})
-    name_at = F.when(c("n1") == "*", 2).otherwise(1)
-    none = F.lit(None)
-    make = lambda name, kind, start_line, end, end_line, paren, start=c("i"): F.struct(
-        name.alias("name"), F.lit(kind).alias("kind"), start.cast("int").alias("start"), start_line.alias("start_line"), end.cast("int").alias("end"), end_line.alias("end_line"), paren.cast("int").alias("paren")
-    )
-    own_line = F.when(c("p1").isin("async", "abstract"), c("pl1")).otherwise(c("line"))
-    function_name = F.when(name_at == 2, c("n2")).otherwise(c("n1"))
-    paren = first_after(c("text") == "(", c("i"))
+    before = lambda k: when(c(f"p{k}") == "async", c(f"p{k + 1}")).otherwise(c(f"p{k}"))
+    typed_result = t.last_before((c("text") == ")") & (c("n1") == ":"), t.struct(paren=c("pi1"), before=before(2), line=c("line")))
+    arrow = when(c("text") != "=>", None).when(c("p1") == ")", t.struct(paren=c("pi2"), before=before(3), line=c("pl2")))
+    arrow = arrow.when((c("pk1") == "w") & c("p2").isin("=", "async", "(", ",", "=>"), t.struct(paren=when(c("text").isNull(), c("i")).value, before=before(2), line=c("pl1"))).otherwise(typed_result)
+    t.put({"arrow": arrow, "owner_name": t.last_before(c("declarator"), t.struct(text=c("text"), i=c("i"), line=c("line")))})
+    no_place = when(c("text").isNull(), c("i")).value
+
+    def make(name, kind, start_line, end, end_line, paren=no_place, start=c("i")) -> Struct:
+        return t.struct(name=name, kind=t.every(kind), start=start, start_line=start_line, end=end, end_line=end_line, paren=paren)
+
+    own_line = when(c("p1").isin("async", "abstract"), c("pl1")).otherwise(c("line"))
+    function_name = when(c("n1") == "*", c("n2")).otherwise(c("n1"))
+    paren = t.first_after(c("text") == "(", c("i"))
     by_arrow = (c("text") == "=>") & (c("arrow.before") == "=") & (c("owner_name.i") > c("broken_at") - 1) & (c("n1") != "")
-    arrow_end, arrow_line = F.when(c("n1") == "{", c("nc1")).otherwise(F.coalesce(c("stop.i"), inner_end)), F.when(c("n1") == "{", c("nl2")).otherwise(F.coalesce(c("stop.line"), c("last_line")))
-    found = F.when(c("function") & ~c("expression") & (function_name != "(") & (c("signature.text") == "{"), make(function_name, "function", own_line, c("signature.close"), c("signature.line"), paren))
-    found = found.when(c("class") & ~c("expression"), make(c("n1"), "class", own_line, c("block.close"), c("block.line"), none))
+    arrow_end, arrow_line = when(c("n1") == "{", c("nc1")).otherwise(coalesce(c("stop.i"), inner_end)), when(c("n1") == "{", c("nl2")).otherwise(coalesce(c("stop.line"), c("last_line")))
+    found = when(c("function") & ~c("expression") & (function_name != "(") & (c("signature.text") == "{"), make(function_name, "function", own_line, c("signature.close"), c("signature.line"), paren))
+    found = found.when(c("class") & ~c("expression"), make(c("n1"), "class", own_line, c("block.close"), c("block.line")))
     if typed:
-        found = found.when(c("interface"), make(c("n1"), "interface", c("line"), c("block.close"), c("block.line"), none)).when(c("enum"), make(c("n1"), "enum", c("line"), c("block.close"), c("block.line"), none))
-        statement_end = first_after(c("breaks"), F.struct(F.when(c("text") == ";", c("i")).otherwise(c("pi1")).alias("i"), F.when(c("text") == ";", c("line")).otherwise(c("pl1")).alias("line")))
-        found = found.when(c("alias"), make(c("n1"), "type", c("line"), F.coalesce(statement_end["i"], inner_end), F.coalesce(statement_end["line"], c("last_line")), none))
+        found = found.when(c("interface"), make(c("n1"), "interface", c("line"), c("block.close"), c("block.line"))).when(c("enum"), make(c("n1"), "enum", c("line"), c("block.close"), c("block.line")))
+        ended = c("text") == ";"
+        statement_end = t.first_after(c("breaks"), t.struct(i=when(ended, c("i")).otherwise(c("pi1")), line=when(ended, c("line")).otherwise(c("pl1"))))
+        found = found.when(c("alias"), make(c("n1"), "type", c("line"), coalesce(statement_end["i"], inner_end), coalesce(statement_end["line"], c("last_line"))))
         found = found.when(c("method") & ~c("text").startswith("#"), make(c("text"), "function", c("line"), c("block.close"), c("block.line"), c("ni1")))
-        found = found.when((c("text") == "export") & (c("n1") == "default") & (c("n3") == "(") & ~c("n2").isin("function", "async", "class"), make(c("n2"), "function", c("line"), c("nc3"), c("nl4"), none))
-        found = found.when(c("declarator"), make(c("text"), "variable", c("line"), c("i"), c("line"), none))
-    found = found.when(_any(by_arrow), make(c("owner_name.text"), "function", F.coalesce(c("arrow.line"), c("line")), arrow_end, arrow_line, c("arrow.paren"), c("owner_name.i")))
+        found = found.when((c("text") == "export") & (c("n1") == "default") & (c("n3") == "(") & ~c("n2").isin("function", "async", "class"), make(c("n2"), "function", c("line"), c("nc3"), c("nl4")))
+        found = found.when(c("declarator"), make(c("text"), "variable", c("line"), c("i"), c("line")))
+    found = found.when(any_of(by_arrow), make(c("owner_name.text"), "function", coalesce(c("arrow.line"), c("line")), arrow_end, arrow_line, c("arrow.paren"), c("owner_name.i")))
     if not typed:
-        by_function = c("function") & (F.when(c("p1") == "async", c("p2")).otherwise(c("p1")) == "=") & c("owner_name.text").isNotNull() & (c("signature.text") == "{")
-        found = found.when(_any(by_function), make(c("owner_name.text"), "function", own_line, c("signature.close"), c("signature.line"), paren, c("owner_name.i")))
-    return rows.withColumn("found", found).withColumn("statement", last_so_far(c("declares"), F.struct("text", "i", "p1")))
+        by_function = c("function") & (when(c("p1") == "async", c("p2")).otherwise(c("p1")) == "=") & c("owner_name.text").isNotNull() & (c("signature.text") == "{")
+        found = found.when(any_of(by_function), make(c("owner_name.text"), "function", own_line, c("signature.close"), c("signature.line"), paren, c("owner_name.i")))
+    t.put({"found": found, "statement": t.last_so_far(c("declares"), t.struct(text=c("text"), i=c("i"), p1=c("p1")))})
 
 
-def _chained(rows: DataFrame) -> DataFrame:
-    """``chain`` (start, line, what stands before) of the dotted names that a token belongs to, and ``spelled``, its text up to here; of
-    chains of more than 32 names the last ones."""
-    starts = (c("kind") == "w") & ~F.coalesce(c("p1").isin(".", "?."), F.lit(False))
-    rows = rows.withColumn("chain", last_so_far(starts, F.struct("i", "line", c("p1").alias("before"), c("text").alias("head"))))
-    recent = Window.partitionBy("file_ord", "up", "chain.i").orderBy("i").rowsBetween(-63, Window.currentRow)
-    return rows.withColumn("spelled", F.array_join(F.collect_list("text").over(recent), ""))
+def _chained(t: Tokens) -> None:
+    """``chain`` (start, line, what stands before) of the dotted names that a token belongs to."""
+    c = t.col
+    starts = (c("kind") == "w") & ~c("p1").isin(".", "?.")
+    t.put({"chain": t.last_so_far(starts, t.struct(i=c("i"), line=c("line"), before=c("p1"), head=c("text")))})
 
 
-def _annotated(rows: DataFrame) -> DataFrame:
+def _annotated(t: Tokens) -> None:
     """``type_line``: the line of the type annotation that a token is part of, null in code."""
-    function_like = (c("n1") == ")") & (c("n2").isin("{", "=>") | ((c("n2") == ":") & (c("p1") != "?"))) & ~F.coalesce(c("p1").isin(*CONTROL), F.lit(False))
-    rows = with_enclosing(rows, _any((c("text") == "(") & (function_like | (c("inside").isin("class", "interface", "type") & (c("pk1") == "w") & (c("n2") == ":")))), "in_parameters")
-    named = _any(c("pk1").isin("w", "s"), c("p1").isin("?", "!", "]", "}"))
-    returns = (c("p1") == ")") & ~F.coalesce(c("p3").isin("case", "?"), F.lit(False)) & F.coalesce(first_after(c("text").isin("{", "=>", ";", "?"), c("text")).isin("{", "=>", ";"), c("inside").isin("class", "interface", "type"), F.lit(False))
+    c = t.col
+    holder = coalesce(c("inside"), "").isin("class", "interface", "type")
+    function_like = (c("n1") == ")") & (c("n2").isin("{", "=>") | ((c("n2") == ":") & (c("p1") != "?"))) & ~c("p1").isin(*CONTROL)
+    t.put({"in_parameters": t.enclosing(any_of((c("text") == "(") & (function_like | (holder & (c("pk1") == "w") & (c("n2") == ":")))))})
+    named = any_of(c("pk1").isin("w", "s"), c("p1").isin("?", "!", "]", "}"))
+    result_end = t.first_after(c("text").isin("{", "=>", ";", "?"), c("text")).isin("{", "=>", ";")
+    returns = (c("p1") == ")") & ~c("p3").isin("case", "?") & when(result_end.isNotNull(), result_end).otherwise(holder)
     mark = (c("text") == ":") & (
-        (c("inside").isin("class", "interface", "type") & (named | (c("p1") == ")"))) | (c("in_parameters") & named) | back("declarator") | (returns & (c("around.text").isNull() | (c("around.text") == "{")) & ~F.coalesce(c("inside") == "block", F.lit(False)))
+        (holder & (named | (c("p1") == ")"))) | (c("in_parameters") & named) | t.back("declarator") | (returns & (c("around.text").isNull() | (c("around.text") == "{")) & (coalesce(c("inside"), "") != "block"))
     )
-    plain = first_after_at_level(c("text").isin(",", ";", "=") | c("breaks"), c("i"))
-    after_result = first_after_at_level(c("text").isin(";", "=>") | ((c("text") == "{") & ~c("p1").isin(":", "|", "&", "<", ",")), c("i"))
-    rows = rows.withColumns({"annotates": _any(mark), "type_end": F.coalesce(F.when(c("p1") == ")", F.least(F.coalesce(after_result, plain), F.coalesce(plain, after_result))).otherwise(plain), c("around.close"), F.max("i").over(Window.partitionBy("file_ord")) + 1) - 1})
-    return with_innermost(rows, c("annotates"), c("type_end"), c("line"), "type_line")
+    plain = t.first_after_at_level(c("text").isin(",", ";", "=") | c("breaks"), c("i"))
+    after_result = t.first_after_at_level(c("text").isin(";", "=>") | ((c("text") == "{") & ~c("p1").isin(":", "|", "&", "<", ",")), c("i"))
+    nearer = when(after_result < plain, after_result).otherwise(coalesce(plain, after_result))
+    end = coalesce(when(c("p1") == ")", nearer).otherwise(plain), c("around.close"), t.last_of_file("i") + 1) - 1
+    t.put({"type_line": t.innermost(any_of(mark), end, c("line"))})
 
 
-def _rows(files: DataFrame, typed: bool) -> DataFrame:
-    rows = _candidates(_marked(token_table(files, scripts=True), typed), typed)
-    name = Window.partitionBy("file_ord", "found.name").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _owned(t: Tokens, typed: bool) -> None:
+    """``owner``: the name that a token's uses belong to; ``top`` and ``kept``: what counts as a component."""
+    c = t.col
+    found = c("found").isNotNull()
     if typed:
-        component = (c("found.kind") != "variable") & ~F.lower(c("found.name")).isin(*NO_COMPONENT) & ~c("in_body")
+        component = (c("found.kind") != "variable") & ~lower(c("found.name")).isin(*NO_COMPONENT) & ~c("in_body")
         # The last candidate of a name counts; the first one gives its place.
-        rows = rows.withColumns({"last_of": F.max(F.when(c("found").isNotNull(), F.struct("i", component.alias("component")))).over(name), "first_at": F.min(F.when(c("found").isNotNull(), c("i"))).over(name)})
-        rows = rows.withColumns({"top": _any(c("found").isNotNull() & c("last_of.component")), "kept": _any((c("last_of.i") == c("i")) & c("last_of.component"))})
-        opens = c("found").isNotNull() & c("top") & (c("function") | c("class") | c("interface") | c("enum") | c("alias") | (c("text") == "export"))
-        rows = with_innermost(rows, opens, c("found.end"), c("found.name"), "owner1")
-        held = c("declarator") & (c("p1").isin("const", "let", "var")) & c("top") & (c("owner1").isNull() | (c("p2") == "export"))
-        end = F.coalesce(first_after(c("breaks"), F.when(c("text") == ";", c("i")).otherwise(c("pi1"))), c("around.close") - 1, F.max("i").over(Window.partitionBy("file_ord")))
-        rows = with_innermost(rows, held, end, c("text"), "owner2").withColumn("owner", F.coalesce("owner1", "owner2"))
+        first, last = t.same_name(found, c("found.name"))
+        t.put({"first_at": c("i").take(first), "top": any_of(found & component.take(last))})
+        t.put({"kept": c("top") & (c("i").take(last) == c("i"))})
+        opens = c("top") & (c("function") | c("class") | c("interface") | c("enum") | c("alias") | (c("text") == "export"))
+        t.put({"owner1": t.innermost(opens, c("found.end"), c("found.name"))})
+        held = c("declarator") & c("p1").isin("const", "let", "var") & c("top") & (c("owner1").isNull() | (c("p2") == "export"))
+        end = coalesce(t.first_after(c("breaks"), when(c("text") == ";", c("i")).otherwise(c("pi1"))), c("around.close") - 1, t.last_of_file("i"))
+        t.put({"owner": coalesce(c("owner1"), t.innermost(held, end, c("text")))})
     else:
-        valued = c("found").isNotNull() & ((c("text") == "=>") | (c("function") & c("expression")))
-        first = F.coalesce(last_before(valued, c("statement.i")), F.lit(-1)) != c("statement.i")
+        valued = found & ((c("text") == "=>") | (c("function") & c("expression")))
+        first = coalesce(t.last_before(valued, c("statement.i")), -1) != c("statement.i")
         valued_ok = valued & c("statement.text").isin("const", "let") & first
-        kept = c("found").isNotNull() & F.when(c("class"), True).when(valued, valued_ok & ~c("in_class")).otherwise(~c("in_class"))
-        rows = rows.withColumns({"kept": _any(kept), "top": _any(kept), "first_at": c("i")})
-        rows = rows.withColumn("opens_owner", _any(c("found").isNotNull() & F.when(valued, valued_ok).otherwise(True)))
-        rows = with_innermost(rows, c("opens_owner"), c("found.end"), c("found.name"), "owner")
-    return rows
+        kept = any_of(found & when(c("class"), True).when(valued, valued_ok & ~c("in_class")).otherwise(~c("in_class")))
+        t.put({"kept": kept, "top": kept, "first_at": c("i")})
+        t.put({"owner": t.innermost(any_of(found & when(valued, valued_ok).otherwise(True)), c("found.end"), c("found.name"))})
 
 
-def _heritage(rows: DataFrame, typed: bool) -> DataFrame:
+def _heritage(t: Tokens) -> None:
     """``is_base``: names in the heads of classes; of generic ones only the extended class counts where types are known."""
+    c = t.col
     in_head = (c("class_at") >= 0) & (c("class_at") > c("brace_at")) & (c("kind") == "w") & ~c("text").isin("extends", "implements")
     level = c("angle") == c("class_angle")
-    rows = rows.withColumn("clause", last_before(c("text").isin("extends", "implements") & level, F.struct("i", "text", "line")))
+    t.put({"clause": t.last_before(c("text").isin("extends", "implements") & level, t.struct(i=c("i"), text=c("text"), line=c("line")))})
     direct = level & ((c("p1") == "extends") | ((c("clause.text") == "implements") & c("p1").isin("implements", ",")))
-    plain = ~F.coalesce(c("n1").isin(".", "?.", "("), F.lit(False)) & ((c("p1") == "extends") | ~F.coalesce(c("n1") == "<", F.lit(False)))
-    return rows.withColumn("is_base", _any(in_head & (c("clause.i") > c("class_at")) & direct & plain))
-
-
-#: What a token contributes: a component, a name of the file, a method, a parameter of the parenthesis ``paren``, a base of the class at ``paren``, or an edge.
-RECORD = "what string, order int, key string, line int, own boolean, kind string, start_line int, end_line int, paren int, first_at int"
+    plain = ~c("n1").isin(".", "?.", "(") & ((c("p1") == "extends") | (c("n1") != "<"))
+    t.put({"is_base": any_of(in_head & (c("clause.i") > c("class_at")) & direct & plain)})
 
 
-def record(when: Column, what: str, key: Column, **more: Column) -> Column:
-    """A struct of :data:`RECORD`; null where ``when`` doesn't hold."""
-    values = {"what": F.lit(what), "key": key} | more
-    fields = [f.split(" ") for f in RECORD.split(", ")]
-    return F.when(_any(when), F.struct(*[values.get(n, F.lit(None)).cast(k).alias(n) for n, k in fields]))
-
-
-def _records(rows: DataFrame, typed: bool) -> list[Column]:
-    start = c("p1").isin("", ",") | (c("p1").isin(*MODIFIERS) if typed else F.lit(False))
+def _records(t: Tokens, typed: bool) -> list[Record]:
+    c = t.col
+    start = c("p1").isin("", ",", *(MODIFIERS if typed else ()))
     stops = c("n1").isin("", ",", ":", "?", "=") if typed else c("n1").isin("", ",")
     parameter = (c("kind") == "w") & (c("around.text") == "(") & start & stops & ~c("text").isin(*MODIFIERS, "this")
     fields = (c("inside") == "class") & (c("kind") == "w") & (c("n1") == "=") & (c("n2").isin("(", "async") | (c("n3") == "=>"))
     out = [
         record(c("kept"), "component", c("found.name"), kind=c("found.kind"), start_line=c("found.start_line"), end_line=c("found.end_line"), paren=c("found.paren"), first_at=c("first_at")),
-        record(c("found").isNotNull(), "name", c("found.name")), record(c("method") | fields, "method", c("text")), record(parameter, "parameter", c("text"), paren=c("up")), record(c("is_base"), "base", c("text"), paren=c("class_at")),
+        record(c("found").isNotNull(), "name", c("found.name")), record(any_of(c("method"), fields), "method", c("text")), record(parameter, "parameter", c("text"), paren=c("up")), record(c("is_base"), "base", c("text"), paren=c("class_at")),
     ]
     ends = (c("kind") == "w") & ~c("n1").isin(".", "?.") & ~c("text").isin(*WORDS)
     member = ((c("inside") == "class") & c("p1").isin("", ";", "}", "abstract", "static", "async", "get", "set", "declare", *MODIFIERS)) | c("inside").isin("interface", "type")
-    defines = c("method") | F.coalesce(member, F.lit(False)) | c("chain.before").isin("function", "class", "interface", "enum", "type") | ((c("chain.before") == "*") & (c("p2") == "function"))
-    code, property_ = c("type_line").isNull() & ~F.coalesce(defines, F.lit(False)), c("p1").isin(".", "?.")
+    defines = any_of(c("method"), member, c("chain.before").isin("function", "class", "interface", "enum", "type"), (c("chain.before") == "*") & (c("p2") == "function"))
+    code, property_ = c("type_line").isNull() & ~defines, c("p1").isin(".", "?.")
     made, called = code & ends & (c("chain.before") == "new"), code & ends & (c("n1") == "(") & (c("chain.before") != "new")
     at = {"line": c("chain.line")}
     if typed:
+        spelled = t.spelled(any_of(made, called), c("chain.i"))
         type_name = (c("kind") == "w") & c("type_line").isNotNull() & ~c("n1").isin(":", ".") & ~((c("n1") == "?") & (c("n2") == ":")) & ~c("text").isin(*TYPE_WORDS)
         argument = (c("kind") == "w") & c("p1").isin("<", ",") & c("n1").isin(">", ",") & ((c("p1") == "<") | (c("n1") == ">")) & ~c("text").isin(*TYPE_WORDS)
-        return [
-            *out, record(called & (c("chain.head") != "super"), "any", c("spelled"), order=F.lit(0), **at), record(made, "any", c("spelled"), order=F.lit(1), **at), record(code & property_ & (c("kind") == "w"), "any", c("text"), order=F.lit(2), **at),
-            record(type_name, "any", c("text"), order=F.lit(3), line=c("type_line")), record(argument, "known", c("text"), order=F.lit(4), line=c("line")), record(c("is_base"), "known", c("text"), order=F.lit(5), line=c("clause.line")),
+        out += [
+            record(called & (c("chain.head") != "super"), "any", spelled, order=0, **at), record(made, "any", spelled, order=1, **at), record(code & property_ & (c("kind") == "w"), "any", c("text"), order=2, **at),
+            record(type_name, "any", c("text"), order=3, line=c("type_line")), record(argument, "known", c("text"), order=4, line=c("line")), record(c("is_base"), "known", c("text"), order=5, line=c("clause.line")),
         ]
-    return [
-        *out, record(called & ((c("chain.i") == c("i")) | property_), "call", c("text"), order=F.lit(0), own=c("chain.head").isin("this", "super"), **at), record(made, "new", c("text"), order=F.lit(1), **at),
-        record(c("is_base"), "new", c("text"), order=F.lit(5), line=c("class_line")),
-    ]
+    else:
+        out += [
+            record(called & ((c("chain.i") == c("i")) | property_), "call", c("text"), order=0, own=c("chain.head").isin("this", "super"), **at), record(made, "new", c("text"), order=1, **at),
+            record(c("is_base"), "new", c("text"), order=5, line=t.last_before(c("class"), c("line"))),
+        ]
+    out = [(held, {"owner": c("owner"), "top": c("top")} | fields) for held, fields in out]
+    return out if typed else out + _documented(t)
 
 
-def _documented(rows: DataFrame) -> DataFrame:
+def _documented(t: Tokens) -> list[Record]:
     """Edges to the types of doc comments: at the line of the block that holds the comment, and at that of what follows it."""
-    named = rows.withColumn("callee", F.explode(F.when(c("owner").isNotNull(), c("types"))))
-    lines = F.array(record(F.lit(True), "new", c("callee"), order=F.lit(6), line=c("around.line")), record(F.lit(True), "new", c("callee"), order=F.lit(7), line=c("next_line")))
-    return named.select("file_ord", "i", "owner", F.lit(False).alias("top"), F.inline(lines)).filter("line is not null")
+    c = t.col
+    out = []
+    for k in range(max((len(x) for x in t.types if x), default=0)):
+        key = Col(pa.array([x[k] if x and len(x) > k else None for x in t.types], pa.string()))
+        for order, line in ((6, c("around.line")), (7, c("next_line"))):
+            held, fields = record(c("owner").isNotNull() & key.isNotNull() & line.isNotNull(), "new", key, order=order, line=line)
+            out.append((held, {"owner": c("owner"), "top": False} | fields))
+    return out
+
+
+def _found(t: Tokens, typed: bool) -> list[Record]:
+    _marked(t, typed)
+    _candidates(t, typed)
+    _owned(t, typed)
+    _chained(t)
+    if typed:
+        _annotated(t)
+    else:
+        t.put({"type_line": when(t.col("text").isNull(), t.col("i"))})
+    _heritage(t)
+    return _records(t, typed)
 
 
-def modules(files: DataFrame) -> DataFrame:
-    """(file_ord, path, module): paths as dotted ids without their extension."""
+def with_module(rows: DataFrame) -> DataFrame:
+    """``module``: ``path`` as a dotted id without its extension."""
     bare = F.regexp_replace("path", r"\.(tsx?|jsx?|mjs|cjs|java)$", "")
-    return files.select("file_ord", "path", F.regexp_replace(bare, r"[/\\]", ".").alias("module"))
+    return rows.withColumn("module", F.regexp_replace(bare, r"[/\\]", "."))
 
 
 def analyzed(files: DataFrame, typed: bool) -> tuple[DataFrame, DataFrame]:
     """(components, edges) of ``files`` (file_ord, path, content); ``typed``: TypeScript. What tokens contribute is written once."""
-    rows = _chained(_rows(files, typed))
-    rows = _heritage(_annotated(rows) if typed else rows.withColumn("type_line", F.lit(None).cast("int")), typed).withColumn("class_line", last_before(c("class"), c("line")))
-    spread = rows.select("file_ord", "i", "owner", "top", F.inline(F.array_compact(F.array(*_records(rows, typed)))))
-    spread = saved((spread if typed else spread.unionByName(_documented(rows))).join(modules(files), "file_ord"))
+    spread = with_module(saved(records(files, True, partial(_found, typed=typed)).drop("in_method", "own_class")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"])
     lists = lambda what, name: spread.filter(c("what") == what).groupBy("file_ord", "paren").agg(listed.alias(name))
     bases = lists("base", "base_classes").withColumnRenamed("paren", "i")
     components = spread.filter("what = 'component'").join(lists("parameter", "parameters"), ["file_ord", "paren"], "left").join(bases, ["file_ord", "i"], "left")
     components = components.select(
         "file_ord", (c("first_at") * 8).cast("long").alias("emit_ord"), F.concat_ws(".", "module", "key").alias("id"), c("key").alias("name"), c("kind").alias("component_type"), c("path").alias("file_path"),
-        "start_line", "end_line", F.when(c("kind") == "function", F.coalesce("parameters", F.array().cast("array<string>"))).alias("parameters"), "base_classes",
+        "start_line", "end_line", "source_code", F.when(c("kind") == "function", F.coalesce("parameters", F.array().cast("array<string>"))).alias("parameters"), "base_classes",
     )
     return components, _edges(spread.filter("what not in ('component', 'parameter', 'base')"), typed)
 
@@ -258,8 +273,8 @@ def _edges(spread: DataFrame, typed: bool) -> DataFrame:
         of_class = Window.partitionBy("file_ord", "owner", "key").rowsBetween(*whole)
         spread = spread.withColumn("own_method", F.max(c("what") == "method").over(of_class)).filter(~(F.coalesce("own", F.lit(False)) & c("own_method")))
     edge = spread.filter("order is not null and owner is not null").select(
-        "file_ord", (c("i") * 8 + c("order")).cast("long").alias("emit_ord"), F.concat_ws(".", "module", "owner").alias("caller"), F.concat_ws(".", "module", "key").alias("callee"), c("line").alias("call_line"),
+        "file_ord", c("path").alias("file_path"), (c("i") * 8 + c("order")).cast("long").alias("emit_ord"), F.concat_ws(".", "module", "owner").alias("caller"), F.concat_ws(".", "module", "key").alias("callee"), c("line").alias("call_line"),
         (F.lit(not typed) & (c("what") == "call") & c("is_top")).alias("is_resolved"),
     )
     # One edge for each caller, callee and line: the first.
-    return edge.groupBy("file_ord", "caller", "callee", "call_line").agg(F.min("emit_ord").alias("emit_ord"), F.max("is_resolved").alias("is_resolved"))
+    return edge.groupBy("file_ord", "file_path", "caller", "callee", "call_line").agg(F.min("emit_ord").alias("emit_ord"), F.max("is_resolved").alias("is_resolved"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,28 +51,34 @@ def line_range(content: Column, first: Column, last: Column) -> Column:
 _DEFINITION = r"(?U)^\s*(?:def\s+|class\s+|@)"
 
 
-def _breakpoint(lines: Column, current: Column, step: int, most: int | Column, python: Column) -> Column:
-    """The line at which to end a view that ends at ``current``: of the lines up to ``most`` further on (``step`` 1: down, -1: up), the
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in there: nothing shares what lambdas compute."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _breakpoint(lines: Column, n: Column, current: Column, step: int, most: int | Column, python: Column) -> Column:
+    """The line at which to end a view that ends at ``current``, of ``n``: of the lines up to ``most`` further on (``step`` 1: down, -1: up), the
     best one, and of equals the nearest. In Python files the start of a definition counts 3, a blank line before another one
     2, a blank line 1, the first and the last line 3. Down, a view ends before the line, unless it is the text's last or first."""
-    n = F.size(lines)
     if step > 0:
         ahead = F.slice(lines, current, F.least(F.lit(most), n - current) + 1)
     else:
         top = F.greatest(current - most, F.lit(1))
         ahead = F.reverse(F.slice(lines, top, current - top + 1))
 
-    def rated(pair: Column, k: Column) -> Column:
+    def scored(line: Column, following: Column) -> Column:
+        # The one look at a line's text; a definition is looked for only in Python files.
+        blank = F.when(line != "", 0).when(following == "", 2).otherwise(1)
+        return F.when(python & line.rlike(_DEFINITION), 3).otherwise(blank)
+
+    def rated(score: Column, k: Column) -> Column:
         at = current + step * k
-        blank = F.when(pair["line"] != "", 0).when(pair["next"] == "", 2).otherwise(1)
-        score = F.when(python & pair["line"].rlike(_DEFINITION), 3).otherwise(blank)
         border = (score < 3) & ((at == 1) | (at == n))
         end = F.when(border | (k == 0), at).otherwise(at - 1 if step > 0 else at)
         return F.struct(F.when(border, 3).otherwise(score).alias("score"), (-k).alias("nearness"), end.alias("end"))
 
-    pairs = F.zip_with(ahead, F.slice(ahead, F.lit(2), F.size(ahead)), lambda line, following: F.struct(line.alias("line"), following.alias("next")))
-    best = F.array_max(F.transform(pairs, rated))
-    found = F.when(best["score"] > 0, best["end"]).otherwise(current)
+    scores = _held(ahead, lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), scored))
+    found = _held(F.array_max(F.transform(scores, rated)), lambda best: F.when(best["score"] > 0, best["end"]).otherwise(current))
     end = n if step > 0 else F.lit(1)
     return F.when(current == end, current).otherwise(F.greatest(found, current) if step > 0 else F.least(found, current))
 
@@ -79,13 +87,18 @@ def expanded_view(content: Column, first: Column, last: Column, most: Column, py
     """A struct of ``first`` and ``last``: a view of lines (from 1) with up to ``most`` more on either side, so that it begins and ends where
     the text has a break (``_breakpoint``). Null where the view is not within the text."""
     first, last, most = (x.cast("int") for x in (first, last, most))
-    n = F.size(F.split(content, "\n"))
-    good = (first >= 1) & (first <= last) & (last <= n)
-    start, stop, room = F.when(good, first).otherwise(1), F.when(good, last).otherwise(1), F.greatest(most, F.lit(0))
-    # Split once: a lambda over one array that holds the lines.
-    view = lambda lines: F.struct(_breakpoint(lines, start, -1, room, python).alias("first"), _breakpoint(lines, stop, 1, room, python).alias("last"))
-    whole = F.when(most <= 0, F.struct(first.alias("first"), last.alias("last"))).otherwise(F.transform(F.array(F.split(content, "\n")), view)[0])
-    return F.when(good, whole)
+
+    def view(asked: Column) -> Column:
+        lines, n, start, stop, room = (asked[x] for x in ("lines", "n", "first", "last", "most"))
+        good = (start >= 1) & (start <= stop) & (stop <= n)
+        ends = lambda step, at: _breakpoint(lines, n, F.when(good, at).otherwise(1), step, F.greatest(room, F.lit(0)), asked["python"])
+        whole = F.when(room <= 0, F.struct(start.alias("first"), stop.alias("last"))).otherwise(F.struct(ends(-1, start).alias("first"), ends(1, stop).alias("last")))
+        return F.when(good, whole)
+
+    # The text is split once, and what is asked is computed once.
+    split = F.split(content, "\n")
+    asked = lambda lines: F.struct(lines.alias("lines"), F.size(lines).alias("n"), first.alias("first"), last.alias("last"), most.alias("most"), python.alias("python"))
+    return _held(_held(split, asked), view)
 
 
 def occurrences(content: Column, part: Column) -> Column:

@@ -181,6 +181,13 @@ def test_views_end_at_breaks(spark):
     assert got == want | {400: None, 401: None, 402: None, 403: None, 404: (1, 1)}
 
 
+def test_views_look_at_a_line_once(spark):
+    """What the lambdas share is spelled once, as nothing else would compute it once: a line is looked at once in each direction."""
+    table = spark.createDataFrame([("a\n\nb", 1, 2, 3, True)], "t string, a int, z int, most int, py boolean")
+    view = table.select(text.expanded_view(F.col("t"), F.col("a"), F.col("z"), F.col("most"), F.col("py")).alias("view"))
+    assert view._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
+
+
 def test_refused_requests_leave_the_job(spark):
     t = datetime(2024, 1, 1)
     at = lambda minutes: t + timedelta(minutes=minutes)

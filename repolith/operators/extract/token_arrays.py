@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from repolith.operators.extract.token_table import dealt, lexed
+from repolith.operators.extract.token_table import dealt, lexed_columns, lines_of
 
 #: What a token contributes: a component, a name of the file, a method, a parameter of the parenthesis ``paren``, a base of the class at ``paren``, or an edge.
 RECORD = (
@@ -164,14 +164,15 @@ class Tokens:
     """The tokens of files, by file and number. ``file`` counts the files of the batch."""
 
     def __init__(self, contents: list[str], scripts: bool):
-        names = ("i", "text", "kind", "line", "at", "ends", "up", "level", "close", "last", "types")
-        lists = {n: [] for n in names}
+        lists: dict[str, list] = {n: [] for n in ("i", "text", "kind", "line", "up", "close", "last", "types")}
         sizes = []
         for content in contents:
-            tokens = lexed(content, scripts)
-            sizes.append(len(tokens))
+            columns = lexed_columns(content, scripts)
+            columns["line"], columns["last"] = lines_of(content, columns)
+            columns["i"] = range(len(columns["text"]))
+            sizes.append(len(columns["text"]))
             for n, values in lists.items():
-                values += [t[n] for t in tokens]
+                values += columns[n]
         self.types = lists.pop("types")
         self.columns: dict[str, Col | Struct] = {n: Col(pa.array(v, pa.string() if n in ("text", "kind") else pa.int32())) for n, v in lists.items()}
         self.texts = lists["text"]
@@ -198,7 +199,7 @@ class Tokens:
         return pc.fill_null(self.columns[name].array, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def every(self, value: str) -> Col:
-        return Col(pa.array(np.full(self.size, value, object), pa.string()))
+        return Col(pa.repeat(value, self.size))
 
     def struct(self, **fields) -> Struct:
         return Struct(fields | {"_": Col(pa.array(np.ones(self.size, bool)))})

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,70 +31,110 @@ _LEX = re.compile(
     r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))|(?P<string>\"\"\"[\s\S]*?(?:\"\"\"|\Z)|\"(?:\\[\s\S]|[^\"\\\n])*+\"?|'(?:\\[\s\S]|[^'\\\n])*+'?)"
     r"|(?P<word>[^\W\d][\w$]*|[$#][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>=>|->|\?\.|\.\.\.|::|[\s\S])"
 )
-_TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*+(?:`|\$\{|\Z)")
+_TEMPLATE = re.compile(r"(?:\\[\s\S]?|\$(?!\{)|[^`\\$])*+(?:`|\$\{|\Z)")
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*+\]?|[^/\\\[\n])++/?\w*")
 _VALUE_WORDS = frozenset("return typeof case in of delete void throw new else do await yield instanceof".split())
 _OPEN, _CLOSE = "([{", ")]}"
 
 
-def lexed(content: str, scripts: bool) -> list[dict]:
-    """Tokens without comments but for those that name types (``types``, kind d); kinds w (word), n and s (literals, spelled 0 and "), p (sign), o and c
-    (brackets). ``scripts``: templates, whose substitutions are code in braces, and regular expressions. Brackets that don't close
-    end with the text; closing ones without a partner are signs."""
-    out: list[dict] = []
-    stack: list[tuple[int, bool]] = []
-    at, line, last = 0, 1, None
-
-    def put(kind: str, text: str, ends: int, **more) -> dict:
-        token = {"i": len(out), "text": text, "kind": kind, "line": line, "at": at, "ends": ends, "up": stack[-1][0] if stack else -1, "level": len(stack), "close": None, "last": None, "types": None} | more
-        out.append(token)
-        return token
-
-    def template(start: int) -> int:
+def lexed_columns(content: str, scripts: bool) -> dict[str, list]:
+    """Tokens without comments but for those that name types (``types``, kind d), as lists: text, kind, at, ends, up, and for brackets close. Kinds are
+    w (word), n and s (literals, spelled 0 and "), p (sign), o and c (brackets). ``scripts``: templates, whose substitutions are code in
+    braces, and regular expressions. Brackets that don't close end with the text; closing ones without a partner are signs."""
+    texts, kinds, starts, ends, ups, closes, types = [], [], [], [], [], [], {}
+    stack: list[int] = []
+    templates: set[int] = set()
+    at, size, up, value = 0, len(content), -1, False
+    match = _LEX.match
+
+    def put(kind: str, text: str, start: int, end: int) -> None:
+        texts.append(text)
+        kinds.append(kind)
+        starts.append(start)
+        ends.append(end)
+        ups.append(up)
+        closes.append(None)
+
+    def template(start: int, shown: int) -> int:
         """The rest of a template from ``start``; a substitution opens a brace."""
-        nonlocal line, at, last
+        nonlocal up, value
         end = _TEMPLATE.match(content, start).end()
         opens = content.startswith("${", end - 2) and end - 2 >= start
-        last = put("s", "`", end - 2 * opens)
-        line += content.count("\n", at, end)
+        put("s", "`", shown, end - 2 * opens)
+        value = not opens
         if opens:
-            at = end - 2
-            put("o", "{", end)
-            stack.append((len(out) - 1, True))
-            last = None
+            put("o", "{", end - 2, end)
+            up = len(texts) - 1
+            stack.append(up)
+            templates.add(up)
         return end
 
-    while at < len(content):
-        if scripts and content[at] == "/" and content[at + 1 : at + 2] not in ("/", "*") and (last is None or last["kind"] in "po" or last["text"] in _VALUE_WORDS):
-            end = m.end() if (m := _REGEX.match(content, at)) else at + 1
-            last = put("s", '"', end) if m else put("p", "/", end)
-            at = end
-            continue
-        if scripts and content[at] == "`":
-            at = template(at + 1)
-            continue
-        m = _LEX.match(content, at)
-        end, kind, text = m.end(), m.lastgroup, m[0]
-        if kind == "comment":
-            if scripts and (named := doc_types(text)):
-                put("d", "", end, types=named)
-        elif kind == "sign" and text in _OPEN:
-            last = put("o", text, end)
-            stack.append((last["i"], False))
-        elif kind == "sign" and text in _CLOSE and stack:
-            opener, in_template = stack.pop()
-            out[opener] |= {"close": len(out), "last": out[-1]["line"]}
-            last = put("c", text, end)
-            if in_template:
-                at = end
-                at = template(at)
+    while at < size:
+        if scripts:
+            # ``value``: what stands before ends a value, so that a slash divides.
+            first = content[at]
+            if first == "/" and not value and content[at + 1 : at + 2] not in ("/", "*"):
+                m = _REGEX.match(content, at)
+                end = m.end() if m else at + 1
+                put("s" if m else "p", '"' if m else "/", at, end)
+                at, value = end, bool(m)
+                continue
+            if first == "`":
+                at = template(at + 1, at)
                 continue
+        m = match(content, at)
+        end, kind = m.end(), m.lastgroup
+        if kind == "word":
+            text = m[0]
+            put("w", text, at, end)
+            value = text not in _VALUE_WORDS
+        elif kind == "sign":
+            text = m[0]
+            if text in _OPEN:
+                put("o", text, at, end)
+                up = len(texts) - 1
+                stack.append(up)
+                value = False
+            elif text in _CLOSE and stack:
+                opener = stack.pop()
+                closes[opener] = len(texts)
+                up = stack[-1] if stack else -1
+                put("c", text, at, end)
+                value = True
+                if opener in templates:
+                    at = template(end, end)
+                    continue
+            else:
+                put("p", text, at, end)
+                value = False
+        elif kind == "comment":
+            if scripts and (named := doc_types(m[0])):
+                types[len(texts)] = named
+                put("d", "", at, end)
         elif kind != "space":
-            last = put({"word": "w", "number": "n", "string": "s"}.get(kind, "p"), text if kind in ("word", "sign") else '"' if kind == "string" else "0", end)
-        line += text.count("\n")
+            put("n" if kind == "number" else "s", "0" if kind == "number" else '"', at, end)
+            value = True
         at = end
-    for opener, _ in stack:
-        out[opener] |= {"close": len(out) - 1, "last": out[-1]["line"]}
+    for opener in stack:
+        closes[opener] = len(texts) - 1
+    return {"text": texts, "kind": kinds, "at": starts, "ends": ends, "up": ups, "close": closes, "types": [types.get(i) for i in range(len(texts))] if types else [None] * len(texts)}
+
+
+def lines_of(content: str, columns: dict[str, list]) -> tuple[list[int], list[int | None]]:
+    """(line of each token, for opening brackets that of the last token before they close)."""
+    breaks = np.array([m.start() for m in re.finditer("\n", content)], np.int64)
+    line = (np.searchsorted(breaks, np.array(columns["at"], np.int64)) + 1).tolist()
+    return line, [None if z is None else line[z - (columns["kind"][z] == "c" and columns["up"][z] == columns["up"][i] and z > i)] for i, z in enumerate(columns["close"])]
+
+
+def lexed(content: str, scripts: bool) -> list[dict]:
+    """The tokens of :func:`lexed_columns` as rows of a token table."""
+    columns = lexed_columns(content, scripts)
+    line, last = lines_of(content, columns)
+    out, levels = [], []
+    for i, up in enumerate(columns["up"]):
+        levels.append(levels[up] + 1 if up >= 0 else 0)
+        out.append({"i": i, "line": line[i], "level": levels[i], "last": last[i]} | {k: v[i] for k, v in columns.items()})
     for token in out:
         if token["up"] >= 0:
             token["around"] = {k: out[token["up"]][k] for k in ("text", "close", "line", "last")}

@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.operators import extract
+from repolith.operators.extract.token_arrays import Tokens
+from repolith.operators.extract.token_table import back as token_table_back
+from repolith.operators.extract.token_table import first_after as token_table_first_after
 from repolith.operators.extract.token_table import lexed, token_table, with_enclosing, with_innermost
 
 
@@ -123,3 +126,31 @@ def test_files_are_dealt_to_tasks(spark):
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert {(r.id, r.emit_ord) for r in extract.components_of(rows).select("id", "seq.emit_ord").collect()} == {(f"src.f{i}.f{i}", 0) for i in range(400)}
     assert extract.edges_of(rows).count() == 400
+
+
+@pytest.mark.parametrize("code", ["let x = `\\", "`a${`b\\"])
+def test_templates_that_end_in_a_backslash(code):
+    assert lexed(code, True)[-1]["kind"] == "s"
+
+
+def test_arrays_against_windows(spark):
+    """Brackets and intervals from arrays of several files at once are those that windows over the token table find."""
+    rng = random.Random(8)
+    codes = ["".join(rng.choice("([{)]}ab;") + " " for _ in range(200)) for _ in range(6)] + ["", "}"]
+    t = Tokens(codes, False)
+    c = t.col
+    t.put({"opener": t.enclosing(c("i")), "brace": t.innermost(c("text") == "{", c("close"), c("i")), "before": t.back("text"), "semicolon": t.first_after(c("text") == ";", c("i"))})
+    columns = ("i", "opener", "brace", "before", "semicolon")
+    got = sorted(zip(t.file.tolist(), *(c(n).array.to_pylist() for n in columns)))
+    rows = with_innermost(with_enclosing(token_table(files(spark, "x", *codes), scripts=False), F.col("i"), "opener"), F.col("text") == "{", F.col("close"), F.col("i"), "brace")
+    rows = rows.withColumns({"before": token_table_back("text"), "semicolon": token_table_first_after(F.col("text") == ";", F.col("i"))})
+    assert got == sorted(tuple(r) for r in rows.select("file_ord", *columns).collect())
+
+
+def test_files_of_tokens_are_one_tables_work(spark):
+    """Many files share a task's arrays; their rows don't mix, and code comes with its component."""
+    code = "class A {\n  go() { return f(1); }\n}\n/* open"
+    rows = extract.extract(files(spark, "javascript", *[f"{code}{i}" if i % 3 else "" for i in range(90)])).filter("kind = 'component'").select("file_ord", "id", "source_code", "file_path").collect()
+    assert {tuple(r) for r in rows} == {(i, f"src.f{i}.x.A", code.removesuffix("\n/* open"), f"src/f{i}.x") for i in range(90) if i % 3}
+    plan = extract.extract(files(spark, "java", "class A { B b; }"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 8

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repolith.operators.graph import saved
+
 
 def last_segment(name: Column, separator: str = ".") -> Column:
     return F.substring_index(name, separator, -1)
@@ -119,8 +121,11 @@ def call_relations(components: DataFrame, edges: DataFrame) -> DataFrame:
 def call_lists(components: DataFrame, edges: DataFrame) -> DataFrame:
     """Per component: file name, first docstring line, parameters if there are any, what it calls and what calls it, in
     order of edges, and whether an edge from an id that ends with its name calls that very name."""
+    # Read by both sides and by the recursive ones, so what made the edges runs once.
+    edges = saved(edges.select("caller", "callee", "seq", "is_resolved"))
     related = call_relations(components, edges)
-    listed = lambda relation: F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") == relation, F.struct("seq", "other")))), lambda x: x["other"]).alias(relation)
+    # sort_array compares rows as they are; array_sort would call a lambda for each pair.
+    listed = lambda relation: F.transform(F.sort_array(F.collect_list(F.when(F.col("relation") == relation, F.struct("seq", "other")))), lambda x: x["other"]).alias(relation)
     lists = related.groupBy("name").agg(listed("calls"), listed("called_by"))
     own = _ends_with(edges.select("caller", "callee"), "caller", components.select("name").distinct()).filter("callee = name").select("name").distinct()
     none = F.array().cast("array<string>")

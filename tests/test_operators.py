@@ -203,6 +203,21 @@ def test_call_lists(spark):
     assert got == {"foo": ("m.py", "Does.", ["n.bar"], ["n.bar"], True), "xfoo": ("m.py", "", ["n.bar"], [], False), "bar": ("n.py", None, ["foo"], ["m.xfoo"], False)}
 
 
+def test_call_lists_make_their_edges_once(spark):
+    """However often the lists read the edges, what made them runs once for each edge."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    comps = spark.createDataFrame([("m.foo", "foo", "m.py", ""), ("n.bar", "bar", "n.py", "")], "id string, name string, file_path string, docstring string")
+    edges = spark.createDataFrame([(i, "m.foo", f"x{i}.bar", True) for i in range(20, 0, -1)], "seq long, caller string, callee string, is_resolved boolean")
+    got = {r.name: r.calls for r in resolve.call_lists(comps, edges.mapInArrow(counted, edges.schema)).collect()}
+    assert got["foo"] == [f"x{i}.bar" for i in range(1, 21)] and seen.value == 20
+
+
 def test_calls_on_builtins():
     from repolith.operators.extract import python_source
 

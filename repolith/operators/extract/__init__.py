@@ -1,9 +1,10 @@
-"""Components and call edges of source files, as rows. TypeScript, JavaScript and Java are analysed as tables of tokens; another
+"""Components and call edges of source files, as rows. TypeScript, JavaScript and Java are analysed as arrays of tokens; another
 language's analyzer is a function of (path, content)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +27,9 @@ Analyzer = Callable[[str, str], Iterator[dict]]
 ANALYZERS: dict[str, Analyzer] = {"python": python_source.analyze} | {lang: braces.analyzer(lang) for lang in braces.LANGUAGES}
 
 
-#: (components, edges) from a table of files.
-TABLES: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = {
-    "typescript": lambda files: scripts.analyzed(files, typed=True), "javascript": lambda files: scripts.analyzed(files, typed=False),
-    "java": java.analyzed,
+#: Rows of the kinds asked for, from a table of files.
+TABLES: dict[str, Callable[[DataFrame, tuple[str, ...]], DataFrame]] = {
+    "typescript": partial(scripts.analyzed, typed=True), "javascript": partial(scripts.analyzed, typed=False), "java": java.analyzed,
 }
 
 
@@ -43,9 +43,9 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], _KINDS[k]) for n, k in _FIELDS], [n for n, _ in _FIELDS])
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, kinds: tuple[str, ...] = ("component", "edge")) -> DataFrame:
     """Rows of kind component, edge or error from ``files`` (file_ord, path, language, content). A file that can't be
-    analyzed gives one error row. (file_ord, emit_ord) orders everything."""
+    analyzed gives one error row. (file_ord, emit_ord) orders everything. With fewer ``kinds``, tables of tokens aren't asked for the others."""
     analyzers, tables = {k: v for k, v in ANALYZERS.items() if k not in TABLES}, dict(TABLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +70,8 @@ def extract(files: DataFrame) -> DataFrame:
     # What there is, so that no table of tokens is made for a language without files.
     present = {r[0] for r in files.select("language").distinct().filter(F.col("language").isin(*tables)).collect()}
     for language, table in ((k, v) for k, v in tables.items() if k in present):
-        components, edges = table(files.filter(F.col("language") == language))
-        for rows in (components.withColumns({"kind": F.lit("component"), "docstring": F.lit("")}), edges.withColumn("kind", F.lit("edge"))):
-            out = out.unionByName(rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(k).alias(n) for n, k in _FIELDS]))
+        rows = table(files.filter(F.col("language") == language), kinds)
+        out = out.unionByName(rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(k).alias(n) for n, k in _FIELDS]))
     return out
 
 

@@ -1,19 +1,18 @@
 """Components and edges of TypeScript and JavaScript, by rules over sibling tokens (:mod:`token_arrays`).
 
-Each rule looks at a fixed number of siblings, or at the last or next one of a kind. Names are resolved within a file by windows
-over (file, name): of candidates with one name the last counts, so a variable hides a function of its name.
+Each rule looks at a fixed number of siblings, or at the last or next one of a kind. Names are resolved within a file:
+of candidates with one name the last counts, so a variable hides a function of its name.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.operators.extract.token_arrays import Col, Record, Struct, Tokens, When, any_of, coalesce, lower, record, records, when
-from repolith.operators.graph import saved
+from repolith.operators.extract.token_arrays import Col, Struct, Tokens, any_of, coalesce, first_edges, lines, listed, lower, rows, spelled, stacked, when
 
 #: Words that no call, method or type starts with.
 CONTROL = ("if", "for", "while", "switch", "catch", "with")
@@ -31,9 +30,6 @@ MODIFIERS = ("public", "private", "protected", "readonly", "override")
 #: Names that make no component.
 NO_COMPONENT = ("constructor", "__proto__", "prototype")
 
-c = F.col
-
-
 def _marked(t: Tokens, typed: bool) -> None:
     """What tokens declare and open: flags, and for braces ``opens`` (body, class, interface, enum, type or block)."""
     c = t.col
@@ -64,8 +60,8 @@ def _marked(t: Tokens, typed: bool) -> None:
     body = (c("p1") == "=>") | ((c("p1") == ")") & ~c("p3").isin(*CONTROL)) | ((c("returns_at") > c("brace_at")) & ~c("p1").isin(":", "|", "&", "<", ","))
     opens = when(c("text") != "{", None)
     for kind in ("class", "interface", "enum"):
-        opens = opens.when(c(f"{kind}_at") > c("brace_at"), kind)
-    opens = opens.when(any_of(body), "body").when((c("alias_at") > c("brace_at")) & c("p1").isin("=", "&", "|"), "type").otherwise("block")
+        opens = opens.when(c(f"{kind}_at") > c("brace_at"), t.every(kind))
+    opens = opens.when(any_of(body), t.every("body")).when((c("alias_at") > c("brace_at")) & c("p1").isin("=", "&", "|"), t.every("type")).otherwise(t.every("block"))
     t.put({"opens": when(c("kind") == "o", opens)})
     declared = word & (c("p1").isin("const", "let", "var") | ((c("p1") == ",") & (c("declares_at") >= c("broken_at")) & (c("declares_at") >= 0) & (c("angle") >= 0)))
     t.put({"inside": t.enclosing(c("opens"))})
@@ -77,49 +73,53 @@ def _marked(t: Tokens, typed: bool) -> None:
             word & (c("n1") == "(") & (c("n2") == ")") & (c("n3") == ":") & (c("inside") == "class") & ~c("p1").isin(".", "?.") & (t.first_after(c("text").isin("{", ";"), c("text")) == "{"),
         ),
     })
-    change = lambda kind: when(c("opens") == kind, 1).when((c("kind") == "c") & (t.back("opens") == kind), -1).otherwise(0)
+    change = lambda kind: Col((c("opens") == kind).true().astype(np.int64) - ((c("kind") == "c") & (t.back("opens") == kind)).true())
     t.put({"in_body": t.open_before(change("body")), "in_class": t.open_before(change("class"))})
 
 
 def _candidates(t: Tokens, typed: bool) -> None:
-    """``found``: what a token declares (name, kind, start, start_line, end, end_line, paren); null for most."""
+    """``found``: what a token declares (name, kind, start_line, end, end_line, paren); null for most."""
     c = t.col
-    t.put({
-        "block": t.first_after(c("text") == "{", t.struct(close=c("close"), line=c("nl1"))), "signature": t.first_after(c("text").isin("{", ";"), t.struct(text=c("text"), close=c("close"), line=c("nl1"))),
-        "stop": t.first_after((c("text") == ",") | c("breaks"), t.struct(i=c("pi1"), line=c("pl1"))),
-    })
-    inner_end = coalesce(c("around.close") - 1, t.last_of_file("i"))
+    t.put({"owner_name": t.last_before(c("declarator"), t.struct(text=c("text"), i=c("i"), line=c("line"))), "statement": t.last_so_far(c("declares"), t.struct(text=c("text"), i=c("i"), p1=c("p1")))})
+    some = c("function") | c("class") | c("declarator") | (c("text") == "=>")
+    if typed:
+        some = some | c("interface") | c("enum") | c("alias") | c("method") | (c("text") == "export")
+    v = t.view(any_of(some))
+    block = v.of(t.first_after(c("text") == "{", t.struct(close=c("close"), line=c("nl1"))))
+    signature = v.of(t.first_after(c("text").isin("{", ";"), t.struct(text=c("text"), close=c("close"), line=c("nl1"))))
+    stop = v.of(t.first_after((c("text") == ",") | c("breaks"), t.struct(i=c("pi1"), line=c("pl1"))))
+    paren = v.of(t.first_after(c("text") == "(", c("i")))
     # An arrow's parameters: in parentheses, one name, or parentheses before a result type.
     before = lambda k: when(c(f"p{k}") == "async", c(f"p{k + 1}")).otherwise(c(f"p{k}"))
-    typed_result = t.last_before((c("text") == ")") & (c("n1") == ":"), t.struct(paren=c("pi1"), before=before(2), line=c("line")))
-    arrow = when(c("text") != "=>", None).when(c("p1") == ")", t.struct(paren=c("pi2"), before=before(3), line=c("pl2")))
-    arrow = arrow.when((c("pk1") == "w") & c("p2").isin("=", "async", "(", ",", "=>"), t.struct(paren=when(c("text").isNull(), c("i")).value, before=before(2), line=c("pl1"))).otherwise(typed_result)
-    t.put({"arrow": arrow, "owner_name": t.last_before(c("declarator"), t.struct(text=c("text"), i=c("i"), line=c("line")))})
-    no_place = when(c("text").isNull(), c("i")).value
-
-    def make(name, kind, start_line, end, end_line, paren=no_place, start=c("i")) -> Struct:
-        return t.struct(name=name, kind=t.every(kind), start=start, start_line=start_line, end=end, end_line=end_line, paren=paren)
+    typed_result = v.of(t.last_before((c("text") == ")") & (c("n1") == ":"), t.struct(paren=c("pi1"), before=before(2), line=c("line"))))
+    ended = c("text") == ";"
+    statement_end = v.of(t.first_after(c("breaks"), t.struct(i=when(ended, c("i")).otherwise(c("pi1")), line=when(ended, c("line")).otherwise(c("pl1"))))) if typed else None
+    file_end = v.of(t.last_of_file("i"))
+    c = v.col
+    inner_end = coalesce(c("around.close") - 1, file_end)
+    arrow = when(c("text") != "=>", None).when(c("p1") == ")", v.struct(paren=c("pi2"), before=before(3), line=c("pl2")))
+    arrow = arrow.when((c("pk1") == "w") & c("p2").isin("=", "async", "(", ",", "=>"), v.struct(paren=v.none(), before=before(2), line=c("pl1"))).otherwise(typed_result)
+
+    def make(name, kind, start_line, end, end_line, paren=v.none()) -> Struct:
+        return v.struct(name=name, kind=v.every(kind), start_line=start_line, end=end, end_line=end_line, paren=paren)
 
     own_line = when(c("p1").isin("async", "abstract"), c("pl1")).otherwise(c("line"))
     function_name = when(c("n1") == "*", c("n2")).otherwise(c("n1"))
-    paren = t.first_after(c("text") == "(", c("i"))
-    by_arrow = (c("text") == "=>") & (c("arrow.before") == "=") & (c("owner_name.i") > c("broken_at") - 1) & (c("n1") != "")
-    arrow_end, arrow_line = when(c("n1") == "{", c("nc1")).otherwise(coalesce(c("stop.i"), inner_end)), when(c("n1") == "{", c("nl2")).otherwise(coalesce(c("stop.line"), c("last_line")))
-    found = when(c("function") & ~c("expression") & (function_name != "(") & (c("signature.text") == "{"), make(function_name, "function", own_line, c("signature.close"), c("signature.line"), paren))
-    found = found.when(c("class") & ~c("expression"), make(c("n1"), "class", own_line, c("block.close"), c("block.line")))
+    by_arrow = (c("text") == "=>") & (arrow["before"] == "=") & (c("owner_name.i") > c("broken_at") - 1) & (c("n1") != "")
+    arrow_end, arrow_line = when(c("n1") == "{", c("nc1")).otherwise(coalesce(stop["i"], inner_end)), when(c("n1") == "{", c("nl2")).otherwise(coalesce(stop["line"], c("last_line")))
+    found = when(c("function") & ~c("expression") & (function_name != "(") & (signature["text"] == "{"), make(function_name, "function", own_line, signature["close"], signature["line"], paren))
+    found = found.when(c("class") & ~c("expression"), make(c("n1"), "class", own_line, block["close"], block["line"]))
     if typed:
-        found = found.when(c("interface"), make(c("n1"), "interface", c("line"), c("block.close"), c("block.line"))).when(c("enum"), make(c("n1"), "enum", c("line"), c("block.close"), c("block.line")))
-        ended = c("text") == ";"
-        statement_end = t.first_after(c("breaks"), t.struct(i=when(ended, c("i")).otherwise(c("pi1")), line=when(ended, c("line")).otherwise(c("pl1"))))
+        found = found.when(c("interface"), make(c("n1"), "interface", c("line"), block["close"], block["line"])).when(c("enum"), make(c("n1"), "enum", c("line"), block["close"], block["line"]))
         found = found.when(c("alias"), make(c("n1"), "type", c("line"), coalesce(statement_end["i"], inner_end), coalesce(statement_end["line"], c("last_line"))))
-        found = found.when(c("method") & ~c("text").startswith("#"), make(c("text"), "function", c("line"), c("block.close"), c("block.line"), c("ni1")))
+        found = found.when(c("method") & ~c("text").startswith("#"), make(c("text"), "function", c("line"), block["close"], block["line"], c("ni1")))
         found = found.when((c("text") == "export") & (c("n1") == "default") & (c("n3") == "(") & ~c("n2").isin("function", "async", "class"), make(c("n2"), "function", c("line"), c("nc3"), c("nl4")))
         found = found.when(c("declarator"), make(c("text"), "variable", c("line"), c("i"), c("line")))
-    found = found.when(any_of(by_arrow), make(c("owner_name.text"), "function", coalesce(c("arrow.line"), c("line")), arrow_end, arrow_line, c("arrow.paren"), c("owner_name.i")))
+    found = found.when(any_of(by_arrow), make(c("owner_name.text"), "function", coalesce(arrow["line"], c("line")), arrow_end, arrow_line, arrow["paren"]))
     if not typed:
-        by_function = c("function") & (when(c("p1") == "async", c("p2")).otherwise(c("p1")) == "=") & c("owner_name.text").isNotNull() & (c("signature.text") == "{")
-        found = found.when(any_of(by_function), make(c("owner_name.text"), "function", own_line, c("signature.close"), c("signature.line"), paren, c("owner_name.i")))
-    t.put({"found": found, "statement": t.last_so_far(c("declares"), t.struct(text=c("text"), i=c("i"), p1=c("p1")))})
+        by_function = c("function") & (when(c("p1") == "async", c("p2")).otherwise(c("p1")) == "=") & c("owner_name.text").isNotNull() & (signature["text"] == "{")
+        found = found.when(any_of(by_function), make(c("owner_name.text"), "function", own_line, signature["close"], signature["line"], paren))
+    t.put({"found": v.spread(found.value)})
 
 
 def _chained(t: Tokens) -> None:
@@ -141,15 +141,16 @@ def _annotated(t: Tokens) -> None:
     mark = (c("text") == ":") & (
         (holder & (named | (c("p1") == ")"))) | (c("in_parameters") & named) | t.back("declarator") | (returns & (c("around.text").isNull() | (c("around.text") == "{")) & (coalesce(c("inside"), "") != "block"))
     )
-    plain = t.first_after_at_level(c("text").isin(",", ";", "=") | c("breaks"), c("i"))
-    after_result = t.first_after_at_level(c("text").isin(";", "=>") | ((c("text") == "{") & ~c("p1").isin(":", "|", "&", "<", ",")), c("i"))
+    v = t.view(any_of(mark))
+    plain = v.of(t.first_after_at_level(c("text").isin(",", ";", "=") | c("breaks"), c("i")))
+    after_result = v.of(t.first_after_at_level(c("text").isin(";", "=>") | ((c("text") == "{") & ~c("p1").isin(":", "|", "&", "<", ",")), c("i")))
     nearer = when(after_result < plain, after_result).otherwise(coalesce(plain, after_result))
-    end = coalesce(when(c("p1") == ")", nearer).otherwise(plain), c("around.close"), t.last_of_file("i") + 1) - 1
-    t.put({"type_line": t.innermost(any_of(mark), end, c("line"))})
+    end = coalesce(when(v.col("p1") == ")", nearer).otherwise(plain), v.col("around.close"), v.of(t.last_of_file("i")) + 1) - 1
+    t.put({"type_line": t.innermost(any_of(mark), v.spread(end), c("line"))})
 
 
-def _owned(t: Tokens, typed: bool) -> None:
-    """``owner``: the name that a token's uses belong to; ``top`` and ``kept``: what counts as a component."""
+def _owned(t: Tokens, typed: bool, owners: bool) -> None:
+    """``owner``: the name that a token's uses belong to, if ``owners`` are asked for; ``top`` and ``kept``: what counts as a component."""
     c = t.col
     found = c("found").isNotNull()
     if typed:
@@ -158,6 +159,8 @@ def _owned(t: Tokens, typed: bool) -> None:
         first, last = t.same_name(found, c("found.name"))
         t.put({"first_at": c("i").take(first), "top": any_of(found & component.take(last))})
         t.put({"kept": c("top") & (c("i").take(last) == c("i"))})
+        if not owners:
+            return
         opens = c("top") & (c("function") | c("class") | c("interface") | c("enum") | c("alias") | (c("text") == "export"))
         t.put({"owner1": t.innermost(opens, c("found.end"), c("found.name"))})
         held = c("declarator") & c("p1").isin("const", "let", "var") & c("top") & (c("owner1").isNull() | (c("p2") == "export"))
@@ -169,7 +172,8 @@ def _owned(t: Tokens, typed: bool) -> None:
         valued_ok = valued & c("statement.text").isin("const", "let") & first
         kept = any_of(found & when(c("class"), True).when(valued, valued_ok & ~c("in_class")).otherwise(~c("in_class")))
         t.put({"kept": kept, "top": kept, "first_at": c("i")})
-        t.put({"owner": t.innermost(any_of(found & when(valued, valued_ok).otherwise(True)), c("found.end"), c("found.name"))})
+        if owners:
+            t.put({"owner": t.innermost(any_of(found & when(valued, valued_ok).otherwise(True)), c("found.end"), c("found.name"))})
 
 
 def _heritage(t: Tokens) -> None:
@@ -183,98 +187,101 @@ def _heritage(t: Tokens) -> None:
     t.put({"is_base": any_of(in_head & (c("clause.i") > c("class_at")) & direct & plain)})
 
 
-def _records(t: Tokens, typed: bool) -> list[Record]:
+def _components(t: Tokens, typed: bool) -> dict:
     c = t.col
     start = c("p1").isin("", ",", *(MODIFIERS if typed else ()))
     stops = c("n1").isin("", ",", ":", "?", "=") if typed else c("n1").isin("", ",")
     parameter = (c("kind") == "w") & (c("around.text") == "(") & start & stops & ~c("text").isin(*MODIFIERS, "this")
-    fields = (c("inside") == "class") & (c("kind") == "w") & (c("n1") == "=") & (c("n2").isin("(", "async") | (c("n3") == "=>"))
-    out = [
-        record(c("kept"), "component", c("found.name"), kind=c("found.kind"), start_line=c("found.start_line"), end_line=c("found.end_line"), paren=c("found.paren"), first_at=c("first_at")),
-        record(c("found").isNotNull(), "name", c("found.name")), record(any_of(c("method"), fields), "method", c("text")), record(parameter, "parameter", c("text"), paren=c("up")), record(c("is_base"), "base", c("text"), paren=c("class_at")),
-    ]
+    at = np.flatnonzero(c("kept").true())
+    paren = c("found.paren").take(at).filled(-1)
+    function = (c("found.kind").take(at) == "function").true()
+    return {
+        "file": t.file[at], "emit_ord": c("first_at").x[at].astype(np.int64) * 8, "name": c("found.name").take(at).array, "component_type": c("found.kind").take(at).array,
+        "start_line": c("found.start_line").take(at).array, "end_line": c("found.end_line").take(at).array,
+        "parameters": listed(t, parameter, t.around, np.where(paren >= 0, t.place[t.start[at] + paren], -2), lambda sizes: ~function),
+        "base_classes": listed(t, c("is_base"), t.placed(c("class_at")), at, lambda sizes: sizes == 0),
+    }
+
+
+def _edges(t: Tokens, typed: bool) -> dict:
+    """Uses within an owner, one for each caller, callee and line: the first. A name of the file that is no component of its own is no
+    target; ``known`` ones must be components."""
+    c = t.col
     ends = (c("kind") == "w") & ~c("n1").isin(".", "?.") & ~c("text").isin(*WORDS)
     member = ((c("inside") == "class") & c("p1").isin("", ";", "}", "abstract", "static", "async", "get", "set", "declare", *MODIFIERS)) | c("inside").isin("interface", "type")
     defines = any_of(c("method"), member, c("chain.before").isin("function", "class", "interface", "enum", "type"), (c("chain.before") == "*") & (c("p2") == "function"))
-    code, property_ = c("type_line").isNull() & ~defines, c("p1").isin(".", "?.")
+    code, property_ = ~defines, c("p1").isin(".", "?.")
+    if typed:
+        code = code & c("type_line").isNull()
     made, called = code & ends & (c("chain.before") == "new"), code & ends & (c("n1") == "(") & (c("chain.before") != "new")
-    at = {"line": c("chain.line")}
+    use = lambda held, key, order, line, known=0, call=0, own=0: (held & c("owner").isNotNull(), {"key": key, "order": order, "line": line, "known": known, "call": call, "own": own, "owner": c("owner"), "i": c("i")})
     if typed:
-        spelled = t.spelled(any_of(made, called), c("chain.i"))
+        chained = t.spelled(any_of(made, called), c("chain.i"))
         type_name = (c("kind") == "w") & c("type_line").isNotNull() & ~c("n1").isin(":", ".") & ~((c("n1") == "?") & (c("n2") == ":")) & ~c("text").isin(*TYPE_WORDS)
         argument = (c("kind") == "w") & c("p1").isin("<", ",") & c("n1").isin(">", ",") & ((c("p1") == "<") | (c("n1") == ">")) & ~c("text").isin(*TYPE_WORDS)
-        out += [
-            record(called & (c("chain.head") != "super"), "any", spelled, order=0, **at), record(made, "any", spelled, order=1, **at), record(code & property_ & (c("kind") == "w"), "any", c("text"), order=2, **at),
-            record(type_name, "any", c("text"), order=3, line=c("type_line")), record(argument, "known", c("text"), order=4, line=c("line")), record(c("is_base"), "known", c("text"), order=5, line=c("clause.line")),
+        uses = [
+            use(called & (c("chain.head") != "super"), chained, 0, c("chain.line")), use(made, chained, 1, c("chain.line")), use(code & property_ & (c("kind") == "w"), c("text"), 2, c("chain.line")),
+            use(type_name, c("text"), 3, c("type_line")), use(argument, c("text"), 4, c("line"), known=1), use(c("is_base"), c("text"), 5, c("clause.line"), known=1),
         ]
     else:
-        out += [
-            record(called & ((c("chain.i") == c("i")) | property_), "call", c("text"), order=0, own=c("chain.head").isin("this", "super"), **at), record(made, "new", c("text"), order=1, **at),
-            record(c("is_base"), "new", c("text"), order=5, line=t.last_before(c("class"), c("line"))),
+        own = Col(c("chain.head").isin("this", "super").true().astype(np.int8))
+        uses = [
+            use(called & ((c("chain.i") == c("i")) | property_), c("text"), 0, c("chain.line"), call=1, own=own), use(made, c("text"), 1, c("chain.line")),
+            use(c("is_base"), c("text"), 5, t.last_before(c("class"), c("line"))), *[use(*x) for x in _documented(t)],
         ]
-    out = [(held, {"owner": c("owner"), "top": c("top")} | fields) for held, fields in out]
-    return out if typed else out + _documented(t)
-
-
-def _documented(t: Tokens) -> list[Record]:
-    """Edges to the types of doc comments: at the line of the block that holds the comment, and at that of what follows it."""
+    found = stacked(t, uses)
+    size = len(t.words)
+    names, target = np.flatnonzero(c("found").isNotNull().true()), found["file"] * size + found["key"]
+    of_names = t.file[names] * size + c("found.name").x[names]
+    is_name, is_top = np.isin(target, of_names), np.isin(target, of_names[c("top").true()[names]])
+    if typed:
+        keep = is_top | ((found["known"] == 0) & ~is_name)
+    else:
+        fields = (c("inside") == "class") & (c("kind") == "w") & (c("n1") == "=") & (c("n2").isin("(", "async") | (c("n3") == "=>"))
+        methods = stacked(t, [(any_of(c("method"), fields), {"key": c("text"), "owner": c("owner")})])
+        triple = lambda x: (x["file"] * size + x["owner"] + 1) * size + x["key"]
+        keep = ~((found["own"] == 1) & np.isin(triple(found), triple(methods)))
+    found = {n: v[keep] for n, v in (found | {"resolved": (found["call"] == 1) & is_top}).items()}
+    edges = first_edges({"file": found["file"], "caller": found["owner"], "callee": found["key"], "line": found["line"], "emit": found["i"] * 8 + found["order"], "resolved": found["resolved"]})
+    return {
+        "file": edges["file"], "emit_ord": edges["emit"], "caller": spelled(t, edges["caller"]), "callee": spelled(t, edges["callee"]), "call_line": lines(edges["line"]), "is_resolved": edges["resolved"],
+    }
+
+
+def _documented(t: Tokens) -> list[tuple]:
+    """Uses of the types of doc comments: at the line of the block that holds the comment, and at that of what follows it."""
     c = t.col
-    out = []
-    for k in range(max((len(x) for x in t.types if x), default=0)):
-        key = Col(pa.array([x[k] if x and len(x) > k else None for x in t.types], pa.string()))
-        for order, line in ((6, c("around.line")), (7, c("next_line"))):
-            held, fields = record(c("owner").isNotNull() & key.isNotNull() & line.isNotNull(), "new", key, order=order, line=line)
-            out.append((held, {"owner": c("owner"), "top": False} | fields))
+    at = np.flatnonzero((c("kind") == "d").true())
+    types, out = [t.words.types[k] for k in t.codes[at].tolist()], []
+    for k in range(max((len(x) for x in types), default=0)):
+        key, held = np.zeros(t.size, np.int32), np.zeros(t.size, bool)
+        here = [len(x) > k for x in types]
+        held[at[here]] = True
+        key[at[here]] = [t.words[x[k]] for x in types if len(x) > k]
+        out += [(Col(held) & line.isNotNull(), Col(key, words=t.words), order, line) for order, line in ((6, c("around.line")), (7, c("next_line")))]
     return out
 
 
-def _found(t: Tokens, typed: bool) -> list[Record]:
+def _found(t: Tokens, kinds: tuple[str, ...], typed: bool) -> dict[str, dict]:
     _marked(t, typed)
     _candidates(t, typed)
-    _owned(t, typed)
-    _chained(t)
-    if typed:
-        _annotated(t)
-    else:
-        t.put({"type_line": when(t.col("text").isNull(), t.col("i"))})
     _heritage(t)
-    return _records(t, typed)
+    _owned(t, typed, "edge" in kinds)
+    out = {"component": _components(t, typed)} if "component" in kinds else {}
+    if "edge" in kinds:
+        _chained(t)
+        if typed:
+            _annotated(t)
+        out["edge"] = _edges(t, typed)
+    return out
 
 
-def with_module(rows: DataFrame) -> DataFrame:
+def with_module(files: DataFrame) -> DataFrame:
     """``module``: ``path`` as a dotted id without its extension."""
     bare = F.regexp_replace("path", r"\.(tsx?|jsx?|mjs|cjs|java)$", "")
-    return rows.withColumn("module", F.regexp_replace(bare, r"[/\\]", "."))
+    return files.withColumn("module", F.regexp_replace(bare, r"[/\\]", "."))
 
 
-def analyzed(files: DataFrame, typed: bool) -> tuple[DataFrame, DataFrame]:
-    """(components, edges) of ``files`` (file_ord, path, content); ``typed``: TypeScript. What tokens contribute is written once."""
-    spread = with_module(saved(records(files, True, partial(_found, typed=typed)).drop("in_method", "own_class")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"])
-    lists = lambda what, name: spread.filter(c("what") == what).groupBy("file_ord", "paren").agg(listed.alias(name))
-    bases = lists("base", "base_classes").withColumnRenamed("paren", "i")
-    components = spread.filter("what = 'component'").join(lists("parameter", "parameters"), ["file_ord", "paren"], "left").join(bases, ["file_ord", "i"], "left")
-    components = components.select(
-        "file_ord", (c("first_at") * 8).cast("long").alias("emit_ord"), F.concat_ws(".", "module", "key").alias("id"), c("key").alias("name"), c("kind").alias("component_type"), c("path").alias("file_path"),
-        "start_line", "end_line", "source_code", F.when(c("kind") == "function", F.coalesce("parameters", F.array().cast("array<string>"))).alias("parameters"), "base_classes",
-    )
-    return components, _edges(spread.filter("what not in ('component', 'parameter', 'base')"), typed)
-
-
-def _edges(spread: DataFrame, typed: bool) -> DataFrame:
-    """Uses within an owner. A name of the file that is no component of its own is no target; ``known`` ones must be components."""
-    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
-    by_name = Window.partitionBy("file_ord", "key").rowsBetween(*whole)
-    is_name, top = c("what") == "name", F.coalesce(F.max(F.when(c("what") == "name", c("top"))).over(by_name), F.lit(False))
-    spread = spread.withColumns({"known": F.max(is_name).over(by_name), "is_top": top})
-    if typed:
-        spread = spread.filter(F.when(c("what") == "known", c("is_top")).otherwise(~c("known") | c("is_top")))
-    else:
-        of_class = Window.partitionBy("file_ord", "owner", "key").rowsBetween(*whole)
-        spread = spread.withColumn("own_method", F.max(c("what") == "method").over(of_class)).filter(~(F.coalesce("own", F.lit(False)) & c("own_method")))
-    edge = spread.filter("order is not null and owner is not null").select(
-        "file_ord", c("path").alias("file_path"), (c("i") * 8 + c("order")).cast("long").alias("emit_ord"), F.concat_ws(".", "module", "owner").alias("caller"), F.concat_ws(".", "module", "key").alias("callee"), c("line").alias("call_line"),
-        (F.lit(not typed) & (c("what") == "call") & c("is_top")).alias("is_resolved"),
-    )
-    # One edge for each caller, callee and line: the first.
-    return edge.groupBy("file_ord", "file_path", "caller", "callee", "call_line").agg(F.min("emit_ord").alias("emit_ord"), F.max("is_resolved").alias("is_resolved"))
+def analyzed(files: DataFrame, kinds: tuple[str, ...], typed: bool) -> DataFrame:
+    """Rows of ``kinds`` from ``files`` (file_ord, path, content); ``typed``: TypeScript."""
+    return rows(with_module(files), True, partial(_found, typed=typed), kinds)

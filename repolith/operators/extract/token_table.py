@@ -120,6 +120,171 @@ def lexed_columns(content: str, scripts: bool) -> dict[str, list]:
     return {"text": texts, "kind": kinds, "at": starts, "ends": ends, "up": ups, "close": closes, "types": [types.get(i) for i in range(len(texts))] if types else [None] * len(texts)}
 
 
+# Tokens as pieces: a file is cut by one expression, in which a value takes the slash that divides it with it, so that no state is needed
+# outside templates; what a piece is, is looked up once for each spelling.
+def _piece(scripts: bool, plain: bool, end: str = "") -> re.Pattern:
+    """``plain``: the same for ASCII, spelled so that letters are looked up in a table. ``end``: what a backslash may stand before, besides a character."""
+    first, word, space, digit = ("[A-Za-z_]", "A-Za-z0-9_", r" \t-\r\x1c-\x1f", "0-9") if plain else (r"[^\W\d]", r"\w", r"\s", r"\d")
+    comment = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z)"
+    string = rf"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|\"(?:[^\"\\\n]++|\\(?:[\s\S]{end}))*+\"?|'(?:[^'\\\n]++|\\(?:[\s\S]{end}))*+'?"
+    signs = r"=>|->|\?\.|\.\.\.|::|[\s\S]"
+    if not scripts:
+        return re.compile(rf"[{space}]++|{first}[{word}$]*+|[()\[\]{{}};,<>!&|+*%^~@]|[$#][{word}$]*+|[{digit}][{word}.]*+|{comment}|{string}|{signs}")
+    divided = rf"(?:(?=[{space}]*+/)(?:[{space}]++|{comment})*+/(?![/*])|)"
+    values, regex = "|".join(sorted(_VALUE_WORDS)), rf"/(?:[^/\\\[\n]++|\\(?:.{end})|\[(?:[^\]\\\n]++|\\(?:.{end}))*+\]?)++/?\w*"
+    return re.compile(
+        rf"[{space}]++|[(\[{{;,<>!&|+*%^~@]|(?:{values})(?![{word}$])|{first}[{word}$]*+{divided}|[)\]}}]{divided}|[$#][{word}$]*+{divided}|[{digit}][{word}.]*+{divided}|{comment}"
+        rf"|(?:{string}){divided}|(?:{regex}){divided}|{signs}"
+    )
+
+
+# Before a backtick that may stand in a string, and to the end of the text.
+_SCRIPT_PART, _SCRIPT, _PIECE = ([_piece(scripts, plain, end) for plain in (False, True)] for scripts, end in ((True, r"|\Z"), (True, ""), (False, "")))
+_VALUE = re.compile(rf"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|\"(?:\\[\s\S]|[^\"\\\n])*+\"?|'(?:\\[\s\S]|[^'\\\n])*+'?|{_REGEX.pattern}|[$#\w][\w$.]*|[\s\S]")
+_GAP = re.compile(r"(?:\s++|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z))*+")
+_AFTER_VALUE = re.compile(rf"({_GAP.pattern})/(?![/*])")
+
+
+class Words(dict):
+    """Numbers of pieces, and for each the number of its kind (-1: not a token; else as in :func:`lexed_columns`), that of the token's text, and its line breaks."""
+
+    def __init__(self, scripts: bool):
+        self.scripts = scripts
+        self.list, self.kinds, self.texts, self.breaks, self.types = [], [], [], [], {}
+        self.divided: set[int] = set()
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self.list)
+        self.list.append(piece)
+        self.texts.append(number)
+        if piece.isidentifier():
+            self.breaks.append(0)
+            self.kinds.append(-1)
+            self.kinds[number] = self["w"]
+            return number
+        self.kinds.append(-1)
+        self.breaks.append(piece.count("\n"))
+        kind, text = self._class(piece, number)
+        if kind:
+            self.kinds[number] = self[kind]
+        if text is not None:
+            self.texts[number] = self[text]
+        return number
+
+    def _class(self, piece: str, number: int) -> tuple[str | None, str | None]:
+        first = piece[:1]
+        if first.isspace() or not piece:
+            return None, None
+        comment = piece.startswith(("//", "/*"))
+        if self.scripts and piece[-1] == "/" and not comment and first != "`" and _VALUE.match(piece)[0] != piece:
+            self.divided.add(number)
+        if comment:
+            if self.scripts and (named := doc_types(piece)):
+                self.types[number] = named
+                return "d", ""
+            return None, None
+        if first in _OPEN or piece == "${":
+            return "o", first if first in _OPEN else "{"
+        if first in _CLOSE:
+            return "c", first
+        if first in "\"'" or (self.scripts and first == "/" and len(piece) > 1):
+            return "s", '"'
+        if self.scripts and first == "`":
+            return "s", "`"
+        if first in "$#" or ((first.isalnum() or first == "_") and not first.isdecimal()):
+            return "w", None
+        return ("n", "0") if first.isdecimal() else ("p", None)
+
+    def cut(self, content: str) -> np.ndarray:
+        """``content`` as numbers of pieces: the tokens of :func:`lexed_columns`, some times as fast, and what stands between them. Of a template, text begins
+        with a backtick and substitutions are code between ``${`` and a closing bracket."""
+        cut = _script_pieces(content) if self.scripts else _PIECE[content.isascii()].findall(content)
+        found = np.fromiter(map(self.__getitem__, cut), np.int32, len(cut))
+        if self.divided and not self.divided.isdisjoint(found.tolist()):
+            cut = self._divided(content, found.tolist())
+            found = np.fromiter(map(self.__getitem__, cut), np.int32, len(cut))
+        return found
+
+    def _divided(self, content: str, found: list[int]) -> list[str]:
+        out, balance = [], 0
+        for number in found:
+            piece = self.list[number]
+            token = _VALUE.match(piece)[0] if number in self.divided else piece
+            out += [token] if token == piece else [token, *_PIECE[0].findall(piece[len(token) : -1]), "/"]
+            balance += (token in ("(", "[", "{", "${")) - (token in (")", "]", "}"))
+            if balance < 0:
+                # A closing bracket without a partner is no value, so that a slash may begin an expression.
+                return _step_by_step(content)
+        return out
+
+    def spelled(self, numbers: np.ndarray, null: np.ndarray | None) -> pa.Array:
+        at = pa.array(numbers, pa.int32(), mask=null)
+        return pa.DictionaryArray.from_arrays(at, pa.array(self.list, pa.string())).cast(pa.string())
+
+
+def _script_pieces(content: str) -> list[str]:
+    out: list[str] = []
+    at, size, plain = 0, len(content), content.isascii()
+    whole, part = _SCRIPT[plain], _SCRIPT_PART[plain]
+    #: Brackets that are open in each open substitution.
+    depths: list[int] = []
+    while at < size:
+        if not depths:
+            tick = content.find("`", at)
+            if tick < 0:
+                out += whole.findall(content, at)
+                break
+            found = part.findall(content, at, tick)
+            if found:
+                last = whole.match(content, tick - len(found[-1]))
+                found[-1], at = last[0], last.end()
+                out += found
+                if at > tick:
+                    if found[-1].startswith(("//", "/*")):
+                        gap = _GAP.match(content, at)[0]
+                        out += _PIECE[0].findall(gap)
+                        at += len(gap)
+                        if content.startswith("/", at):
+                            # Whether it divides is for what stands before the comment to say.
+                            return _step_by_step(content)
+                    continue
+            at = tick + 1
+        elif content[at] == "`":
+            at += 1
+        else:
+            piece = whole.match(content, at)[0]
+            if piece[0] in _CLOSE and not depths[-1]:
+                depths.pop()
+                out.append(piece[0])
+                at += 1
+            else:
+                depths[-1] += (piece[0] in _OPEN) - (piece[0] in _CLOSE)
+                out.append(piece)
+                at += len(piece)
+                continue
+        # The rest of a template.
+        end = _TEMPLATE.match(content, at).end()
+        opens = content.startswith("${", end - 2) and end - 2 >= at
+        out.append("`" + content[at : end - 2 * opens])
+        at = end
+        if opens:
+            out.append("${")
+            depths.append(0)
+        elif m := _AFTER_VALUE.match(content, end):
+            out += [*_PIECE[0].findall(m[1]), "/"]
+            at = m.end()
+    return out
+
+
+def _step_by_step(content: str) -> list[str]:
+    columns, out, at = lexed_columns(content, True), [], 0
+    for text, kind, start, end in zip(*(columns[n] for n in ("text", "kind", "at", "ends"))):
+        # Breaks within a comment are counted with it.
+        out.append("\n" * content.count("\n", at, start))
+        out.append({"s": '""', "d": content[start:end]}.get(kind, text) if text != "`" else text)
+        at = max(at, end if kind == "d" else start)
+    return out
+
 def lines_of(content: str, columns: dict[str, list]) -> tuple[list[int], list[int | None]]:
     """(line of each token, for opening brackets that of the last token before they close)."""
     breaks = np.array([m.start() for m in re.finditer("\n", content)], np.int64)

@@ -80,15 +80,15 @@ def helper_{k}(x, *, y=0):
 """
 
 
-def found(spark, sf_dir, language: str, ext: str, template: str) -> DataFrame:
-    """What the analyzer finds in one file for each part."""
+def found(spark, sf_dir, language: str, ext: str, template: str, *kinds: str) -> DataFrame:
+    """What the analyzer finds in one file for each part; rows of these ``kinds``, if any are named."""
     content = F.lit(template)
     for name, column in (("{k}", "p_partkey"), ("{n}", "p_size")):
         content = F.replace(content, F.lit(name), F.col(column).cast("string"))
     files = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("file_ord"), F.concat(F.lit("src/p"), "p_partkey", F.lit(ext)).alias("path"), F.lit(language).alias("language"), content.alias("content"),
     )
-    return extract.extract(files)
+    return extract.extract(files, kinds) if kinds else extract.extract(files)
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def x8_cpp_components(spark, sf_dir):
     ("{m}.A_{k}", "{m}.Foo_{n}", 5, False), ("{m}.A_{k}", "{m}.Bar_{k}", 5, False), ("{m}.f_{k}", "{m}.g_{n}", 9, False),
 ], EDGES))
 def x3d_javascript_edges(spark, sf_dir):
-    return edges(found(spark, sf_dir, "javascript", ".js", JS))
+    return edges(found(spark, sf_dir, "javascript", ".js", JS, "edge"))
 
 
 @query(_sql([("{m}.A_{k}", "class", 2, 6, None, "B_{n}"), ("{m}.f_{k}", "function", 8, 10, "x,y", None)], COMPONENTS))
@@ -156,7 +156,7 @@ def x4_x4d_typescript_components(spark, sf_dir):
 
 @query(_sql([("{m}.A_{k}", "{m}.I_{k}", 3, False), ("{m}.A_{k}", "{m}.Foo_{n}", 4, False), ("{m}.A_{k}", "{m}.C_{k}", 4, False)], EDGES))
 def x4b_typescript_edges(spark, sf_dir):
-    return edges(found(spark, sf_dir, "typescript", ".ts", TS))
+    return edges(found(spark, sf_dir, "typescript", ".ts", TS, "edge"))
 
 
 @query(_sql([("{m}.A_{k}", "abstract class", 2, 7, None, "B_{n}"), ("{m}.A_{k}.run", "method", 4, 6, "a", None), ("{m}.R_{k}", "record", 8, 8, None, "I_{k}")], COMPONENTS))
@@ -314,7 +314,7 @@ def x4_x4a_typescript_constructs(spark, sf_dir):
     ('{m}.deep', '{m}.outer_{k}', 30, False),
 ], EDGES))
 def x4b_typescript_uses(spark, sf_dir):
-    return edges(found(spark, sf_dir, "typescript", ".ts", TS_ALL))
+    return edges(found(spark, sf_dir, "typescript", ".ts", TS_ALL, "edge"))
 
 
 @query(_sql([
@@ -333,7 +333,7 @@ def x3_javascript_constructs(spark, sf_dir):
     ('{m}.gen', '{m}.main_{k}', 13, True), ('{m}.four', '{m}.one', 16, True),
 ], EDGES))
 def x3a_x3b_javascript_uses(spark, sf_dir):
-    return edges(found(spark, sf_dir, "javascript", ".js", JS_ALL))
+    return edges(found(spark, sf_dir, "javascript", ".js", JS_ALL, "edge"))
 
 
 @query(_sql([

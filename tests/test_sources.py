@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.operators import extract
+from repolith.operators.extract import scripts
 from repolith.operators.extract.token_arrays import Tokens
 from repolith.operators.extract.token_table import back as token_table_back
 from repolith.operators.extract.token_table import first_after as token_table_first_after
@@ -154,3 +155,39 @@ def test_files_of_tokens_are_one_tables_work(spark):
     assert {tuple(r) for r in rows} == {(i, f"src.f{i}.x.A", code.removesuffix("\n/* open"), f"src/f{i}.x") for i in range(90) if i % 3}
     plan = extract.extract(files(spark, "java", "class A { B b; }"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") <= 8
+
+
+def plan_of(spark, language, kind, code):
+    return extract.extract(files(spark, language, code), (kind,))._jdf.queryExecution().optimizedPlan().toString()
+
+
+BITS = "` ${ } / /* */ // ' \" \\ ( ) [ ] { } \n => < > : ; , . class function return const /re/g a b1 1.5 é `a${b}c` 'a`' /**@type{Foo}*/ in of ?. ... x/2 )/a".split(" ")
+
+
+@pytest.mark.parametrize("scripts", [True, False])
+def test_pieces_are_the_tokens(scripts):
+    """One expression over a text finds the tokens that steps through it find, and levels the brackets that a stack finds."""
+    rng = random.Random(3)
+    codes = ["".join(rng.choice(BITS) + rng.choice(["", " "]) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["", "}", "`${`${x}`}`/2", "a /* `x` */ / 2", "a /* ` */ / b/c"]
+    t = Tokens(codes, scripts)
+    names = ("i", "text", "kind", "line", "up", "close", "last")
+    got = sorted(zip(t.file.tolist(), *(t.col(n).array.to_pylist() for n in names)))
+    assert got == sorted((f, *(x[n] for n in names)) for f, code in enumerate(codes) for x in lexed(code, scripts))
+
+
+@pytest.mark.parametrize("unit", ['"' + "a" * 1000, "a < ", "/*", "{", "}", "`${", "/[a", "'\\", "/*`*/ ", "a /*c*/ ", "//`\n", "}/", "a/b ", "`a`/", "class A {"])
+def test_rules_are_linear(unit):
+    began = time.perf_counter()
+    for typed in (True, False):
+        scripts._found(Tokens([unit * (300_000 // len(unit))], True), ("component", "edge"), typed)
+    assert time.perf_counter() - began < 30
+
+
+def test_uses_of_typescript_are_one_pass(spark):
+    """Names of a file are resolved where the file is: no window, no table of what tokens contribute."""
+    code = "function a() { b(); b(); c.d(); const e = 1; e(); }\nfunction b() {}"
+    plan = plan_of(spark, "typescript", "edge", code)
+    # One dealing of the files here, one of those of languages without tables.
+    assert not any(x in plan for x in ("Window", "Aggregate", "Join", "parquet")) and plan.count("Repartition") <= 2
+    rows = extract.extract(files(spark, "typescript", code, code), ("edge",)).select("file_ord", "kind", "caller", "callee", "call_line").collect()
+    assert sorted(map(tuple, rows)) == sorted((i, "edge", f"src.f{i}.x.a", f"src.f{i}.x.{x}", 1) for i in range(2) for x in ("b", "c.d", "d"))

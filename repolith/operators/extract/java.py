@@ -43,25 +43,34 @@ def _marked(t: Tokens) -> None:
     })
     opens = when(c("text") != "{", None).when(c("declared.i") > c("brace_at"), c("declared.kind")).when((c("p1") == ")") & (c("new_at") > c("brace_at")), t.every("anonymous")).otherwise(t.every("block"))
     t.put({"clause": t.last_before(c("text").isin("extends", "implements") & (c("angle") == c("declared.angle")), c("text"))})
+    t.put({"inside": t.enclosing(opens)})
+    t.put({"in_type": coalesce(c("inside"), "").isin("class", "interface", "enum", "record", "anonymous")})
+    result = ((c("pk1") == "w") & ~c("p1").isin(*MODIFIERS, *WORDS)) | c("p1").isin(">", "]")
+    method = word & c("in_type") & (c("n1") == "(") & (c("n2") == ")") & c("n3").isin("{", ";", "throws", "[", "default") & result & ~c("text").isin(*WORDS) & ~c("p1").isin(".", "@") & (c("p2") != "@")
+    t.put({"method": any_of(method)})
+
+
+def _variables(t: Tokens) -> None:
+    """``variable``: names that are declared, of the type ``type_of`` and known up to ``scope``."""
+    c = t.col
     # Where the variables of a parenthesis are known: in what follows it.
     last = t.first_after((c("text") == ";") | ((c("n1") == "") & (c("kind") != "o")), c("i"))
     follows = when(c("n2") == "{", c("nc2")).when((c("n2") == "->") & (c("n3") == "{"), c("nc3")).otherwise(coalesce(last, c("close")))
     scope = when(c("text") == "(", when(c("p1").isin("for", "try") | ((c("n1") == ")") & (c("n2") == "->")), follows)).when(c("text") == "{", c("close")).value
-    t.put({"inside": t.enclosing(opens), "scope": t.enclosing(scope)})
-    in_type = coalesce(c("inside"), "").isin("class", "interface", "enum", "record", "anonymous")
-    result = ((c("pk1") == "w") & ~c("p1").isin(*MODIFIERS, *WORDS)) | c("p1").isin(">", "]")
-    method = word & in_type & (c("n1") == "(") & (c("n2") == ")") & c("n3").isin("{", ";", "throws", "[", "default") & result & ~c("text").isin(*WORDS) & ~c("p1").isin(".", "@") & (c("p2") != "@")
+    t.put({"scope": t.enclosing(scope)})
     first = ((c("pi1") == c("type_of.i")) & (c("type_of.next") == c("text"))) | ((c("p1") == ">") & (c("type_of.next") == "<") & (c("angle") == 0))
-    variable = word & ~c("type_head") & (c("type_of.i") >= c("statement.i")) & (first | ((c("p1") == ",") & (c("around.text") == "{") & (c("type_of.next") != ".") & (c("angle") == 0))) & c("n1").isin("=", ";", ",", ":", "")
-    t.put({"method": any_of(method), "first_variable": any_of(first), "variable": any_of(variable & c("scope").isNotNull() & ~(in_type & ~c("n1").isin("=", ";", ",")))})
+    variable = (c("kind") == "w") & ~c("type_head") & (c("type_of.i") >= c("statement.i")) & (first | ((c("p1") == ",") & (c("around.text") == "{") & (c("type_of.next") != ".") & (c("angle") == 0))) & c("n1").isin("=", ";", ",", ":", "")
+    t.put({"first_variable": any_of(first), "variable": any_of(variable & c("scope").isNotNull() & ~(c("in_type") & ~c("n1").isin("=", ";", ",")))})
 
 
-def _owned(t: Tokens) -> None:
+def _owned(t: Tokens, edges: bool) -> None:
+    """``owner``: the type that a token stands in; for ``edges`` also its method and class."""
     c = t.col
     t.put({"owner": t.innermost(c("declares").isNotNull(), c("block.close"), t.struct(i=c("i"), kind=c("declares"), name=c("n1")))})
     t.put({"method": any_of(c("method") & (c("text") != coalesce(c("owner.name"), "")))})
     t.put({"method_end": when(c("signature.text") == "{", c("signature.close")).otherwise(c("signature.i")), "method_name": when(c("owner.name").isNull(), c("text")).otherwise(joined(t, c("owner.name"), c("text"), ".", c("method")))})
-    t.put({"in_method": t.innermost(c("method"), c("method_end"), c("method_name")), "own_class": t.innermost(c("declares") == "class", c("block.close"), c("i"))})
+    if edges:
+        t.put({"in_method": t.innermost(c("method"), c("method_end"), c("method_name")), "own_class": t.innermost(c("declares") == "class", c("block.close"), c("i"))})
 
 
 def _heritage(t: Tokens) -> None:
@@ -110,12 +119,14 @@ def _call_types(t: Tokens, calls: dict[str, np.ndarray]) -> np.ndarray:
     local = ~own & (variables["method"] >= 0) & (variables["scope"] >= 0)
     names, number = np.concatenate([name(calls), name(variables)[local]]), np.concatenate([calls["i"], variables["i"][local]])
     order = np.lexsort((number, names))
-    begins = np.arange(len(order)) >= len(calls["i"])
-    until, kinds = (np.concatenate([np.full(len(calls["i"]), -1), variables[n][local]]) for n in ("scope", "kind"))
-    group = np.unique(names, return_inverse=True)[1]
-    around = within(group[order], number[order], begins[order], until[order])
+    names, number, declared = names[order], number[order], order - len(calls["i"])
+    first = np.flatnonzero(declared >= 0)
+    # An interval ends before the first row of its name behind the scope.
+    until, kinds = (variables[n][local][declared[first]] for n in ("scope", "kind"))
+    after = np.searchsorted(names * (t.size + 1) + number, names[first] * (t.size + 1) + until, side="right")
+    around = within(names, first, after)
     found = np.full(len(order), -1)
-    found[order] = np.where(around >= 0, kinds[order][around], -1)
+    found[order] = np.concatenate([kinds, [-1]])[around]
     found = np.where(calls["method"] >= 0, found[: len(calls["i"])], -1)
     return np.where(np.isin(name(calls), name(types)), calls["key"], np.where(found >= 0, found, field))
 
@@ -144,8 +155,10 @@ def _edges(t: Tokens) -> dict:
 
 def _found(t: Tokens, kinds: tuple[str, ...]) -> dict[str, dict]:
     _marked(t)
-    _owned(t)
+    _owned(t, "edge" in kinds)
     _heritage(t)
+    if "edge" in kinds:
+        _variables(t)
     find = {"component": _components, "edge": _edges}
     return {kind: find[kind](t) for kind in kinds}
 

@@ -226,24 +226,23 @@ def _stable(keys: np.ndarray) -> np.ndarray:
     return np.argsort(keys.astype(np.int16) if small else keys, kind="stable")
 
 
-def within(group: np.ndarray, place: np.ndarray, begins: np.ndarray, until: np.ndarray) -> np.ndarray:
-    """For each row the one that begins the innermost interval around it; -1 outside all. Rows are by ``group`` and rising ``place``; an interval goes from a row
-    to the place ``until`` of its group, is within itself and nested in others."""
+def within(group: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For each row the number of the innermost interval around it; -1 outside all. Interval k goes from row ``first[k]`` (rising) to the row before ``after[k]``; it
+    lies within the rows of one ``group`` and is nested in others."""
     size = len(group)
-    at = np.flatnonzero(begins)
-    # Rows up to here are within: those of the group whose place is no more than the end.
-    width = int(max(place.max(initial=0), until[at].max(initial=0))) + 2
-    ended = np.searchsorted(group * width + place, group[at] * width + until[at], side="right")
-    nesting = np.cumsum(begins) - np.cumsum(np.bincount(ended, minlength=size + 1))[:size]
+    # From one row where an interval begins or has ended to the next nothing changes.
+    rows = np.unique(np.concatenate([first, after[after < size]]))
+    nesting = np.searchsorted(first, rows, side="right") - np.searchsorted(np.sort(after), rows, side="right")
+    number = np.full(len(rows), -1)
+    number[np.searchsorted(rows, first)] = np.arange(len(first))
     # The intervals of a nesting come one after the other, so the last one that began holds the row.
-    order = np.flatnonzero(nesting > 0)
-    order = order.take(_stable(nesting.take(order)))
-    found = _last_true(begins.take(order))
+    order = _stable(nesting)
+    found = _last_true(number[order] >= 0)
     start = order.take(found)
-    held = (found >= 0) & (nesting.take(start) == nesting.take(order)) & (group.take(start) == group.take(order))
-    out = np.full(size, -1)
-    out[order[held]] = start[held]
-    return out
+    held = (found >= 0) & (nesting[order] > 0) & (nesting[start] == nesting[order]) & (group[rows[start]] == group[rows[order]])
+    out = np.full(len(rows), -1)
+    out[order[held]] = number[start[held]]
+    return np.repeat(np.concatenate([[-1], out]), np.diff(np.concatenate([[0], rows, [size]])))
 
 
 def _last_true(held: np.ndarray, after: int = 0) -> np.ndarray:
@@ -310,39 +309,41 @@ class Tokens(Rows):
         lengths = np.array([len(x) for x in lists], np.int64)
         codes = np.concatenate([np.zeros(0, np.int32), *lists])
         kind, text, breaks = (np.array(x, np.int32) for x in (words.kinds, words.texts, words.breaks))
-        lines = np.cumsum(breaks[codes]) - breaks[codes]
-        file = np.repeat(np.arange(len(lengths)), lengths)
-        first = (np.cumsum(lengths) - lengths)[file]
-        keep = kind[codes] >= 0
-        lines = (lines - lines[first] + 1 if len(codes) else lines)[keep]
-        self.file, codes = file[keep], codes[keep]
-        size = self.size = len(codes)
-        sizes = np.bincount(self.file, minlength=len(lengths))
-        starts = np.cumsum(sizes) - sizes
-        kind, text = kind[codes], text[codes]
-        is_open, is_close, token = kind == words["o"], kind == words["c"], np.arange(size)
-        # Closing brackets without a partner are where a file's balance is lower than ever before.
-        balance = np.cumsum(is_open.astype(np.int64) - is_close)
-        balance -= (balance - is_open + is_close)[starts[self.file]] if size else 0
-        base = -self.file * (size + 1)
-        lowest = np.minimum.accumulate(np.minimum(balance, 0) + base) if size else balance
-        before = np.where(token == starts[self.file], base, np.roll(lowest, 1)) if size else base
-        alone = is_close & (lowest < before)
-        kind[alone], is_close = words["p"], is_close & ~alone
-        level = balance - (lowest - base) - is_open
+        ends = np.cumsum(lengths)
+        keep = (kind >= 0).take(codes)
+        kept, broken = (np.concatenate([[0], np.cumsum(x)]) for x in (keep, breaks.take(codes)))
+        codes, sizes = codes[keep], kept[ends] - kept[ends - lengths]
+        size, starts = len(codes), np.cumsum(sizes) - sizes
+        self.size = size
+        file = self.file = np.repeat(np.arange(len(sizes)), sizes)
+        start = np.repeat(starts, sizes)
+        lines = broken[:-1][keep] - np.repeat(broken[ends - lengths], sizes) + 1
+        kind, text = kind.take(codes), text.take(codes)
+        is_open, is_close = kind == words["o"], kind == words["c"]
+        balance = np.concatenate([[0], np.cumsum(is_open.astype(np.int8) - is_close, dtype=np.int64)])
+        balance = balance[1:] - np.repeat(balance[starts], sizes)
+        if (balance < 0).any():
+            # Closing brackets without a partner are where a file's balance is lower than ever before.
+            base = file * -(size + 1)
+            lowest = np.minimum.accumulate(np.minimum(balance, 0) + base)
+            alone = is_close & (lowest < np.where(np.arange(size) == start, base, np.roll(lowest, 1)))
+            kind[alone], is_close = words["p"], is_close & ~alone
+            balance -= lowest - base
+        level = balance - is_open
         # A level's brackets come one after the other; the first token in one follows what opens it, and next to that at its level is what closes it.
         order = _stable(level)
-        opened = np.where(is_open[order - 1] & (order > starts[self.file[order]]) & (level[order - 1] < level[order]), order - 1, -1)
-        new = (opened >= 0) | (np.diff(self.file[order], prepend=-1) != 0) | (np.diff(level[order], prepend=-1) != 0)
+        ordered, before = file.take(order), order - 1
+        opened = np.where(is_open.take(before) & (order > start.take(order)) & (level.take(before) < level.take(order)), before, -1) if size else order
+        new = (opened >= 0) | (np.diff(ordered, prepend=-1) != 0) | (np.diff(level.take(order), prepend=-1) != 0)
         around = np.empty(size, np.int64)
         around[order] = opened.take(_last_true(new))
-        ends = (starts + sizes - 1)[self.file]
-        close = np.where(is_open, ends, -1)
-        at = np.flatnonzero(is_open[order])
-        after = np.minimum(at + 1, size - 1)
-        closed = (at + 1 < size) & is_close[order[after]] & (around[order[after]] == around[order[at]]) & (self.file[order[after]] == self.file[order[at]])
-        close[order[at[closed]]] = order[after[closed]]
-        last = np.where(is_open, lines[np.where((close >= 0) & is_close[close] & (close > token) & (around[close] == around), close - 1, close)], 0) if size else close
+        ends = starts + sizes - 1
+        at = np.flatnonzero(is_open.take(order))
+        opener, after = order[at], order[np.minimum(at + 1, size - 1)]
+        closed = (at + 1 < size) & is_close[after] & (around[after] == around[opener]) & (file[after] == file[opener])
+        ending = np.where(closed, after, ends[file[opener]])
+        close, last = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        close[opener], last[opener] = ending, lines[ending - closed]
         noted = kind == words["d"]
         if noted.any():
             # Comments that name types are siblings of nothing.
@@ -350,18 +351,17 @@ class Tokens(Rows):
         #: Tokens in the order of siblings, and the place of each.
         self.order, self.place = order, np.empty(size, np.int64)
         self.place[order] = np.arange(size)
-        self.token_file, self.starts, self.ends = self.file, starts, (starts + sizes - 1)
-        self.file = self.file[order]
-        self.start = starts[self.file]
-        self.group = _changes(self.file, np.where(noted, size + token, around)[order])
+        self.token_file, self.starts, self.ends = file, starts, ends
+        self.file, self.start = file.take(order), start.take(order)
+        self.group = _changes(self.file, (np.where(noted, size + np.arange(size), around) if noted.any() else around).take(order))
         self.first = np.searchsorted(self.group, self.group)
-        around = around[order]
-        self.around = np.where(around >= 0, self.place[around], -1)
+        around = around.take(order)
+        self.around = np.where(around >= 0, self.place.take(around), -1) if size else around
         numbers = lambda x, ok=None: Col((x - self.start).astype(np.int32), ok)
-        opens = is_open[order]
+        opens = is_open.take(order)
         self.columns: dict[str, Col | Struct] = {
-            "i": numbers(order), "text": Col(text[order], words=words), "kind": Col(kind[order], words=words), "line": Col(lines[order].astype(np.int32)), "close": numbers(close[order], opens),
-            "last": Col(last[order].astype(np.int32), opens), "up": Col(np.where(around >= 0, around - self.start, -1).astype(np.int32)),
+            "i": numbers(order), "text": Col(text.take(order), words=words), "kind": Col(kind.take(order), words=words), "line": Col(lines.take(order).astype(np.int32)), "close": numbers(close.take(order), opens),
+            "last": Col(last.take(order).astype(np.int32), opens), "up": Col(np.where(around >= 0, around - self.start, -1).astype(np.int32)),
         }
         self.codes = codes[order]
         self.within_shift: dict[int, np.ndarray] = {}
@@ -499,10 +499,10 @@ class Tokens(Rows):
     def innermost(self, start: Col, end: Col, info):
         """``info`` of the innermost interval around each token, of those from tokens where ``start`` holds to the token number ``end``;
         null outside all. Intervals must be nested; a start is within its own."""
-        begins = (start & end.isNotNull()).true().take(self.place)
-        numbers = np.arange(self.size) - self.starts[self.token_file]
-        found = within(self.token_file, numbers, begins, end.x.take(self.place).astype(np.int64))
-        return info.take(np.where(found >= 0, self.place.take(found), -1).take(self.order))
+        at = np.flatnonzero((start & end.isNotNull()).true())
+        at = at[np.argsort(self.order[at])]
+        found = within(self.token_file, self.order[at], self.start[at] + end.x[at] + 1)
+        return info.take(np.concatenate([at, [-1]]).take(found.take(self.order)))
 
 
 def joined(t: Tokens, a: Col, b: Col, separator: str, where: Col) -> Col:

@@ -145,13 +145,13 @@ def x3d_javascript_edges(spark, sf_dir):
 
 @query(_sql([("{m}.A_{k}", "class", 2, 6, None, "B_{n}"), ("{m}.f_{k}", "function", 8, 10, "x,y", None)], COMPONENTS))
 def x3_javascript_components(spark, sf_dir):
-    return components(found(spark, sf_dir, "javascript", ".js", JS))
+    return components(found(spark, sf_dir, "javascript", ".js", JS, "component"))
 
 
 @query(_sql([("{m}.I_{k}", "interface", 1, 1, None, None), ("{m}.E_{k}", "enum", 2, 2, None, None), ("{m}.A_{k}", "class", 3, 5, None, "I_{k}"), ("{m}.m", "function", 4, 4, "b", None)], COMPONENTS))
 # A method is a component of its bare name, as it stands in no function's body.
 def x4_x4d_typescript_components(spark, sf_dir):
-    return components(found(spark, sf_dir, "typescript", ".ts", TS))
+    return components(found(spark, sf_dir, "typescript", ".ts", TS, "component"))
 
 
 @query(_sql([("{m}.A_{k}", "{m}.I_{k}", 3, False), ("{m}.A_{k}", "{m}.Foo_{n}", 4, False), ("{m}.A_{k}", "{m}.C_{k}", 4, False)], EDGES))
@@ -294,7 +294,7 @@ class Generic extends Base<Foo_{n}> { }
     ('{m}.deep', 'function', 30, 30, '', None), ('{m}.Kept', 'class', 30, 30, None, None),
 ], COMPONENTS))
 def x4_x4a_typescript_constructs(spark, sf_dir):
-    return components(found(spark, sf_dir, "typescript", ".ts", TS_ALL))
+    return components(found(spark, sf_dir, "typescript", ".ts", TS_ALL, "component"))
 
 
 @query(_sql([
@@ -323,7 +323,7 @@ def x4b_typescript_uses(spark, sf_dir):
     ('{m}.four', 'function', 16, 16, 'a,b', None),
 ], COMPONENTS))
 def x3_javascript_constructs(spark, sf_dir):
-    return components(found(spark, sf_dir, "javascript", ".js", JS_ALL))
+    return components(found(spark, sf_dir, "javascript", ".js", JS_ALL, "component"))
 
 
 @query(_sql([

@@ -191,3 +191,13 @@ def test_uses_of_typescript_are_one_pass(spark):
     assert not any(x in plan for x in ("Window", "Aggregate", "Join", "parquet")) and plan.count("Repartition") <= 2
     rows = extract.extract(files(spark, "typescript", code, code), ("edge",)).select("file_ord", "kind", "caller", "callee", "call_line").collect()
     assert sorted(map(tuple, rows)) == sorted((i, "edge", f"src.f{i}.x.a", f"src.f{i}.x.{x}", 1) for i in range(2) for x in ("b", "c.d", "d"))
+
+
+def test_components_of_typescript_without_edges(spark, monkeypatch):
+    """Rules of uses aren't looked at for components alone, and the rows are those of both kinds together."""
+    code = "export class A<T> extends B implements C { go(x: D, y?) { return x.f(); } }\nconst f = async (p, q = 2) => { f(p); };\n/** a */ enum E { F }"
+    both = extract.extract(files(spark, "typescript", code))
+    alone = extract.extract(files(spark, "typescript", code), ("component",))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, both.filter("kind = 'component'").collect())) and alone.count() == 4
+    monkeypatch.delattr(scripts, "_edges")
+    assert list(scripts._found(Tokens([code], True), ("component",), True)) == ["component"]

@@ -166,7 +166,7 @@ def x5_java_components(spark, sf_dir):
 
 @query(_sql([("{m}.A_{k}", "{m}.B_{n}", 2, False), ("{m}.R_{k}", "{m}.I_{k}", 8, False), ("{m}.A_{k}", "Foo_{n}", 3, False), ("{m}.A_{k}.run", "Foo_{n}", 5, False)], EDGES))
 def x5a_x5b_java_edges(spark, sf_dir):
-    return edges(found(spark, sf_dir, "java", ".java", JAVA))
+    return edges(found(spark, sf_dir, "java", ".java", JAVA, "edge"))
 
 
 @query(_sql([("{m}.Util_{k}", "static class", 1, 1, None, None), ("{m}.Base_{k}", "abstract class", 2, 2, None, None), ("{m}.Handler_{k}", "delegate", 3, 3, None, None), ("{m}.A_{k}", "class", 4, 4, None, "Base_{k}")], COMPONENTS))
@@ -359,4 +359,4 @@ def x5_java_constructs(spark, sf_dir):
     ('{m}.Color', '{m}.Shape', 40, False), ('{m}.Color', 'Paint', 40, False), ('{m}.Point', '{m}.Shape', 41, False),
 ], EDGES))
 def x5a_x5b_java_scopes(spark, sf_dir):
-    return edges(found(spark, sf_dir, "java", ".java", JAVA_ALL))
+    return edges(found(spark, sf_dir, "java", ".java", JAVA_ALL, "edge"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.operators import extract
-from repolith.operators.extract import scripts
+from repolith.operators.extract import java, scripts
 from repolith.operators.extract.token_arrays import Tokens
 from repolith.operators.extract.token_table import back as token_table_back
 from repolith.operators.extract.token_table import first_after as token_table_first_after
@@ -201,3 +201,14 @@ def test_components_of_typescript_without_edges(spark, monkeypatch):
     assert sorted(map(str, alone.collect())) == sorted(map(str, both.filter("kind = 'component'").collect())) and alone.count() == 4
     monkeypatch.delattr(scripts, "_edges")
     assert list(scripts._found(Tokens([code], True), ("component",), True)) == ["component"]
+
+
+
+def test_scopes_of_java_are_found_where_the_file_is(spark):
+    """Of fields the first of its name and class counts, variables of one method are none of another, and no row is shuffled after the files are dealt."""
+    code = "class A { F x; void a() { T x; x.u(); }\nvoid b() { x.u(); }\nclass G { H x; void c() { x.u(); { K x; x.u(); } x.u(); } }\nvoid d() { A.s(); y.u(); } }\nclass L { void e() { x.u(); } }"
+    plan = plan_of(spark, "java", "edge", code)
+    assert not any(x in plan for x in ("Window", "Aggregate", "Join", "parquet")) and plan.count("Repartition") <= 2
+    rows = extract.extract(files(spark, "java", code, code), ("edge",)).select("file_ord", "caller", "callee", "call_line").collect()
+    uses = {("A", "F", 1), ("A.a", "T", 1), ("A.b", "F", 2), ("G", "H", 3), ("G.c", "H", 3), ("G.c", "K", 3), ("A.d", "A", 4)}
+    assert sorted(map(tuple, rows)) == sorted((i, f"src.f{i}.x.{caller}", callee, line) for i in range(2) for caller, callee, line in uses)

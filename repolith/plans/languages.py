@@ -161,7 +161,7 @@ def x4b_typescript_edges(spark, sf_dir):
 
 @query(_sql([("{m}.A_{k}", "abstract class", 2, 7, None, "B_{n}"), ("{m}.A_{k}.run", "method", 4, 6, "a", None), ("{m}.R_{k}", "record", 8, 8, None, "I_{k}")], COMPONENTS))
 def x5_java_components(spark, sf_dir):
-    return components(found(spark, sf_dir, "java", ".java", JAVA))
+    return components(found(spark, sf_dir, "java", ".java", JAVA, "component"))
 
 
 @query(_sql([("{m}.A_{k}", "{m}.B_{n}", 2, False), ("{m}.R_{k}", "{m}.I_{k}", 8, False), ("{m}.A_{k}", "Foo_{n}", 3, False), ("{m}.A_{k}.run", "Foo_{n}", 5, False)], EDGES))
@@ -345,7 +345,7 @@ def x3a_x3b_javascript_uses(spark, sf_dir):
     ('{m}.Marker', 'annotation', 42, 42, None, None), ('{m}.Generic', 'class', 43, 43, None, 'Base'),
 ], COMPONENTS))
 def x5_java_constructs(spark, sf_dir):
-    return components(found(spark, sf_dir, "java", ".java", JAVA_ALL))
+    return components(found(spark, sf_dir, "java", ".java", JAVA_ALL, "component"))
 
 
 @query(_sql([

@@ -212,3 +212,15 @@ def test_scopes_of_java_are_found_where_the_file_is(spark):
     rows = extract.extract(files(spark, "java", code, code), ("edge",)).select("file_ord", "caller", "callee", "call_line").collect()
     uses = {("A", "F", 1), ("A.a", "T", 1), ("A.b", "F", 2), ("G", "H", 3), ("G.c", "H", 3), ("G.c", "K", 3), ("A.d", "A", 4)}
     assert sorted(map(tuple, rows)) == sorted((i, f"src.f{i}.x.{caller}", callee, line) for i in range(2) for caller, callee, line in uses)
+
+
+
+def test_components_of_java_without_edges(spark, monkeypatch):
+    code = "abstract class A<T> extends B implements C, D {\n  int go(int a, List<E> b) { return x.f(); }\n  abstract void stop();\n}\nrecord R(int a) { }"
+    both = extract.extract(files(spark, "java", code))
+    alone = extract.extract(files(spark, "java", code), ("component",))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, both.filter("kind = 'component'").collect())) and alone.count() == 4
+    plan = plan_of(spark, "java", "component", code)
+    assert not any(x in plan for x in ("Window", "Aggregate", "Join", "parquet")) and plan.count("Repartition") <= 2
+    monkeypatch.delattr(java, "_variables")
+    assert list(java._found(Tokens([code], False), ("component",))) == ["component"]
